@@ -91,10 +91,10 @@ def _(t):
 @query(
     "filter_genotyped_cells",
     f"""{with_ctes("cells", "genotype")} SELECT * FROM cells WHERE individual_id IN
-    (SELECT individual_id FROM genotype WHERE dosage = 2 AND variant_id < 3)""",
+    (SELECT individual_id FROM genotype GROUP BY 1 HAVING avg(dosage) > 1)""",
 )
 def _(t):
-    g = S.genotype(t).where((F.col("dosage") == 2) & (F.col("variant_id") < 3))
+    g = Fi.keep_groups(S.genotype(t), ["individual_id"], F.avg("dosage") > 1)
     return Fi.filter_genotyped_cells(S.cells(t), g)
 
 
@@ -360,14 +360,12 @@ def _(t):
     """WITH l AS (SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS f,
         CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
     SELECT a.f AS factor_a, b.f AS factor_b, round(abs(corr(a.x, b.x)), 5) AS abs_r
-    FROM l a JOIN l b USING (vec_id) WHERE a.f < 8 AND b.f >= 56 GROUP BY 1, 2""",
+    FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2""",
 )
 def _(t):
     e = t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    first = e.withColumn("embedding", F.slice("embedding", 1, 8))
-    last = e.withColumn("embedding", F.slice("embedding", 57, 8))
-    c = A.loading_correlation(first, last, sample="vec_id", column="embedding")
-    return c.withColumns({"factor_b": F.col("factor_b") + 56, "abs_r": r("abs_r", 5)})
+    c = A.loading_correlation(e, e, sample="vec_id", column="embedding")
+    return c.withColumn("abs_r", r("abs_r", 5))
 
 
 @query(
@@ -451,16 +449,16 @@ def _(t):
 @query(
     "zero_center",
     """WITH x AS (SELECT event_type AS gene_id, event_id AS cell_id, value FROM events),
-    raw AS (SELECT event_type AS gene_id, event_id AS cell_id FROM events WHERE user_id % 3 <> 0),
+    raw AS (SELECT event_type AS gene_id, event_id AS cell_id FROM events WHERE props LIKE '%7%'),
     m AS (SELECT gene_id, avg(value) AS m FROM x ANTI JOIN raw USING (gene_id, cell_id) GROUP BY 1)
     SELECT gene_id, cell_id, round(value - m, 5) + 0.0 AS value FROM x LEFT JOIN m USING (gene_id)""",
 )
 def _(t):
     e = t.events.select(
-        F.col("event_type").alias("gene_id"), F.col("event_id").alias("cell_id"), "value", "user_id"
+        F.col("event_type").alias("gene_id"), F.col("event_id").alias("cell_id"), "value", "props"
     )
-    raw = e.select("gene_id", "cell_id", (F.col("user_id") % 3).alias("value"))
-    z = N.zero_center(e.drop("user_id"), raw)
+    raw = e.select("gene_id", "cell_id", F.col("props").contains("7").cast("int").alias("value"))
+    z = N.zero_center(e.drop("props"), raw)
     return z.select("gene_id", "cell_id", r("value", 5).alias("value"))
 
 

@@ -114,14 +114,22 @@ def stand_pairs(t, distance):
 
 @query(
     "expand_genotype_to_cells",
-    f"""{with_ctes("cells", "genotype")} SELECT cell_id, individual_id, variant_id, dosage
-    FROM cells JOIN genotype USING (individual_id) WHERE variant_id IN
-    (SELECT o_orderkey FROM orders WHERE o_orderkey < 5)""",
+    f"""{with_ctes("cells", "genotype")} SELECT variant_id, cell_type, count(*) AS n_cells,
+    count(dosage) AS n_called, sum(dosage) AS dosage FROM cells JOIN genotype USING (individual_id)
+    GROUP BY 1, 2""",
 )
 def _(t):
-    pairs = t.orders.where("o_orderkey < 5").select(F.col("o_orderkey").alias("variant_id"))
+    pairs = t.supplier.select(F.col("s_suppkey").alias("variant_id"))
     out = J.expand_genotype_to_cells(pairs, S.genotype(t), S.cells(t))
-    return out.select("cell_id", "individual_id", "variant_id", "dosage")
+    return (
+        out.join(S.cells(t).select("cell_id", "cell_type"), "cell_id")
+        .groupBy("variant_id", "cell_type")
+        .agg(
+            F.count("*").alias("n_cells"),
+            F.count("dosage").alias("n_called"),
+            F.sum("dosage").alias("dosage"),
+        )
+    )
 
 
 @query(
@@ -297,16 +305,25 @@ def _(t):
 
 @query(
     "standardized_genotype",
-    f"""{with_ctes("cells", "genotype")} SELECT cell_id, individual_id, variant_id,
-    {rnd("CASE WHEN stddev_pop(dosage) OVER w > 0 THEN (dosage - avg(dosage) OVER w) / stddev_pop(dosage) OVER w END", 5)}
-    AS dosage FROM cells JOIN genotype USING (individual_id)
-    WHERE dosage IS NOT NULL AND variant_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 5)
-    WINDOW w AS (PARTITION BY variant_id)""",
+    f"""{with_ctes("cells", "genotype")}, z AS (SELECT cell_type, variant_id,
+      CASE WHEN stddev_pop(dosage) OVER w > 0 THEN (dosage - avg(dosage) OVER w)
+        / stddev_pop(dosage) OVER w END AS z FROM cells JOIN genotype USING (individual_id)
+      WHERE dosage IS NOT NULL WINDOW w AS (PARTITION BY variant_id))
+    SELECT variant_id, cell_type, count(*) AS n_cells, {rnd("avg(z)", 5)} AS mean_z,
+    {rnd("max(z)", 5)} AS max_z FROM z GROUP BY 1, 2""",
 )
 def _(t):
-    pairs = t.orders.where("o_orderkey < 5").select(F.col("o_orderkey").alias("variant_id"))
+    pairs = t.supplier.select(F.col("s_suppkey").alias("variant_id"))
     out = J.standardized_genotype(pairs, S.genotype(t), S.cells(t))
-    return out.select("cell_id", "individual_id", "variant_id", r("dosage", 5).alias("dosage"))
+    return (
+        out.join(S.cells(t).select("cell_id", "cell_type"), "cell_id")
+        .groupBy("variant_id", "cell_type")
+        .agg(
+            F.count("*").alias("n_cells"),
+            r(F.avg("dosage"), 5).alias("mean_z"),
+            r(F.max("dosage"), 5).alias("max_z"),
+        )
+    )
 
 
 @query(
