@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.plans.scale import broadcast_if_small
+from varloom.plans.scale import broadcast_if_small, ranked
 
 _MISSING = ("NA", "NaN", "nan", "", "-")
 
@@ -194,9 +194,16 @@ def read_genotype_by_chrom(
 
 
 def _with_ordinal(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their zero-based number."""
-    rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rdd, "ordinal bigint, value string")
+    """Lines of one text file with their zero-based number: blocks by offset, and the lines
+    of a block in the order in which its task reads them."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    return ranked(lines, ["_block", "_line"], out="ordinal").select(
+        (F.col("ordinal") - 1).alias("ordinal"), "value"
+    )
 
 
 def read_012_genotype(spark: SparkSession, geno: str, indv: str, pos: str) -> DataFrame:
