@@ -1,6 +1,6 @@
 """Queries on the driver tables with their SQL twins."""
 
-from checks import q_allelic, q_basic, q_joins, q_models  # noqa: F401
+from checks import q_allelic, q_basic, q_factor, q_joins, q_models, q_plans  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,23 +18,27 @@ from pyspark.sql import Window as W
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; a private one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a private one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="varloom-ckpt-")
-    sc.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="varloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and read them from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the checkpoint folder and go on from there.
+
+    The plan runs once, a lost executor costs a re-read only, and later joins know the size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/varloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
