@@ -439,10 +439,11 @@ def _(t):
 @query(
     "center",
     f"""{with_ctes("counts")} SELECT cell_id, gene_id,
-    {rnd("count - avg(count) OVER (PARTITION BY gene_id)", 5)} AS value FROM counts""",
+    {rnd("ln(1 + count) - avg(ln(1 + count)) OVER (PARTITION BY gene_id)", 5)} AS value
+    FROM counts""",
 )
 def _(t):
-    c = N.center(S.counts(t).withColumnRenamed("count", "value"))
+    c = N.center(S.counts(t).withColumn("value", F.log1p("count")))
     return c.select("cell_id", "gene_id", r("value", 5).alias("value"))
 
 
@@ -631,11 +632,11 @@ def _(t):
     f"""{with_ctes("counts")}, k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY count)
       AS lo, count(*) OVER (PARTITION BY gene_id, count) AS ties,
       count(*) OVER (PARTITION BY gene_id) AS n FROM counts)
-    SELECT cell_id, gene_id, {rnd("(lo + (ties - 1) / 2) / (n + 1)")} AS fraction FROM k""",
+    SELECT cell_id, gene_id, {rnd("(lo + (ties - 1) / 2) / (n + 1)", 12)} AS fraction FROM k""",
 )
 def _(t):
     x = N.rank_fraction(S.counts(t), value="count")
-    return x.select("cell_id", "gene_id", r("fraction").alias("fraction"))
+    return x.select("cell_id", "gene_id", r("fraction", 12).alias("fraction"))
 
 
 @query("inverse_normal")

@@ -69,7 +69,7 @@ def _(t):
 
 @query(
     "unique_genes",
-    """WITH a AS (SELECT p_name AS gene_id, CAST(p_size % 2 AS INTEGER) AS chrom,
+    """WITH a AS (SELECT p_partkey // 3 AS gene_id, CAST(p_size % 2 AS INTEGER) AS chrom,
       p_partkey % 3 AS gene_tss, p_partkey AS ordinal FROM part),
     f AS (SELECT gene_id, arg_min(chrom, ordinal) AS chrom, arg_min(gene_tss, ordinal) AS gene_tss,
       min(ordinal) AS ordinal FROM a GROUP BY 1)
@@ -78,7 +78,7 @@ def _(t):
 )
 def _(t):
     a = t.part.select(
-        F.col("p_name").alias("gene_id"),
+        F.floor(F.col("p_partkey") / 3).alias("gene_id"),
         (F.col("p_size") % 2).alias("chrom"),
         (F.col("p_partkey") % 3).alias("gene_tss"),
         F.col("p_partkey").alias("ordinal"),
