@@ -79,7 +79,7 @@ def grouped_negbin(
     have NULL statistics."""
     columns = [x, *covariates]
     rows = df.dropna(subset=[*columns, y, exposure]).where(F.col(exposure) > 0)
-    rows = rows.select(*test, *columns, y, exposure).persist()
+    rows = cut_lineage(rows.select(*test, *columns, y, exposure))  # read in every pass
     full = _negbin(rows, test, columns, y, exposure)
     null = _negbin(rows, test, list(covariates), y, exposure)
     p = len(columns) + 2

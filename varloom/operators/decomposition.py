@@ -30,22 +30,38 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
+def _packed(data: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The entries of each key as an index array and a value array of the same order."""
+    rows = data.groupBy(*keys).agg(F.collect_list(F.struct("_j", "_x")).alias("_e"))
+    return rows.select(
+        *keys,
+        F.transform("_e", lambda e: e["_j"]).alias("_js"),
+        F.transform("_e", lambda e: e["_x"]).alias("_xs"),
+    )
+
+
+def _dense(frame: pd.DataFrame, width: int) -> np.ndarray:
+    """Packed entries as a matrix with one line for each row."""
+    out = np.zeros((len(frame), width))
+    line = np.repeat(np.arange(len(frame)), frame["_js"].map(len).to_numpy())
+    out[line, np.concatenate(frame["_js"].to_numpy())] = np.concatenate(frame["_xs"].to_numpy())
+    return out
+
+
 def _feature_vectors_gram(data: DataFrame, n_features: int, sample: str, k: int):
     """Leading right singular vectors from the Gram matrix of the features.
 
     A sample's entries are packed in one row (at most one entry per feature), every task
     adds up its own Gram matrix, and the matrices are summed row by row.
     """
-    rows = data.groupBy(sample).agg(F.collect_list(F.struct("_j", "_x")).alias("_e"))
+    rows = _packed(data, [sample])
 
     def gram(frames):
         total = np.zeros((n_features, n_features))
         for frame in frames:
-            dense = np.zeros((len(frame), n_features))
-            for i, entries in enumerate(frame["_e"]):
-                for e in entries:
-                    dense[i, e["_j"]] = e["_x"]
-            total += dense.T @ dense
+            for at in range(0, len(frame), 1024):
+                dense = _dense(frame.iloc[at : at + 1024], n_features)
+                total += dense.T @ dense
         yield pd.DataFrame({"_j": np.arange(n_features), "_row": list(total)})
 
     def add(frame):
@@ -53,7 +69,7 @@ def _feature_vectors_gram(data: DataFrame, n_features: int, sample: str, k: int)
             {"_j": [frame["_j"].iloc[0]], "_row": [np.sum(np.stack(frame["_row"].to_numpy()), 0)]}
         )
 
-    parts = rows.select("_e").mapInPandas(gram, "_j int, _row array<double>")
+    parts = rows.select("_js", "_xs").mapInPandas(gram, "_j int, _row array<double>")
     summed = parts.groupBy("_j").applyInPandas(add, "_j int, _row array<double>")
     local = summed.orderBy("_j").collect()  # at most GRAM_LIMIT rows
     matrix = np.array([r["_row"] for r in local])
@@ -192,7 +208,7 @@ def gene_set_scores(
     rows = expr.select(gene, cell, F.col(value).cast("double").alias("_x")).join(
         broadcast_if_small(placed), gene
     )
-    packed = rows.groupBy(set_id, cell).agg(F.collect_list(F.struct("_j", "_x")).alias("_e"))
+    packed = _packed(rows, [set_id, cell])
     sized = packed.join(
         broadcast_if_small(listed.select(set_id, F.size("_genes").alias("_m"))), set_id
     )
@@ -201,13 +217,9 @@ def gene_set_scores(
     def gram(frames):
         totals: dict = {}
         for frame in frames:
-            for name, entries, m in zip(frame[set_id], frame["_e"], frame["_m"]):
-                x = np.zeros(m)
-                for e in entries:
-                    x[e["_j"]] = e["_x"]
-                if name not in totals:
-                    totals[name] = np.zeros((m, m))
-                totals[name] += np.outer(x, x)
+            for name, part in frame.groupby(set_id, sort=False):
+                x = _dense(part, int(part["_m"].iloc[0]))
+                totals[name] = totals.get(name, 0.0) + x.T @ x
         yield pd.DataFrame(
             {set_id: list(totals), "_gram": [g.ravel() for g in totals.values()]}
         )
@@ -220,7 +232,7 @@ def gene_set_scores(
         return pd.DataFrame({set_id: frame[set_id].iloc[0], "_j": np.arange(m), "_w": w})
 
     # one partial matrix of each set per task
-    grams = sized.select(set_id, "_e", "_m").mapInPandas(gram, f"`{set_id}` {set_type}, _gram array<double>")
+    grams = sized.select(set_id, "_js", "_xs", "_m").mapInPandas(gram, f"`{set_id}` {set_type}, _gram array<double>")
     weights = cut_lineage(
         grams.groupBy(set_id).applyInPandas(lead, f"`{set_id}` {set_type}, _j int, _w double")
     )

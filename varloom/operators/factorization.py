@@ -16,7 +16,7 @@ Input: ``obs(test, sample, g, y)`` and ``samples(sample, [groups], [c array])``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -62,6 +62,7 @@ class Options:
     a: float = 1.0
     b: float = 1.0
     dirichlet: float = 1.1
+    n_levels: int = 0  # levels of all groupings, filled in by the fit
 
     @property
     def n_c(self) -> int:
@@ -144,7 +145,8 @@ def _test_sums(obs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
     columns = ["sample", "u", "u2", *(["c", "c2"] if o.n_c else []), *[f"_g{r}" for r in range(len(o.groups))]]
     if o.svi_fraction:
         columns.append("_scale")
-    joined = obs.join(broadcast_if_small(samples.select(*columns)), "sample")
+    small = broadcast_if_small(samples.select(*columns), width=2 * (o.k + o.n_c) + 4)
+    joined = obs.join(small, "sample")
     w = F.col("w") if o.zero_inflated else F.lit(1.0)
     terms, y = _design(o), F.col("y")
     gram = []
@@ -423,9 +425,9 @@ def _all_joined(obs, samples, tests, o: Options, tau) -> DataFrame:
     keep = ["sample", *(["c", "c2"] if o.n_c else []), "u", "u2", *[f"_g{r}" for r in range(len(o.groups))]]
     precision = F.lit(tau) if tau is not None else F.col("tau_a") / F.col("tau_b")
     params = tests.select("test", "m", "m2", "alpha", precision.alias("_tau"), "tau_a", "tau_b", "var", "avar", "ls_a", "ls_b")
-    return obs.join(broadcast_if_small(samples.select(*keep)), "sample").join(
-        broadcast_if_small(params), "test"
-    )
+    by_sample = broadcast_if_small(samples.select(*keep), width=2 * (o.k + o.n_c) + 4)
+    by_test = broadcast_if_small(params, width=3 * o.width + 2 * o.n_levels + 8)
+    return obs.join(by_sample, "sample").join(by_test, "test")
 
 
 def _sample_sums(obs, samples, tests, o: Options, tau) -> DataFrame:
@@ -701,6 +703,7 @@ def eqtl_vi(
     extra = [o.init_category] if o.init_category else []
     needed = ["sample", *o.groups, *extra, *(["c"] if o.n_covariates else [])]
     state, sizes = _start_samples(samples.select(*dict.fromkeys(needed)), o)
+    o = replace(o, n_levels=sum(sizes))
     columns = ["test", "sample", F.col("g").cast("double").alias("g"), F.col("y").cast("double").alias("y")]
     data = obs.dropna(subset=["g", "y"]).select(*columns)
     if o.zero_inflated:
@@ -788,7 +791,7 @@ def prune_factors(fit: Fit, min_share: float = 0.025) -> Fit:
     """Drop factors of small expected inclusion from the state."""
     o = fit.options
     keep = [int(i) for i in np.where(fit.theta_a / (fit.theta_a + fit.theta_b) > min_share)[0]]
-    new = Options(**{**o.__dict__, "k": len(keep)})
+    new = replace(o, k=len(keep))
 
     def pick(column, start=0):
         return F.array(*[F.col(column)[start + i] for i in keep])

@@ -14,6 +14,9 @@ from varloom.operators.aggregates import feature_stats
 from varloom.plans.scale import cut_lineage, ranked, tie_ranks, with_group_stats
 
 
+_RUN = 4096  # ranks opened from one row
+
+
 def standardize(
     expr: DataFrame,
     *,
@@ -148,8 +151,13 @@ def quantile_normalize(
     """
     ties = tie_ranks(expr, value, by=[sample])
     n_samples = expr.agg(F.count_distinct(sample)).scalar()
-    per_rank = ties.select(
-        value, F.explode(F.sequence("lo", "hi")).alias("_rank")
+    # a long run of ties is cut in pieces that are spread over the tasks before they open
+    step = F.lit(_RUN)
+    pieces = ties.select(value, "hi", F.explode(F.sequence("lo", "hi", step)).alias("_from"))
+    pieces = pieces.repartition(value, "_from")
+    per_rank = pieces.select(
+        value,
+        F.explode(F.sequence("_from", F.least(F.col("_from") + step - 1, F.col("hi")))).alias("_rank"),
     )
     means = (
         per_rank.groupBy("_rank")

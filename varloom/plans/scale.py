@@ -57,15 +57,15 @@ def ranked(
 
     The sort must be total (end it with a unique key). Rows are range-partitioned on
     (by, order), so one hot group is spread over many partitions. The ranged rows are
-    persisted: both the counting and the numbering read the same partition bounds.
+    written out once: the counting and the numbering read the same partition bounds, also
+    after the loss of an executor.
     """
     cols = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
-    spread = (
+    spread = cut_lineage(
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mid", _OFFSET_BITS))
-        .persist()
     )
     # one row per shuffle partition, so this window and this broadcast stay small
     offsets = (
@@ -105,10 +105,8 @@ def tie_ranks(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame
     keys = [*by, value]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
     cols = [F.col(c) for c in keys]
-    spread = (
-        counts.repartitionByRange(*cols)
-        .withColumn("_pid", F.spark_partition_id())
-        .persist()
+    spread = cut_lineage(
+        counts.repartitionByRange(*cols).withColumn("_pid", F.spark_partition_id())
     )
     within = W.partitionBy("_pid").orderBy(*cols)
     running = spread.withColumn("_cum", F.sum("n").over(within))
@@ -143,6 +141,9 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast when the row count is within the bound, else leave it to AQE."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def broadcast_if_small(
+    df: DataFrame, *, width: int = 32, max_bytes: int = 64 << 20
+) -> DataFrame:
+    """Hint a broadcast when rows of ``width`` numbers stay within the byte bound; else the
+    join is a shuffle that AQE may still turn around once it knows the sizes."""
+    return F.broadcast(df) if fits_broadcast(df, max_bytes // (8 * width + 64)) else df
