@@ -397,6 +397,45 @@ def _(t):
     return x.withColumns({"covariate": named, "adj_r2": r("adj_r2", 5)})
 
 
+@query(
+    "covariate_pair_r2",
+    """WITH l AS (SELECT vec_id, label, CAST(unnest(range(64)) AS INTEGER) AS factor,
+        CAST(unnest(embedding) AS DOUBLE) AS y FROM embeddings),
+    g AS (SELECT factor, label, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS yy,
+      var_pop(vec_id) * count(*) AS xx, covar_pop(vec_id, y) * count(*) AS xy FROM l GROUP BY 1, 2),
+    s AS (SELECT factor, sum(n) AS n, count(*) + 1 AS p,
+      sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b, sum(yy) AS w,
+      sum(xy) * sum(xy) / sum(xx) AS e FROM g GROUP BY 1)
+    SELECT factor, round(1 - (1 - (b + e) / (b + w)) * (n - 1) / (n - p), 5) + 0.0 AS adj_r2 FROM s""",
+)
+def _(t):
+    e = t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    x = A.covariate_pair_r2(
+        e.select("vec_id", "embedding"),
+        e.select("vec_id", "label", F.col("vec_id").alias("position")),
+        "label",
+        "position",
+        numeric=True,
+        sample="vec_id",
+        column="embedding",
+    )
+    return x.withColumn("adj_r2", r("adj_r2", 5))
+
+
+@query("covariate_pair_r2_categories")
+def _(t):
+    e = t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    marks = t.labels.select(F.col("doc_id").alias("vec_id"), "quality")
+    return A.covariate_pair_r2(
+        e.select("vec_id", "embedding"),
+        e.select("vec_id", "label").join(marks, "vec_id"),
+        "label",
+        "quality",
+        sample="vec_id",
+        column="embedding",
+    )
+
+
 # ----------------------------------------------------------- normalisation
 
 _Z = "CASE WHEN stddev_pop({v}) OVER w > 0 THEN ({v} - avg({v}) OVER w) / stddev_pop({v}) OVER w END"

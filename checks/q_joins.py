@@ -212,12 +212,14 @@ def _(t):
     b AS (SELECT * FROM tests WHERE cell_type = 'R')
     SELECT count(*) AS n_tests, {rnd("corr(a.beta, b.beta)")} AS r_beta,
     {rnd("corr(greatest(-log10(a.pvalue + 1e-15), 0), greatest(-log10(b.pvalue + 1e-15), 0))")}
-    AS r_logp FROM a JOIN b USING (gene_id, variant_id)""",
+    AS r_logp, {rnd("corr(CAST(a.ord AS DOUBLE), CAST(b.ord AS DOUBLE))")} AS r_ord
+    FROM a JOIN b USING (gene_id, variant_id)""",
 )
 def _(t):
-    x = S.tests(t)
-    c = J.compare_results(x.where("cell_type = 'A'"), x.where("cell_type = 'R'"))
-    return c.withColumns({"r_beta": r("r_beta"), "r_logp": r("r_logp")})
+    x = S.tests(t).withColumn("ord", F.col("ord").cast("double"))
+    a, b = x.where("cell_type = 'A'"), x.where("cell_type = 'R'")
+    c = J.compare_results(a, b, also=["ord"])
+    return c.withColumns({n: r(n) for n in ("r_beta", "r_logp", "r_ord")})
 
 
 @query(

@@ -23,8 +23,12 @@ def test_wide_matrix_round_trip(spark, tmp_path):
     got = {(r["feature_id"], r["sample_id"]): r["value"] for r in df.collect()}
     assert got == {("g1", "s1"): 1.5, ("g1", "s2"): None, ("g2", "s1"): 0.0, ("g2", "s2"): -2.0}
     out = str(tmp_path / "wide")
-    S.write_wide_matrix(df.dropna(), out, ["s2", "s1"])
+    S.write_wide_matrix(df.dropna(), out, ["s2", "s1"], header=False)
     assert sorted(r["value"] for r in spark.read.text(out).collect()) == ["g1\tNA\t1.5", "g2\t-2.0\t0.0"]
+    again = str(tmp_path / "again")
+    S.write_wide_matrix(df.dropna(), again, ["s2", "s1"])
+    back = S.read_wide_matrix(spark, again)
+    assert {(r["feature_id"], r["sample_id"]): r["value"] for r in back.collect()} == got
 
 
 def test_files_keep_their_own_header(spark, tmp_path):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,6 +278,69 @@ def covariate_r2(
     return both.select("factor", "covariate", adjusted.alias("adj_r2"))
 
 
+def covariate_pair_r2(
+    loadings: DataFrame,
+    covariates: DataFrame,
+    first: str,
+    second: str,
+    *,
+    numeric: bool = False,
+    sample: str = "sample_id",
+    column: str = "u",
+) -> DataFrame:
+    """Adjusted R squared of ``loading ~ first + second`` for each factor. ``first`` is a
+    category, ``second`` a category or a number."""
+    long = loadings.select(sample, F.posexplode(column).alias("factor", "y"))
+    rows = long.join(covariates.select(sample, first, second), sample).dropna()
+    n, p = F.col("_n"), F.col("_p")
+    if numeric:
+        x = F.col(second).cast("double")
+        # the slope within levels adds to the sum of squares between levels
+        levels = rows.groupBy("factor", first).agg(
+            F.count("*").alias("n"),
+            F.avg("y").alias("m"),
+            (F.var_pop("y") * F.count("*")).alias("yy"),
+            (F.var_pop(x) * F.count("*")).alias("xx"),
+            (F.covar_pop(x, F.col("y").cast("double")) * F.count("*")).alias("xy"),
+        )
+        between = F.sum(F.col("n") * F.col("m") ** 2) - F.sum(
+            F.col("n") * F.col("m")
+        ) ** 2 / F.sum("n")
+        slope = F.when(F.sum("xx") > 0, F.sum("xy") ** 2 / F.sum("xx")).otherwise(0.0)
+        stats = levels.groupBy("factor").agg(
+            ((between + slope) / (between + F.sum("yy"))).alias("_r2"),
+            F.sum("n").alias("_n"),
+            (F.count("*") + F.when(F.sum("xx") > 0, 1).otherwise(0)).alias("_p"),
+        )
+    else:
+        # one row for each pair of levels
+        pairs = rows.groupBy("factor", first, second).agg(
+            F.count("*").cast("double").alias("n"),
+            F.avg("y").alias("m"),
+            (F.var_pop("y") * F.count("*")).alias("yy"),
+        )
+
+        def fit(frame: pd.DataFrame) -> pd.DataFrame:
+            w, m = frame["n"].to_numpy(), frame["m"].to_numpy()
+            design = np.column_stack(
+                [pd.get_dummies(frame[c]).to_numpy(dtype=float) for c in (first, second)]
+            )
+            root = np.sqrt(w)[:, None]
+            beta, _, rank, _ = np.linalg.lstsq(design * root, m * root[:, 0], rcond=None)
+            rest = (w * (m - design @ beta) ** 2).sum() + frame["yy"].sum()
+            total = (w * (m - np.average(m, weights=w)) ** 2).sum() + frame["yy"].sum()
+            return pd.DataFrame(
+                {"factor": frame["factor"].iloc[:1], "_r2": [1 - rest / total],
+                 "_n": [int(w.sum())], "_p": [int(rank)]}
+            )
+
+        stats = pairs.groupBy("factor").applyInPandas(
+            fit, "factor int, _r2 double, _n bigint, _p bigint"
+        )
+    adjusted = 1 - (1 - F.col("_r2")) * (n - 1) / F.when(n > p, n - p)
+    return stats.select("factor", adjusted.alias("adj_r2"))
+
+
 def egenes_by_group(
     results: DataFrame,
     samples: DataFrame,

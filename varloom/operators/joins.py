@@ -176,14 +176,22 @@ def compare_results(
     keys: Sequence[str] = ("gene_id", "variant_id"),
     beta: str = "beta",
     pvalue: str = "pvalue",
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Pearson correlation of effects and of -log10 p-values over the shared tests."""
-    left = a.select(*keys, F.col(beta).alias("b1"), neg_log10(pvalue).alias("p1"))
-    right = b.select(*keys, F.col(beta).alias("b2"), neg_log10(pvalue).alias("p2"))
-    return left.join(right, list(keys)).agg(
+    """Pearson correlation of effects, of -log10 p-values and of further columns (pseudo R
+    squared, say) over the shared tests."""
+
+    def side(table: DataFrame, tag: str) -> DataFrame:
+        more = [F.col(c).alias(f"{c}_{tag}") for c in also]
+        return table.select(
+            *keys, F.col(beta).alias(f"b{tag}"), neg_log10(pvalue).alias(f"p{tag}"), *more
+        )
+
+    return side(a, "1").join(side(b, "2"), list(keys)).agg(
         F.count("*").alias("n_tests"),
         F.corr("b1", "b2").alias("r_beta"),
         F.corr("p1", "p2").alias("r_logp"),
+        *[F.corr(f"{c}_1", f"{c}_2").alias(f"r_{c}") for c in also],
     )
 
 

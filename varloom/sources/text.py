@@ -93,11 +93,13 @@ def write_wide_matrix(
     value_column: str = "value",
     sep: str = "\t",
     missing: str = "NA",
+    header: bool = True,
 ) -> None:
     """One line of tab-separated values for each feature, samples in the given order.
 
     The values of a feature are one array of at most ``len(samples)`` entries; a sample
-    without a row is written as missing.
+    without a row is written as missing. Every part file has the header line, which is what
+    ``read_wide_matrix`` expects of a folder.
     """
     order = df.sparkSession.createDataFrame(
         list(enumerate(samples)), ["_pos", sample_column]
@@ -112,9 +114,10 @@ def write_wide_matrix(
         F.sequence(F.lit(0).cast("bigint"), F.lit(len(samples) - 1).cast("bigint")),
         lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(missing)),
     )
-    rows.select(
-        F.concat_ws(sep, F.col(id_column).cast("string"), cells).alias("value")
-    ).write.mode("overwrite").option("header", False).text(path)
+    line = F.concat_ws(sep, F.col(id_column).cast("string"), cells)
+    # a one-column table named by the header line; the separator never occurs in it
+    named = rows.select(line.alias(sep.join([id_column, *samples])))
+    named.write.mode("overwrite").csv(path, sep="\u0001", quote="", header=header)
 
 
 def read_gene_annotation(spark: SparkSession, path, *, autosomes_only: bool = True) -> DataFrame:
