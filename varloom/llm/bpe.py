@@ -31,7 +31,7 @@ WORDS = regex.compile(
 )
 _TWO_SPACES = regex.compile(r"\s ")
 _MARKS = frozenset(".,;:!?")
-CACHED = 400_000
+CACHED = 300_000
 _FIRST = 1 << 62
 
 

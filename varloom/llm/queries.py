@@ -9,13 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, minhash
+from varloom.llm import bpe, minhash, pii
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = os.environ.get("VARLOOM_BPE", public_tokenizers.path("byte_bpe_50k.json"))
+# the key of the surrogates; set your own, kept secret, where texts leave the house
+PII_KEY = os.environ.get("VARLOOM_PII_KEY", "varloom")
 
 
 def query(name: str, sql: str | None = None):
@@ -47,3 +49,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its private data replaced."""
+    return pii.replace_private(table(spark, sf_dir, "documents"), secret=PII_KEY)
