@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, minhash, pii
+from varloom.llm import bpe, langid, minhash, mixing, pii
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,102 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its private data replaced."""
     return pii.replace_private(table(spark, sf_dir, "documents"), secret=PII_KEY)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and every page, each table with its own evidence.
+
+    Rows of ``documents`` have a doc_id, those of ``pages`` a page_id.
+    """
+    docs, pages = (table(spark, sf_dir, t) for t in ("documents", "pages"))
+    model = langid.train(docs, label="lang")
+    of_docs = langid.identify(docs, model, key="doc_id", declared="lang", address="source")
+    pages = pages.select(
+        "page_id",
+        "url",
+        langid.page_text(F.col("html")).alias("text"),
+        langid.declared_language(F.col("html")).alias("declared"),
+    )
+    of_pages = langid.identify(pages, model, key="page_id", declared="declared", address="url")
+    none = F.lit(None).cast("long")
+    return of_docs.withColumn("page_id", none).unionByName(of_pages.withColumn("doc_id", none))
+
+
+DOMAIN_WEIGHTS = {"web": 2.0, "forum": 1.0, "book": 5.0}
+LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 1.0}
+MIX_PATH = ("domain", "lang", "source")
+
+
+def source_domain() -> F.Column:
+    """The kind of a source of ``documents``, by its number."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    n = F.when(number != "", number.cast("int"))
+    return F.when(n == 0, "web").when(n < 10, "forum").when(n >= 10, "book")
+
+
+def mixed(docs: DataFrame, budget_share: float) -> DataFrame:
+    """How often each document is taken under the weights above."""
+    rows = docs.select(
+        "doc_id", source_domain().alias("domain"), "lang", "source",
+        mixing.word_count(F.col("text")).alias("n_tokens"),
+    )
+    return mixing.mix(
+        rows,
+        key="doc_id",
+        tokens="n_tokens",
+        path=MIX_PATH,
+        weights=(DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}),
+        budget_share=budget_share,
+        seed=17,
+    )
+
+
+def _mix_sql(share: float) -> str:
+    """The mix of documents: budgets by level, then the prefix of each leaf."""
+
+    def level(d: int, weight: str, parent: str) -> str:
+        cols = ", ".join(MIX_PATH[:d])
+        above = ", ".join(MIX_PATH[: d - 1])
+        join = f"FROM cap{d} JOIN grant{d - 1} USING ({above})" if d > 1 else f"FROM cap{d}"
+        part = f"PARTITION BY {above}" if d > 1 else ""
+        order = f"{part} ORDER BY CASE WHEN w > 0 THEN cap / w END NULLS LAST, {MIX_PATH[d - 1]}"
+        before = f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return f"""
+        node{d} AS (SELECT {cols}, cap, {weight} AS w, {parent} AS parent {join}),
+        open{d} AS (SELECT *, parent - coalesce(sum(cap) OVER {before}, 0) AS rem,
+            sum(w) OVER ({part}) - coalesce(sum(w) OVER {before}, 0.0) AS rest FROM node{d}),
+        mark{d} AS (SELECT *, cap * rest <= w * rem AS isfull FROM open{d}),
+        first{d} AS (SELECT *, first_value(CASE WHEN NOT isfull THEN rem END IGNORE NULLS) OVER x AS r1,
+            first_value(CASE WHEN NOT isfull THEN rest END IGNORE NULLS) OVER x AS w1 FROM mark{d}
+            WINDOW x AS ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        grant{d} AS (SELECT {cols}, CASE WHEN isfull THEN cap::DOUBLE ELSE w * r1 / w1 END AS granted FROM first{d})"""
+
+    def case(column: str, weights: dict) -> str:
+        whens = " ".join(f"WHEN {column} = '{k}' THEN {v}::DOUBLE" for k, v in weights.items())
+        return f"(CASE {whens} ELSE 1.0::DOUBLE END)"
+
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+            CASE WHEN n = 0 THEN 'web' WHEN n < 10 THEN 'forum' WHEN n >= 10 THEN 'book' ELSE '(none)' END AS domain,
+            n_tokens FROM (SELECT doc_id, lang, source, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS n,
+            coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents)),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS available FROM d GROUP BY ALL),
+        total AS (SELECT floor(sum(available) * {share}::DOUBLE) AS budget FROM leaf),
+        cap3 AS (SELECT domain, lang, source, (available * 4)::BIGINT AS cap FROM leaf),
+        cap2 AS (SELECT domain, lang, sum(cap)::BIGINT AS cap FROM cap3 GROUP BY ALL),
+        cap1 AS (SELECT domain, sum(cap)::BIGINT AS cap FROM cap2 GROUP BY ALL),
+        {level(1, case("domain", DOMAIN_WEIGHTS), "(SELECT budget FROM total)")},
+        {level(2, case("lang", LANGUAGE_WEIGHTS), "granted")},
+        {level(3, "1.0::DOUBLE", "granted")},
+        g AS (SELECT domain, lang, source, floor(granted)::BIGINT // greatest(available, 1) AS epochs,
+            floor(granted)::BIGINT % greatest(available, 1) AS rest FROM leaf JOIN grant3 USING (domain, lang, source)),
+        o AS (SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+            ORDER BY md5('17|' || epochs || '|' || coalesce(doc_id::VARCHAR, ''))) AS until FROM d JOIN g USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE WHEN until <= rest THEN 1 ELSE 0 END AS copies FROM o"""
+
+
+@query("op4_mixing", _mix_sql(0.5))
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for half of all words."""
+    return mixed(table(spark, sf_dir, "documents"), 0.5)
