@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, langid, minhash, mixing, pii
+from varloom.llm import bpe, forest, langid, minhash, mixing, pii, topk
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,30 @@ def _mix_sql(share: float) -> str:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken for half of all words."""
     return mixed(table(spark, sf_dir, "documents"), 0.5)
+
+
+_TOP_K_SQL = """
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+        FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id,
+            list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER
+        (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("op8_exact_topk", _TOP_K_SQL)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products for every hundredth vector."""
+    return topk.exact_top_k(
+        table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", asked=F.col("id") % 100 == 0
+    )
+
+
+@query("op9_forest")
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return forest.nearest(
+        table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", asked=F.col("id") % 100 == 0
+    )
