@@ -9,6 +9,7 @@ then on the full shingle sets of the texts. No bucket is cut off or sampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,21 @@ from varloom.llm.components import components
 from varloom.plans.scale import cut_lineage
 
 BANDS, ROWS = 40, 4
-# A signature of 160 one-byte minima estimates 0.75 with a deviation of 0.034; pairs below
-# are more than five deviations from the threshold.
-SIGNATURE_LEAST = 0.57
+# An estimate of s from n minima has the deviation sqrt(s * (1 - s) / n). Pairs that lie more
+# than DEVIATIONS below the threshold are given up; the rest are counted on their full sets.
+DEVIATIONS, LONG = 5.2, 1024
+# Rows of a bucket compared at once, and rows of small buckets that share a task.
+BLOCK, SHARD = 512, 4096
+
+
+def _least(threshold: tuple[int, int], n: int) -> float:
+    s = threshold[0] / threshold[1]
+    return s - DEVIATIONS * math.sqrt(s * (1 - s) / n)
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The estimated likeness of signatures of one byte per minimum."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (255 / 256)
 
 
 def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +136,7 @@ def _alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
                 )
                 for i in (2, 3)
             )
-            same = (x == y).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array((same - 1 / 256) / (255 / 256) >= least))
+            yield batch.select([0, 1]).filter(pa.array(_agree(x, y) >= least))
 
     sign = prints.select("key", "signature")
     both = pairs.join(sign.withColumnsRenamed({"key": "a", "signature": "sa"}), "a")
@@ -133,6 +145,86 @@ def _alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _long_signatures(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, long): LONG more minima of each text, one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2 << 20):
+            value, bounds = shingles.sets(batch.column(1), width)
+            low = minima(value, bounds[:-1], LONG, seed)
+            byte = (shingles.mix(low) >> np.uint64(56)).astype(np.uint8)
+            marks = pa.array([x.tobytes() for x in byte], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), marks], ["key", "long"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(run, f"key {kind}, long binary")
+
+
+def _within_buckets(rows: DataFrame, threshold: tuple[int, int], short: int) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components whose signatures may reach the
+    threshold; each pair comes from the first bucket that it shares.
+
+    A bucket is cut into blocks, and every two blocks of it are compared in one place, so that
+    neither a task nor a table ever holds all pairs of a large bucket.
+    """
+    up, down = threshold
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    shards = max(1, math.ceil(rows.count() / SHARD))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shards)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        names = ("bucket", "lo", "hi", "own", "n_shingles")
+        bucket, lo, hi, own, size = (table.column(c).to_numpy() for c in names)
+        part = table.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+        n = table.num_rows
+        mark, long = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(n, -1)
+            for c in ("signature", "long")
+        )
+        band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        order = np.lexsort((hi, lo, bucket))
+        change = np.zeros(n, bool)
+        change[0] = True
+        for x in (bucket, lo, hi):
+            change[1:] |= x[order][1:] != x[order][:-1]
+        starts = np.append(np.flatnonzero(change), n)
+        found_a, found_b = [], []
+        for s, e in zip(starts[:-1], starts[1:]):
+            rows = order[s:e]
+            one = rows[0]
+            left = rows[own[rows] == lo[one]]
+            right = left if lo[one] == hi[one] else rows[own[rows] == hi[one]]
+            for at in range(0, len(left), 64):
+                x = left[at : at + 64]
+                fit = part[x][:, None] != part[right][None, :]
+                if left is right:
+                    fit &= x[:, None] < right[None, :]
+                small = np.minimum(size[x][:, None], size[right][None, :])
+                large = np.maximum(size[x][:, None], size[right][None, :])
+                fit &= small * down >= large * up
+                i, j = np.nonzero(fit)
+                i, j = x[i], right[j]
+                for k in range(0, len(i), 1 << 14):
+                    a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    near = _agree(mark[a], mark[b]) >= _least(threshold, short)
+                    a, b = a[near], b[near]
+                    equal = band[a] == band[b]
+                    first = band[a, equal.argmax(axis=1)] == bucket[one]
+                    a, b = a[first], b[first]
+                    near = _agree(long[a], long[b]) >= _least(threshold, LONG)
+                    found_a.append(a[near])
+                    found_b.append(b[near])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_a, found_b))
+        keys = table.column("key").combine_chunks()
+        return pa.table({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b))})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.drop("m", "other").groupBy("shard").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def _confirmed(
     pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]
 ) -> DataFrame:
@@ -208,33 +300,31 @@ def near_duplicates(
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
+    def needed(keys: DataFrame) -> DataFrame:
+        return texts.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs, those that the full sets confirm."""
-        alike = cut_lineage(_alike(pairs, own, SIGNATURE_LEAST))
-        ends = alike.select(F.col("a").alias("key")).union(alike.select(F.col("b").alias("key")))
-        needed = texts.join(ends.distinct(), "key", "left_semi").dropDuplicates(["key"])
-        return _confirmed(alike, needed, width, threshold)
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+        return cut_lineage(_confirmed(pairs, needed(ends), width, threshold))
 
     stars = shared.where(F.col("key") != F.col("pivot")).where(of_size("n_shingles", "size"))
-    links = cut_lineage(linked(stars.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()))
+    stars = stars.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    least = _least(threshold, bands * rows)
+    links = linked(cut_lineage(_alike(stars, own, least)))
     found = components(links)
     # what is left: pairs of a bucket, pivot aside, that lie in different components
     rest = (
         shared.where(F.col("key") != F.col("pivot"))
         .join(found.withColumnRenamed("id", "key"), "key", "left")
-        .select("bucket", "key", "n_shingles", F.coalesce("component", "key").alias("c"))
+        .select("bucket", "key", F.coalesce("component", "key").alias("c"))
     )
     mixed = rest.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
     rest = cut_lineage(rest.join(mixed.select("bucket"), "bucket", "left_semi"))
-    other = rest.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("key", "n_shingles", "c")])
-    pairs = (
-        rest.join(other, "bucket")
-        .where("key < key_2 AND c <> c_2")
-        .where(of_size("n_shingles", "n_shingles_2"))
-        .select(F.col("key").alias("a"), F.col("key_2").alias("b"))
-        .distinct()
-    )
-    more = cut_lineage(linked(pairs))
+    long = _long_signatures(needed(rest.select("key")), width, seed + 2)
+    marked = cut_lineage(own.select("key", "n_shingles", "bands", "signature").join(long, "key"))
+    pairs = cut_lineage(_within_buckets(rest.join(marked, "key"), threshold, bands * rows))
+    more = linked(pairs)
     if not more.isEmpty():
         found = components(links.union(more))
     named_class = classes.join(found.withColumnRenamed("id", "first"), "first", "left").select(

@@ -72,7 +72,7 @@ def sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         value += padded[head + k] * _STEP[k]
     for i in short:
         own = word[bounds[i] : bounds[i + 1]]
-        value[ends[i]] = np.add.reduce(own * _STEP[: len(own)]) + _STEP[32 + len(own)]
+        value[ends[i]] = np.sum([*(own * _STEP[: len(own)]), _STEP[32 + len(own)]], dtype=np.uint64)
     value = mix(value)
     for a, b in zip(ends[:-1], ends[1:]):
         value[a:b].sort()
