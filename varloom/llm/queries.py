@@ -89,15 +89,15 @@ def source_domain() -> F.Column:
     return F.when(n == 0, "web").when(n < 10, "forum").when(n >= 10, "book")
 
 
-def mixed(docs: DataFrame, budget_share: float) -> DataFrame:
-    """How often each document is taken under the weights above."""
+def mixed_rows(docs: DataFrame, key: str, budget_share: float) -> DataFrame:
+    """How often each document is taken under the weights above, by a key of its row."""
     rows = docs.select(
-        "doc_id", source_domain().alias("domain"), "lang", "source",
+        key, source_domain().alias("domain"), "lang", "source",
         mixing.word_count(F.col("text")).alias("n_tokens"),
     )
     return mixing.mix(
         rows,
-        key="doc_id",
+        key=key,
         tokens="n_tokens",
         path=MIX_PATH,
         weights=(DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}),
@@ -153,7 +153,7 @@ def _mix_sql(share: float) -> str:
 @query("op4_mixing", _mix_sql(0.5))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken for half of all words."""
-    return mixed(table(spark, sf_dir, "documents"), 0.5)
+    return mixed_rows(table(spark, sf_dir, "documents"), "doc_id", 0.5)
 
 
 _TOP_K_SQL = """
