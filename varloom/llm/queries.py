@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, forest, langid, minhash, mixing, pii, topk
+from varloom.llm import bpe, chat, forest, langid, licenses, minhash, mixing, pii, topk
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,28 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(
         table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", asked=F.col("id") % 100 == 0
     )
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that matches a licence."""
+    return licenses.scan(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+_CHAT_SQL = """
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id
+            ORDER BY turn NULLS FIRST, role, text) AS place, role, text
+        FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+    p AS (SELECT *, string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER
+            (PARTITION BY c ORDER BY place) AS prefix, count(*) OVER (PARTITION BY c) AS n FROM t),
+    w AS (SELECT n, prefix, min(c) FILTER (c IS NOT NULL) AS lowest, bool_or(c IS NULL) AS anon FROM p WHERE place = n GROUP BY ALL),
+    k AS (SELECT CASE WHEN anon THEN NULL ELSE lowest END AS c, n FROM w
+        WHERE prefix NOT IN (SELECT prefix FROM p WHERE place < n))
+    SELECT t.c AS conv_id, k.n::BIGINT AS n_turns, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+    FROM t JOIN k ON t.c IS NOT DISTINCT FROM k.c GROUP BY t.c, k.n"""
+
+
+@query("op10_chat", _CHAT_SQL)
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))

@@ -32,18 +32,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts in order, and the n + 1 bounds of each text."""
     raw, off = text_buffers(column)
-    if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    low = LOWER[raw]
-    inside = ~SPACE[low]
+    hashes, starts = runs(LOWER[raw], off, SPACE)
+    return hashes, np.searchsorted(starts, off)
+
+
+def runs(low: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and first bytes of all runs of bytes that are not ``space``, within texts."""
+    if len(low) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = ~space[low]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    first = off[:-1][off[:-1] < len(raw)]
+    first = off[:-1][off[:-1] < len(low)]
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
-    bounds = np.searchsorted(starts, off)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), starts
     at = np.flatnonzero(inside)
     number = np.cumsum(begins)[at] - 1
     place = at - starts[number]
@@ -52,7 +56,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if far.any():  # very long words: the place table repeats with another factor
         value *= far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2) + np.uint64(1)
     heads = np.searchsorted(at, starts)
-    return mix(np.add.reduceat(value, heads)), bounds
+    return mix(np.add.reduceat(value, heads)), starts
 
 
 def sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
