@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from varloom.llm import shingles
 from varloom.llm.common import small_batches
 from varloom.llm.components import components
-from varloom.plans.scale import cut_lineage
+from varloom.plans.scale import broadcast_if_small, cut_lineage
 
 BANDS, ROWS = 40, 4
 # An estimate of s from n minima has the deviation sqrt(s * (1 - s) / n). Pairs that lie more
@@ -301,7 +301,9 @@ def near_duplicates(
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def needed(keys: DataFrame) -> DataFrame:
-        return texts.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
+        # a broadcast, if counted to be small, keeps all other texts where they are
+        wanted = broadcast_if_small(cut_lineage(keys.distinct()), width=1)
+        return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs, those that the full sets confirm."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, chat, forest, langid, licenses, minhash, mixing, pii, topk
+from varloom.llm import bpe, chat, forest, hpylm, langid, licenses, minhash, mixing, pii, topk
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,19 @@ _CHAT_SQL = """
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation, rendered."""
     return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_hpylm")
+def op6_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the model of six sevenths of them."""
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    scored = hpylm.score(table(spark, sf_dir, "documents"), key="doc_id", trained=part != 2)
+    return scored.select(
+        "doc_id",
+        (~F.col("trained")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
