@@ -139,3 +139,22 @@ def test_results_neighbours_and_partitions(spark, tmp_path):
     counts, meta = S.concat_classes([c1], [m1, m2])
     assert counts.count() == 1 and meta.count() == 1
     assert isinstance(meta.toPandas(), pd.DataFrame)
+
+
+def test_wide_readers_have_no_column_limit(spark, tmp_path):
+    n = 1_000_003
+    (tmp_path / "m.txt").write_text(
+        "id\t" + "\t".join(f"s{i}" for i in range(n)) + "\nf\t" + "\t".join(["1"] * n) + "\n"
+    )
+    out = S.read_wide_matrix(spark, str(tmp_path / "m.txt"))
+    assert out.count() == n and out.agg({"value": "sum"}).first()[0] == n
+    head = "\t".join(["#CHROM", *"bcdefghi", *[f"p{i}" for i in range(n)]])
+    line = "\t".join(["1", "5", "rs1", *"defghi", *["0.95"] * n])
+    (tmp_path / "h.vcf").write_text(f"##x\n{head}\n{line}\n")
+    assert S.read_het_probabilities(spark, str(tmp_path / "h.vcf")).count() == n
+
+
+def test_a_body_line_equal_to_the_header_stays(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("id\ta\nid\ta\nf\t2\n")
+    out = S.read_wide_matrix(spark, str(tmp_path / "m.txt"), as_double=False)
+    assert sorted((r.feature_id, r.value) for r in out.collect()) == [("f", "2"), ("id", "a")]

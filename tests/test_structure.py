@@ -255,3 +255,68 @@ def test_ase_em(spark):
     rows = phi.collect()
     assert len(rows) == 72 and all(abs(sum(r["phi"]) - 1) < 1e-9 for r in rows)
     assert all(abs(sum(r["weights"]) - 1) < 1e-9 for r in sites.collect())
+
+
+def test_combat_counts_absent_rows_as_zeros(spark):
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.8, size=(10, 24)).astype(float)
+    batch = np.arange(24) % 3
+    batches = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(24), "batch": batch}))
+    i, j = np.indices(x.shape)
+    every = pd.DataFrame({"gene_id": i.ravel(), "cell_id": j.ravel(), "value": x.ravel()})
+    dense = D.combat(spark.createDataFrame(every), batches).toPandas()
+    want = dense.pivot(index="gene_id", columns="cell_id", values="value").to_numpy()
+    i, j = np.nonzero(x)
+    stored = spark.createDataFrame(pd.DataFrame({"gene_id": i, "cell_id": j, "value": x[i, j]}))
+    got = D.combat(stored, batches, zeros=True).toPandas()
+    assert np.allclose(got["value"], want[got["gene_id"], got["cell_id"]])
+    for gene, b, zero in got[["gene_id", "batch", "zero_value"]].itertuples(index=False):
+        absent = (x[gene] == 0) & (batch == b)
+        assert np.allclose(want[gene, absent], zero)
+
+
+def test_normalize_pseudobulk_counts_zeros_within_cell_types(spark):
+    from varloom.operators.normalize import normalize_pseudobulk
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for kind, n in (("A", 4), ("B", 7)):
+        x = rng.poisson(1.2, size=(n, 6))
+        x[:, 0] += 1
+        for s, g in zip(*np.nonzero(x)):
+            rows.append((kind, f"{kind}{s}", f"g{g}", float(x[s, g])))
+    df = spark.createDataFrame(rows, "cell_type string, sample_id string, gene_id string, count double")
+    got = normalize_pseudobulk(df, within=["cell_type"], zeros=True).toPandas()
+    table = df.toPandas()
+    for kind, own in table.groupby("cell_type"):
+        dense = own.pivot(index="sample_id", columns="gene_id", values="count").fillna(0)
+        logged = np.log1p(1e4 * dense.div(dense.sum(axis=1), axis=0))
+        z = (logged - logged.mean()) / logged.std(ddof=0)
+        for r in got[got["cell_type"] == kind].itertuples():
+            assert np.isclose(r.value, z.loc[r.sample_id, r.gene_id])
+            zero = -logged[r.gene_id].mean() / logged[r.gene_id].std(ddof=0)
+            assert np.isclose(r.zero_value, zero)
+
+
+def test_quantile_normalization_refuses_incomplete_samples(spark):
+    from varloom.operators.normalize import quantile_normalize
+
+    df = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 2.0), ("a", "t", 1.0)], "gene_id string, sample_id string, value double")
+    with pytest.raises(ValueError, match="write zeros out"):
+        quantile_normalize(df)
+
+
+def test_cis_rows_keep_donors_without_a_count(spark):
+    from varloom.plans.cis_eqtl import cis_rows
+
+    cells = spark.createDataFrame([(i, i) for i in range(6)], "cell_id int, individual_id int")
+    counts = spark.createDataFrame(
+        [(i, "g", 1.0 + i) for i in range(4)] + [(i, "h", 2.0) for i in range(6)],
+        "cell_id int, gene_id string, count double",
+    )
+    genes = spark.createDataFrame([("g", 1, 100)], "gene_id string, chrom int, gene_tss long")
+    genotype = spark.createDataFrame([("v", 1, 100, i, float(i % 2)) for i in range(6)], "variant_id string, chrom int, pos long, individual_id int, dosage double")
+    got = {r.individual_id: r.value for r in cis_rows(counts, cells, genes, genotype, distance=10).collect()}
+    v = np.log1p([1e4 * (1.0 + i) / (3.0 + i) if i < 4 else 0.0 for i in range(6)])
+    z = (v - v.mean()) / v.std()
+    assert sorted(got) == list(range(6)) and np.allclose([got[i] for i in range(6)], z)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.plans.scale import (
@@ -413,22 +413,40 @@ def combat(
     gene: str = "gene_id",
     cell: str = "cell_id",
     value: str = "value",
+    zeros: bool = False,
     max_iter: int = 500,
     tol: float = 1e-8,
 ) -> DataFrame:
     """Empirical-Bayes correction of batch means and variances.
 
     Everything the shrinkage needs are counts, means and variances by (gene, batch), so the
-    iteration runs on one row per (gene, batch).
+    iteration runs on one row per (gene, batch). With ``zeros`` an absent row of a cell in
+    ``batches`` is a zero: all cells of a batch count, and ``zero_value`` beside the stored
+    rows is what a zero of that gene and batch becomes. A gene of a batch with one cell, or
+    without spread, stays as it is. A shrinkage that does not settle raises.
     """
     rows = expr.join(batches.select(cell, batch), cell)
-    by_batch = cut_lineage(
-        rows.groupBy(gene, batch).agg(
-            F.count("*").cast("double").alias("n"),
-            F.avg(value).alias("m"),
-            F.var_pop(value).alias("v"),
-        )
+    by_batch = rows.groupBy(gene, batch).agg(
+        F.count("*").cast("double").alias("n"),
+        F.avg(value).alias("m"),
+        F.var_pop(value).alias("v"),
     )
+    if zeros:
+        sizes = batches.groupBy(batch).agg(F.count("*").cast("double").alias("_all"))
+        # every gene in every batch: as many rows as the shrinkage has
+        listed = sizes.agg(F.collect_list(F.struct(batch, "_all"))).scalar()
+        every = rows.select(gene).distinct().select(gene, F.inline(listed))
+        stored = by_batch.withColumnsRenamed({"n": "_n", "m": "_m", "v": "_v"})
+        by_batch = every.join(stored, [gene, batch], "left").na.fill(0.0, ["_n", "_m", "_v"])
+        share = F.col("_n") / F.col("_all")
+        by_batch = by_batch.select(
+            gene,
+            batch,
+            F.col("_all").alias("n"),
+            (F.col("_m") * share).alias("m"),
+            (F.col("_v") * share + F.col("_m") ** 2 * share * (1 - share)).alias("v"),
+        )
+    by_batch = cut_lineage(by_batch)
     n, m, v = F.col("n"), F.col("m"), F.col("v")
     pooled = by_batch.groupBy(gene).agg(
         (F.sum(n * m) / F.sum(n)).alias("grand"), F.sqrt(F.sum(n * v) / F.sum(n)).alias("sd")
@@ -468,6 +486,8 @@ def combat(
                 g, d = new_g, new_d
                 if moved < tol:
                     break
+            else:
+                raise RuntimeError(f"the shrinkage has not settled after {max_iter} steps")
             out = frame[[gene, batch, "grand", "sd"]].copy()
             out["g_star"], out["d_star"] = g, d
             yield out
@@ -479,11 +499,13 @@ def combat(
         "g_star double, d_star double",
     )
     fixed = rows.join(stars, [gene, batch], "left")
-    z = (F.col(value) - F.col("grand")) / F.col("sd") - F.col("g_star")
-    corrected = z / F.sqrt("d_star") * F.col("sd") + F.col("grand")
-    return fixed.select(
-        gene, cell, batch, F.coalesce(corrected, F.col(value)).alias(value)
-    )
+
+    def corrected(x: Column) -> Column:
+        z = (x - F.col("grand")) / F.col("sd") - F.col("g_star")
+        return F.coalesce(z / F.sqrt("d_star") * F.col("sd") + F.col("grand"), x)
+
+    of_zero = [corrected(F.lit(0.0)).alias("zero_value")] if zeros else []
+    return fixed.select(gene, cell, batch, corrected(F.col(value)).alias(value), *of_zero)
 
 
 def factor_pve(

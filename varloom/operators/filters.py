@@ -218,9 +218,11 @@ def sample_cells(
     cells: DataFrame, fraction: float, seed: int = 0, *, cell: str = "cell_id", exact: bool = True
 ) -> DataFrame:
     """A random subset without replacement: exactly ``floor(N * fraction)`` cells in hash
-    order, or one independent draw for each cell."""
+    order, or one draw for each cell: it is kept if the first 52 bits of its hash, as a share
+    of all such numbers, are below the fraction."""
     if not exact:
-        return cells.sample(fraction=fraction, seed=seed)
+        share = F.conv(F.substring(hash_order(seed, cell), 1, 13), 16, 10).cast("double") / 2**52
+        return cells.where(share < fraction)
     keyed = cells.select(cell).distinct().withColumn("_h", hash_order(seed, cell))
     order = ranked(keyed, ["_h", cell], out="_rank")
     total = keyed.agg(F.count("*")).scalar()

@@ -285,20 +285,16 @@ def assemble_covariates(
     )
 
 
-def standardized_genotype(
+def standardized_donor_genotype(
     pairs: DataFrame,
     genotype: DataFrame,
     cells: DataFrame,
     *,
     variant: str = "variant_id",
     individual: str = "individual_id",
-    cell: str = "cell_id",
     dosage: str = "dosage",
 ) -> DataFrame:
-    """Genotype of every cell, standardised over cells: donors weigh by their cell number.
-
-    The moments come from the donor table weighted by cell counts, before expansion.
-    """
+    """Genotype of every donor, standardised over cells: donors weigh by their cell number."""
     sizes = cells.groupBy(individual).agg(F.count("*").cast("double").alias("_w"))
     needed = genotype.join(pairs.select(variant).distinct(), variant, "left_semi").where(
         F.col(dosage).isNotNull()
@@ -311,16 +307,35 @@ def standardized_genotype(
         .groupBy(variant, "_mean")
         .agg(F.sqrt(F.sum(w * (g - F.col("_mean")) ** 2) / F.sum(w)).alias("_sd"))
     )
-    scaled = needed.join(spread, variant).select(
+    return needed.join(spread, variant).select(
         variant,
         individual,
         F.when(F.col("_sd") > 0, (g - F.col("_mean")) / F.col("_sd")).alias(dosage),
     )
+
+
+def standardized_genotype(
+    pairs: DataFrame,
+    genotype: DataFrame,
+    cells: DataFrame,
+    *,
+    variant: str = "variant_id",
+    individual: str = "individual_id",
+    cell: str = "cell_id",
+    dosage: str = "dosage",
+) -> DataFrame:
+    """Genotype of every cell, standardised over cells.
+
+    The moments come from the donor table weighted by cell counts, before expansion.
+    """
+    scaled = standardized_donor_genotype(
+        pairs, genotype, cells, variant=variant, individual=individual, dosage=dosage
+    )
     return cells.select(cell, individual).join(scaled, individual)
 
 
 def index_labels(df: DataFrame, column: str, *, out: str = "label_index") -> DataFrame:
-    """Zero-based integer of each label in sorted order."""
+    """Zero-based integer of each label in sorted order; a NULL label has a NULL index."""
     labels = df.select(column).where(F.col(column).isNotNull()).distinct()
     table = ranked(labels, [column], out=out).withColumn(out, (F.col(out) - 1).cast("int"))
-    return df.join(table, column)
+    return df.join(table, column, "left").select(*df.columns, out)

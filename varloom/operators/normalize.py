@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,13 @@ def top_genes(
     return gene_level_fdr(leads, pvalue=pvalue, count=count, tie=tie).where(F.col("k") <= n)
 
 
+def _same_sizes(expr: DataFrame, group: str) -> None:
+    """Raise unless every group has the same number of rows."""
+    sizes = expr.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{group} has between {sizes[0]} and {sizes[1]} rows; write zeros out first")
+
+
 def quantile_normalize(
     expr: DataFrame,
     *,
@@ -146,10 +153,14 @@ def quantile_normalize(
 ) -> DataFrame:
     """Every sample gets the mean distribution over samples; ties get the median of theirs.
 
+    All samples must have the same number of values: a sample with absent zeros would have its
+    ranks shifted, so it raises. Write zeros out first.
+
     The rank means rise with the rank, so the median over a run of ties is read off at the
     middle of the run: no tie group is ever gathered.
     """
     ties = tie_ranks(expr, value, by=[sample])
+    _same_sizes(expr, sample)
     n_samples = expr.agg(F.count_distinct(sample)).scalar()
     # a long run of ties is cut in pieces that are spread over the tasks before they open
     step = F.lit(_RUN)
@@ -230,17 +241,17 @@ def log2_tpm(expr: DataFrame, *, value: str = "value") -> DataFrame:
 
 def standardize_sparse(
     expr: DataFrame,
-    n_samples: int,
+    n_samples: int | Column,
     *,
     by: Sequence[str] = ("gene_id",),
     value: str = "value",
 ) -> DataFrame:
     """Standardise a table whose absent rows are zeros.
 
-    Returns the stored rows standardised, with the standardised zero of the group beside
+    ``n_samples`` is the number of samples that every group has, or a column with it. Returns the stored rows standardised, with the standardised zero of the group beside
     them (``zero_value``), so the dense matrix never has to be written out.
     """
-    n = F.lit(n_samples)
+    n = F.max(n_samples) if isinstance(n_samples, Column) else F.lit(n_samples)
     mean = F.sum(value) / n
     within = F.var_pop(value) * F.count(value)
     between = F.count(value) * (F.avg(value) - mean) ** 2 + (n - F.count(value)) * mean**2
@@ -262,18 +273,24 @@ def normalize_pseudobulk(
     gene: str = "gene_id",
     value: str = "count",
     within: Sequence[str] = (),
-    n_samples: int | None = None,
+    zeros: bool = False,
 ) -> DataFrame:
     """Log-normalise each pseudobulk sample, then standardise each gene over samples.
 
-    ``within`` adds a cell type to the standardisation key. With ``n_samples`` absent rows
-    count as zeros.
+    ``within`` adds a cell type to the standardisation key. With ``zeros`` absent rows count
+    as zeros among the samples of their cell type, and ``zero_value`` comes beside the rows.
     """
-    logged = log_normalize(counts, by=sample, value=value)
+    logged = log_normalize(counts, by=[*sample, *(c for c in within if c not in sample)], value=value)
     key = [gene, *within]
-    if n_samples is None:
+    if not zeros:
         return standardize(logged, by=key)
-    return standardize_sparse(logged, n_samples, by=key)
+    everyone = counts.select(*sample, *(c for c in within if c not in sample)).distinct()
+    sizes = everyone.groupBy(*within).agg(F.count("*").alias("_samples"))
+    if within:
+        sized = logged.join(sizes, list(within))
+    else:
+        sized = logged.withColumn("_samples", sizes.agg(F.max("_samples")).scalar())
+    return standardize_sparse(sized, F.col("_samples"), by=key).drop("_samples")
 
 
 def pearson_residuals(

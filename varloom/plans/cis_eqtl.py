@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from varloom.operators.aggregates import lead_variant, pseudobulk
 from varloom.operators.filters import filter_maf
 from varloom.operators.joins import attach_expression, cis_pairs
-from varloom.operators.normalize import bh_fdr, log_normalize, standardize
+from varloom.operators.normalize import bh_fdr, log_normalize, standardize_sparse
 from varloom.operators.regression import grouped_ols
+from varloom.plans.scale import cut_lineage
 
 
 def cis_rows(
@@ -26,17 +27,29 @@ def cis_rows(
     """One row for each (gene, variant, donor): standardised expression and dosage.
 
     Counts are summed by donor before anything is joined to the pairs, and genotypes stay at
-    the level of donors.
+    the level of donors. A donor without a count of a gene has a zero there, in the moments
+    and in the rows. Genes without any count have no rows.
     """
-    bulk = pseudobulk(counts, cells, ["individual_id"])
-    expression = standardize(log_normalize(bulk, by=["individual_id"]), by=["gene_id"])
+    bulk = cut_lineage(pseudobulk(counts, cells, ["individual_id"]))
+    donors = bulk.select("individual_id").distinct()
+    logged = log_normalize(bulk, by=["individual_id"])
+    expression = standardize_sparse(logged, donors.count(), by=["gene_id"])
+    expression = cut_lineage(expression.select("individual_id", "gene_id", "value", "zero_value"))
+    zeros = expression.groupBy("gene_id").agg(F.first("zero_value").alias("zero_value"))
     common = filter_maf(genotype, min_maf)
     variants = common.select("variant_id", "chrom", "pos").distinct()
     pairs = cis_pairs(genes, variants, distance).select("gene_id", "variant_id")
     called = common.where(F.col("dosage").isNotNull())
-    rows = attach_expression(pairs, expression.select("individual_id", "gene_id", "value"))
-    return rows.join(
-        called.select("variant_id", "individual_id", "dosage"), ["variant_id", "individual_id"]
+    called = called.select("variant_id", "individual_id", "dosage")
+    called = called.join(donors, "individual_id", "left_semi")
+    rows = attach_expression(pairs, zeros).join(called, "variant_id")
+    stored = expression.select("individual_id", "gene_id", "value")
+    return rows.join(stored, ["individual_id", "gene_id"], "left").select(
+        "gene_id",
+        "variant_id",
+        "individual_id",
+        F.coalesce("value", "zero_value").alias("value"),
+        "dosage",
     )
 
 
@@ -59,5 +72,6 @@ def call_cis_eqtls(
     tests = grouped_ols(
         rows, ["gene_id", "variant_id"], y="value", x="dosage", covariates=covariate_columns
     ).where(F.col("pvalue").isNotNull())
-    leads = lead_variant(tests, order="variant_id")
+    # written once: the correction reads the leads more than once
+    leads = cut_lineage(lead_variant(tests, order="variant_id"))
     return bh_fdr(leads, threshold)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.plans.scale import broadcast_if_small, ranked
+from varloom.plans.scale import broadcast_if_small, cut_lineage, ranked
 
 _MISSING = ("NA", "NaN", "nan", "", "-")
 
@@ -22,7 +22,18 @@ def _name_from_path(path: Column, suffix: str = "") -> Column:
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    """Lines with their file, the start of their block and a number that grows in it."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+
+
+def _after(cells: str, n: int) -> Column:
+    """The entries of an array after the first n, however many they are."""
+    return F.slice(cells, F.lit(n + 1), F.greatest(F.size(cells) - n, F.lit(0)))
 
 
 def read_wide_matrix(
@@ -45,19 +56,15 @@ def read_wide_matrix(
     no limit. ``n_leading`` columns come before the values; ``id_position`` is the one with
     the feature name. Missing marks become NULL.
     """
-    lines = _lines(spark, path).withColumn("_cells", F.split("value", sep))
-    # the header is the line that starts with the first line's id field of its file
-    heads = _headers(spark, path, sep)
-    names = heads.select(
-        "_file", F.posexplode(F.slice("_head", n_leading + 1, 1_000_000)).alias("_pos", sample_column)
-    )
-    body = lines.join(broadcast_if_small(heads.select("_file", "_raw")), "_file").where(
-        F.col("value") != F.col("_raw")
-    )
-    long = body.select(
+    lines = _lines(spark, path)
+    heads = _headers(lines, sep)
+    names = heads.select("_file", F.posexplode(_after("_head", n_leading)).alias("_pos", sample_column))
+    is_head = (F.col("_block") == 0) & (F.col("_line") == F.col("_first"))
+    body = lines.join(broadcast_if_small(heads.select("_file", "_first")), "_file").where(~is_head)
+    long = body.withColumn("_cells", F.split("value", sep)).select(
         "_file",
         F.col("_cells")[id_position].alias(id_column),
-        F.posexplode(F.slice("_cells", n_leading + 1, 1_000_000)).alias("_pos", "_v"),
+        F.posexplode(_after("_cells", n_leading)).alias("_pos", "_v"),
     )
     value = F.when(F.col("_v").isin(*_MISSING), None).otherwise(F.col("_v"))
     out = long.join(broadcast_if_small(names), ["_file", "_pos"]).select(
@@ -69,18 +76,13 @@ def read_wide_matrix(
     return out
 
 
-def _headers(spark: SparkSession, path, sep: str) -> DataFrame:
-    """First line of every file: the reader keeps it when a file is asked for its header."""
-    # a whole-file CSV read would infer one header for all files; the first block of each
-    # file holds its first line, found by the smallest byte offset
-    raw = spark.read.text(path).select(
-        F.col("value").alias("_raw"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
+def _headers(lines: DataFrame, sep: str) -> DataFrame:
+    """First line of every file, split, and its number; only first blocks can hold one. It is
+    written once, since names and body both need it."""
+    first = lines.where("_block = 0").groupBy("_file").agg(
+        F.min_by("value", "_line").alias("_raw"), F.min("_line").alias("_first")
     )
-    first = raw.groupBy("_file").agg(F.min_by("_raw", F.struct("_block", "_line")).alias("_raw"))
-    return first.withColumn("_head", F.split("_raw", sep))
+    return cut_lineage(first.select("_file", "_first", F.split("_raw", sep).alias("_head")))
 
 
 def write_wide_matrix(
@@ -212,8 +214,8 @@ def _with_ordinal(spark: SparkSession, path: str) -> DataFrame:
 def read_012_genotype(spark: SparkSession, geno: str, indv: str, pos: str) -> DataFrame:
     """Matrix of 0/1/2 with one line for each individual, beside files of individuals and
     positions; -1 is missing. The files have no keys, so lines are numbered once here."""
-    rows = _with_ordinal(spark, geno).select(
-        "ordinal", F.posexplode(F.slice(F.split("value", "\\s+"), 2, 100_000_000)).alias("_p", "_v")
+    rows = _with_ordinal(spark, geno).withColumn("_c", F.split("value", "\\s+")).select(
+        "ordinal", F.posexplode(_after("_c", 1)).alias("_p", "_v")
     )
     people = _with_ordinal(spark, indv).select("ordinal", F.trim("value").alias("individual_id"))
     spots = _with_ordinal(spark, pos).select(
@@ -283,12 +285,12 @@ def read_het_probabilities(spark: SparkSession, path, *, min_probability: float
     lines = _lines(spark, path).where(~F.col("value").startswith("##"))
     cells = lines.select("_file", F.split("value", "\t").alias("_c"))
     head = cells.where(F.col("_c")[0].startswith("#")).select(
-        "_file", F.posexplode(F.slice("_c", 10, 1_000_000)).alias("_pos", "individual_id")
+        "_file", F.posexplode(_after("_c", 9)).alias("_pos", "individual_id")
     )
     body = cells.where(F.col("_c")[2].startswith("rs")).select(
         "_file",
         F.col("_c")[2].alias("site_id"),
-        F.posexplode(F.slice("_c", 10, 1_000_000)).alias("_pos", "_p"),
+        F.posexplode(_after("_c", 9)).alias("_pos", "_p"),
     )
     likely = body.where(F.col("_p").cast("double") > min_probability)
     return likely.join(broadcast_if_small(head), ["_file", "_pos"]).select("site_id", "individual_id")
@@ -332,7 +334,7 @@ def read_gene_sets(spark: SparkSession, path) -> DataFrame:
     """Ragged lines of set name, description and genes."""
     cells = spark.read.text(path).select(F.split("value", "\t").alias("_c"))
     return cells.where(F.size("_c") > 2).select(
-        F.col("_c")[0].alias("set_id"), F.slice("_c", 3, 1_000_000).alias("genes")
+        F.col("_c")[0].alias("set_id"), _after("_c", 2).alias("genes")
     )
 
 
@@ -398,10 +400,12 @@ def read_neighbors(spark: SparkSession, path, *, weighted: bool = False, header:
     parts = [F.split("neighbor_ids", ",").alias("id")]
     if weighted:
         parts.append(F.split("neighbor_weights", ",").alias("w"))
-    edges = table.select("cell_id", F.posexplode(F.arrays_zip(*parts)).alias("_pos", "_e"))
+    kept = ["cell_id", *(["kernel_width"] if weighted else [])]
+    edges = table.select(*kept, F.posexplode(F.arrays_zip(*parts)).alias("_pos", "_e"))
     out = edges.select(
         "cell_id", F.col("_e.id").alias("neighbor_id"), (F.col("_pos") + 1).alias("rank"),
         *([F.col("_e.w").cast("double").alias("weight")] if weighted else []),
+        *([F.col("kernel_width").cast("double").alias("width")] if weighted else []),
     )
     return out
 
