@@ -730,3 +730,12 @@ def _(t):
 def _(t):
     x = N.cpm(S.counts(t), sample="cell_id")
     return x.select("cell_id", "gene_id", r("cpm", 4).alias("cpm"))
+
+
+@query(
+    "sample_cells_independent",
+    f"""{with_ctes("cells")} SELECT cell_id FROM cells WHERE
+    CAST(('0x' || substr(md5('3|' || cell_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 < 0.3""",
+)
+def _(t):
+    return Fi.sample_cells(S.cells(t), 0.3, 3, exact=False).select("cell_id")
