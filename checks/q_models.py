@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.q_basic import r, rnd
 from checks.q_joins import stand_pairs
-from checks.registry import query
+from checks.registry import query, t_two_sided
 from checks.standins import with_ctes
 from varloom.operators import aggregates as A
 from varloom.operators import mixed as X
@@ -205,12 +205,15 @@ TEST = ["gene_id", "variant_id"]
     f AS (SELECT *, (syy - sxy * sxy / sxx) AS rss FROM s WHERE sxx > 0 AND n > 2)
     SELECT gene_id, variant_id, n, {rnd("b", 5)} AS beta,
     {rnd("sqrt(rss / (n - 2) / sxx)", 5)} AS standard_error,
+    {rnd(t_two_sided("b / sqrt(rss / (n - 2) / sxx)", "n - 2"), 5)} AS pvalue,
+    {rnd("rss / (n - 2)", 4)} AS residual_scale,
     {rnd("1 - (ln(2 * pi() * rss / n) + 1) / (ln(2 * pi() * syy / n) + 1)", 5)} AS pseudo_r2 FROM f""",
 )
 def _(t):
     f = M.grouped_ols(eqtl_rows(t), TEST).where("standard_error IS NOT NULL")
     return f.select(
         *TEST, "n", r("beta", 5).alias("beta"), r("standard_error", 5).alias("standard_error"),
+        r("pvalue", 5).alias("pvalue"), r("residual_scale", 4).alias("residual_scale"),
         r("pseudo_r2", 5).alias("pseudo_r2"),
     )
 

@@ -38,3 +38,18 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def t_two_sided(t: str, df: str) -> str:
+    """SQL for the two-sided tail of Student's t with whole degrees of freedom, as the finite
+    series of sines and cosines."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos({th}), 2 * k + 1)"
+    even = f"exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos({th}), 2 * k)"
+
+    def series(n: str, term: str) -> str:
+        return f"coalesce(list_sum(list_transform(range({n}), lambda k: {term})), 0)"
+
+    return f"""(1 - CASE WHEN ({df}) % 2 = 1
+      THEN 2 / pi() * ({th} + sin({th}) * {series(f"(({df}) - 1) // 2", odd)})
+      ELSE sin({th}) * {series(f"({df}) // 2", even)} END)"""

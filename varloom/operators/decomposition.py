@@ -126,6 +126,8 @@ def _feature_vectors_power(
         lam = np.maximum(lam, 1e-300)
         mix = vec / np.sqrt(lam)
         q = cut_lineage(z.select(feature, _mixed("_z", mix).alias("_q")))
+    else:
+        raise RuntimeError(f"the components have not settled after {max_iter} steps")
     return np.maximum(values, 0.0), z.select(feature, _mixed("_q", basis).alias("_w"))
 
 
@@ -155,12 +157,14 @@ def pca(
     """Singular value decomposition without centring; absent entries are zeros.
 
     Returns unit-length sample vectors (``pcs``) and the share of the squared singular values
-    of each component. Few features are solved from their Gram matrix, many by power steps.
+    of each component. Few features are solved from their Gram matrix, many by power steps to
+    the same result; power steps that do not settle within ``max_iter`` raise.
     """
     spark = df.sparkSession
     data = df.where(F.col(value).isNotNull()).select(
         feature, sample, F.col(value).cast("double").alias("_x")
     )
+    data = cut_lineage(data)  # read several times below, made once
     names = data.select(feature).distinct()
     n_features = names.count()
     k = min(k, n_features)

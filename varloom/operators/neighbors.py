@@ -45,9 +45,6 @@ def unit_vectors(cells: DataFrame, *, column: str = "pcs") -> DataFrame:
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of two blocks, summed by dimension to keep small ones exact."""
-    if a.shape[1] > 512:
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(square, 0.0))
     square = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):
         gap = a[:, d][:, None] - b[:, d][None, :]

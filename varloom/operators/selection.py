@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from varloom.plans.scale import cut_lineage, hash_order, ranked
 
-# up to this rank Spark cuts a row_number filter on every partition before the shuffle
-_GROUP_LIMIT = 1000
 _BATCH = 256  # candidates of a gene compared at a time
 
 
@@ -170,12 +168,7 @@ def sample_tests(
     """``n`` random tests of each type, then a test is dropped if its gene or its variant
     was already used by an earlier type or by an earlier test."""
     hashed = results.withColumn("_h", hash_order(seed, by, gene, variant))
-    if n <= _GROUP_LIMIT:
-        first = Window.partitionBy(by).orderBy("_h", gene, variant)
-        drawn = hashed.withColumn("_k", F.row_number().over(first))
-    else:
-        drawn = ranked(hashed, ["_h", gene, variant], by=[by], out="_k")
-    drawn = drawn.where(F.col("_k") <= n)
+    drawn = ranked(hashed, ["_h", gene, variant], by=[by], out="_k").where(F.col("_k") <= n)
     place: Column = F.col(by)
     if by_order is not None:
         place = F.array_position(F.array(*[F.lit(v) for v in by_order]), F.col(by))

@@ -39,7 +39,9 @@ def newton_by_key(
 
     ``terms(frame, theta)`` gives value, gradient and Hessian of every row; ``start`` holds
     the keys and ``theta``. Returns keys, ``theta``, ``ll``, the Hessian at the optimum
-    (flat) and ``converged``. A step that does not raise the objective is halved.
+    (flat) and ``converged``. A step that does not raise the objective is halved; a key whose
+    steps have shrunk to nothing, or that is still moving after ``max_iter`` passes, stays
+    where it is and is not marked as converged.
     """
     keys = list(keys)
     p = n_params
@@ -65,7 +67,8 @@ def newton_by_key(
             trial = np.stack(frame["_trial"].to_numpy()).astype(float)
             hold = np.stack(frame["hessian"].to_numpy()).astype(float)
             ll = frame["ll"].to_numpy(dtype=float)
-            done = frame["converged"].to_numpy(dtype=bool)
+            settled = frame["converged"].to_numpy(dtype=bool)
+            done = frame["_stopped"].to_numpy(dtype=bool)
             sums = np.array(
                 [s if s is not None else np.full(width, np.nan) for s in frame["_sum"]], dtype=float
             )
@@ -96,13 +99,14 @@ def newton_by_key(
             )
             out["hessian"] = list(np.where(better[:, None], hess.reshape(-1, p * p), hold))
             out["ll"] = np.where(better, value, ll)
-            out["converged"] = done | now | stuck
+            out["converged"] = settled | now
+            out["_stopped"] = done | now | stuck
             yield out
 
     key_schema = _schema(start, keys)
     state_schema = (
         f"{key_schema}, theta array<double>, _trial array<double>, hessian array<double>, "
-        "ll double, converged boolean"
+        "ll double, converged boolean, _stopped boolean"
     )
     state = cut_lineage(
         start.select(
@@ -112,10 +116,11 @@ def newton_by_key(
             F.array_repeat(F.lit(0.0), p * p).alias("hessian"),
             F.lit(float("-inf")).alias("ll"),
             F.lit(False).alias("converged"),
+            F.lit(False).alias("_stopped"),
         )
     )
     for _ in range(max_iter):
-        open_keys = state.where(~F.col("converged")).select(*keys, "_trial")
+        open_keys = state.where(~F.col("_stopped")).select(*keys, "_trial")
         if open_keys.isEmpty():
             break
         joined = rows.join(broadcast_if_small(open_keys), keys)
@@ -126,4 +131,4 @@ def newton_by_key(
         state = cut_lineage(
             state.join(sums, keys, "left").mapInPandas(step, state_schema)
         )
-    return state.drop("_trial")
+    return state.drop("_trial", "_stopped")
