@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from varloom.llm import bpe, langid, minhash, pii
 from varloom.llm.common import fresh, prepare, table
 from varloom.llm.queries import PII_KEY, TOKENIZER, mixed_rows
-from varloom.plans.scale import cut_lineage
+from varloom.plans.scale import broadcast_if_small, cut_lineage
 
 # the share of all words that the mix has room for
 BUDGET_SHARE = 1.0
@@ -34,15 +34,21 @@ def once(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by their text; ``lang`` becomes that language."""
     prepare(spark)
-    mark, told = fresh(docs, "_mark", "_language")
+    mark, told, hit = fresh(docs, "_mark", "_language", "_changed")
     marked = docs.withColumn(mark, row_mark())
     model = langid.train(docs, label="lang")
     if not model.languages:
         return docs.limit(0)
     found = langid.identify(marked, model, key=mark, declared="lang", address="source")
-    found = found.where("accepted").select(mark, F.col("language").alias(told)).distinct()
-    joined = marked.join(cut_lineage(found), mark)
-    return joined.withColumn("lang", F.col(told)).select(docs.columns)
+    found = cut_lineage(found.select(mark, F.col("language").alias(told), "accepted").distinct())
+    # only what changes is joined: rejected rows, and rows that say another language
+    now = marked.select(mark, F.col("lang").alias("_now")).distinct()
+    other = found.join(now, mark).where(~(F.col("accepted") & F.col(told).eqNullSafe(F.col("_now"))))
+    other = other.select(mark, F.when(F.col("accepted"), F.col(told)).alias(told), F.lit(True).alias(hit))
+    changed = broadcast_if_small(cut_lineage(other.distinct()), width=3)
+    joined = marked.join(changed, mark, "left")
+    kept = joined.where(F.col(hit).isNull() | F.col(told).isNotNull())
+    return kept.withColumn("lang", F.coalesce(told, "lang")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = once(docs)
     found = minhash.near_duplicates(docs, key="doc_id")
     gone = cut_lineage(found.where(~F.col("kept")).select("doc_id").distinct())
+    gone = broadcast_if_small(gone, width=1)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -75,7 +75,7 @@ def train(df: DataFrame, *, label: str, text: str = "text", smoothing: float = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in small_batches(batches, "_text", 4 << 20):
+        for batch in small_batches(batches, "_text", 1 << 20):
             code, off = _trigrams(batch.column(1))
             names = batch.column(0).to_pylist()
             for name in set(names):
@@ -161,7 +161,7 @@ def identify(
     languages = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_text", 4 << 20):
+        for batch in small_batches(batches, "_text", 1 << 20):
             sums, count = sent.value.score(batch.column(1))
             scaled = sums / (1 + count / full_weight)[:, None]
             scaled -= scaled.max(axis=1, keepdims=True)

@@ -84,7 +84,7 @@ def fingerprints(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         _, salt = _family(rows, seed + 1)
-        for batch in small_batches(batches, "_text", 4 << 20):
+        for batch in small_batches(batches, "_text", 2 << 20):
             value, bounds = shingles.sets(batch.column(1), width)
             size = np.diff(bounds)
             some = np.flatnonzero(size)

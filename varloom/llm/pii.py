@@ -82,9 +82,13 @@ def kind_of(match: Column) -> Column:
     return out.otherwise("phone")
 
 
-def _atoms(match: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _atoms(match: Column, kind: Column) -> Column:
     """The entities in a match: one, but for names, whose words are entities of their own."""
-    kind = kind_of(match)
     words = F.split(match, " ")
     title = F.regexp_replace(words[0], r"\.", "")
     gender = F.when(title.isin(*WOMEN), "f").otherwise("m")
@@ -109,117 +113,125 @@ def _atoms(match: Column) -> Column:
     return F.when(kind == "name", names).when(kind.isNotNull(), F.array(atom(kind, canon)))
 
 
-class _Stream:
-    """Numbers from 0 to 255 drawn by key for one entity and attempt."""
-
-    def __init__(self, secret: str, kind: Column, canon: Column, attempt: Column):
-        seed = F.concat_ws("|", F.lit(secret), kind, canon, attempt.cast("string"))
-        self.hex = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])
+def _drawn(hexadecimal: Column, i: Column) -> Column:
+    """The i-th number from 0 to 255 of a stream."""
+    return F.conv(F.substring(hexadecimal, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
-    def at(self, i: Column) -> Column:
-        return F.conv(F.substring(self.hex, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
+def _pick(letters: str, number: Column, width: int = 1) -> Column:
+    place = number % (len(letters) // width) * width + 1
+    return F.substring(F.lit(letters), place.cast("int"), F.lit(width))
 
-def _pick(letters: str, number: Column) -> Column:
-    return F.substring(F.lit(letters), (number % len(letters) + 1).cast("int"), F.lit(1))
 
-
-def _shape(canon: Column, stream: _Stream, *, hexadecimal: Column) -> Column:
+def _shape(shape: Column, stream: Column, hexadecimal: Column) -> Column:
     """Digits for digits, letters for letters of the same case, other characters kept."""
 
     def one(c: Column, i: Column) -> Column:
-        n = stream.at(i)
-        return (
-            F.when(hexadecimal, _pick("0123456789abcdef", n))
+        return _let(
+            _drawn(stream, i),
+            lambda n: F.when(hexadecimal, _pick("0123456789abcdef", n))
             .when(c.rlike("[0-9]"), _pick("0123456789", n))
             .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
             .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", n))
-            .otherwise(c)
+            .otherwise(c),
         )
 
-    return F.array_join(F.transform(F.split(canon, ""), one), "")
+    return F.array_join(F.transform(F.split(shape, ""), one), "")
 
 
 def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of an entity's surrogate."""
-    stream = _Stream(secret, kind, canon, attempt)
+    seed = F.concat_ws("|", F.lit(secret), kind, canon, attempt.cast("string"))
+    stream = _let(
+        seed, lambda s: F.concat(*[F.sha2(F.concat(s, F.lit(f"|{i}")), 256) for i in range(4)])
+    )
+    entity = F.struct(
+        kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"), stream.alias("stream")
+    )
+
+    def prepared(e: Column) -> Column:
+        numbers = F.transform(
+            F.sequence(F.lit(0), F.length(e["canon"]) - 1),
+            lambda i: _pick("0123456789", _drawn(e["stream"], i)),
+        )
+        shape = F.when(e["kind"] == "email", F.substring_index(e["canon"], "@", 1)).otherwise(e["canon"])
+        return F.struct(
+            e["kind"].alias("kind"),
+            e["canon"].alias("canon"),
+            e["attempt"].alias("attempt"),
+            e["stream"].alias("stream"),
+            F.array_join(numbers, "").alias("numbers"),
+            _shape(shape, e["stream"], e["kind"] == "secret").alias("shaped"),
+        )
+
+    return _let(entity, lambda e: _let(prepared(e), lambda p: _formed(secret, p)))
+
+
+def _formed(secret: str, p: Column) -> Column:
+    kind, canon, stream, numbers, shaped = (
+        p[c] for c in ("kind", "canon", "stream", "numbers", "shaped")
+    )
     size = F.length(canon)
-    numbers = F.array_join(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: _pick("0123456789", stream.at(i))), ""
+
+    def at(i: int) -> Column:
+        return _drawn(stream, F.lit(i))
+
+    card = _let(
+        F.concat(F.left(canon, F.lit(1)), F.substring(numbers, F.lit(2), size - 2)),
+        lambda body: F.concat(
+            body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
+        ),
     )
-    body = F.concat(F.left(canon, F.lit(1)), F.substring(numbers, F.lit(2), size - 2))
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    local = F.substring_index(canon, "@", 1)
     home = F.sha2(F.concat_ws("|", F.lit(secret), F.substring_index(canon, "@", -1)), 256)
-    octets = F.concat_ws(
-        ".",
-        (stream.at(F.lit(0)) % 223 + 1).cast("string"),
-        *[stream.at(F.lit(i)).cast("string") for i in (1, 2, 3)],
-    )
+    octets = [(at(0) % 223 + 1).cast("string"), *[at(i).cast("string") for i in (1, 2, 3)]]
     out = (
-        F.when(kind == "card", F.concat(body, check.cast("string")))
+        F.when(kind == "card", card)
         .when(
             kind == "email",
-            F.concat(
-                _shape(local, stream, hexadecimal=F.lit(False)),
-                F.lit("@d"),
-                F.left(home, F.lit(8)),
-                F.lit(".example.net"),
-            ),
+            F.concat(shaped, F.lit("@d"), F.left(home, F.lit(8)), F.lit(".example.net")),
         )
-        .when(kind == "ip", octets)
+        .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(numbers, F.lit(2), F.lit(8))))
         .when(
             kind == "phone",
-            F.concat(_pick("23456789", stream.at(F.lit(100))), F.substring(numbers, F.lit(2), size)),
-        )
-        .when(
-            kind == "iban",
-            F.concat(
-                F.left(canon, F.lit(2)),
-                F.substring(_shape(canon, stream, hexadecimal=F.lit(False)), F.lit(3), size),
-            ),
-        )
-        .when(
-            kind == "apikey",
-            F.concat(
-                F.left(canon, F.lit(4)),
-                F.substring(_shape(canon, stream, hexadecimal=F.lit(False)), F.lit(5), size),
-            ),
+            F.concat(_pick("23456789", at(100)), F.substring(numbers, F.lit(2), size)),
         )
+        .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), F.substring(shaped, F.lit(3), size)))
+        .when(kind == "apikey", F.concat(F.left(canon, F.lit(4)), F.substring(shaped, F.lit(5), size)))
     )
-    for script, syllables in SYLLABLES.items():
-        parts = F.array(*map(F.lit, syllables.split()))
-        spelled = [F.get(parts, stream.at(F.lit(i)) % len(syllables.split())) for i in range(6)]
+    for script, letters in SYLLABLES.items():
+        spelled = [_pick(letters.replace(" ", ""), at(i), 2) for i in range(5)]
         out = out.when(kind == f"family-{script}", F.concat(*spelled[:4]))
-        for gender in "mf":
-            names = GIVEN[gender, script].lower().split()
-            name = F.get(F.array(*map(F.lit, names)), stream.at(F.lit(0)) % len(names))
+        for gender, end in (("m", "n"), ("f", "na")):
+            names = GIVEN[gender, script].lower()
+            name = F.get(F.split(F.lit(names), " "), at(0) % len(names.split()))
             # after the listed names, made ones that end as the gender's do
-            more = F.concat(*spelled[1:5], F.lit({"latin": "na", "cyrillic": "на"}[script] if gender == "f" else {"latin": "n", "cyrillic": "н"}[script]))
+            end = end if script == "latin" else end.translate({ord("n"): "н", ord("a"): "а"})
+            more = F.concat(*spelled[1:], F.lit(end))
             out = out.when(
-                kind == f"given-{gender}-{script}", F.when(attempt < 4, name).otherwise(more)
+                kind == f"given-{gender}-{script}", F.when(p["attempt"] < 4, name).otherwise(more)
             )
-    return out.otherwise(_shape(canon, stream, hexadecimal=kind == "secret"))
+    return out.otherwise(shaped)
 
 
-def _written(match: Column, kind: Column, forms: Column) -> Column:
-    """The canonical surrogates of a match in the shape of its text."""
+def _refilled(shape: Column, pattern: Column, letters: Column) -> Column:
+    """The shape with its characters of a pattern replaced by the letters in turn."""
+    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
+
+    def step(acc: Column, c: Column) -> Column:
+        own = F.rlike(c, pattern)
+        return F.struct(
+            F.concat(
+                acc["text"], F.when(own, F.substring(letters, acc["next"], F.lit(1))).otherwise(c)
+            ).alias("text"),
+            (acc["next"] + F.when(own, 1).otherwise(0)).alias("next"),
+        )
+
+    return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["text"])
 
-    def refill(shape: Column, pattern: str, letters: Column) -> Column:
-        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
-
-        def step(acc: Column, c: Column) -> Column:
-            own = c.rlike(pattern)
-            return F.struct(
-                F.concat(
-                    acc["text"],
-                    F.when(own, F.substring(letters, acc["next"], F.lit(1))).otherwise(c),
-                ).alias("text"),
-                (acc["next"] + F.when(own, 1).otherwise(0)).alias("next"),
-            )
 
-        return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["text"])
+def _written(match: Column, kind: Column, forms: Column) -> Column:
+    """The canonical surrogates of a match in the shape of its text."""
 
     def cased(word: Column, name: Column) -> Column:
         return F.when(word == F.upper(word), F.upper(name)).otherwise(F.initcap(name))
@@ -227,34 +239,28 @@ def _written(match: Column, kind: Column, forms: Column) -> Column:
     first = forms[0]
     number = _digits(match)
     country = F.greatest(F.length(number) - F.length(first), F.lit(0))
+    letters = F.when(kind == "phone", F.concat(F.left(number, country), first)).otherwise(first)
+    pattern = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
     words = F.split(match, " ")
+    named = F.transform(forms, lambda f, i: cased(F.get(words, i + 1), f))
     return (
-        F.when(kind.isin("card", "ssn"), refill(match, "[0-9]", first))
-        .when(
-            kind == "phone", refill(match, "[0-9]", F.concat(F.left(number, country), first))
-        )
-        .when(kind == "iban", refill(match, "[A-Z0-9]", first))
-        .when(
-            kind == "name",
-            F.concat_ws(
-                " ",
-                words[0],
-                F.array_join(F.transform(forms, lambda f, i: cased(F.get(words, i + 1), f)), " "),
-            ),
-        )
+        F.when(kind.isin("card", "ssn", "phone", "iban"), _refilled(match, pattern, letters))
+        .when(kind == "name", F.concat_ws(" ", words[0], F.array_join(named, " ")))
         .otherwise(first)
     )
 
 
 def _matches(text: Column) -> Column:
+    """All matches of a text, each with its kind."""
     hint = F.coalesce(text.rlike(HINT), F.lit(False))
-    return F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    return F.transform(found, lambda m: F.struct(m.alias("match"), kind_of(m).alias("kind")))
 
 
 def entities(df: DataFrame, *, text: str = "text") -> DataFrame:
     """(kind, canon): the distinct entities of all texts."""
-    found = df.select(F.explode(_matches(F.col(text))).alias("match"))
-    atoms = found.select(F.explode(_atoms(F.col("match"))).alias("a"))
+    found = df.select(F.explode(_matches(F.col(text))).alias("m")).where("m.kind IS NOT NULL")
+    atoms = found.select(F.explode(_atoms(F.col("m.match"), F.col("m.kind"))).alias("a"))
     return atoms.select("a.kind", "a.canon").distinct()
 
 
@@ -298,35 +304,37 @@ def replace_private(df: DataFrame, *, secret: str, text: str = "text") -> DataFr
     matches, mark, again = fresh(df, "_matches", "_mark", "_again")
     source = F.col(text)
     out = df.withColumn(matches, _matches(source))
-    if retried.isEmpty():
-        out = out.withColumn(again, F.lit(None).cast("map<string,int>"))
-    else:  # by text, the entities in it that needed another attempt
-        own = out.select(
-            F.xxhash64(source).alias(mark), F.explode(F.flatten(F.transform(matches, _atoms))).alias("a")
-        )
+    none = retried.isEmpty()
+    if not none:  # by text, the entities in it that needed another attempt
+        atoms = F.explode(F.flatten(F.transform(matches, lambda m: _atoms(m["match"], m["kind"]))))
+        own = out.select(F.xxhash64(source).alias(mark), atoms.alias("a"))
         own = own.select(mark, "a.kind", "a.canon").distinct().join(retried, ["kind", "canon"])
         entry = F.struct(F.concat_ws("|", "kind", "canon"), "attempt")
         by_text = own.groupBy(mark).agg(F.map_from_entries(F.collect_list(entry)).alias(again))
         out = out.withColumn(mark, F.xxhash64(source)).join(by_text, mark, "left")
 
     def attempt(a: Column) -> Column:
-        tried = F.get(F.map_values(F.map_filter(again, lambda k, _: k == F.concat_ws("|", a["kind"], a["canon"]))), F.lit(0))
+        if none:
+            return F.lit(0)
+        tried = F.try_element_at(F.col(again), F.concat_ws("|", a["kind"], a["canon"]))
         return F.coalesce(tried, F.lit(0))
 
-    def written(match: Column) -> Column:
+    def written(m: Column) -> Column:
         forms = F.transform(
-            _atoms(match), lambda a: surrogate(secret, a["kind"], a["canon"], attempt(a))
+            _atoms(m["match"], m["kind"]),
+            lambda a: surrogate(secret, a["kind"], a["canon"], attempt(a)),
+        )
+        new = _let(
+            F.struct(m["match"].alias("match"), m["kind"].alias("kind"), forms.alias("forms")),
+            lambda x: _written(x["match"], x["kind"], x["forms"]),
         )
-        return F.coalesce(_written(match, kind_of(match), forms), match)
+        return F.when(m["kind"].isNotNull(), new).otherwise(m["match"])
 
     pieces = F.split(source, ANY, -1)
-    joined = F.array_join(
-        F.flatten(
-            F.zip_with(
-                pieces, F.transform(matches, written), lambda p, m: F.array(p, F.coalesce(m, F.lit("")))
-            )
-        ),
-        "",
+    replaced = F.zip_with(
+        pieces,
+        F.transform(matches, written),
+        lambda p, m: F.array(p, F.coalesce(m, F.lit(""))),
     )
-    changed = F.when(F.size(matches) > 0, joined).otherwise(source)
+    changed = F.when(F.size(matches) > 0, F.array_join(F.flatten(replaced), "")).otherwise(source)
     return out.withColumn(text, changed).select(df.columns)
