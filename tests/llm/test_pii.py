@@ -99,7 +99,7 @@ def test_kinds_coreference_gender_script_and_format(spark):
 
 def test_collisions_are_settled(spark):
     r = random.Random(1)
-    canons = r.sample([str(x) for x in range(10, 100)], 45)
+    canons = r.sample([str(x) for x in range(10, 100)], 20)
     found = spark.createDataFrame([("phone", c) for c in canons], "kind string, canon string")
     rows = pii.settle(found, "k").collect()
     assert {x.canon for x in rows} == set(canons)

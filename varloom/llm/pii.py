@@ -33,6 +33,8 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до фа фе га го ха хе ка ке ла ле ло ма ме мо на не но ра ре ро са се та те то ва",
 }
 
+ATTEMPTS = 100
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 _TITLE = "(?:" + "|".join((*MEN, *WOMEN)) + ")"
@@ -267,12 +269,13 @@ def entities(df: DataFrame, *, text: str = "text") -> DataFrame:
 def settle(found: DataFrame, secret: str) -> DataFrame:
     """(kind, canon, attempt, surrogate) with distinct surrogates that are no originals.
 
-    ``found`` holds distinct entities. Surrogates settled earlier stay as they are.
+    ``found`` holds distinct entities. Surrogates settled earlier stay as they are. Entities
+    too short to have enough surrogates of their shape raise after ``ATTEMPTS`` rounds.
     """
     form = surrogate(secret, F.col("kind"), F.col("canon"), F.col("attempt"))
     originals = found.select("kind", F.col("canon").alias("surrogate"))
     pending, settled = found.withColumn("attempt", F.lit(0)), None
-    while True:
+    for _ in range(ATTEMPTS):
         tried = cut_lineage(pending.withColumn("surrogate", form))
         free = tried.join(originals, ["kind", "surrogate"], "left_anti")
         if settled is not None:
@@ -288,6 +291,7 @@ def settle(found: DataFrame, secret: str) -> DataFrame:
         )
         if pending.isEmpty():
             return settled
+    raise RuntimeError(f"entities still share surrogates after {ATTEMPTS} attempts")
 
 
 def replace_private(df: DataFrame, *, secret: str, text: str = "text") -> DataFrame:
