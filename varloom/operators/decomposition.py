@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from varloom.plans.scale import (
     broadcast_if_small,
     cut_lineage,
+    discard,
     hash_order,
     ranked,
     with_group_stats,
@@ -89,16 +90,18 @@ def _feature_vectors_power(
     ]
     q = cut_lineage(data.select(feature).distinct().select(feature, F.array(*draws).alias("_q")))
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    previous = None
+    previous = scores = z = None
     for _ in range(max_iter):
-        scores = data.join(broadcast_if_small(q), feature).groupBy(sample).agg(
+        found = data.join(broadcast_if_small(q), feature).groupBy(sample).agg(
             F.array(*[F.sum(F.col("_x") * F.col("_q")[i]) for i in range(width)]).alias("_b")
         )
-        scores = cut_lineage(scores)
+        scores = cut_lineage(found, replaces=scores)
+        if z is not None:
+            discard(z)
         z = data.join(broadcast_if_small(scores), sample).groupBy(feature).agg(
             F.array(*[F.sum(F.col("_x") * F.col("_b")[i]) for i in range(width)]).alias("_z")
         )
-        z = cut_lineage(z.join(q, feature))
+        z = cut_lineage(z.join(q, feature), replaces=q)
         flat = z.agg(
             *[F.sum(F.col("_z")[i] * F.col("_z")[j]) for i, j in pairs],
             *[F.sum(F.col("_q")[i] * F.col("_z")[j]) for i, j in pairs],

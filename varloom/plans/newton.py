@@ -129,6 +129,6 @@ def newton_by_key(
             F.array(*[F.sum(F.col("_part")[i]) for i in range(width)]).alias("_sum")
         )
         state = cut_lineage(
-            state.join(sums, keys, "left").mapInPandas(step, state_schema)
+            state.join(sums, keys, "left").mapInPandas(step, state_schema), replaces=state
         )
     return state.drop("_trial", "_stopped")

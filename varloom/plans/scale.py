@@ -30,15 +30,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *, replaces: DataFrame | None = None) -> DataFrame:
     """Write the rows as a table in the checkpoint folder and go on from there.
 
     The plan runs once, a lost executor costs a re-read only, and later joins know the size.
+    ``replaces`` is a table of an earlier call that nothing reads any more once the new one is
+    written; its files are deleted, so that an iteration keeps a bounded number of tables.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/varloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._varloom_path = path
+    if replaces is not None:
+        discard(replaces)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote."""
+    path = df.__dict__.get("_varloom_path")
+    if path is None:
+        raise ValueError("only a table made by cut_lineage can be discarded")
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
