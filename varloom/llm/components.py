@@ -24,8 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while (now := edges.agg(print_of.alias("p")).first().p) != before:
         before = now
-        edges = _small_star(_large_star(edges))
-        edges = cut_lineage(edges)
+        edges = cut_lineage(_small_star(_large_star(edges)), replaces=edges)
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
         edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     )
