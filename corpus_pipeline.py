@@ -76,7 +76,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixed_rows(marked, mark, BUDGET_SHARE).where("copies > 0")
     copies = cut_lineage(copies.select(mark, F.col("copies").cast("int").alias(times)))
     each = F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)
-    return marked.join(copies, mark).select(*docs.columns, each).drop(copy)
+    # a broadcast, if counted to be small, keeps the texts where they are
+    joined = marked.join(broadcast_if_small(copies, width=2), mark)
+    return joined.select(*docs.columns, each).drop(copy)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
