@@ -104,3 +104,27 @@ def test_nulls_empty_long_repeats_and_clashing_names(spark):
     assert hpylm.score(df.limit(0), key="doc_id", trained=F.lit(True)).count() == 0
     none = hpylm.score(df, key="doc_id", trained=F.lit(False)).collect()
     assert {r.n_known for r in none} == {0}
+
+
+def test_words_before_count_and_blocks_do_not(spark):
+    r = np.random.default_rng(5)
+    follow = {w: r.choice(40, 3, replace=False) for w in range(40)}
+    rows, w = [], 0
+    for i in range(300):
+        own = []
+        for _ in range(30):
+            w = int(r.choice(follow[w]))
+            own.append(f"w{w}")
+        rows.append((i, " ".join(own)))
+    rows += [(i + 1000, " ".join(r.permutation(t.split()))) for i, t in rows[:60]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trained = (F.col("doc_id") >= 60) & (F.col("doc_id") < 1000)
+    one, two = (
+        {x.doc_id: x for x in hpylm.score(df, key="doc_id", trained=trained, block_bytes=b).collect()}
+        for b in (1 << 20, 2000)
+    )
+    above = [one[i].score - one[i + 1000].score for i in range(60)]
+    assert min(above) > 0
+    # a tenth of the words can follow a word, so that half the digits of 1 in 40 are gained
+    assert sum(one[i].score - one[i].base_score for i in range(60)) > 60 * 30 * 0.5
+    assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-4) for i in one)

@@ -1,17 +1,20 @@
-"""A hierarchical Pitman-Yor language model of words and their bytes, trained on the corpus.
+"""A hierarchical Pitman-Yor language model of word pairs, words and their bytes.
 
-A text is its lower-cased words and one end. Words are drawn in a restaurant whose parent
-spells them byte by byte: every byte is drawn in the restaurant of the five bytes before it in
-its word, whose parent is the restaurant of the last four of them, and so on down to three;
-those share a base that is known from pairs of bytes. The tables of a restaurant are the
-customers of its parent; a word is spelled once for each block of documents that holds it. How
-many tables a dish has is sampled by Gibbs steps, all dishes of a level at once; predictive
-probabilities are averaged over samples and used to score texts.
+A text is its lower-cased words and one end. A word is drawn in the restaurant of the word before
+it (the end, before the first); the parent of all these is the restaurant of words without
+context, whose parent spells words byte by byte: every byte is drawn in the restaurant of the
+five bytes before it in its word, whose parent is the restaurant of the last four of them, and
+so on down to three; those share a base that is known from pairs of bytes. At every level the
+tables of a restaurant are the customers of its parent. How many tables a dish has is sampled by
+Gibbs steps, all dishes of a level at once; predictive probabilities are averaged over samples
+and used to score texts.
 
 Counts never meet in one place. Documents lie in blocks by a hash of their id. A block sends
-its distinct keys (words, and runs of six bytes) with their counts to shards; a shard holds
-whole subtrees of restaurants, adds up, samples, and answers every block with numbers for each
-of its keys, in the order of the keys.
+its distinct keys (words, pairs of words, and runs of six bytes) with their counts to shards. A
+shard of pairs holds whole restaurants, by the word before; in every sweep it sends the tables
+of its words to the shards of words and gets back what it needs for their probabilities. A shard
+of runs of bytes holds whole subtrees. In the end every block gets numbers for each of its keys,
+in the order of the keys.
 """
 
 from __future__ import annotations
@@ -38,12 +41,13 @@ END_TOKEN = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Settings:
     """Discount and strength of the restaurants of bytes by context length from ROOT to
-    ORDER - 1, strength of the words' one (its discount is estimated), sweeps before the
-    first sample, samples, and the seed."""
+    ORDER - 1, strengths of the words' one and of those by the word before (their discounts
+    are estimated), sweeps before the first sample, samples, and the seed."""
 
     discount: tuple[float, ...] = (0.4, 0.5, 0.6)
     strength: tuple[float, ...] = (2.0, 1.0, 0.5)
     word_strength: float = 1.0
+    pair_strength: float = 1.0
     burn_in: int = 2
     samples: int = 3
     seed: int = 13
@@ -140,6 +144,33 @@ class Words:
         return np.add.reduceat(value, self.bounds[:-1]) if len(self.keys) else np.zeros(0)
 
 
+class Pairs:
+    """The distinct (word before, word) of a block with their training counts, sorted. A pair is
+    the place of the one in ``words.keys``, times their number, plus that of the other."""
+
+    def __init__(self, words: Words, trained: np.ndarray):
+        self.n_words = max(len(words.keys), 1)
+        end = np.searchsorted(words.keys, END_TOKEN)
+        codes, counts, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.streams = []
+        for own, inverse, bounds in words.streams:
+            place = np.searchsorted(words.keys, own)[inverse]
+            # the word before a text's first is the end of the text before it
+            code = np.concatenate([[end], place[:-1]]) * self.n_words + place
+            texts = len(bounds) - 1
+            weight = np.repeat(trained[at : at + texts], np.diff(bounds))
+            at += texts
+            some, back = np.unique(code, return_inverse=True)
+            self.streams.append((some, back))
+            codes.append(some)
+            counts.append(np.bincount(back, weight, len(some)).astype(np.int64))
+        self.codes, self.count = counted(np.concatenate(codes), np.concatenate(counts))
+        self.before, self.word = np.divmod(self.codes, self.n_words)
+        # the contexts, and where the pairs of each begin
+        self.contexts, self.first = np.unique(self.before, return_index=True)
+        self.sizes = np.diff(np.append(self.first, len(self.codes)))
+
+
 def pieces(column: pa.Array) -> list[pa.Array]:
     """The rows of a column in runs of about PIECE bytes."""
     _, off = text_buffers(column)
@@ -162,7 +193,10 @@ def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shard_of(keys: np.ndarray, kind: str, shards: int) -> np.ndarray:
-    """Words go by their hash, runs of bytes by the context of their root restaurant."""
+    """Words go by their hash, pairs by that of the word before, runs of bytes by the context
+    of their root restaurant."""
+    if kind == "pair":
+        keys = mix(keys)
     if kind == "gram":
         keys = mix((keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1))
     return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
@@ -292,26 +326,180 @@ def discount_of(once: float, twice: float) -> float:
     return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
 
 
-def word_tables(
-    count: np.ndarray, spelling: np.ndarray, shards: int, settings: Settings
-) -> np.ndarray:
-    """Average tables by word.
-
-    Words are dealt to shards by hash, so a shard's tables stand for one part in ``shards`` of
-    all. ``spelling`` is the probability that the pairs of bytes give a word.
+def packed(rows: list[dict], schema: str) -> pa.Table:
+    """Rows as a table; fields that a row lacks are NULL."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields})
+
+
+def dealt(keys: np.ndarray, kind: str, shards: int) -> list[tuple[int, np.ndarray]]:
+    """The places of sorted keys by shard, in the order of the keys."""
+    shard = shard_of(keys, kind, shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    return [(int(s), order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts))]
+
+
+def places(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where wanted keys are among sorted ones; -1 where they are not."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+SEATS = (
+    "kind string, shard int, peer int, contexts binary, sizes binary, words binary, place binary, "
+    "counts binary, tables binary, total binary, facts array<double>"
+)
+VOCAB = (
+    "kind string, shard int, peer int, keys binary, counts binary, owner binary, chance binary, "
+    "tables binary, total binary, mass binary, facts array<double>"
+)
+
+
+def _asks(state: dict, tables: np.ndarray, shards: int) -> list[dict]:
+    """The tables of a shard's words, for the shards of words."""
+    words = np.frombuffer(state["words"], np.uint64)
+    customers = np.bincount(np.frombuffer(state["place"], "<i4"), tables, len(words))
+    return [
+        {
+            "kind": "ask",
+            "shard": s,
+            "peer": state["shard"],
+            "words": words[i].tobytes(),
+            "counts": customers[i].astype("<i4").tobytes(),
+        }
+        for s, i in dealt(words, "word", shards)
+    ]
+
+
+def first_seats(table: pa.Table, shards: int) -> pa.Table:
+    """A shard's restaurants by the word before, with one table a dish."""
+    before, word, count = [], [], []
+    for row in table.select(["keys", "sizes", "words", "counts"]).to_pylist():
+        n = np.frombuffer(row["counts"], "<i4").astype(np.int64)
+        own = np.repeat(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["sizes"], "<i4"))
+        before.append(own[n > 0])
+        word.append(np.frombuffer(row["words"], np.uint64)[n > 0])
+        count.append(n[n > 0])
+    contexts, of_context = np.unique(np.concatenate(before), return_inverse=True)
+    words, of_word = np.unique(np.concatenate(word), return_inverse=True)
+    if not len(words):
+        return packed([], SEATS)
+    code, count = counted(of_context * len(words) + of_word, np.concatenate(count))
+    own, place = np.divmod(code, len(words))
+    tables = np.ones(len(code), np.int64)
+    state = {
+        "kind": "state",
+        "shard": table.column("shard")[0].as_py(),
+        "contexts": contexts.tobytes(),
+        "sizes": np.bincount(own, minlength=len(contexts)).astype("<i4").tobytes(),
+        "words": words.tobytes(),
+        "place": place.astype("<i4").tobytes(),
+        "counts": count.astype("<i4").tobytes(),
+        "tables": tables.astype("<i4").tobytes(),
+        "total": np.zeros(len(code), "<i4").tobytes(),
+        "facts": [float(tables.sum()), float((count == 1).sum()), float((count == 2).sum())],
+    }
+    return packed([state, *_asks(state, tables, shards)], SEATS)
+
+
+def next_seats(
+    state: dict, replies: list[dict], shards: int, parent, discount: float, strength: float, seed: list[int], sample: bool
+) -> pa.Table:
+    """The tables of a shard's restaurants drawn anew; ``parent`` makes the probabilities of
+    words of the masses and spellings in the replies of the shards of words."""
+    words = np.frombuffer(state["words"], np.uint64)
+    chance, of = np.zeros(len(words)), {r["peer"]: r for r in replies}
+    for s, i in dealt(words, "word", shards):
+        chance[i] = parent(np.frombuffer(of[s]["mass"], "<f4"), np.frombuffer(of[s]["chance"], "<f4"))
+    sizes, place, count, tables, total = (
+        np.frombuffer(state[x], "<i4").astype(np.int64) for x in ("sizes", "place", "counts", "tables", "total")
+    )
+    room = np.repeat(np.arange(len(sizes)), sizes)
+    others = np.bincount(room, tables)[room].astype(np.int64) - tables
+    random = np.random.default_rng([*seed, state["shard"]])
+    tables = draw_tables(count, others, chance[place], discount, strength, random)
+    out = state | {
+        "tables": tables.astype("<i4").tobytes(),
+        "total": (total + tables * sample).astype("<i4").tobytes(),
+        "facts": [float(tables.sum()), *state["facts"][1:]],
+    }
+    return packed([out, *_asks(out, tables, shards)], SEATS)
+
+
+def first_vocabulary(table: pa.Table) -> pa.Table:
+    """A shard's words: training counts, spellings, and the one block that spells each."""
+    rows = table.select(["block", "keys", "counts", "chance"]).to_pylist()
+    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    words, count = counted(np.concatenate(keys), np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows]).astype(np.int64))
+    chance, owner = np.zeros(len(words)), np.full(len(words), np.iinfo(np.int32).max)
+    for r, own in zip(rows, keys):
+        at = np.searchsorted(words, own)
+        chance[at] = np.frombuffer(r["chance"], "<f4")
+        owner[at] = np.minimum(owner[at], r["block"])
+    state = {
+        "kind": "state",
+        "shard": table.column("shard")[0].as_py(),
+        "keys": words.tobytes(),
+        "counts": count.astype("<i8").tobytes(),
+        "owner": owner.astype("<i4").tobytes(),
+        "chance": chance.astype("<f4").tobytes(),
+        "tables": b"",
+        "total": np.zeros(len(words)).tobytes(),
+        "facts": [float(count.sum()), float((count > 0).sum())],
+    }
+    return packed([state], VOCAB)
+
+
+def customers_of(state: dict, asks: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The customers of a shard's words, and the places of the words of each that asks."""
+    words = np.frombuffer(state["keys"], np.uint64)
+    customers, at = np.zeros(len(words), np.int64), []
+    for ask in asks:
+        at.append(np.searchsorted(words, np.frombuffer(ask["words"], np.uint64)))
+        customers[at[-1]] += np.frombuffer(ask["counts"], "<i4")
+    return customers, at
+
+
+def next_vocabulary(
+    state: dict, asks: list[dict], opened: float, whole: float, discount: float, settings: Settings, seed: list[int], sample: bool
+) -> pa.Table:
+    """The tables of a shard's words drawn anew, with replies to the shards of pairs.
+
+    ``opened`` counts the tables of all words, ``whole`` is the strength and all customers.
     """
-    seed = settings.seed + int(count.sum()) % (1 << 30)
-    random = np.random.default_rng(seed)
-    discount = discount_of((count == 1).sum(), (count == 2).sum())
-    tables, total = np.minimum(count, 1), np.zeros(len(count))
-    for sweep in range(settings.burn_in + settings.samples):
-        others = np.maximum(shards * tables.sum() - tables, 0)
-        tables = draw_tables(
-            count, others, spelling, discount, settings.word_strength, random
-        )
-        if sweep >= settings.burn_in:
-            total += tables
-    return total / settings.samples
+    customers, at = customers_of(state, asks)
+    chance = np.frombuffer(state["chance"], "<f4")
+    before = np.frombuffer(state["tables"], "<i4") if state["tables"] else np.minimum(customers, 1)
+    random = np.random.default_rng([*seed, state["shard"]])
+    tables = draw_tables(
+        customers,
+        np.maximum(int(opened) - before, 0),
+        np.exp(np.maximum(chance.astype(float), -600)),
+        discount,
+        settings.word_strength,
+        random,
+    )
+    mass = customers - discount * tables
+    out = state | {
+        "tables": tables.astype("<i4").tobytes(),
+        "total": (np.frombuffer(state["total"]) + sample * mass / whole).tobytes(),
+        "facts": [float(tables.sum())],
+    }
+    replies = [
+        {
+            "kind": "reply",
+            "shard": ask["peer"],
+            "peer": state["shard"],
+            "mass": mass[i].astype("<f4").tobytes(),
+            "chance": chance[i].tobytes(),
+        }
+        for ask, i in zip(asks, at)
+    ]
+    return packed([out, *replies], VOCAB)
 
 
 def byte_pairs(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -363,7 +551,7 @@ def score(
     base-10 logarithm of the text's probability, ``base_score`` that of words alone with one
     added to every count; ``n_known`` counts tokens that training texts hold. For both, all
     words that no training text holds are one and the same: its probability under ``score`` is
-    what the spelling of the known words leaves.
+    what the spelling of the known words leaves, times what its context leaves to the parent.
 
     A NULL or empty text is just an end; a NULL condition is false; repeated rows are learned
     and scored as often; texts are read whole; other columns are not read; an empty table
@@ -381,121 +569,232 @@ def score(
     docs = docs.withColumn("block", spread.cast("int"))
     sent = df.sparkSession.sparkContext.broadcast(base)
 
-    def dealt(keys: np.ndarray, kind: str) -> list[tuple[int, np.ndarray]]:
-        """The places of sorted keys by shard, in the order of the keys."""
-        shard = shard_of(keys, kind, shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        return [(int(s), order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts))]
-
-    def words_of(table: pa.Table) -> Words:
+    def words_of(table: pa.Table) -> tuple[Words, np.ndarray]:
         text, trained = (table.column(c).combine_chunks() for c in ("text", "trained"))
-        return Words(text, trained.to_numpy(zero_copy_only=False).astype(np.int64))
+        trained = trained.to_numpy(zero_copy_only=False).astype(np.int64)
+        return Words(text, trained), trained
+
+    def pairs_by_shard(words: Words, pairs: Pairs) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By shard, the places of contexts and of their pairs."""
+        out = []
+        for s, i in dealt(words.keys[pairs.contexts], "pair", shards):
+            size = pairs.sizes[i]
+            start = np.cumsum(size) - size
+            out.append((s, i, np.arange(size.sum()) + np.repeat(pairs.first[i] - start, size)))
+        return out
+
+    told_schema = "kind string, shard int, block int, keys binary, counts binary, chance binary, sizes binary, words binary"
 
     def tell(table: pa.Table) -> pa.Table:
-        block, words = table.column("block")[0].as_py(), words_of(table)
+        block, (words, trained) = table.column("block")[0].as_py(), words_of(table)
+        pairs = Pairs(words, trained)
         before = ((words.grams >> np.uint64(8)) & np.uint64(255)).astype(int)
         chance = words.sums(np.log(sent.value[before, words.symbols])).astype("<f4")
-        once = np.repeat((words.count > 0).astype(np.int64), np.diff(words.bounds))
-        runs_of, customers = counted(words.grams, once)
         rows = [
-            ("word", s, block, words.keys[i].tobytes(), words.count[i].astype("<i4").tobytes(), chance[i].tobytes())
-            for s, i in dealt(words.keys, "word")
+            {
+                "kind": "word",
+                "shard": s,
+                "block": block,
+                "keys": words.keys[i].tobytes(),
+                "counts": words.count[i].astype("<i4").tobytes(),
+                "chance": chance[i].tobytes(),
+            }
+            for s, i in dealt(words.keys, "word", shards)
         ] + [
-            ("gram", s, block, runs_of[i].tobytes(), customers[i].astype("<i4").tobytes(), b"")
-            for s, i in dealt(runs_of, "gram")
+            {
+                "kind": "pair",
+                "shard": s,
+                "block": block,
+                "keys": words.keys[pairs.contexts[i]].tobytes(),
+                "sizes": pairs.sizes[i].astype("<i4").tobytes(),
+                "words": words.keys[pairs.word[j]].tobytes(),
+                "counts": pairs.count[j].astype("<i4").tobytes(),
+            }
+            for s, i, j in pairs_by_shard(words, pairs)
         ]
-        names = ("kind", "shard", "block", "keys", "counts", "chance")
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(names, zip(*rows), kinds)})
+        return packed(rows, told_schema)
+
+    told = cut_lineage(docs.groupBy("block").applyInArrow(tell, told_schema))
+    of_pairs, of_words = (told.where(F.col("kind") == k) for k in ("pair", "word"))
+
+    def facts(table: DataFrame, size: int) -> list[float]:
+        row = table.where("kind = 'state'").agg(*[F.sum(F.col("facts")[i]) for i in range(size)]).first()
+        return [x or 0.0 for x in row]
+
+    # restaurants by the word before, and the one of words, in turn
+    seats = cut_lineage(of_pairs.groupBy("shard").applyInArrow(lambda t: first_seats(t, shards), SEATS))
+    vocab = cut_lineage(of_words.groupBy("shard").applyInArrow(first_vocabulary, VOCAB))
+    n, v = map(int, facts(vocab, 2))
+    seated, once, twice = facts(seats, 3)
+    pair_discount, opened = discount_of(once, twice), float(v)
+
+    def common(left: pa.Table, right: pa.Table) -> pa.Table:
+        customers, _ = customers_of(left.to_pylist()[0], right.to_pylist())
+        return pa.table({"once": [int((customers == 1).sum())], "twice": [int((customers == 2).sum())]})
+
+    def split(table: DataFrame, kind: str):
+        return table.where(F.col("kind") == kind).groupBy("shard")
+
+    few = split(vocab, "state").cogroup(split(seats, "ask")).applyInArrow(common, "once bigint, twice bigint")
+    discount = discount_of(*(x or 0 for x in few.agg(F.sum("once"), F.sum("twice")).first()))
+    strength, backing = settings.word_strength, 0.0
+
+    def sweep(seats: DataFrame, vocab: DataFrame, k: int, opened: float, seated: float):
+        whole, sample = strength + seated, k >= settings.burn_in
+
+        def host(left: pa.Table, right: pa.Table) -> pa.Table:
+            state, asks = left.to_pylist()[0], right.to_pylist()
+            return next_vocabulary(state, asks, opened, whole, discount, settings, [settings.seed, 0, k], sample)
+
+        vocab = cut_lineage(split(vocab, "state").cogroup(split(seats, "ask")).applyInArrow(host, VOCAB), replaces=vocab)
+        (now,) = facts(vocab, 1)
+        share = strength + discount * now
+
+        def parent(mass: np.ndarray, chance: np.ndarray) -> np.ndarray:
+            return (mass + share * np.exp(np.maximum(chance.astype(float), -600))) / whole
+
+        def seat(left: pa.Table, right: pa.Table) -> pa.Table:
+            state, replies = left.to_pylist()[0], right.to_pylist()
+            return next_seats(
+                state, replies, shards, parent, pair_discount, settings.pair_strength, [settings.seed, 1, k], sample
+            )
+
+        seats = cut_lineage(split(seats, "state").cogroup(split(vocab, "reply")).applyInArrow(seat, SEATS), replaces=seats)
+        return seats, vocab, now, share / whole
+
+    for k in range(settings.burn_in + settings.samples):
+        seats, vocab, opened, share = sweep(seats, vocab, k, opened, seated)
+        (seated,) = facts(seats, 1)
+        if k >= settings.burn_in:
+            backing += share / settings.samples
+
+    made_schema = "kind string, shard int, block int, made binary"
+
+    def answer_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        state = right.to_pylist()[0]
+        words = np.frombuffer(state["keys"], np.uint64)
+        count, owner, tables = (np.frombuffer(state[c], k) for c, k in (("counts", "<i8"), ("owner", "<i4"), ("tables", "<i4")))
+        mass = np.frombuffer(state["total"]) / settings.samples
+        rows = []
+        for row in left.select(["kind", "shard", "block", "keys"]).to_pylist():
+            at = np.searchsorted(words, np.frombuffer(row.pop("keys"), np.uint64))
+            mine = np.where(owner[at] == row["block"], tables[at], -1)
+            made = count[at].tobytes() + mass[at].tobytes() + mine.astype("<i4").tobytes()
+            rows.append(row | {"made": made})
+        return packed(rows, made_schema)
+
+    def answer_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        """By pair, what the restaurant of the word before gives the word itself; by context,
+        the share that goes to the parent."""
+        state = (right.to_pylist() or [dict.fromkeys(("contexts", "sizes", "words", "place", "counts", "total"), b"")])[0]
+        contexts, words = (np.frombuffer(state[c], np.uint64) for c in ("contexts", "words"))
+        sizes, place, count, total = (
+            np.frombuffer(state[c], "<i4").astype(np.int64) for c in ("sizes", "place", "counts", "total")
+        )
+        room = np.repeat(np.arange(len(sizes)), sizes)
+        tables = total / settings.samples
+        whole = settings.pair_strength + np.bincount(room, count, len(sizes))
+        code = room * len(words) + place
+        own = (count - pair_discount * tables) / whole[room]
+        rest = (settings.pair_strength + pair_discount * np.bincount(room, tables, len(sizes))) / whole
+        rows = []
+        for row in left.select(["kind", "shard", "block", "keys", "sizes", "words"]).to_pylist():
+            at = places(np.frombuffer(row.pop("keys"), np.uint64), contexts)
+            to = np.append(rest, 1.0)[at]  # a context of no training text leaves all to the parent
+            at = np.repeat(at, np.frombuffer(row.pop("sizes"), "<i4"))
+            word = places(np.frombuffer(row.pop("words"), np.uint64), words)
+            pair = places(np.where((at < 0) | (word < 0), -1, at * len(words) + word), code)
+            mass = np.append(own, 0.0)[pair]
+            rows.append(row | {"made": to.astype("<f4").tobytes() + mass.astype("<f4").tobytes()})
+        return packed(rows, made_schema)
+
+    word_answers = cut_lineage(of_words.groupBy("shard").cogroup(split(vocab, "state")).applyInArrow(answer_words, made_schema))
+    pair_answers = of_pairs.groupBy("shard").cogroup(split(seats, "state")).applyInArrow(answer_pairs, made_schema)
+
+    def answered(right: pa.Table) -> dict:
+        return {(k, s): m for k, s, m in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "made")))}
+
+    def word_facts(words: Words, made: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts, masses, and the tables of the words that this block spells."""
+        count, mass, tables = (np.zeros(len(words.keys)) for _ in range(3))
+        for s, i in dealt(words.keys, "word", shards):
+            raw = made["word", s]
+            count[i] = np.frombuffer(raw[: 8 * len(i)], "<i8")
+            mass[i] = np.frombuffer(raw[8 * len(i) : 16 * len(i)], "<f8")
+            tables[i] = np.frombuffer(raw[16 * len(i) :], "<i4")
+        return count, mass, tables
+
+    gram_schema = "shard int, block int, keys binary, counts binary"
+
+    def spell(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The runs of bytes of a block; the tables of the words it spells are their customers."""
+        words, _ = words_of(left)
+        tables = np.maximum(word_facts(words, answered(right))[2], 0).astype(np.int64)
+        runs_of, customers = counted(words.grams, np.repeat(tables, np.diff(words.bounds)))
+        block = left.column("block")[0].as_py()
+        return packed(
+            [
+                {"shard": s, "block": block, "keys": runs_of[i].tobytes(), "counts": customers[i].astype("<i4").tobytes()}
+                for s, i in dealt(runs_of, "gram", shards)
+            ],
+            gram_schema,
+        )
 
-    def answer(table: pa.Table) -> pa.Table:
-        kind, shard = (table.column(c)[0].as_py() for c in ("kind", "shard"))
+    def answer_grams(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()]
         distinct, count = counted(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-        places = [np.searchsorted(distinct, x) for x in keys]
-        n = len(keys)
-        facts = [0.0] * 5
-        if kind == "word":
-            chance = np.zeros(len(distinct))
-            for at, x in zip(places, table.column("chance").to_pylist()):
-                chance[at] = np.frombuffer(x, "<f4")
-            tables = word_tables(count, np.exp(np.maximum(chance, -600)), shards, settings)
-            holders = np.bincount(np.concatenate(places), minlength=len(distinct))
-            made = [
-                count[at].astype("<i8").tobytes()
-                + tables[at].astype("<f4").tobytes()
-                + holders[at].astype("<i4").tobytes()
-                for at in places
-            ]
-            facts = [count.sum(), (count > 0).sum(), tables.sum(), (count == 1).sum(), (count == 2).sum()]
-        else:
-            value = np.log10(np.maximum(Restaurants(distinct, count, sent.value, settings).run(), 1e-300))
-            made = [value[at].astype("<f4").tobytes() for at in places]
-        return pa.table(
-            {
-                "kind": pa.array([kind] * n, pa.string()),
-                "shard": pa.array([shard] * n, pa.int32()),
-                "block": table.column("block"),
-                "made": pa.array(made, pa.binary()),
-                "facts": pa.array([list(map(float, facts))] + [None] * (n - 1), pa.list_(pa.float64())),
-            }
-        )
+        value = np.log10(np.maximum(Restaurants(distinct, count, sent.value, settings).run(), 1e-300))
+        rows = [
+            {"kind": "gram", "shard": s, "block": b, "made": value[np.searchsorted(distinct, x)].astype("<f4").tobytes()}
+            for s, b, x in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), keys)
+        ]
+        return packed(rows, made_schema)
 
-    told = docs.groupBy("block").applyInArrow(
-        tell, "kind string, shard int, block int, keys binary, counts binary, chance binary"
-    )
-    answers = cut_lineage(
-        told.groupBy("kind", "shard").applyInArrow(
-            answer, "kind string, shard int, block int, made binary, facts array<double>"
-        )
-    )
-    facts = answers.where("facts IS NOT NULL").agg(*[F.sum(F.col("facts")[i]) for i in range(5)])
-    n, v, opened, once, twice = (x or 0 for x in facts.first())
-    n, v = int(n), int(v)
-    discount, strength = discount_of(once, twice), settings.word_strength
+    grams_told = docs.groupBy("block").cogroup(word_answers.groupBy("block")).applyInArrow(spell, gram_schema)
+    gram_answers = grams_told.groupBy("shard").applyInArrow(answer_grams, made_schema)
+    answers = word_answers.union(pair_answers).union(gram_answers)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = {(k, s): m for k, s, m in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "made")))}
-        words = words_of(left)
-        count, tables, holders = (np.zeros(len(words.keys)) for _ in range(3))
-        for s, i in dealt(words.keys, "word"):
-            raw = made["word", s]
-            count[i] = np.frombuffer(raw[: 8 * len(i)], "<i8")
-            tables[i] = np.frombuffer(raw[8 * len(i) : 12 * len(i)], "<f4")
-            holders[i] = np.frombuffer(raw[12 * len(i) :], "<i4")
+        made = answered(right)
+        words, trained = words_of(left)
+        pairs = Pairs(words, trained)
+        count, mass, tables = word_facts(words, made)
         runs_of = np.unique(words.grams)
         value = np.zeros(len(runs_of))
-        for s, i in dealt(runs_of, "gram"):
+        for s, i in dealt(runs_of, "gram", shards):
             value[i] = np.frombuffer(made["gram", s], "<f4")
         spelling = 10.0 ** np.maximum(words.sums(value[np.searchsorted(runs_of, words.grams)]), -290)
-        chance = np.maximum(count - discount * tables, 0) + (strength + discount * opened) * spelling
+        chance = mass + backing * spelling
         known = count > 0
-        by_word = {
-            "n_known": known,
-            "base_score": np.log10(count + 1) - math.log10(n + v + 1),
-            "score": np.where(known, np.log10(chance) - math.log10(strength + n), 0.0),
-        }
-        sums: dict = {name: [] for name in ("n_tokens", *by_word)}
-        for own, inverse, bounds in words.streams:
-            at = np.searchsorted(words.keys, own)
+        to_parent, own = np.zeros(len(pairs.contexts)), np.zeros(len(pairs.codes))
+        for s, i, j in pairs_by_shard(words, pairs):
+            both = np.frombuffer(made["pair", s], "<f4")
+            to_parent[i], own[j] = both[: len(i)], both[len(i) :]
+        to_parent = np.repeat(to_parent, pairs.sizes)
+        # an unknown word has what its context leaves to the parent, times a constant added later
+        by_pair = np.log10(np.where(known[pairs.word], own + to_parent * chance[pairs.word], to_parent))
+        by_word = {"n_known": known, "base_score": np.log10(count + 1) - math.log10(n + v + 1)}
+        sums: dict = {name: [] for name in ("n_tokens", *by_word, "score")}
+        for (distinct, inverse, bounds), (some, back) in zip(words.streams, pairs.streams):
+            at = np.searchsorted(words.keys, distinct)
             sums["n_tokens"].append(np.diff(bounds))
             for name, each in by_word.items():
                 sums[name].append(np.add.reduceat(each[at][inverse].astype(float), bounds[:-1]))
+            at = np.searchsorted(pairs.codes, some)
+            sums["score"].append(np.add.reduceat(by_pair[at][back], bounds[:-1]))
         kinds = {"n_tokens": np.int64, "n_known": np.int64, "base_score": float, "score": float}
         out = {"key": left.column("key"), "trained": left.column("trained")}
         for name, kind in kinds.items():
             out[name] = pa.array(np.concatenate([np.zeros(0), *sums[name]]).astype(kind))
-        # each known word's spelling counts once, whatever the number of blocks that hold it
-        own = float((spelling[known] / holders[known]).sum())
-        out["spelt"] = pa.array([own] + [0.0] * (left.num_rows - 1))
+        # each known word's spelling counts once, in the block that spells it
+        out["spelt"] = pa.array([float(spelling[known & (tables >= 0)].sum())] + [0.0] * (left.num_rows - 1))
         return pa.table(out)
 
     kind = docs.schema["key"].dataType.simpleString()
     out = (
         docs.groupBy("block")
-        .cogroup(answers.select("block", "kind", "shard", "made").groupBy("block"))
+        .cogroup(answers.groupBy("block"))
         .applyInArrow(
             read,
             f"key {kind}, trained boolean, n_tokens bigint, n_known bigint, base_score double, "
@@ -504,7 +803,7 @@ def score(
     )
     out = cut_lineage(out)
     rest = max(1.0 - (out.agg(F.sum("spelt")).first()[0] or 0.0), 1e-12)
-    unknown = math.log10((strength + discount * opened) / (strength + n) * rest)
+    unknown = math.log10(backing * rest)
     return out.select(
         F.col("key").alias(key),
         "trained",
