@@ -4,10 +4,16 @@ The passages of a text are its lines, its paragraphs and the whole. Letters are
 and everything but letters and digits parts words. With a bigrams in a passage and b in a
 template, the coefficient is at most 2 * min(a, b) / (a + b), so only templates of a similar
 size are compared, and of those only passages with enough bigrams that occur in any template.
+
+Besides, windows of words are compared wherever they begin and however long they are, across
+lines and paragraphs. The best windows begin and end with bigrams of the template. A window with
+coefficient c holds at least c * b / (2 - c) of these within b * (2 - c) / c, so a running count
+of them leaves few places to look at.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -109,6 +115,59 @@ def _passages(low: np.ndarray, start: int, end: int) -> list[tuple[int, int, int
     return out
 
 
+def _windows(
+    hits: np.ndarray, ends: np.ndarray, pair: np.ndarray, template: np.ndarray, least: float
+) -> list[tuple[float, int, int]]:
+    """(score, first, last bigram) of windows that match a template, by first bigram.
+
+    ``hits`` are the places of the template's bigrams, ``ends`` where their texts end. For each
+    place the best window that begins there counts, of equal ones the shortest.
+    """
+    b = len(template)
+    longest = int(b * (2 - least) / least + 1e-9)
+    until = np.searchsorted(hits, np.minimum(hits + longest, ends))
+    full = until - np.arange(len(hits)) >= least * b / (2 - least) - 1e-9
+    out = []
+    values, caps = np.unique(template, return_counts=True)
+    limit = dict(zip(values.tolist(), caps.tolist()))
+    for i in np.flatnonzero(full):
+        first, left, shared, best = int(hits[i]), dict(limit), 0, (0.0, 0, 0)
+        for last in hits[i : until[i]].tolist():
+            x = int(pair[last])
+            if left[x]:
+                left[x] -= 1
+                shared += 1
+                score = 2 * shared / (last - first + 1 + b)
+                if score > best[0]:
+                    best = (score, first, last)
+        if best[0] >= least:
+            out.append(best)
+    return out
+
+
+def _apart(windows: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Windows of one template that share no word: the best first, of equal ones the earliest."""
+    begins, taken = [], {}
+    for score, first, last in sorted(windows, key=lambda x: (-x[0], x[1])):
+        at = bisect(begins, last + 1)  # bigrams first to last have words first to last + 1
+        if at and taken[begins[at - 1]][2] + 1 >= first:
+            continue
+        begins.insert(at, first)
+        taken[first] = (score, first, last)
+    return [taken[x] for x in begins]
+
+
+def _outermost(spans: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+    """(first, last bigram, score, template) without those inside of others; of equal spans the
+    best stays, then the first by template."""
+    out, reach = [], -1
+    for x in sorted(spans, key=lambda x: (x[0], -x[1], -x[2], x[3])):
+        if x[1] > reach:
+            out.append(x)
+            reach = x[1]
+    return out
+
+
 def scan(
     df: DataFrame,
     *,
@@ -117,10 +176,12 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES,
     least: float = 0.9,
 ) -> DataFrame:
-    """(key, license, score, first_line, last_line): passages that match a template.
+    """(key, license, score, first_line, last_line): passages and windows that match a template.
 
     A passage matches the template with the highest coefficient, of equal ones the first by
     name, if it is at least ``least``. A passage that is both a line and more is reported once.
+    Windows of one template share no word with each other or with a passage reported for it, the
+    best first; a window inside a reported passage or a longer window is not reported.
     Lines count from 0. Templates and passages of fewer than two words match nothing.
 
     NULL and empty texts have no passages; repeated rows are reported again; other columns are
@@ -131,6 +192,7 @@ def scan(
     known = sorted((name, x) for name, x in ((n, _template(t)) for n, t in templates.items()) if len(x))
     sizes = np.array([len(x) for _, x in known], float)
     every = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for _, x in known]]))
+    member = [np.isin(every, x) for _, x in known]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text", 4 << 20):
@@ -141,17 +203,27 @@ def scan(
             at = np.searchsorted(every, pair)
             at[at == len(every)] = 0
             common = np.concatenate([[0], np.cumsum(every[at] == pair)]) if len(every) else None
-            found = []
+            found, windows = [], [[] for _ in range(batch.num_rows)]
+            edge = np.searchsorted(starts, off)
+            inside = np.flatnonzero(every[at] == pair) if len(every) else np.zeros(0, np.int64)
+            owner = np.searchsorted(edge, inside, side="right") - 1
+            whole = inside + 1 < edge[owner + 1]  # not from one text to the next
+            inside, owner = inside[whole], owner[whole]
+            for k, (_, template) in enumerate(known):
+                own = member[k][at[inside]]
+                hits, ends = inside[own], edge[owner[own] + 1] - 1
+                for score, first, last in _apart(_windows(hits, ends, pair, template, least)):
+                    windows[np.searchsorted(edge, first, side="right") - 1].append((first, last, score, k))
             for i in range(batch.num_rows):
                 a, b = np.searchsorted(starts, off[i : i + 2])
                 # no passage of a text has more bigrams of templates than the text
                 if common is None or b - a < 2 or common[b - 1] == common[a]:
                     continue
-                seen = set()
+                seen, reported = set(), []
                 for start, end, first, last in _passages(low, off[i], off[i + 1]):
                     s, e = np.searchsorted(starts, (start, end))
-                    n, shared = e - 1 - s, common[max(e - 1, s)] - common[s]
-                    if n < 1 or (s, e) in seen or 2 * shared < least * (n + sizes.min()):
+                    n = e - 1 - s
+                    if n < 1 or (s, e) in seen or 2 * (common[e - 1] - common[s]) < least * (n + sizes.min()):
                         continue
                     seen.add((s, e))
                     fits = 2 * np.minimum(n, sizes) >= least * (n + sizes)
@@ -160,6 +232,18 @@ def scan(
                     score, k = max(scores, default=(0.0, 0))
                     if score >= least:
                         found.append((i, known[-k][0], score, first, last))
+                        reported.append((s, e - 2, -k))
+                rest = [
+                    w
+                    for w in windows[i]
+                    if not any(
+                        w[3] == k and w[0] <= end + 1 and start <= w[1] + 1 or start <= w[0] and w[1] <= end
+                        for start, end, k in reported
+                    )
+                ]
+                for first, last, score, k in _outermost(rest):
+                    lines = [int((low[off[i] : starts[x]] == 10).sum()) for x in (first, last + 1)]
+                    found.append((i, known[k][0], score, *lines))
             rows, *rest = zip(*found) if found else ((), (), (), (), ())
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
