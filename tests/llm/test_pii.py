@@ -133,3 +133,25 @@ def test_nulls_empty_long_repeats_and_clashing_names(spark):
     assert [g[0] for g in got] == [0, 1, 2, 3, 3] and got[3] == got[4] and got[2][1] == ""
     assert got[0][1].startswith("word " * 30000) and "x@y.org" not in got[0][1]
     assert pii.replace_private(df.limit(0), secret="s").count() == 0
+
+
+def test_untitled_mentions_titles_and_more_formats(spark):
+    texts = [
+        "Smith wrote. Mr. John Smith called. John Smith said, SMITH's dog; Smithson agreed, a smith too",
+        "Prof. Dr. Anna Maria Berg met Dr. Berg; Berg left. John Smith stays",
+        "555 123 4567 or 5551234567 or +1 555 123 4567; 0044 20 7946 0958 is 020 7946 0958",
+        "2A02:8071::1f and 2a02:8071:0:0:0:0:0:1f, not std::vector or 10:20:30",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = [r.text for r in pii.replace_private(df, secret="s").orderBy("doc_id").collect()]
+    a, g, b, h, c, d = regex.fullmatch(
+        r"(\w+) wrote\. Mr\. (\w+) (\w+) called\. (\w+) (\w+) said, ([A-Z]+)'s dog; Smithson agreed, a smith too", out[0]
+    ).groups()
+    assert a == b == c == d.capitalize() != "Smith" and g == h != "John"
+    f, m, e, i, j = regex.fullmatch(r"Prof\. Dr\. (\w+) (\w+) (\w+) met Dr\. (\w+); (\w+) left\. John Smith stays", out[1]).groups()
+    assert e == i == j != "Berg" and f != "Anna" and m != "Maria"
+    x, y, z, u, v = regex.fullmatch(r"(\d{3} \d{3} \d{4}) or (\d{10}) or \+1 ([\d ]{12}); (0044 [\d ]{12}) is (0[\d ]{12})", out[2]).groups()
+    assert x == z and x.replace(" ", "") == y != "5551234567"
+    assert u[-12:] == v[-12:] != "20 7946 0958"
+    p, q = regex.fullmatch(r"([0-9a-f:]{39}) and ([0-9a-f:]{39}), not std::vector or 10:20:30", out[3]).groups()
+    assert p == q and p.startswith("2001:0db8:")

@@ -21,10 +21,13 @@ from varloom.plans.scale import cut_lineage
 # fixed values: forms of address by the gender they show
 MEN = "Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "г-н"
 WOMEN = "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "г-жа"
+ANYONE = "Dr", "Prof", "Professor", "Professorin", "Doctor", "Doktor", "Docteur", "Mx", "Rev", "Hon", "д-р", "проф"
 # fixed values: given names for surrogates, by gender and script
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Karl Leo Max Noah Otto Paul",
     ("f", "latin"): "Alma Bella Clara Diana Emma Frida Greta Helen Ida Julia Klara Lena Mia Nora",
+    ("n", "latin"): "Alex Andrea Chris Eli Jo Kim Lou Nic Robin Sam Toni",
+    ("n", "cyrillic"): "Валя Женя Саша Слава Шура",
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел",
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина",
 }
@@ -36,8 +39,10 @@ SYLLABLES = {
 ATTEMPTS = 100
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
-_TITLE = "(?:" + "|".join((*MEN, *WOMEN)) + ")"
+_WORD = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L}))){1,40}"
+_TITLE = "(?:" + "|".join((*MEN, *WOMEN, *ANYONE)) + ")"
+_TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?){{0,3}} "
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -45,9 +50,14 @@ PATTERNS = {
     "apikey": r"(?<![\p{L}\p{N}_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,60}|sk-[A-Za-z0-9_-]{20,60})(?![\p{L}\p{N}_-])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\g\d{4}\g\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?|::{_HEX}(?::{_HEX}){{0,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_WORD}(?: {_WORD})?",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
+    # an international number after 00, a national one after 0, and ten digits of North America
+    r"|(?<![\d.,+])00[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    r"|(?<![\d.,+])(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}[ ./-]?)\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)"
+    r"|(?<![\d.,+])(?:1[ .-])?[2-9]\d{2} ?\d{3} ?\d{4}(?![\d]|[.,]\d)",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_WORD}(?: {_WORD}){{0,2}}",
 }
 # one pattern for all; the only group inside is numbered from the left
 ANY = "|".join(PATTERNS.values()).replace(r"\g", r"\1")
@@ -79,7 +89,7 @@ def kind_of(match: Column) -> Column:
     card = match.rlike(_full("card"))
     out = F.when(card, F.when(luhn_sum(_digits(match)) % 10 == 0, "card"))
     out = out.when(match.contains("@"), "email")
-    for kind in ("ip", "ssn", "secret", "apikey", "iban", "name"):
+    for kind in ("ip", "ipv6", "ssn", "secret", "apikey", "iban", "name"):
         out = out.when(match.rlike(_full(kind)), kind)
     return out.otherwise("phone")
 
@@ -89,11 +99,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _named(match: Column) -> Column:
+    """The words of a name without its forms of address."""
+    return F.split(F.regexp_replace(match, f"^{_TITLES}", ""), " ")
+
+
 def _atoms(match: Column, kind: Column) -> Column:
     """The entities in a match: one, but for names, whose words are entities of their own."""
-    words = F.split(match, " ")
-    title = F.regexp_replace(words[0], r"\.", "")
-    gender = F.when(title.isin(*WOMEN), "f").otherwise("m")
+    words = _named(match)
+    titles = F.regexp_extract(match, f"^{_TITLES}", 0)
+    gender = F.lit("n")
+    for mark, own in (("m", MEN), ("f", WOMEN)):
+        gender = F.when(titles.rlike("(?:^| )(?:" + "|".join(own) + r")\.? "), mark).otherwise(gender)
     script = F.when(match.rlike(r" \p{IsCyrillic}"), "cyrillic").otherwise("latin")
     given = F.concat(F.lit("given-"), gender, F.lit("-"), script)
     family = F.concat(F.lit("family-"), script)
@@ -101,15 +118,22 @@ def _atoms(match: Column, kind: Column) -> Column:
     def atom(kind, canon):
         return F.struct(kind.alias("kind"), canon.alias("canon"))
 
-    names = F.when(
-        F.size(words) == 3, F.array(atom(given, F.lower(words[1])), atom(family, F.lower(words[2])))
-    ).otherwise(F.array(atom(family, F.lower(words[1]))))
+    names = F.transform(
+        words, lambda w, i: atom(F.when(i + 1 < F.size(words), given).otherwise(family), F.lower(w))
+    )
+    group = F.split(F.lower(match), "::", -1)
+    left, right = (
+        F.filter(F.split(F.coalesce(F.get(group, F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1)
+    )
+    gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    ipv6 = F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(g, 4, "0")), "")
     number = _digits(match)
     canon = (
         F.when(kind.isin("card", "ssn"), number)
         .when(kind == "phone", F.when(F.length(number) > 10, F.right(number, F.lit(10))).otherwise(number))
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .when(kind == "email", F.lower(match))
+        .when(kind == "ipv6", ipv6)
         .otherwise(match)
     )
     return F.when(kind == "name", names).when(kind.isNotNull(), F.array(atom(kind, canon)))
@@ -193,6 +217,7 @@ def _formed(secret: str, p: Column) -> Column:
             F.concat(shaped, F.lit("@d"), F.left(home, F.lit(8)), F.lit(".example.net")),
         )
         .when(kind == "ip", F.concat_ws(".", *octets))
+        .when(kind == "ipv6", F.concat(F.lit("20010db8"), F.substring(stream, 1, 24)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(numbers, F.lit(2), F.lit(8))))
         .when(
             kind == "phone",
@@ -204,11 +229,11 @@ def _formed(secret: str, p: Column) -> Column:
     for script, letters in SYLLABLES.items():
         spelled = [_pick(letters.replace(" ", ""), at(i), 2) for i in range(5)]
         out = out.when(kind == f"family-{script}", F.concat(*spelled[:4]))
-        for gender, end in (("m", "n"), ("f", "na")):
+        for gender, end in (("m", "n"), ("f", "na"), ("n", "r")):
             names = GIVEN[gender, script].lower()
             name = F.get(F.split(F.lit(names), " "), at(0) % len(names.split()))
             # after the listed names, made ones that end as the gender's do
-            end = end if script == "latin" else end.translate({ord("n"): "н", ord("a"): "а"})
+            end = end if script == "latin" else end.translate({ord("n"): "н", ord("a"): "а", ord("r"): "р"})
             more = F.concat(*spelled[1:], F.lit(end))
             out = out.when(
                 kind == f"given-{gender}-{script}", F.when(p["attempt"] < 4, name).otherwise(more)
@@ -232,26 +257,65 @@ def _refilled(shape: Column, pattern: Column, letters: Column) -> Column:
     return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["text"])
 
 
+def _cased(words: Column, names: Column) -> Column:
+    """Names in the case of the words they stand for."""
+    return F.zip_with(
+        words, names, lambda w, n: F.when(w == F.upper(w), F.upper(n)).otherwise(F.initcap(n))
+    )
+
+
 def _written(match: Column, kind: Column, forms: Column) -> Column:
     """The canonical surrogates of a match in the shape of its text."""
 
-    def cased(word: Column, name: Column) -> Column:
-        return F.when(word == F.upper(word), F.upper(name)).otherwise(F.initcap(name))
-
     first = forms[0]
     number = _digits(match)
     country = F.greatest(F.length(number) - F.length(first), F.lit(0))
     letters = F.when(kind == "phone", F.concat(F.left(number, country), first)).otherwise(first)
     pattern = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
-    words = F.split(match, " ")
-    named = F.transform(forms, lambda f, i: cased(F.get(words, i + 1), f))
+    named = F.concat(
+        F.regexp_extract(match, f"^{_TITLES}", 0), F.array_join(_cased(_named(match), forms), " ")
+    )
     return (
         F.when(kind.isin("card", "ssn", "phone", "iban"), _refilled(match, pattern, letters))
-        .when(kind == "name", F.concat_ws(" ", words[0], F.array_join(named, " ")))
+        .when(kind == "name", named)
+        .when(kind == "ipv6", F.regexp_replace(first, "(.{4})(?=.)", "$1:"))
         .otherwise(first)
     )
 
 
+def _mentions(match: Column, forms: Column) -> Column:
+    """What else in a text stands for a name: all of its words, and each of them."""
+
+    def mention(words: Column, names: Column) -> Column:
+        return F.struct(F.array_join(words, " ").alias("form"), names.alias("names"))
+
+    words = _named(match)
+    each = F.zip_with(words, forms, lambda w, f: mention(F.array(w), F.array(f)))
+    return F.concat(F.array(mention(words, forms)), each)
+
+
+def _any_of(known: Column) -> Column:
+    """A pattern of the mentions as written, capitalised, and in capitals; the longest first."""
+    own = F.transform(known, lambda k: k["form"])
+    ways = F.array_distinct(F.concat(own, F.transform(own, F.initcap), F.transform(own, F.upper)))
+    longest = F.array_sort(ways, lambda x, y: F.length(y) - F.length(x))
+    inside = F.array_join(longest, "|")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), inside, F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def _mentioned(text: Column, known: Column, pattern: Column) -> Column:
+    """A text with the mentions of known names replaced."""
+
+    def new(found: Column) -> Column:
+        same = F.filter(known, lambda k: F.lower(k["form"]) == F.lower(found))
+        return F.array_join(_cased(F.split(found, " "), F.get(same, F.lit(0))["names"]), " ")
+
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), new)
+    parts = F.split(text, pattern, -1)
+    joined = F.zip_with(parts, found, lambda p, f: F.concat(p, F.coalesce(f, F.lit(""))))
+    return F.array_join(joined, "")
+
+
 def _matches(text: Column) -> Column:
     """All matches of a text, each with its kind."""
     hint = F.coalesce(text.rlike(HINT), F.lit(False))
@@ -298,14 +362,18 @@ def replace_private(df: DataFrame, *, secret: str, text: str = "text") -> DataFr
     """The table with private data in ``text`` replaced; all other columns stay.
 
     Kinds: e-mail, IBAN, long hexadecimal secrets, API keys, payment cards with a right check
-    digit, IPv4 addresses, US social security numbers, phone numbers, and names after a form
-    of address. One entity has the same surrogate everywhere, two never share one, and none is
+    digit, IPv4 and IPv6 addresses, US social security numbers, phone numbers, and names after a
+    form of address, with all later and earlier mentions of their words in the same text that
+    begin with a capital. Names that have no form of address in their text are not found. IPv6
+    addresses are written in full. One entity has the same surrogate everywhere, two never share one, and none is
     the original of another. Other text is unchanged to the letter. NULL stays NULL, empty
     stays empty, repeated rows stay, an empty table gives an empty one.
     """
     settled = settle(cut_lineage(entities(df, text=text)), secret)
     retried = cut_lineage(settled.where("attempt > 0").select("kind", "canon", "attempt"))
-    matches, mark, again = fresh(df, "_matches", "_mark", "_again")
+    matches, mark, again, done, known, pattern = fresh(
+        df, "_matches", "_mark", "_again", "_done", "_known", "_pattern"
+    )
     source = F.col(text)
     out = df.withColumn(matches, _matches(source))
     none = retried.isEmpty()
@@ -330,14 +398,27 @@ def replace_private(df: DataFrame, *, secret: str, text: str = "text") -> DataFr
         )
         new = _let(
             F.struct(m["match"].alias("match"), m["kind"].alias("kind"), forms.alias("forms")),
-            lambda x: _written(x["match"], x["kind"], x["forms"]),
+            lambda x: F.struct(
+                _written(x["match"], x["kind"], x["forms"]).alias("text"),
+                F.when(x["kind"] == "name", _mentions(x["match"], x["forms"])).alias("mentions"),
+            ),
+        )
+        return F.when(m["kind"].isNotNull(), new).otherwise(
+            F.struct(m["match"].alias("text"), F.lit(None).alias("mentions"))
         )
-        return F.when(m["kind"].isNotNull(), new).otherwise(m["match"])
 
+    out = out.withColumn(done, F.transform(matches, written))
+    named = F.filter(F.transform(done, lambda d: d["mentions"]), lambda x: x.isNotNull())
+    out = out.withColumn(known, F.flatten(named))
+    out = out.withColumn(pattern, F.when(F.size(known) > 0, _any_of(F.col(known))))
     pieces = F.split(source, ANY, -1)
+    pieces = F.when(
+        F.col(pattern).isNotNull(),
+        F.transform(pieces, lambda p: _mentioned(p, F.col(known), F.col(pattern))),
+    ).otherwise(pieces)
     replaced = F.zip_with(
         pieces,
-        F.transform(matches, written),
+        F.transform(done, lambda d: d["text"]),
         lambda p, m: F.array(p, F.coalesce(m, F.lit(""))),
     )
     changed = F.when(F.size(matches) > 0, F.array_join(F.flatten(replaced), "")).otherwise(source)
