@@ -131,7 +131,7 @@ def _(t):
 
 @query("combat")
 def _(t):
-    return D.combat(log_counts(t), S.cells(t).select("cell_id", "batch"))
+    return D.combat(log_counts(t), S.cells(t).select("cell_id", "batch"), zeros=True)
 
 
 @query("eqtl_als")

@@ -320,3 +320,30 @@ def test_cis_rows_keep_donors_without_a_count(spark):
     v = np.log1p([1e4 * (1.0 + i) / (3.0 + i) if i < 4 else 0.0 for i in range(6)])
     z = (v - v.mean()) / v.std()
     assert sorted(got) == list(range(6)) and np.allclose([got[i] for i in range(6)], z)
+
+
+def test_pseudobulk_components_count_absent_rows_as_zeros(spark):
+    from varloom.plans.factor_input import pseudobulk_components
+
+    rng = np.random.default_rng(8)
+    x = rng.poisson(1.0, size=(9, 7))
+    x[:, 0] += 1
+    s, g = np.nonzero(x)
+    counts = pd.DataFrame({"cell_id": s, "gene_id": [f"g{i}" for i in g], "count": x[s, g].astype(float)})
+    cells = pd.DataFrame({"cell_id": range(9), "individual_id": range(9), "cell_type": "A"})
+    parts = pseudobulk_components(spark.createDataFrame(counts), spark.createDataFrame(cells), ["A"], k=2)
+    z, scores, _ = parts["A"]
+    logged = np.log1p(1e4 * x / x.sum(axis=1, keepdims=True))
+    want = (logged - logged.mean(axis=0)) / logged.std(axis=0)
+    rows = z.collect()
+    assert len(rows) == x.size
+    assert all(np.isclose(r.value, want[r.individual_id, int(r.gene_id[1:])]) for r in rows)
+    left = np.linalg.svd(want)[0]
+    got = np.array([r.pcs for r in sorted(scores.collect(), key=lambda r: r.individual_id)])
+    assert np.allclose(abs((got * left[:, :2]).sum(axis=0)), 1)
+
+
+def test_combat_query_gives_the_value_of_a_zero(spark, folder):
+    from checks import QUERIES
+
+    assert "zero_value" in QUERIES["combat"](spark, folder).columns
