@@ -32,13 +32,16 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told by their text; ``lang`` becomes that language."""
+    """Documents whose language is told by their text; ``lang`` becomes that language.
+
+    Without any label no language can be told: all documents with letters stay, as ``und``.
+    """
     prepare(spark)
     mark, told, hit = fresh(docs, "_mark", "_language", "_changed")
     marked = docs.withColumn(mark, row_mark())
     model = langid.train(docs, label="lang")
     if not model.languages:
-        return docs.limit(0)
+        return docs.where(F.rlike("text", F.lit(r"\p{L}"))).withColumn("lang", F.lit("und"))
     found = langid.identify(marked, model, key=mark, declared="lang", address="source")
     found = cut_lineage(found.select(mark, F.col("language").alias(told), "accepted").distinct())
     # only what changes is joined: rejected rows, and rows that say another language

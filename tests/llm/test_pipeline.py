@@ -61,3 +61,19 @@ def test_odd_rows_do_not_stop_a_stage(spark, folder):
         if name != "token_ids":
             assert some.columns == docs.columns
         assert some.count() == {"language_id": 3, "near_dedup": 4, "private_data": 5, "token_ids": 5}.get(name, some.count())
+
+
+def test_unlabelled_documents_are_not_lost(spark, folder):
+    import corpus_pipeline
+    from varloom.llm import langid
+
+    rows = [(1, "some words"), (2, "12 34"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "CAST(NULL AS string) AS lang", "'s1' AS source", "1L AS n_chars")
+    kept = corpus_pipeline.language_id(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert [(r.doc_id, r.lang) for r in kept.collect()] == [(1, "und")]
+    model = langid.train(docs, label="lang")
+    for address in (None, "source"):
+        told = langid.identify(docs, model, key="doc_id", address=address).collect()
+        assert sorted((r.doc_id, r.language, r.accepted) for r in told) == [(i, None, False) for i in (1, 2, 3)]

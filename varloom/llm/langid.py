@@ -159,6 +159,14 @@ def identify(
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(model)
     languages = model.languages
+    if not languages:  # a model of no labelled text tells nothing
+        return df.select(
+            F.col(key),
+            F.lit(None).cast("string").alias("language"),
+            F.lit(None).cast("double").alias("confidence"),
+            F.lit(False).alias("accepted"),
+            F.lit(None).cast("long").alias("n_trigrams"),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text", 1 << 20):
