@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, chat, forest, hpylm, langid, licenses, minhash, mixing, pii, topk
+from varloom.llm import bpe, chat, forest, hpylm, langid, licenses, minhash, mixing, overlap, pii, topk
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,9 @@ def op6_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op12_jaccard")
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of texts that share nearly all word 4-grams."""
+    return overlap.jaccard_classes(table(spark, sf_dir, "documents"), key="doc_id")
