@@ -31,7 +31,8 @@ WORDS = regex.compile(
 )
 _TWO_SPACES = regex.compile(r"\s ")
 _MARKS = frozenset(".,;:!?")
-CACHED = 300_000
+# Bytes that a worker's memory of words may take, and how many pairs of tokens it remembers.
+ROOM, PAIRS = 16 << 20, 200_000
 _FIRST = 1 << 62
 
 
@@ -119,7 +120,6 @@ class Encoder:
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special))
         self.fits: dict[int, bool] = {}
         self.words = _Memory(self.word)
-        self.first = _Memory(lambda piece: self._pieces(piece))
         self.spaced = _Memory(self._spaced)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -127,7 +127,7 @@ class Encoder:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * CACHED:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -222,7 +222,7 @@ class Encoder:
             return self._pieces(text)
         # a single space always begins a word, so texts may be cut there first
         first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def text(self, text: str) -> bytes:
         """Token ids of a whole text."""
@@ -236,16 +236,18 @@ class Encoder:
 
 
 class _Memory(dict):
-    """Results by key, forgotten when there are too many; long keys are not kept."""
+    """Results by key, forgotten when they fill the room; long keys are not kept."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.room = make, ROOM
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= 40:
-            if len(self) >= CACHED:
+            self.room -= 200 + 2 * len(key) + len(value)  # with the objects and their place
+            if self.room < 0:
                 self.clear()
+                self.room = ROOM
             self[key] = value
         return value
 
@@ -260,27 +262,32 @@ def load(spark: SparkSession, path: str) -> Broadcast:
     return prepare(spark).sparkContext.broadcast(Vocabulary.read(path))
 
 
-def encode(df: DataFrame, vocabulary: Broadcast, *, key: str, text: str = "text") -> DataFrame:
+def encode(
+    df: DataFrame, vocabulary: Broadcast, *, key: str, text: str = "text", back: bool = False
+) -> DataFrame:
     """(key, ids, n_tokens): the token ids of each text, as little-endian unsigned 32-bit
-    integers in one binary value.
+    integers in one binary value. With ``back`` also ``decoded``, the text that ``decode`` gives
+    for the ids, from the same worker.
 
     A NULL text counts as empty and has no tokens; repeated rows stay; other columns are not
     read. Texts of any length are encoded whole.
     """
+    names = ["key", "ids", "n_tokens"] + ["decoded"] * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = vocabulary.value.encoder.text
-        for batch in small_batches(batches, "_text", 4 << 20):
+        for batch in small_batches(batches, "_text", 1 << 20):
             ids = [one(t) if t else b"" for t in batch.column(1).to_pylist()]
             count = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), count], ["key", "ids", "n_tokens"]
-            )
+            columns = [batch.column(0), pa.array(ids, pa.binary()), count]
+            if back:
+                columns.append(_decoded(columns[1], *vocabulary.value.table))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS _text")
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, ids binary, n_tokens bigint")
-    return out.withColumnRenamed("key", key)
+    schema = f"key {kind}, ids binary, n_tokens bigint" + ", decoded string" * back
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, vocabulary: Broadcast, *, ids: str = "ids") -> DataFrame:

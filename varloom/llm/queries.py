@@ -228,3 +228,67 @@ def op6_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of texts that share nearly all word 4-grams."""
     return overlap.jaccard_classes(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+def repeated_words(doc_id: int, n: int) -> np.ndarray | None:
+    """Which word stands at each of n places: every tenth document repeats some of its words."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    first = h // 10 % n
+    period = 1 + (n - first) // (3 + h // 10 % 8)
+    place = np.arange(n)
+    place[first:] = first + (place[first:] - first) % period
+    return place
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, with digests of them and of what is left."""
+    docs = table(spark, sf_dir, "documents")
+    found = periods.collapse_runs(docs, key="doc_id", order=repeated_words)
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS n, -r.start AS s, -r.period AS q)))")
+    listed = F.expr(
+        "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.q")).alias("period"),
+        F.expr("1000 * best.n DIV -best.q").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+_NEGATIVES_SQL = """
+    WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+            list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id
+            ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5"""
+
+
+@query("op11_negatives", _NEGATIVES_SQL)
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and its positives, the rows of other labels that score nearly
+    as high."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        rows.withColumn("label", moved),
+        key="vec_id",
+        vector="embedding",
+        label="label",
+        asked=F.col("id") % 100 == 0,
+    )
