@@ -87,8 +87,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the text they decode to."""
     words = bpe.load(spark, TOKENIZER)
-    ids = bpe.encode(docs, words, key="doc_id")
-    return bpe.decode(ids, words).select(
+    return bpe.encode(docs, words, key="doc_id", back=True).select(
         "doc_id",
         "n_tokens",
         "ids",
