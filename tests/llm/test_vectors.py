@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import canonical, sql_tables
-from varloom.llm import forest, topk
+from varloom.llm import forest, topk, vectors
 from varloom.llm.queries import ORACLES, QUERIES
 
 
@@ -48,11 +48,11 @@ def odd_rows():
     rows += [(i, common) for i in range(100, 160)] + [(100, common), (0, rows[0][1])]
     rows += [(200, None), (201, []), (202, [1.0, None, 2.0]), (203, [math.nan, 1.0, 1.0])]
     rows += [(204, [math.inf, 1.0, 1.0]), (None, common), (300, [1.0, 2.0]), (301, [0.0] * 3)]
-    rows += [(5, [9.0, 9.0, 9.0]), (400, [1e30, 0.0, 0.0])]
+    rows += [(5, [9.0, 9.0, 9.0]), (400, [3e5, 0.0, 1.0]), (401, [-3e5, 1.0, 1.0]), (402, [1e6, 1e6, 3e5])]
     return rows
 
 
-def plain(rows, ask, measure, sign, usable, k=10):
+def plain(rows, ask, measure, sign, usable=lambda v: True, k=10):
     good = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and usable(v)})
     out = []
     for i, v in good:
@@ -62,7 +62,11 @@ def plain(rows, ask, measure, sign, usable, k=10):
     return sorted(out)
 
 
-def test_odd_rows_ties_and_repeats(spark):
+@pytest.mark.parametrize("size", [8192, 7])
+def test_odd_rows_ties_and_repeats(spark, monkeypatch, size):
+    """Also with many small blocks and rounds."""
+    monkeypatch.setattr(vectors, "ROWS", size)
+    monkeypatch.setattr(vectors, "ROUND", size * 40)
     rows = odd_rows()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("block", F.lit(1))
     ask = F.col("id") % 5 == 0
@@ -71,10 +75,13 @@ def test_odd_rows_ties_and_repeats(spark):
         return sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(v, w))
 
     got = topk.exact_top_k(df, key="vec_id", vector="embedding", asked=ask).collect()
-    assert sorted(map(tuple, got)) == plain(rows, 5, inner, -1, lambda v: max(map(abs, v)) < 1e6)
+    assert sorted(map(tuple, got)) == plain(rows, 5, inner, -1)
     near = forest.nearest(df, key="vec_id", vector="embedding", asked=ask, share=99.0, leaf=4).collect()
     want = plain(rows, 5, lambda v, w: math.sqrt(sum((x - y) ** 2 for x, y in zip(v, w))), 1, any)
     assert [r[:3] for r in sorted(map(tuple, near))] == [r[:3] for r in want]
+    big = spark.createDataFrame([(0, [1e30]), (5, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.exact_top_k(big, key="vec_id", vector="embedding", asked=ask)
     for search in (topk.exact_top_k, forest.nearest):
         assert search(df.limit(0), key="vec_id", vector="embedding", asked=ask).count() == 0
 

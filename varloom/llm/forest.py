@@ -3,15 +3,14 @@
 The trees are grown on a bounded sample: each node halves its sample across the line between
 two random members. Every vector is then indexed: it falls into one leaf of each tree. A query
 walks all trees at once from one priority queue, ordered by how far on the wrong side of a
-split the query lies, until the leaves seen hold a given share of the sample. The rows in
-those leaves are ranked by their exact distances. The index is cut into shards by row; each
-shard is searched for every query and the shards' best are merged.
+split the query lies, until the leaves seen hold a given share of the sample. The index is cut
+into blocks by row, each with lists of its rows by leaf; only the lists of the leaves seen are
+read, their rows are ranked by exact distances, and the blocks' best are merged.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,11 +78,11 @@ def grow(sample: np.ndarray, leaf: int, random: np.random.Generator) -> Tree:
     return Tree(np.array(normal), np.array(offset), *arrays)
 
 
-def visit(trees: list[Tree], query: np.ndarray, share: float) -> np.ndarray:
-    """The leaves to look into, nearest first, as tree * 2^20 + leaf."""
+def visit(trees: list[Tree], query: np.ndarray, share: float) -> list[list[int]]:
+    """The leaves of each tree to look into."""
     side = [t.normal @ query - t.offset for t in trees]
     queue = [(0.0, i, 0) for i in range(len(trees))]
-    seen, out = 0.0, []
+    seen, out = 0.0, [[] for _ in trees]
     while queue and seen < share:
         margin, i, node = heapq.heappop(queue)
         tree = trees[i]
@@ -94,9 +93,70 @@ def visit(trees: list[Tree], query: np.ndarray, share: float) -> np.ndarray:
             else:
                 node = tree.right[node]
             heapq.heappush(queue, (max(margin, abs(d)), i, int(far)))
-        out.append(i << 20 | int(node))
+        out[i].append(int(node))
         seen += tree.share[node]
-    return np.array(out, "<i4")
+    return out
+
+
+class Near:
+    """The nearest rows for the queries of a round."""
+
+    def __init__(self, queries: pa.Table, trees: list[Tree], dim: int, k: int, share: float):
+        self.queries, self.trees, self.dim, self.k = queries, trees, dim, k
+        self.by_length = vectors.by_length(queries)
+        self.own = queries.column("id").to_pylist()
+        self.best: list[list[tuple[float, int]]] = [[] for _ in self.own]
+        rows, asked = self.by_length.get(dim, ((), ()))
+        self.leaves = {i: visit(trees, q, share) for i, q in zip(rows, asked)}
+
+    def add(self, block: vectors.Block) -> None:
+        x, k = block.x, self.k
+        rows, queries = self.by_length.get(x.shape[1], ((), x[:0]))
+        if not len(rows):
+            return
+        indexed = x.shape[1] == self.dim
+        lists = [self._lists(tree, x) for tree in self.trees] if indexed else []
+        square = np.einsum("ij,ij->i", x, x)
+        for i, q in zip(rows, queries):
+            near = np.arange(len(x))
+            if indexed:
+                hit = np.zeros(len(x), bool)
+                for (order, starts), leaves in zip(lists, self.leaves[i]):
+                    for leaf in leaves:
+                        hit[order[starts[leaf] : starts[leaf + 1]]] = True
+                near = np.flatnonzero(hit)
+            if not len(near):
+                continue
+            # squared distances up to rounding, then the exact ones of those that can matter
+            best, own = self.best[i], float(q @ q)
+            inner = (x @ q)[near] if 4 * len(near) > len(x) else x[near] @ q
+            rough = square[near] - 2 * inner + own
+            slack = 1e-9 * (square[near] + own)
+            edge = best[-1][0] ** 2 * (1 + 1e-9) if len(best) == k else np.inf
+            if len(near) > k:
+                edge = min(edge, np.partition(rough + slack, k)[k])
+            near = near[rough - slack <= edge]
+            distance = np.sqrt(((x[near] - q) ** 2).sum(axis=1)).tolist()
+            self.best[i] = vectors.merge(best, block.ids, near, distance, self.own[i], k)
+
+    @staticmethod
+    def _lists(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows in order of their leaves, and where each leaf begins."""
+        leaf = tree.leaves(x)
+        order = np.argsort(leaf, kind="stable")
+        return order, np.searchsorted(leaf[order], np.arange(len(tree.left) + 1))
+
+    def found(self) -> pa.Table:
+        row = pa.array(np.repeat(np.arange(len(self.best)), [len(b) for b in self.best]), pa.int64())
+        flat = [pair for best in self.best for pair in best]
+        return pa.table(
+            {
+                "qid": self.queries.column("id").take(row),
+                "qmark": self.queries.column("mark").take(row),
+                "id": pa.array([i for _, i in flat], pa.int64()),
+                "score": pa.array([s for s, _ in flat], pa.float64()),
+            }
+        )
 
 
 def nearest(
@@ -118,7 +178,8 @@ def nearest(
     The trees are grown on at most ``sample`` different vectors of the most common length, the
     first in an order by hash; all rows are indexed. ``share`` is how much of the sample the
     visited leaves of all trees hold together; 1.0 or more looks into more than half of
-    the rows. Vectors of another length are compared with all of their length.
+    the rows. Vectors of another length are compared with all of their length. The trees go to
+    all tasks; they hold some trees * sample / leaf * 3 vectors, whatever the table's size.
 
     Ties go to smaller ids. Vectors that are NULL, empty, zero, or hold NULL or non-finite
     components take no part, nor do rows with a NULL key. Repeated rows count once; of an id
@@ -143,42 +204,14 @@ def nearest(
     random = np.random.default_rng(seed)
     forest = spark.sparkContext.broadcast([grow(grown, leaf, random) for _ in range(trees)])
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = []
-            for own in batch.column(2).to_pylist():
-                query = np.frombuffer(own, "<f8")
-                seen.append(visit(forest.value, query, share).tobytes() if len(query) == dim else b"")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(seen, pa.binary())], ["id", "dim", "v", "mark", "leaves"]
-            )
-
-    def queries(asking: DataFrame) -> DataFrame:
-        return asking.mapInArrow(look, "id long, dim int, v binary, mark long, leaves binary")
-
-    def local(stored: pa.Table, asking: pa.Table, k: int) -> tuple[np.ndarray, ...]:
-        x, q = vectors.matrix(stored, "<f8"), vectors.matrix(asking, "<f8")
-        ids, own = stored.column("ids").to_pylist(), asking.column("id").to_pylist()
-        everywhere = x.shape[1] != dim
-        if not everywhere:
-            members = [t.leaves(x) for t in forest.value]
-        rows, found, scores = [], [], []
-        for i, leaves in enumerate(asking.column("leaves").to_pylist()):
-            if everywhere:
-                near = np.arange(len(x))
-            else:
-                mask = np.zeros(len(x), bool)
-                seen = np.frombuffer(leaves, "<i4")
-                for t, at in enumerate(members):
-                    opened = np.zeros(len(forest.value[t].left), bool)
-                    opened[seen[seen >> 20 == t] & 0xFFFFF] = True
-                    mask |= opened[at]
-                near = np.flatnonzero(mask)
-            distance = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-            best, score = vectors.expand(ids, near, distance, own[i], k, 1)
-            rows += [i] * len(best)
-            found += best
-            scores += score
-        return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores)
-
-    return vectors.search(points, asked, k, "double", F.asc("score"), queries, local)
+    asking = points.where(asked).withColumn("mark", F.xxhash64("v"))
+    found = vectors.search(
+        vectors.stored(points, k),
+        asking,
+        lambda queries: Near(queries, forest.value, dim, k, share),
+        "qid long, qmark long, id long, score double",
+        ["qid", "qmark"],
+        [F.asc("score"), F.col("id")],
+        k,
+    )
+    return found.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, chat, forest, hpylm, langid, licenses, minhash, mixing, overlap, pii, topk
+from varloom.llm import (
+    bpe,
+    chat,
+    forest,
+    hpylm,
+    langid,
+    licenses,
+    minhash,
+    mixing,
+    negatives,
+    overlap,
+    periods,
+    pii,
+    topk,
+)
 from varloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +52,7 @@ def query(name: str, sql: str | None = None):
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, with digests of both."""
     words = bpe.load(spark, TOKENIZER)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), words, key="doc_id")
-    return bpe.decode(ids, words).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), words, key="doc_id", back=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

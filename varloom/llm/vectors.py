@@ -1,13 +1,18 @@
-"""Searching vectors in blocks: what exact and approximate search share.
+"""Searching vectors in blocks: what exact and approximate search and mining share.
 
-Equal vectors are stored once with their smallest ids, as many as a result can need. Blocks
-of candidates meet blocks of queries by key, so that a task holds one of each.
+Equal vectors are stored once with their smallest ids, as many as a result can need. The
+stored rows stay where they are: queries go to all tasks in rounds of bounded size, and each
+task keeps the best of its own rows for every query of the round. Only these are shuffled, so
+what moves does not grow with queries times rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varloom.llm.common import prepare
-from varloom.plans.scale import cut_lineage
+from varloom.plans.scale import checkpoint_folder, cut_lineage
 
-CANDIDATES, QUERIES_AT_ONCE = 8192, 1024
-FOUND = "qid long, qmark long, id long, score"
+# Rows and bytes of a block of stored vectors, and bytes of the queries of a round.
+ROWS, BLOCK, ROUND = 8192, 16 << 20, 8 << 20
+
+
+@dataclass
+class Block:
+    """Stored vectors of one length: the vectors as rows, the ids and the label of each."""
+
+    x: np.ndarray
+    ids: list[list[int]]
+    label: np.ndarray
+
+
+class Searcher(Protocol):
+    """What a task does with the queries of a round."""
+
+    def add(self, block: Block) -> None: ...
+
+    def found(self) -> pa.Table: ...
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,10 +56,27 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (sizes > 0) & (bad[bounds[1:]] == bad[bounds[:-1]]), values, bounds
 
 
+def whole(scale: int) -> Callable[[np.ndarray], np.ndarray]:
+    """floor(scale * x) as doubles, which hold such whole numbers exactly."""
+
+    def change(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            out = np.floor(scale * x) + 0.0
+        if not np.isfinite(out).all():
+            raise ValueError("a scaled component leaves the range of doubles")
+        return out
+
+    return change
+
+
 def points(
-    df: DataFrame, key: str, vector: str, change: Callable[[np.ndarray], np.ndarray | None]
+    df: DataFrame,
+    key: str,
+    vector: str,
+    change: Callable[[np.ndarray], np.ndarray | None],
+    label: str | None = None,
 ) -> DataFrame:
-    """(id, dim, v): vectors as little-endian 64-bit numbers, after ``change``, which gives
+    """(id, dim, v, label): vectors as little-endian doubles, after ``change``, which gives
     None for a vector that takes no part. NULL ids, and NULL or non-finite components, take
     no part either. A row that repeats another one counts once."""
 
@@ -51,94 +90,132 @@ def points(
                 own = change(values[bounds[i] : bounds[i + 1]])
                 if own is not None:
                     rows.append(i)
-                    made.append(own.tobytes())
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                    made.append(own.astype("<f8").tobytes())
+            ids, marks = (batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 2))
             dims = pa.array([len(x) // 8 for x in made], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, dims, pa.array(made, pa.binary())], ["id", "dim", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, dims, pa.array(made, pa.binary()), marks], ["id", "dim", "v", "label"]
+            )
 
+    mark = F.lit("") if label is None else F.col(label).cast("string")
     source = df.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).alias("v")
+        F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), mark.alias("label")
     )
-    return source.mapInArrow(run, "id long, dim int, v binary").distinct()
-
+    return source.mapInArrow(run, "id long, dim int, v binary, label string").distinct()
 
-def search(
-    vectors: DataFrame,
-    asked: Column,
-    k: int,
-    score: str,
-    best_first: Column,
-    queries: Callable[[DataFrame], DataFrame],
-    local: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, ...]],
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all candidates for each asked vector.
 
-    ``vectors`` is what ``points`` gives, written; ``asked`` picks the queries by id;
-    ``queries`` may add columns to them; ``local`` finds, in a block of candidates and one of
-    queries, the k best by query as (query row, id, score).
-    """
-    prepare(vectors.sparkSession)
-    order = W.partitionBy("dim", "v").orderBy("id")
+def stored(vectors: DataFrame, k: int) -> DataFrame:
+    """(dim, v, label, ids): different vectors with their k + 1 smallest ids, written in about
+    as many parts as the cluster has cores or blocks are filled."""
+    order = W.partitionBy("dim", "v", "label").orderBy("id")
     few = vectors.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    stored = few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    stored = cut_lineage(stored)
-    asking = cut_lineage(
-        queries(vectors.where(asked).withColumn("mark", F.xxhash64("v")))
-    )
-    n_blocks = max(1, math.ceil(stored.count() / CANDIDATES))
-    n_groups = max(1, math.ceil(asking.count() / QUERIES_AT_ONCE))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int"))
-    stored = stored.withColumn("part", every(n_groups))
-    asking = asking.withColumn("part", F.pmod(F.xxhash64("id", "mark"), F.lit(n_groups)).cast("int"))
-    asking = asking.withColumn("block", every(n_blocks))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if left.num_rows and right.num_rows:
-            row, ids, scores = local(left, right, k)
-        taken = right.select(["id", "mark"]).take(pa.array(row, pa.int64()))
-        return pa.table(
-            {
-                "qid": taken.column(0),
-                "qmark": taken.column(1),
-                "id": pa.array(ids, pa.int64()),
-                "score": pa.array(scores, pa.int64() if score == "long" else pa.float64()),
-            }
-        )
-
-    pair = ["dim", "block", "part"]
-    found = (
-        stored.groupBy(*pair).cogroup(asking.groupBy(*pair)).applyInArrow(run, f"{FOUND} {score}")
-    )
-    ranked = W.partitionBy("qid", "qmark").orderBy(best_first, "id")
-    return (
-        found.withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
-        .select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
-    )
-
-
-def matrix(table: pa.Table, kind: str) -> np.ndarray:
-    """The vectors of a block as rows."""
-    raw = b"".join(table.column("v").to_pylist())
-    return np.frombuffer(raw, kind).reshape(table.num_rows, -1)
+    rows = few.groupBy("dim", "v", "label").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    rows = cut_lineage(rows)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, math.ceil(rows.count() / ROWS)))
+    if rows.rdd.getNumPartitions() >= parts:
+        return rows
+    return cut_lineage(rows.repartition(parts, "v", "label"))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Rows of ``stored`` gathered to blocks of one length of vectors."""
+    held: dict[int, list[pa.Table]] = {}
+
+    def filled(dim: int) -> Block:
+        table = pa.concat_tables(held.pop(dim))
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(-1, dim)
+        label = np.array(table.column("label").to_pylist(), object)
+        return Block(x, table.column("ids").to_pylist(), label)
+
+    def rows(dim: int) -> int:
+        return sum(t.num_rows for t in held.get(dim, ()))
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for dim in pc.unique(batch.column(0)).to_pylist():
+            held.setdefault(dim, []).append(table.filter(pc.equal(table.column("dim"), dim)))
+            if rows(dim) >= min(ROWS, BLOCK // (8 * dim)):
+                yield filled(dim)
+        if sum(map(rows, held)) >= 2 * ROWS:  # of very many lengths none may fill a block
+            yield from map(filled, list(held))
+    yield from map(filled, list(held))
 
 
-def expand(
-    ids: list[list[int]], rows: np.ndarray, scores: np.ndarray, own: int, k: int, sign: int
-) -> tuple[list[int], list]:
-    """The k best (id, score) of stored vectors, ties to smaller ids, without ``own``.
+def search(
+    rows: DataFrame,
+    asking: DataFrame,
+    start: Callable[[pa.Table], Searcher],
+    schema: str,
+    by: list[str],
+    best: list[Column],
+    k: int,
+) -> DataFrame:
+    """The k best rows that searchers find, by query (``by``) and in the order ``best``, with
+    their place as ``rank``.
 
-    ``sign`` is 1 if smaller scores are better.
+    ``rows`` are those of ``stored``; ``asking`` holds the queries with a column ``v``. Each
+    round's queries are sent to all tasks as one table of some ROUND bytes.
     """
-    if len(rows) > k + 1:  # a vector may hold nothing but the query's own id
-        edge = np.partition(sign * scores, k)[k]
-        near = sign * scores <= edge
-        rows, scores = rows[near], scores[near]
-    flat = [(sign * s, i) for r, s in zip(rows.tolist(), scores.tolist()) for i in ids[r] if i != own]
-    flat.sort()
-    return [i for _, i in flat[:k]], [sign * s for s, _ in flat[:k]]
+    spark = prepare(rows.sparkSession)
+    total = asking.agg(F.sum(F.length("v"))).first()[0] or 0
+    rounds = max(1, math.ceil(total / ROUND))
+    dealt = asking.withColumn("_round", F.pmod(F.xxhash64("id", "v"), F.lit(rounds)))
+    path = f"{checkpoint_folder(spark).rstrip('/')}/varloom-{uuid.uuid4().hex}"
+    ranked = W.partitionBy(*by).orderBy(*best)
+    for i in range(rounds):
+        sent = spark.sparkContext.broadcast(dealt.where(F.col("_round") == i).toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = start(sent.value)
+            for block in blocks(batches):
+                searcher.add(block)
+            yield from searcher.found().to_batches(max_chunksize=10_000)
+
+        found = rows.select("dim", "v", "label", "ids").mapInArrow(run, schema)
+        found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def by_length(queries: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The queries' row numbers and vectors by the vectors' length."""
+    raw = queries.column("v").to_pylist()
+    size = np.array([len(v) // 8 for v in raw], np.int64)
+    out = {}
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        out[dim] = rows, np.frombuffer(b"".join(raw[i] for i in rows), "<f8").reshape(-1, dim)
+    return out
+
+
+def exact_in_doubles(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether no sum of products of these whole numbers leaves 53 bits."""
+    return np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2.0**53
+
+
+def inner(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Inner products of whole numbers in Python's integers, which have no bounds."""
+    own = [int(v) for v in q]
+    return [sum(a * b for a, b in zip(map(int, row), own)) for row in x.tolist()]
+
+
+def merge(
+    best: list[tuple], ids: list[list[int]], rows: np.ndarray, scores: list, own: int, k: int
+) -> list[tuple]:
+    """``best``, a sorted list of (score, id) with the smallest scores first, after the given
+    stored rows; ties go to smaller ids, ``own`` is left out."""
+    if len(rows) > k + 1:  # a row may hold nothing but the query's own id
+        edge = sorted(scores)[k]
+        near = [i for i, s in enumerate(scores) if s <= edge]
+        rows, scores = rows[near], [scores[i] for i in near]
+    pairs = [(s, i) for r, s in zip(rows.tolist(), scores) for i in ids[r] if i != own]
+    return sorted(best + pairs)[:k]
+
+
+def whole_scores(scores: list[int]) -> pa.Array:
+    """Scores as 64-bit integers."""
+    if any(abs(s) >= 1 << 63 for s in scores):
+        raise ValueError("a score among the best leaves 64 bits")
+    return pa.array(scores, pa.int64())
