@@ -138,7 +138,8 @@ def test_vi_matches_dense_updates(data):
     assert np.allclose([got[t]["m"][0] for t in names], icpt, atol=1e-9)
     assert np.allclose([got[t]["m"][1] for t in names], f, atol=1e-9)
     assert np.allclose([got[t]["m"][2:] for t in names], v, atol=1e-9)
-    assert np.allclose(np.array([got[t]["alpha"][0] for t in names]).T, alpha, atol=1e-9)
+    own = {(r["test"], r["z"]): r["alpha"] for r in fit.effects.collect()}
+    assert np.allclose([[own[t, i] for t in names] for i in range(sizes[0])], alpha, atol=1e-9)
     us = np.array([r["u"] for r in fit.samples.orderBy("sample").collect()])
     assert np.allclose(us, u, atol=1e-9)
 

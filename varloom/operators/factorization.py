@@ -10,6 +10,11 @@ parameters of the tests. One iteration is therefore two grouped sums in the JVM,
 followed by closed-form updates on one row per sample or per test. A test or a sample that
 holds a third of all observations is combined map-side like any other.
 
+Random intercepts are rows of their own, by test, grouping and level. They are updated between
+two halves of the tests' step: sums by level meet the tests' coefficients by an equi-join,
+and what the coefficients need of the intercepts is a sum by test again. No row grows with
+the number of levels.
+
 Input: ``obs(test, sample, g, y)`` and ``samples(sample, [groups], [c array])``.
 """
 
@@ -62,7 +67,6 @@ class Options:
     a: float = 1.0
     b: float = 1.0
     dirichlet: float = 1.1
-    n_levels: int = 0  # levels of all groupings, filled in by the fit
 
     @property
     def n_c(self) -> int:
@@ -96,6 +100,8 @@ class Fit:
     obs: DataFrame | None = None
     theta_va: np.ndarray | None = None
     theta_vb: np.ndarray | None = None
+    effects: DataFrame | None = None  # random intercepts by test, grouping r and level z
+    converged: bool | None = None  # whether the bound settled; None without a tolerance
 
 
 def _normal_draw(seed: int, key: str, k: int) -> list[Column]:
@@ -140,8 +146,8 @@ def _mean(latent) -> Column:
     return F.lit(1.0) if latent is None else F.col(latent[0])[latent[1]]
 
 
-def _test_sums(obs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
-    """Expected cross products of each test with the design, and sums by random-effect level."""
+def _design_sums(obs: DataFrame, samples: DataFrame, o: Options, keys: Sequence[str]) -> DataFrame:
+    """Expected cross products of the observations of each key with the design."""
     columns = ["sample", "u", "u2", *(["c", "c2"] if o.n_c else []), *[f"_g{r}" for r in range(len(o.groups))]]
     if o.svi_fraction:
         columns.append("_scale")
@@ -155,192 +161,294 @@ def _test_sums(obs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
         second = F.col(f"{li[0]}2")[li[1]] if li is not None and li == lj else _mean(li) * _mean(lj)
         gram.append(F.sum(w * mi * mj * second))
     xy = [F.sum(w * y * m * _mean(latent)) for m, latent in terms]
-    keys = ["test", *[f"_g{r}" for r in range(len(o.groups))]]
-    first = joined.groupBy(*keys).agg(
+    return joined.groupBy(*keys).agg(
         F.array(*gram).alias("gram"),
         F.array(*xy).alias("xy"),
         F.sum(w * y * y).alias("yy"),
-        *([F.max("_scale").alias("_scale")] if o.svi_fraction else []),
+        (F.max("_scale") if o.svi_fraction else F.max(F.lit(1.0))).alias("up"),
     )
-    if not o.groups:
-        return first
-    p = len(terms)
-    level = F.struct(
-        *[F.col(f"_g{r}") for r in range(len(o.groups))],
-        F.slice("gram", 1, p).alias("x"),
-        F.col("xy")[0].alias("y"),
-        (F.col("_scale") if o.svi_fraction else F.lit(1.0)).alias("scale"),
+
+
+def _test_sums(obs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
+    """Expected cross products of each test with the design."""
+    return _design_sums(obs, samples, o, ["test"]).drop("up")
+
+
+def _sum_of(column: str, n: int) -> Column:
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(n)])
+
+
+# --- random intercepts -----------------------------------------------------------------------
+
+
+def _start_effects(obs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
+    """One row for every level in which a test has observations."""
+    names = [f"_g{r}" for r in range(len(o.groups))]
+    cells = obs.join(broadcast_if_small(samples.select("sample", *names)), "sample").select("test", *names)
+    each = [F.struct(F.lit(r).alias("r"), F.col(g).cast("long").alias("z")) for r, g in enumerate(names)]
+    pairs = cells.distinct().select("test", F.explode(F.array(*each)).alias("e")).select("test", "e.r", "e.z")
+    start = pairs.distinct().select("test", "r", "z", F.lit(0.0).alias("alpha"), F.lit(1e-7).alias("avar"))
+    return cut_lineage(start)
+
+
+def _levels(cells: DataFrame, effects: DataFrame, o: Options) -> DataFrame:
+    """The intercepts with the sums of their observations: design x, y and weight up.
+
+    A level without observations in this step has zeros.
+    """
+    p = o.width
+    parts = []
+    for r in range(len(o.groups)):
+        sums = cells.groupBy("test", F.col(f"_g{r}").cast("long").alias("z")).agg(
+            _sum_of("gram", p).alias("x"), F.sum(F.col("xy")[0]).alias("ly"), F.max("up").alias("up")
+        )
+        parts.append(sums.withColumn("r", F.lit(r)))
+    now = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return cut_lineage(
+        effects.join(now, ["test", "r", "z"], "left").select(
+            "test", "r", "z", "alpha", "avar",
+            F.coalesce("x", F.array_repeat(F.lit(0.0), p)).alias("x"),
+            F.coalesce("ly", F.lit(0.0)).alias("ly"),
+            F.coalesce("up", F.lit(1.0)).alias("up"),
+            F.lit(0.0).alias("cross"),
+        )
     )
-    # the list of a test has one entry for each random-effect level
-    return first.groupBy("test").agg(
-        F.array(*[F.sum(F.col("gram")[i]) for i in range(len(gram))]).alias("gram"),
-        F.array(*[F.sum(F.col("xy")[i]) for i in range(p)]).alias("xy"),
-        F.sum("yy").alias("yy"),
-        F.collect_list(level).alias("levels"),
+
+
+def _pulled(p: int) -> Column:
+    """What the intercepts take from the cross products of a test with y."""
+    return F.array(*[F.sum(F.col("alpha") * F.col("up") * F.col("x")[i]) for i in range(p)])
+
+
+def _new_effects(
+    levels: DataFrame, tests: DataFrame, cells: DataFrame, o: Options, r: int, rho: float, tau: float | None
+) -> DataFrame:
+    """The intercepts of grouping r, given the coefficients and those of the other grouping."""
+    p = o.width
+    precision = F.lit(tau) if tau is not None else F.col("tau_a") / F.col("tau_b")
+    params = tests.select(
+        "test", "m", precision.alias("_tau"), (F.col("psi_a")[r] / F.col("psi_b")[r]).alias("_psi")
+    )
+    own = levels.where(F.col("r") == r)
+    if len(o.groups) == 2:
+        other = levels.where(F.col("r") == 1 - r).select("test", F.col("z").alias("_o"), F.col("alpha").alias("_a"))
+        met = cells.select(
+            "test",
+            F.col(f"_g{r}").cast("long").alias("z"),
+            F.col(f"_g{1 - r}").cast("long").alias("_o"),
+            F.col("gram")[0].alias("_n"),
+        ).join(other, ["test", "_o"])
+        cross = met.groupBy("test", "z").agg(F.sum(F.col("_n") * F.col("_a")).alias("_cross"))
+        own = own.join(cross, ["test", "z"], "left").withColumn("cross", F.coalesce("_cross", F.lit(0.0)))
+    rest = F.col("ly") - F.col("cross")
+    for i in range(p):
+        rest = rest - F.col("x")[i] * F.col("m")[i]
+    var = 1.0 / (F.col("up") * F.col("x")[0] * F.col("_tau") + F.col("_psi"))
+    mean = var * F.col("_tau") * F.col("up") * rest
+    if rho < 1:
+        var = (1 - rho) * F.col("avar") + rho * var
+        mean = (1 - rho) * F.col("alpha") + rho * mean
+    joined = own.join(broadcast_if_small(params, width=p + 4), "test")
+    return cut_lineage(
+        joined.select(
+            "test", "r", "z", mean.alias("alpha"), var.alias("avar"), "x", "ly", "up", "cross"
+        )
+    )
+
+
+def _effect_sums(levels: DataFrame, o: Options) -> DataFrame:
+    """By test, all that the coefficients, variances and the bound need of the intercepts."""
+    a, v = F.col("alpha"), F.col("avar")
+    second = a * a + v
+
+    def by_group(value: Column) -> Column:
+        return F.array(*[F.sum(F.when(F.col("r") == r, value).otherwise(0.0)) for r in range(len(o.groups))])
+
+    return levels.groupBy("test").agg(
+        _pulled(o.width).alias("pull"),
+        F.sum(a * F.col("up") * F.col("ly")).alias("ay"),
+        F.sum(F.col("up") * F.col("x")[0] * second).alias("spread"),
+        # the last grouping's rows hold what they share with the first one's
+        F.sum(F.when(F.col("r") == 1, a * F.col("cross")).otherwise(0.0)).alias("both"),
+        by_group(second).alias("second"),
+        by_group(F.log(v)).alias("logs"),
+        by_group(F.lit(1.0)).alias("count"),
+    )
+
+
+def _size_moments(levels: DataFrame, p: int) -> DataFrame:
+    """The first grouping's levels merged by their numbers of observations, as a list by test."""
+    x = [F.col("x")[i] for i in range(p)] + [F.col("ly")]
+    merged = levels.where("r = 0").groupBy("test", F.col("x")[0].alias("n")).agg(
+        F.count("*").cast("double").alias("m"),
+        F.array(*[F.sum(x[i] * x[j]) for i, j in _triangle(p + 1)]).alias("outer"),
     )
+    return merged.groupBy("test").agg(F.collect_list(F.struct("n", "m", "outer")).alias("classes"))
 
 
 _TEST_SCHEMA = (
     "test {t}, m array<double>, m2 array<double>, var array<double>, mu_v array<double>, "
-    "s_v array<double>, alpha array<array<double>>, avar array<array<double>>, "
+    "s_v array<double>, idle array<double>, "
     "psi_a array<double>, psi_b array<double>, tau_a double, tau_b double, "
     "ls_a double, ls_b double, n double, rss double, part double"
 )
+_MID_SCHEMA = _TEST_SCHEMA + ", gram array<double>, xy array<double>, yy double"
 
 
 class _TestStep:
-    """Closed-form updates of all parameters of a block of tests."""
+    """Closed-form updates of all parameters of a block of tests.
+
+    With random intercepts the step has two halves: ``before`` updates the effects that
+    interact with the loadings, ``after`` the intercept, the genotype and the covariates, the
+    variances and the bound, when the random intercepts have moved.
+    """
 
-    def __init__(self, o: Options, sizes, gamma_v, theta_v, tau, step, full_n):
+    def __init__(self, o: Options, sizes, gamma_v, theta_v, tau, step, full_n, first):
         self.o, self.sizes, self.gamma_v, self.theta_v = o, sizes, gamma_v, theta_v
-        self.tau, self.step, self.full_n = tau, step, full_n
+        self.tau, self.step, self.full_n, self.first = tau, step, full_n, first
 
-    def __call__(self, frames):
+    def _chunks(self, frames):
         for frame in frames:
             for at in range(0, len(frame), _CHUNK):
-                yield self.update(frame.iloc[at : at + _CHUNK])
+                yield frame.iloc[at : at + _CHUNK].reset_index(drop=True)
+
+    def whole(self, frames):
+        for frame in self._chunks(frames):
+            yield self.after(self.before(frame))
 
-    def update(self, frame):
+    def before_all(self, frames):
+        for frame in self._chunks(frames):
+            yield self.before(frame)
+
+    def after_all(self, frames):
+        for frame in self._chunks(frames):
+            yield self.after(frame)
+
+    def read(self, frame):
         o, p = self.o, self.o.width
         scale = 1.0 / o.svi_fraction if o.svi_fraction else 1.0
-        gram, xy = _full(_stack(frame["gram"]), p) * scale, _stack(frame["xy"]) * scale
-        yy = frame["yy"].to_numpy(dtype=float) * scale
-        n = gram[:, 0, 0].copy()
-        b = len(frame)
-        m, m2, var = _stack(frame["m"]), _stack(frame["m2"]), _stack(frame["var"])
-        mu_v, s_v = _stack(frame["mu_v"]), _stack(frame["s_v"])
-        tau = (
-            np.full(b, self.tau)
+        self.gram, self.xy = _full(_stack(frame["gram"]), p) * scale, _stack(frame["xy"]) * scale
+        self.m, self.m2, self.var = _stack(frame["m"]), _stack(frame["m2"]), _stack(frame["var"])
+        self.mu_v, self.s_v = _stack(frame["mu_v"]), _stack(frame["s_v"])
+        self.now = (
+            np.full(len(frame), self.tau)
             if self.tau is not None
             else frame["tau_a"].to_numpy(dtype=float) / frame["tau_b"].to_numpy(dtype=float)
         )
-        n_re = len(o.groups)
-        alpha = [np.stack([np.asarray(a[r], dtype=float) for a in frame["alpha"]]) for r in range(n_re)]
-        avar = [np.stack([np.asarray(a[r], dtype=float) for a in frame["avar"]]) for r in range(n_re)]
-        psi_a, psi_b = (_stack(frame["psi_a"]), _stack(frame["psi_b"])) if n_re else (None, None)
-        xs = [np.zeros((b, self.sizes[r], p)) for r in range(n_re)]
-        ys = [np.zeros((b, self.sizes[r])) for r in range(n_re)]
-        up = [np.ones((b, self.sizes[r])) for r in range(n_re)]
-        cross = np.zeros((b, *self.sizes)) if n_re == 2 else None
-        if n_re:
-            for i, levels in enumerate(frame["levels"]):
-                for e in levels:
-                    for r in range(n_re):
-                        z = e[f"_g{r}"]
-                        xs[r][i, z] += e["x"]
-                        ys[r][i, z] += e["y"]
-                        up[r][i, z] = e["scale"]
-                    if cross is not None:
-                        cross[i, e["_g0"], e["_g1"]] += e["x"][0]
-        rho = self.step
-
-        def blend(old, new):
-            return new if rho >= 1 else (1 - rho) * old + rho * new
-
-        def pull(r):
-            """Random effects of grouping r seen by the coefficients."""
-            return np.einsum("bz,bzp->bp", alpha[r] * (up[r] if o.svi_fraction else 1.0), xs[r])
-
-        def coefficient(j, precision, spike=None):
-            rest = xy[:, j] - np.einsum("bl,bl->b", gram[:, j], m) + gram[:, j, j] * m[:, j]
-            for r in range(n_re):
-                rest = rest - pull(r)[:, j]
-            a = precision + tau * gram[:, j, j]
-            good = a > 1e-300
-            new_var = np.where(good, 1.0 / np.where(good, a, 1.0), var[:, j])
-            new_mu = new_var * tau * rest
-            var[:, j] = blend(var[:, j], new_var)
-            if spike is None:
-                m[:, j] = blend(m[:, j], new_mu)
-                m2[:, j] = m[:, j] ** 2 + var[:, j]
-            else:
-                odds = spike[1] + 0.5 * np.log(precision) - 0.5 * np.log(a) + (tau * rest) ** 2 / (2 * a)
-                k = spike[0]
-                mu_v[:, k] = blend(mu_v[:, k], new_mu)
-                s_v[:, k] = blend(s_v[:, k], special.sigmoid(odds))
-                m[:, j] = mu_v[:, k] * s_v[:, k]
-                m2[:, j] = s_v[:, k] * (mu_v[:, k] ** 2 + var[:, j])
-
-        if o.init in ("regression", "mixed") and frame["n"].isna().all():
-            self.start(gram, xy, yy, xs, ys, m, m2, var, mu_v)
+        self.pull = _stack(frame["pull"]) if o.groups else np.zeros_like(self.xy)
+        return scale
+
+    def blend(self, old, new):
+        return new if self.step >= 1 else (1 - self.step) * old + self.step * new
+
+    def coefficient(self, j, precision, spike=None):
+        gram, m, m2, var, tau = self.gram, self.m, self.m2, self.var, self.now
+        rest = self.xy[:, j] - np.einsum("bl,bl->b", gram[:, j], m) + gram[:, j, j] * m[:, j] - self.pull[:, j]
+        a = precision + tau * gram[:, j, j]
+        good = a > 1e-300
+        new_var = np.where(good, 1.0 / np.where(good, a, 1.0), var[:, j])
+        new_mu = new_var * tau * rest
+        var[:, j] = self.blend(var[:, j], new_var)
+        if spike is None:
+            m[:, j] = self.blend(m[:, j], new_mu)
+            m2[:, j] = m[:, j] ** 2 + var[:, j]
+        else:
+            odds = spike[1] + 0.5 * np.log(precision) - 0.5 * np.log(a) + (tau * rest) ** 2 / (2 * a)
+            k, mu_v, s_v = spike[0], self.mu_v, self.s_v
+            mu_v[:, k] = self.blend(mu_v[:, k], new_mu)
+            s_v[:, k] = self.blend(s_v[:, k], special.sigmoid(odds))
+            m[:, j] = mu_v[:, k] * s_v[:, k]
+            m2[:, j] = s_v[:, k] * (mu_v[:, k] ** 2 + var[:, j])
+
+    def written(self, frame, names):
+        out = frame[names].copy()
+        for name in ("m", "m2", "var", "mu_v", "s_v"):
+            out[name] = list(getattr(self, name))
+        return out
+
+    def before(self, frame):
+        o = self.o
+        self.read(frame)
+        if self.first and o.init in ("regression", "mixed"):
+            self.start(frame)
         for k in range(o.k):
             spike = None
             if o.factor_spike:
                 ta, tb = self.theta_v
                 spike = (k, special.digamma(ta[k]) - special.digamma(tb[k]))
-            coefficient(o.v.start + k, self.gamma_v[k], spike)
+            self.coefficient(o.v.start + k, self.gamma_v[k], spike)
         if o.environment_effect:
             for k in range(o.k):
-                coefficient(o.d.start + k, o.gamma_v)
-        for r in range(n_re):
-            rest = ys[r] - np.einsum("bzp,bp->bz", xs[r], m)
-            if cross is not None:
-                other = cross if r == 0 else cross.transpose(0, 2, 1)
-                rest = rest - np.einsum("bzk,bk->bz", other, alpha[1 - r])
-            psi = (psi_a[:, r] / psi_b[:, r])[:, None]
-            new_var = 1.0 / (up[r] * xs[r][:, :, 0] * tau[:, None] + psi)
-            new_mu = new_var * tau[:, None] * up[r] * rest
-            avar[r], alpha[r] = blend(avar[r], new_var), blend(alpha[r], new_mu)
-        coefficient(0, 0.0)
+                self.coefficient(o.d.start + k, o.gamma_v)
+        rest = "test idle psi_a psi_b tau_a tau_b ls_a ls_b n rss part gram xy yy".split()
+        return self.written(frame, rest)
+
+    def after(self, frame):
+        o = self.o
+        scale = self.read(frame)
+        gram, xy, n_re = self.gram, self.xy, len(o.groups)
+        yy = frame["yy"].to_numpy(dtype=float) * scale
+        n = gram[:, 0, 0].copy()
+        self.coefficient(0, 0.0)
         if o.genotype_intercept:
-            coefficient(1, o.gamma_f)
+            self.coefficient(1, o.gamma_f)
         for j in range(o.n_c):
-            coefficient(2 + j, o.gamma_v)
-        for r in range(n_re):
-            second = (alpha[r] ** 2 + avar[r]).sum(1)
-            psi_a[:, r] = o.shape + self.sizes[r] / 2.0
-            psi_b[:, r] = o.rate + second / 2.0
+            self.coefficient(2 + j, o.gamma_v)
+        m, m2 = self.m, self.m2
+        psi_a, psi_b, idle = (_stack(frame[c]) if n_re else np.zeros((len(frame), 0)) for c in ("psi_a", "psi_b", "idle"))
+        second = logs = None
+        if n_re:
+            # levels without any observation of the test stay at zero with the prior's variance
+            idle = self.blend(idle, psi_b / psi_a)
+            unseen = np.array(self.sizes, float) - _stack(frame["count"])
+            second = _stack(frame["second"]) + unseen * idle
+            logs = _stack(frame["logs"]) + unseen * np.log(idle)
+            psi_a = np.tile(o.shape + np.array(self.sizes) / 2.0, (len(frame), 1))
+            psi_b = o.rate + second / 2.0
         # expected squared residuals
         rss = yy - 2 * np.einsum("bp,bp->b", m, xy) + np.einsum("bp,bpq,bq->b", m, gram, m)
         rss += np.einsum("bpp,bp->b", gram, m2 - m**2)
-        for r in range(n_re):
-            lift = up[r] if o.svi_fraction else 1.0
-            size = xs[r][:, :, 0] * lift
-            rss += (size * (alpha[r] ** 2 + avar[r])).sum(1)
-            rss -= 2 * (alpha[r] * lift * (ys[r] - np.einsum("bzp,bp->bz", xs[r], m))).sum(1)
-        if cross is not None:
-            rss += 2 * np.einsum("bz,bzk,bk->b", alpha[0], cross, alpha[1]) * scale
-        tau_a = blend(frame["tau_a"].to_numpy(dtype=float), o.shape + n / 2.0)
-        tau_b = blend(frame["tau_b"].to_numpy(dtype=float), o.rate + rss / 2.0)
+        if n_re:
+            rss += frame["spread"].to_numpy(dtype=float)
+            rss -= 2 * (frame["ay"].to_numpy(dtype=float) - np.einsum("bp,bp->b", m, self.pull))
+            rss += 2 * frame["both"].to_numpy(dtype=float) * scale
+        tau_a = self.blend(frame["tau_a"].to_numpy(dtype=float), o.shape + n / 2.0)
+        tau_b = self.blend(frame["tau_b"].to_numpy(dtype=float), o.rate + rss / 2.0)
         ls_a, ls_b = frame["ls_a"].to_numpy(dtype=float), frame["ls_b"].to_numpy(dtype=float)
         if o.zero_inflated:
             ls_a, ls_b = o.a + n, o.b + self.full_n - n
-        out = frame[["test"]].copy()
-        for name, value in (("m", m), ("m2", m2), ("var", var), ("mu_v", mu_v), ("s_v", s_v)):
-            out[name] = list(value)
-        out["alpha"] = [[alpha[r][i] for r in range(n_re)] for i in range(b)]
-        out["avar"] = [[avar[r][i] for r in range(n_re)] for i in range(b)]
-        out["psi_a"] = list(psi_a) if n_re else [[] for _ in range(b)]
-        out["psi_b"] = list(psi_b) if n_re else [[] for _ in range(b)]
+        out = self.written(frame, ["test"])
+        out["idle"], out["psi_a"], out["psi_b"] = list(idle), list(psi_a), list(psi_b)
         out["tau_a"], out["tau_b"], out["ls_a"], out["ls_b"] = tau_a, tau_b, ls_a, ls_b
         out["n"], out["rss"] = n, rss
-        out["part"] = self.bound(m, m2, var, mu_v, s_v, alpha, avar, psi_a, psi_b, tau_a, tau_b, n, rss)
+        out["part"] = self.bound(
+            m, m2, self.var, self.mu_v, self.s_v, second, logs, psi_a, psi_b, tau_a, tau_b, n, rss
+        )
         return out
 
-    def start(self, gram, xy, yy, xs, ys, m, m2, var, mu_v):
+    def start(self, frame):
         """Starting coefficients from least squares, or from a random-intercept model."""
-        o = self.o
-        use = [j for j in range(o.width) if j != 1 or o.genotype_intercept]
-        for i in range(len(m)):
+        o, p = self.o, self.o.width
+        use = [j for j in range(p) if j != 1 or o.genotype_intercept]
+        yy = frame["yy"].to_numpy(dtype=float)
+        for i in range(len(frame)):
+            gram, xy = self.gram[i], self.xy[i]
             if o.init == "mixed" and o.groups:
+                classes = frame["classes"].iloc[i]
                 model = OneGrouping.__new__(OneGrouping)
-                n = xs[0][i, :, 0]
-                seen = n > 0
-                joint = np.column_stack([xs[0][i], ys[0][i]])[seen]
-                model.n, model.m = n[seen], np.ones(seen.sum())
-                model.levels = joint[:, :, None] * joint[:, None, :]
-                model.total = np.block([[gram[i], xy[i][:, None]], [xy[i][None, :], yy[i]]])
-                model.rows = float(n.sum())
+                model.n, model.m = (np.array([c[f] for c in classes], float) for f in ("n", "m"))
+                model.levels = _full(np.array([c["outer"] for c in classes], float), p + 1)
+                model.total = np.block([[gram, xy[:, None]], [xy[None, :], yy[i]]])
+                model.rows = float((model.n * model.m).sum())
                 theta, _ = _best_ratio(model, use, 1, True)
                 beta = _profile(model, use, theta, True)[1]
             else:
-                square = gram[i][np.ix_(use, use)]
-                beta = np.linalg.pinv(square, rcond=1e-10, hermitian=True) @ xy[i][use]
-            m[i, use] = beta
-        m2[:] = m**2 + var
-        mu_v[:] = m[:, o.v]
+                beta = np.linalg.pinv(gram[np.ix_(use, use)], rcond=1e-10, hermitian=True) @ xy[use]
+            self.m[i, use] = beta
+        self.m2[:] = self.m**2 + self.var
+        self.mu_v[:] = self.m[:, o.v]
 
-    def bound(self, m, m2, var, mu_v, s_v, alpha, avar, psi_a, psi_b, tau_a, tau_b, n, rss):
+    def bound(self, m, m2, var, mu_v, s_v, second, logs, psi_a, psi_b, tau_a, tau_b, n, rss):
         """Terms of the evidence bound that belong to a test."""
         o = self.o
         total = np.zeros(len(m))
@@ -368,9 +476,8 @@ class _TestStep:
                 )
         for r in range(len(o.groups)):
             a, b = psi_a[:, r], psi_b[:, r]
-            mean_log = (special.digamma(a) - np.log(b))[:, None]
-            second = alpha[r] ** 2 + avar[r]
-            total += 0.5 * (mean_log - (a / b)[:, None] * second + np.log(avar[r]) + 1.0).sum(1)
+            mean_log = special.digamma(a) - np.log(b)
+            total += 0.5 * (self.sizes[r] * (mean_log + 1.0) - a / b * second[:, r] + logs[:, r])
             total -= kl_gamma(o.shape, o.rate, a, b)
         return total
 
@@ -404,7 +511,7 @@ def _mean_of(o: Options, with_learned: bool) -> Column:
     """Part of the mean that does not come from the latents updated by sample."""
     mean = F.col("m")[0] + F.col("g") * F.col("m")[1]
     for r in range(len(o.groups)):
-        mean = mean + F.col("alpha")[r][F.col(f"_g{r}")]
+        mean = mean + F.col(f"_alpha{r}")
     for j in range(o.n_c if with_learned else o.n_covariates):
         mean = mean + F.col("c")[j] * F.col("m")[2 + j]
     return mean
@@ -421,18 +528,26 @@ def _effect(o: Options, k: int) -> tuple[Column, Column]:
     return mean, second
 
 
-def _all_joined(obs, samples, tests, o: Options, tau) -> DataFrame:
-    keep = ["sample", *(["c", "c2"] if o.n_c else []), "u", "u2", *[f"_g{r}" for r in range(len(o.groups))]]
+def _all_joined(obs, fit: Fit, samples: DataFrame, tau) -> DataFrame:
+    """Observations with the state of their sample, their test and their random intercepts."""
+    o = fit.options
+    groups = [f"_g{r}" for r in range(len(o.groups))]
+    keep = ["sample", *(["c", "c2"] if o.n_c else []), "u", "u2", *groups]
     precision = F.lit(tau) if tau is not None else F.col("tau_a") / F.col("tau_b")
-    params = tests.select("test", "m", "m2", "alpha", precision.alias("_tau"), "tau_a", "tau_b", "var", "avar", "ls_a", "ls_b")
+    params = fit.tests.select("test", "m", "m2", precision.alias("_tau"), "var")
     by_sample = broadcast_if_small(samples.select(*keep), width=2 * (o.k + o.n_c) + 4)
-    by_test = broadcast_if_small(params, width=3 * o.width + 2 * o.n_levels + 8)
-    return obs.join(by_sample, "sample").join(by_test, "test")
+    joined = obs.join(by_sample, "sample").join(broadcast_if_small(params, width=3 * o.width + 8), "test")
+    for r, g in enumerate(groups):
+        own = fit.effects.where(F.col("r") == r).select(
+            "test", F.col("z").alias(g), F.col("alpha").alias(f"_alpha{r}"), F.col("avar").alias(f"_avar{r}")
+        )
+        joined = joined.join(broadcast_if_small(own, width=4), ["test", g])
+    return joined
 
 
-def _sample_sums(obs, samples, tests, o: Options, tau) -> DataFrame:
+def _sample_sums(obs, fit: Fit, samples: DataFrame, tau) -> DataFrame:
     """Cross products of each sample with the effects of its latents."""
-    joined = _all_joined(obs, samples, tests, o, tau)
+    o, joined = fit.options, _all_joined(obs, fit, samples, tau)
     w = F.col("_tau") * (F.col("w") if o.zero_inflated else F.lit(1.0))
     rest = F.col("y") - _mean_of(o, False)
     effects = [_effect(o, k) for k in range(o.k)]
@@ -587,16 +702,14 @@ def _start_tests(obs: DataFrame, o: Options, sizes: Sequence[int]) -> DataFrame:
     out = slopes.withColumn("m", m)
     out = out.withColumn("var", F.array_repeat(F.lit(1.0), o.width))
     out = out.withColumn("m2", F.transform("m", lambda x: x * x + 1.0))
-    empty = F.array().cast("array<array<double>>")
-    zero_lists = F.array(*[F.array_repeat(F.lit(0.0), n) for n in sizes]) if sizes else empty
-    var_lists = F.array(*[F.array_repeat(F.lit(1e-7), n) for n in sizes]) if sizes else empty
     prior = F.array_repeat(F.lit(o.shape), len(sizes)).cast("array<double>")
+    idle = F.array_repeat(F.lit(1e-7), len(sizes)).cast("array<double>")
     return cut_lineage(
         out.select(
             "test", "m", "m2", "var",
             F.slice("m", o.v.start + 1, o.k).alias("mu_v"),
             F.array_repeat(F.lit(1.0), o.k).alias("s_v"),
-            zero_lists.alias("alpha"), var_lists.alias("avar"),
+            idle.alias("idle"),
             prior.alias("psi_a"), prior.alias("psi_b"),
             F.lit(o.shape).alias("tau_a"), F.lit(o.rate).alias("tau_b"),
             F.lit(10.0 * o.a).alias("ls_a"), F.lit(o.b).alias("ls_b"),
@@ -605,15 +718,16 @@ def _start_tests(obs: DataFrame, o: Options, sizes: Sequence[int]) -> DataFrame:
     )
 
 
-def _structural_zeros(obs, samples, tests, o: Options, tau) -> DataFrame:
+def _structural_zeros(obs, fit: Fit, tau) -> DataFrame:
     """Probability that an entry follows the model; only exact zeros can be structural."""
-    joined = _all_joined(obs, samples, tests, o, tau)
+    o, tests = fit.options, fit.tests
+    joined = _all_joined(obs, fit, fit.samples, tau)
     mean = _mean_of(o, True)
     spread = F.col("var")[0]
     if o.genotype_intercept:
         spread = spread + F.col("g") * F.col("g") * F.col("var")[1]
     for r in range(len(o.groups)):
-        spread = spread + F.col("avar")[r][F.col(f"_g{r}")]
+        spread = spread + F.col(f"_avar{r}")
     for j in range(o.n_c):
         spread = spread + F.col("c2")[j] * F.col("m2")[2 + j] - (F.col("c")[j] * F.col("m")[2 + j]) ** 2
     for k in range(o.k):
@@ -683,19 +797,46 @@ def elbo(fit: Fit, tau: tuple[float, float] | None = None) -> float:
     return float(value)
 
 
+def _tests_moved(part, seen, fit: Fit, step: _TestStep, t_type: str) -> None:
+    """New parameters of the tests and, between the halves of the step, of their intercepts."""
+    o = fit.options
+    if not o.groups:
+        ready = fit.tests.join(_test_sums(part, seen, o), "test")
+        fit.tests = cut_lineage(ready.mapInPandas(step.whole, _TEST_SCHEMA.format(t=t_type)))
+        return
+    p = o.width
+    cells = cut_lineage(_design_sums(part, seen, o, ["test", *[f"_g{r}" for r in range(len(o.groups))]]))
+    sums = cells.groupBy("test").agg(
+        _sum_of("gram", p * (p + 1) // 2).alias("gram"), _sum_of("xy", p).alias("xy"), F.sum("yy").alias("yy")
+    )
+    levels = _levels(cells, fit.effects, o)
+    ready = fit.tests.join(sums, "test").join(levels.groupBy("test").agg(_pulled(p).alias("pull")), "test")
+    if step.first and o.init == "mixed":
+        ready = ready.join(_size_moments(levels, p), "test")
+    mid = cut_lineage(ready.mapInPandas(step.before_all, _MID_SCHEMA.format(t=t_type)))
+    for r in range(len(o.groups)):
+        moved = _new_effects(levels, mid, cells, o, r, step.step, step.tau)
+        levels = moved if len(o.groups) == 1 else moved.unionByName(levels.where(F.col("r") != r))
+    fit.effects = cut_lineage(levels.select("test", "r", "z", "alpha", "avar"))
+    ready = mid.join(_effect_sums(levels, o), "test")
+    fit.tests = cut_lineage(ready.mapInPandas(step.after_all, _TEST_SCHEMA.format(t=t_type)))
+
+
 def eqtl_vi(
     obs: DataFrame,
     samples: DataFrame,
     k: int,
     *,
     iterations: int = 600,
+    tolerance: float | None = None,
     track_elbo: bool = False,
     **choices,
 ) -> Fit:
     """Variational factorization. See ``Options`` for the model choices.
 
     Random intercepts are named by ``groups``; ``init_category`` names the label column of
-    ``init="categories"``.
+    ``init="categories"``. With a ``tolerance`` the fit ends when a step changes the bound by
+    less than that share of it, ``iterations`` at most; ``converged`` tells which came first.
     """
     o = Options(k=k, **{**choices, "groups": tuple(choices.get("groups", ()))})
     if len(o.groups) > 2:
@@ -703,7 +844,6 @@ def eqtl_vi(
     extra = [o.init_category] if o.init_category else []
     needed = ["sample", *o.groups, *extra, *(["c"] if o.n_covariates else [])]
     state, sizes = _start_samples(samples.select(*dict.fromkeys(needed)), o)
-    o = replace(o, n_levels=sum(sizes))
     columns = ["test", "sample", F.col("g").cast("double").alias("g"), F.col("y").cast("double").alias("y")]
     data = obs.dropna(subset=["g", "y"]).select(*columns)
     if o.zero_inflated:
@@ -714,6 +854,10 @@ def eqtl_vi(
     fit = Fit(
         state, tests, o, np.full(k, 10.0 * o.a), np.full(k, o.b), np.full(k, o.gamma_u), np.full(k, o.gamma_v)
     )
+    if o.groups:
+        fit.effects = _start_effects(data, state, o)
+    if tolerance is not None:
+        fit.converged = False
     if o.factor_spike:
         fit.theta_va, fit.theta_vb = np.full(k, 10.0 * o.a), np.full(k, o.b)
     n_samples, n_tests = state.count(), tests.count()
@@ -736,7 +880,7 @@ def eqtl_vi(
         tau_value = None if tau is None else tau[0] / tau[1]
         # loadings
         base = active.drop("_scale", "_all")
-        sums = _sample_sums(part, base, fit.tests, o, tau_value)
+        sums = _sample_sums(part, fit, base, tau_value)
         moved = base.join(sums, "sample").select(*base.columns, "_a", "_b")
         schema = base.schema
         updated = cut_lineage(
@@ -748,11 +892,9 @@ def eqtl_vi(
         seen = updated
         if o.svi_fraction:
             seen = updated.join(active.select("sample", "_scale"), "sample")
-        sums = _test_sums(part, seen, o)
         theta_v = (fit.theta_va, fit.theta_vb) if o.factor_spike else None
-        step = _TestStep(o, sizes, fit.gamma_v, theta_v, tau_value, rho, n_samples)
-        ready = fit.tests.join(sums.drop("_scale"), "test")
-        fit.tests = cut_lineage(ready.mapInPandas(step, _TEST_SCHEMA.format(t=t_type)))
+        step = _TestStep(o, sizes, fit.gamma_v, theta_v, tau_value, rho, n_samples, it == 0)
+        _tests_moved(part, seen, fit, step, t_type)
         # global numbers, from column sums
         share = fit.samples if not o.svi_fraction else updated
         up = 1.0 / o.svi_fraction if o.svi_fraction else 1.0
@@ -780,9 +922,14 @@ def eqtl_vi(
             tau = tuple((1 - rho) * a + rho * b for a, b in zip(tau, new))
             fit.tests = fit.tests.withColumns({"tau_a": F.lit(tau[0]), "tau_b": F.lit(tau[1])})
         if o.zero_inflated:
-            data = _structural_zeros(data, fit.samples, fit.tests, o, None if tau is None else tau[0] / tau[1])
-        if track_elbo:
+            data = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1])
+        if track_elbo or tolerance is not None:
             fit.elbo.append(elbo(fit, tau))
+        if tolerance is not None and it > o.warmup:
+            last, now = fit.elbo[-2:]
+            if abs(now - last) <= tolerance * abs(now):
+                fit.converged = True
+                break
     fit.obs = data
     return fit
 
@@ -809,6 +956,8 @@ def prune_factors(fit: Fit, min_share: float = 0.025) -> Fit:
         list(fit.elbo), fit.obs,
         None if fit.theta_va is None else fit.theta_va[keep],
         None if fit.theta_vb is None else fit.theta_vb[keep],
+        fit.effects,
+        fit.converged,
     )
 
 
@@ -817,6 +966,19 @@ def loadings(fit: Fit) -> DataFrame:
     return fit.samples.select("sample", "u")
 
 
+def intercepts(fit: Fit) -> DataFrame:
+    """Random intercepts by test, grouping and level label, of levels with observations."""
+    out = None
+    for r, g in enumerate(fit.options.groups):
+        labels = fit.samples.select(F.col(f"_g{r}").cast("long").alias("z"), F.col(g).cast("string").alias("level")).distinct()
+        own = fit.effects.where(F.col("r") == r).join(broadcast_if_small(labels, width=8), "z")
+        one = own.select("test", F.lit(g).alias("grouping"), "level", "alpha", F.col("avar").alias("variance"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("the model has no random intercepts")
+    return out
+
+
 def factors(fit: Fit) -> DataFrame:
     """Parameters of the tests by name."""
     o = fit.options
