@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varloom.llm import shingles
-from varloom.llm.common import binary_rows, small_batches
+from varloom.llm.common import small_batches
 from varloom.llm.components import components
 from varloom.plans.scale import broadcast_if_small, cut_lineage
 
@@ -103,11 +103,12 @@ def _read(
     key: str,
     text: str,
     width: int,
-    kind: str,
-    tokens: Callable[[np.ndarray, np.ndarray], pa.Array],
+    out: str,
+    last: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array],
 ) -> DataFrame:
-    """(key, n_shingles, d1, d2, tokens) of whole texts. d1 and d2 are sums over the set: equal
-    sets have equal ones."""
+    """(key, n_shingles, d1, d2) of whole texts and one column more, ``out``. d1 and d2 are sums
+    over the set: equal sets have equal ones."""
+    name = out.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text", 2 << 20):
@@ -120,19 +121,18 @@ def _read(
                 sums[0, some] = np.add.reduceat(value, starts)
                 sums[1, some] = np.add.reduceat(shingles.mix(value + np.uint64(7)), starts)
             columns = [batch.column(0), pa.array(size), *map(pa.array, sums.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, tokens(value, bounds)], ["key", "n_shingles", "d1", "d2", "tokens"]
-            )
+            columns.append(last(batch.column(1), value, bounds))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "d1", "d2", name])
 
     source = df.selectExpr(f"`{key}` AS key", f"`{text}` AS _text")
     own = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {own}, n_shingles bigint, d1 bigint, d2 bigint, tokens {kind}")
+    return source.mapInArrow(run, f"key {own}, n_shingles bigint, d1 bigint, d2 bigint, {out}")
 
 
-def _posted(up: int, down: int) -> Callable[[np.ndarray, np.ndarray], pa.Array]:
+def _posted(up: int, down: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array]:
     """The tokens of each set that are posted: those with the smallest hashes."""
 
-    def tokens(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    def tokens(text: pa.Array, value: np.ndarray, bounds: np.ndarray) -> pa.Array:
         size = np.diff(bounds)
         least = -(-size * up // down)
         count = size - least + np.minimum(EXTRA, least)
@@ -154,23 +154,29 @@ def _kept(posted: DataFrame, least: Column) -> DataFrame:
     )
 
 
-def _search(rows: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
+def _search(rows: DataFrame, texts: DataFrame, width: int, up: int, down: int) -> DataFrame:
     """(a, b): links between the queries and the records of each unit, as a forest.
 
-    ``rows`` is (unit, asks, cid, component). A query looks for records that are larger, or as
-    large with a larger number, and lie in another component; a link between two that earlier
-    links of the unit have joined already is left out.
+    ``rows`` is (unit, asks, cid, n_shingles, component), ``texts`` (cid, text): texts take less
+    room on the way than their sets. A query looks for records that are larger, or as large with
+    a larger number, and lie in another component; a link between two that earlier links of the
+    unit have joined already is left out.
     """
-    rows = rows.join(sets, "cid")
-    total = rows.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD))
+    rows = cut_lineage(rows)
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    shards = max(1, math.ceil(8 * total / SHARD))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards)))
+    rows = broadcast_if_small(rows, width=12).join(texts, "cid")
 
     def run(table: pa.Table) -> pa.Table:
-        cid, size, part = (table.column(c).to_numpy() for c in ("cid", "n_shingles", "component"))
+        cid, part = (table.column(c).to_numpy() for c in ("cid", "component"))
         asks = table.column("asks").to_numpy().astype(bool)
         unit = table.column("unit").combine_chunks().dictionary_encode().indices.to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        sets = []
+        for batch in small_batches(iter(table.select(["text"]).to_batches()), "text", 2 << 20):
+            value, bounds = shingles.sets(batch.column(0), width)
+            sets += [value[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+        size = np.array([len(x) for x in sets], np.int64)
         order = np.lexsort((cid, size, asks, unit))
         heads = np.flatnonzero(np.diff(unit[order], prepend=-1))
         a, b = [], []
@@ -221,13 +227,15 @@ def _stars(kept: DataFrame, up: int, down: int) -> DataFrame:
     pivots = kept.groupBy("token").agg(first)
     pairs = kept.join(pivots, "token").where("cid <> p.cid")
     pairs = pairs.where(F.col("p.n_shingles") * down >= F.col("n_shingles") * up)
-    pairs = cut_lineage(pairs.select(F.col("p.cid").alias("pivot"), "cid", "n_shingles").distinct())
+    pairs = pairs.select("p", "cid", "n_shingles").distinct()
+    pairs = cut_lineage(pairs.select(F.col("p.cid").alias("pivot"), F.col("p.n_shingles").alias("size"), "cid", "n_shingles"))
     parts = pairs.groupBy("pivot").agg(_weight(BLOCK).alias("parts"))
-    records = pairs.join(parts, "pivot").select(F.struct("pivot", _dealt().alias("part")).alias("u"), "cid")
-    asking = records.select("u", F.col("u.pivot").alias("cid")).distinct()
-    both = records.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
-    unit = F.concat_ws("|", "u.pivot", "u.part").alias("unit")
-    return both.select(unit, "asks", "cid", F.col("cid").alias("component"))
+    records = pairs.join(parts, "pivot").withColumn("part", _dealt())
+    asking = records.select("pivot", "part", F.col("pivot").alias("cid"), F.col("size").alias("n_shingles"))
+    records = records.select("pivot", "part", "cid", "n_shingles", F.lit(False).alias("asks"))
+    both = records.unionByName(asking.distinct().withColumn("asks", F.lit(True)))
+    unit = F.concat_ws("|", "pivot", "part").alias("unit")
+    return both.select(unit, "asks", "cid", "n_shingles", F.col("cid").alias("component"))
 
 
 def _blocks(kept: DataFrame, found: DataFrame, up: int, down: int) -> DataFrame:
@@ -265,9 +273,10 @@ def _blocks(kept: DataFrame, found: DataFrame, up: int, down: int) -> DataFrame:
     parts = visits.groupBy("home", "part").agg(_weight(ASKING).alias("parts"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("turn")
     unit = F.concat_ws("|", "home", "part", "turn").alias("unit")
-    records = place.join(parts, ["home", "part"]).select("*", every).select("cid", "component", unit)
+    own = ["cid", "n_shingles", "component", unit]
+    records = place.join(parts, ["home", "part"]).select("*", every).select(*own)
     asking = visits.join(parts, ["home", "part"]).withColumn("turn", _dealt("home"))
-    asking = asking.select("cid", "component", unit)
+    asking = asking.select(*own)
     return records.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
 
 
@@ -292,7 +301,7 @@ def jaccard_classes(
     rows.
     """
     up, down = threshold
-    posted = _read(df, key, text, width, "array<bigint>", _posted(up, down))
+    posted = _read(df, key, text, width, "tokens array<bigint>", _posted(up, down))
     prints = cut_lineage(posted.withColumn("row", F.monotonically_increasing_id()))
     named = prints.where("key IS NOT NULL AND n_shingles > 0")
     by = ["d1", "d2", "n_shingles"]
@@ -308,16 +317,20 @@ def jaccard_classes(
     shared = kept.groupBy("token").count().where("count > 1").select("token")
     kept = cut_lineage(kept.join(shared, "token", "left_semi"))
 
+    # the text of one row for each class that meets another one
     needed = cut_lineage(kept.select("cid").distinct().join(classes, "cid"))
     firsts = broadcast_if_small(needed.select(F.col("first").alias(key)).distinct(), width=1)
-    texts = df.select(key, text).join(firsts, key, "left_semi")
-    whole = _read(texts, key, text, width, "binary", binary_rows)
-    match = needed.withColumnRenamed("first", "key")
-    sets = whole.join(match, ["key", *by]).select("cid", "n_shingles", "tokens")
-    sets = cut_lineage(sets.dropDuplicates(["cid"]))
-
-    links = cut_lineage(_search(_stars(kept, up, down), sets, up, down))
-    more = cut_lineage(_search(_blocks(kept, components(links), up, down), sets, up, down))
+    rows = df.select(key, text).join(firsts, key, "left_semi")
+    read = _read(rows, key, text, width, "text string", lambda own, value, bounds: own.cast(pa.string()))
+    match = broadcast_if_small(needed.withColumnRenamed("first", "key"), width=5)
+    texts = read.join(match, ["key", *by]).select("cid", "text")
+    once = named.join(needed.select(F.col("first").alias("key"), *by), ["key", *by], "left_semi")
+    if once.count() > needed.count():  # rows that repeat a key and a text
+        texts = texts.dropDuplicates(["cid"])
+    texts = cut_lineage(texts)
+
+    links = cut_lineage(_search(_stars(kept, up, down), texts, width, up, down))
+    more = cut_lineage(_search(_blocks(kept, components(links), up, down), texts, width, up, down))
     found = components(links.union(more)).withColumnRenamed("id", "cid")
     whole_of = classes.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = whole_of.groupBy("component").agg(F.min("first").alias("component_id"))
