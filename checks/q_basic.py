@@ -570,15 +570,23 @@ def _(t):
     f"""{with_ctes("counts", "cells")}, pb AS (SELECT individual_id, cell_type, gene_id,
       sum(count) AS count FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2, 3),
     e AS (SELECT *, ln(1 + 10000 * count / sum(count) OVER
-      (PARTITION BY individual_id, cell_type)) AS v FROM pb)
-    SELECT individual_id, cell_type, gene_id, {rnd(_Z.format(v="v"), 5)} AS value FROM e
-    WINDOW w AS (PARTITION BY gene_id, cell_type)""",
+      (PARTITION BY individual_id, cell_type)) AS v FROM pb),
+    grid AS (SELECT d.individual_id, cell_type, g.gene_id, v FROM
+      (SELECT DISTINCT individual_id, cell_type FROM pb) d JOIN
+      (SELECT DISTINCT gene_id, cell_type FROM pb) g USING (cell_type)
+      LEFT JOIN e USING (individual_id, cell_type, gene_id)),
+    z AS (SELECT *, avg(coalesce(v, 0)) OVER w AS m, stddev_pop(coalesce(v, 0)) OVER w AS s
+      FROM grid WINDOW w AS (PARTITION BY gene_id, cell_type))
+    SELECT individual_id, cell_type, gene_id, {rnd("(v - m) / s", 4)} AS value,
+      {rnd("-m / s", 4)} AS zero_value FROM z WHERE v IS NOT NULL""",
 )
 def _(t):
     key = ["individual_id", "cell_type"]
     pb = A.pseudobulk(S.counts(t), S.cells(t), key)
-    z = N.normalize_pseudobulk(pb, sample=key, within=["cell_type"])
-    return z.select(*key, "gene_id", r("value", 5).alias("value"))
+    z = N.normalize_pseudobulk(pb, sample=key, within=["cell_type"], zeros=True)
+    return z.select(
+        *key, "gene_id", r("value", 4).alias("value"), r("zero_value", 4).alias("zero_value")
+    )
 
 
 @query(
@@ -640,52 +648,98 @@ def _(t):
     return x.withColumn("value", r("value"))
 
 
-PB_MATRIX = """pb AS (SELECT l_partkey AS gene_id, l_returnflag AS sample_id,
+# every part and every return flag with line number; a pair without a row is a zero
+PB_MATRIX = """m AS (SELECT l_partkey AS gene_id, l_returnflag || l_linenumber AS sample_id,
     sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
-    full_genes AS (SELECT gene_id FROM pb GROUP BY 1 HAVING count(*) = 3),
-    m AS (SELECT * FROM pb WHERE gene_id IN (SELECT gene_id FROM full_genes))"""
+    grid AS (SELECT gene_id, sample_id, coalesce(value, 0) AS value FROM
+      (SELECT DISTINCT gene_id FROM m) CROSS JOIN (SELECT DISTINCT sample_id FROM m)
+      LEFT JOIN m USING (gene_id, sample_id))"""
 
 
 def pb_matrix(t):
-    """A complete gene x sample matrix: parts with rows in all three return flags."""
-    pb = t.lineitem.groupBy(
-        F.col("l_partkey").alias("gene_id"), F.col("l_returnflag").alias("sample_id")
-    ).agg(F.sum("l_quantity").alias("value"))
-    return Fi.keep_groups(pb, ["gene_id"], F.count("*") == 3)
+    """A gene x sample matrix with gaps: sums by part, return flag and line number."""
+    sample = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    return t.lineitem.groupBy(F.col("l_partkey").alias("gene_id"), sample.alias("sample_id")).agg(
+        F.sum("l_quantity").alias("value")
+    )
 
 
 @query(
     "quantile_normalize",
     f"""WITH {PB_MATRIX}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_id
-      ORDER BY value, gene_id) AS k FROM m),
-    q AS (SELECT k, avg(value) AS q FROM k GROUP BY 1)
-    SELECT gene_id, sample_id, {rnd("median(q) OVER (PARTITION BY sample_id, value)", 5)} AS value
-    FROM k JOIN q USING (k)""",
+      ORDER BY value, gene_id) AS k FROM grid),
+    q AS (SELECT k, avg(value) AS q FROM k GROUP BY 1),
+    n AS (SELECT gene_id, sample_id, k.value, median(q) OVER (PARTITION BY sample_id, k.value) AS new
+      FROM k JOIN q USING (k)),
+    z AS (SELECT sample_id, any_value(new) AS zero FROM n WHERE value = 0 GROUP BY 1)
+    SELECT n.gene_id, sample_id, {rnd("new", 5)} AS value, {rnd("zero", 5)} AS zero_value
+    FROM n SEMI JOIN m USING (gene_id, sample_id) LEFT JOIN z USING (sample_id)""",
 )
 def _(t):
-    return N.quantile_normalize(pb_matrix(t)).withColumn("value", r("value", 5))
+    x = N.quantile_normalize(pb_matrix(t), zero_value=True)
+    return x.withColumns({c: r(c, 5) for c in ("value", "zero_value")})
+
+
+_RANKS = f"""{with_ctes("counts")}, full_rows AS (SELECT cell_id, gene_id, coalesce(count, 0) AS count FROM
+      (SELECT DISTINCT cell_id FROM counts) CROSS JOIN (SELECT DISTINCT gene_id FROM counts)
+      LEFT JOIN counts USING (cell_id, gene_id)),
+    k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY count) AS lo,
+      count(*) OVER (PARTITION BY gene_id, count) AS ties, count(*) OVER (PARTITION BY gene_id) AS n FROM full_rows),
+    f AS (SELECT cell_id, gene_id, count, (lo + (ties - 1) / 2) / (n + 1) AS fraction FROM k),
+    z AS (SELECT gene_id, any_value(fraction) AS zero FROM f WHERE count = 0 GROUP BY 1)"""
 
 
 @query(
     "rank_fraction",
-    f"""{with_ctes("counts")}, k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY count)
-      AS lo, count(*) OVER (PARTITION BY gene_id, count) AS ties,
-      count(*) OVER (PARTITION BY gene_id) AS n FROM counts)
-    SELECT cell_id, gene_id, {rnd("(lo + (ties - 1) / 2) / (n + 1)", 12)} AS fraction FROM k""",
+    f"""{_RANKS} SELECT cell_id, gene_id, {rnd("fraction", 10)} AS fraction,
+      {rnd("zero", 10)} AS zero_fraction FROM f LEFT JOIN z USING (gene_id) WHERE count > 0""",
 )
 def _(t):
-    x = N.rank_fraction(S.counts(t), value="count")
-    return x.select("cell_id", "gene_id", r("fraction", 12).alias("fraction"))
+    c = S.counts(t)
+    x = N.rank_fraction(c, value="count", n_samples=c.agg(F.count_distinct("cell_id")).scalar())
+    return x.select(
+        "cell_id", "gene_id", r("fraction", 10).alias("fraction"), r("zero_fraction", 10).alias("zero_fraction")
+    )
 
 
-@query("inverse_normal")
+def normal_quantile_sql(p: str) -> str:
+    """A rational start, then Newton steps on the normal distribution function, which is summed
+    as a series around zero."""
+    t = f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    # fixed values of a known approximation
+    near = f"({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}))"
+    x = f"(sign(({p}) - 0.5) * {near})"
+    for _ in range(3):
+        cdf = f"(0.5 + {series_sql('v')} * exp(-v * v / 2) / sqrt(2 * pi()))"
+        x = f"list_transform([{x}], lambda v: v - ({cdf} - ({p})) / (exp(-v * v / 2) / sqrt(2 * pi())))[1]"
+    return x
+
+
+def series_sql(v: str) -> str:
+    """v + v^3 / 3 + v^5 / (3 * 5) + ..., by Horner's rule."""
+    out = "1"
+    for i in range(60, 0, -1):
+        out = f"(1 + {v} * {v} / {2 * i + 1} * {out})"
+    return f"({v} * {out})"
+
+
+@query(
+    "inverse_normal",
+    f"""{_RANKS}, d AS (SELECT DISTINCT fraction AS p FROM f),
+    q AS (SELECT p, {normal_quantile_sql("p")} AS q FROM d)
+    SELECT cell_id, f.gene_id, {rnd("q.q", 5)} AS value, {rnd("y.q", 5)} AS zero_value
+    FROM f JOIN q ON q.p = f.fraction LEFT JOIN z USING (gene_id) LEFT JOIN q y ON y.p = z.zero WHERE count > 0""",
+)
 def _(t):
-    return N.inverse_normal(S.counts(t), value="count")
+    c = S.counts(t)
+    n = c.agg(F.count_distinct("cell_id")).scalar()
+    x = N.inverse_normal(c.select("cell_id", "gene_id", F.col("count").alias("value")), n_samples=n)
+    return x.select("cell_id", "gene_id", r("value", 5).alias("value"), r("zero_value", 5).alias("zero_value"))
 
 
 _TMM = f"""WITH {PB_MATRIX}, tot AS (SELECT sample_id, sum(value) AS n FROM m GROUP BY 1),
     q AS (SELECT sample_id, quantile_cont(value, 0.75) / any_value(n) AS f
-      FROM m JOIN tot USING (sample_id) GROUP BY 1),
+      FROM grid JOIN tot USING (sample_id) GROUP BY 1),
     ref AS (SELECT arg_min(sample_id, (abs(f - (SELECT avg(f) FROM q)), sample_id)) AS r FROM q),
     r0 AS (SELECT gene_id, value AS y0, n AS n0 FROM m JOIN tot USING (sample_id)
       WHERE sample_id = (SELECT r FROM ref)),

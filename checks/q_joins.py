@@ -316,18 +316,41 @@ def _(t):
 )
 def _(t):
     pairs = t.supplier.select(F.col("s_suppkey").alias("variant_id"))
-    out = J.standardized_genotype(pairs, S.genotype(t), S.cells(t))
-    return (
-        out.join(S.cells(t).select("cell_id", "cell_type"), "cell_id")
-        .groupBy("variant_id", "cell_type")
-        .agg(
-            F.count("*").alias("n_cells"),
-            r(F.avg("dosage"), 5).alias("mean_z"),
-            r(F.max("dosage"), 5).alias("max_z"),
-        )
+    z = J.cell_genotype(pairs, S.genotype(t), S.cells(t), standardize=True)
+    return z.summary(["cell_type"]).select(
+        "variant_id", "cell_type", "n_cells", r("mean", 5).alias("mean_z"), r("highest", 5).alias("max_z")
     )
 
 
+@query(
+    "standardized_genotype_rows",
+    f"""{with_ctes("cells", "genotype")}, z AS (SELECT cell_id, variant_id, individual_id,
+      CASE WHEN stddev_pop(dosage) OVER w > 0 THEN (dosage - avg(dosage) OVER w)
+        / stddev_pop(dosage) OVER w END AS z FROM cells JOIN genotype USING (individual_id)
+      WHERE dosage IS NOT NULL AND variant_id % 10 = 0 WINDOW w AS (PARTITION BY variant_id))
+    SELECT cell_id, individual_id, variant_id, {rnd("z", 5)} AS dosage FROM z""",
+)
+def _(t):
+    pairs = t.supplier.select(F.col("s_suppkey").alias("variant_id")).where("variant_id % 10 = 0")
+    out = J.standardized_genotype(pairs, S.genotype(t), S.cells(t))
+    return out.select("cell_id", "individual_id", "variant_id", r("dosage", 5).alias("dosage"))
+
+
+@query(
+    "genotype_products",
+    f"""{with_ctes("cells", "counts", "genotype", "tests")},
+    p AS (SELECT DISTINCT gene_id, variant_id FROM tests WHERE pvalue < 0.001)
+    SELECT gene_id, variant_id, {rnd("sum(count * dosage)", 4)} AS product FROM p
+    JOIN counts USING (gene_id) JOIN cells USING (cell_id)
+    JOIN genotype USING (variant_id, individual_id) GROUP BY 1, 2""",
+)
+def _(t):
+    pairs = S.tests(t).where("pvalue < 0.001").select("gene_id", "variant_id")
+    g = J.cell_genotype(pairs, S.genotype(t), S.cells(t))
+    out = g.products(S.counts(t), pairs, value="count")
+    return out.withColumn("product", r("product", 4))
+
+
 @query(
     "index_labels",
     f"""{with_ctes("cells")} SELECT cell_id, donor_id,
@@ -337,6 +360,17 @@ def _(t):
     return J.index_labels(S.cells(t).select("cell_id", "donor_id"), "donor_id")
 
 
+@query(
+    "index_labels_first_seen",
+    f"""WITH l AS (SELECT l_shipdate AS label, min((l_orderkey, l_linenumber)) AS first FROM lineitem GROUP BY 1)
+    SELECT label, CAST(row_number() OVER (ORDER BY first, label) - 1 AS INTEGER) AS label_index FROM l""",
+)
+def _(t):
+    rows = t.lineitem.select(F.col("l_shipdate").alias("label"), "l_orderkey", "l_linenumber")
+    out = J.index_labels(rows, "label", first_seen=["l_orderkey", "l_linenumber"])
+    return out.select("label", "label_index").distinct()
+
+
 # ------------------------------------------------------------- selection
 
 
@@ -345,15 +379,66 @@ def _(t):
     return K.ld_prune(stand_pairs(t, 60_000).select("gene_id", "variant_id"), S.genotype(t), 0.2)
 
 
-@query("dedupe_tests")
+def _greedy_sql(rounds: int) -> str:
+    """The rounds of the greedy scan: a test that comes first for its gene and its variant is
+    kept and removes those that share one of them. ``t0`` holds (gene, variant, k)."""
+    parts = []
+    for i in range(rounds):
+        parts.append(f"""f{i} AS MATERIALIZED (SELECT gene_id, variant_id, k FROM (SELECT *,
+            min(k) OVER (PARTITION BY gene_id) AS g, min(k) OVER (PARTITION BY variant_id) AS v FROM t{i})
+          WHERE k = g AND k = v),
+        t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} WHERE gene_id NOT IN (SELECT gene_id FROM f{i})
+          AND variant_id NOT IN (SELECT variant_id FROM f{i}))""")
+    return ", ".join(parts)
+
+
+def _kept_sql(rounds: int) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(rounds))
+
+
+_ROUNDS = 40
+
+
+@query(
+    "dedupe_tests",
+    f"""{with_ctes("tests")}, t0 AS MATERIALIZED (SELECT gene_id, variant_id,
+      row_number() OVER (ORDER BY pvalue, ord, cell_type, gene_id, variant_id) AS k, cell_type FROM tests),
+    {_greedy_sql(_ROUNDS)}, kept AS ({_kept_sql(_ROUNDS)})
+    SELECT gene_id, variant_id, cell_type, {rnd("pvalue", 9)} AS pvalue FROM kept
+    JOIN (SELECT *, row_number() OVER (ORDER BY pvalue, ord, cell_type, gene_id, variant_id) AS k FROM tests)
+      USING (gene_id, variant_id, k)""",
+)
+def _(t):
+    out = K.dedupe_tests(S.tests(t), ["pvalue", "ord", "cell_type"])
+    return out.select("gene_id", "variant_id", "cell_type", r("pvalue", 9).alias("pvalue"))
+
+
+@query(
+    "dedupe_tests_first",
+    f"""{with_ctes("tests")}, o AS MATERIALIZED (SELECT *, row_number() OVER
+      (ORDER BY pvalue, ord, cell_type, gene_id, variant_id) AS k FROM tests),
+    t0 AS MATERIALIZED (SELECT gene_id, variant_id, k FROM o),
+    {_greedy_sql(_ROUNDS)}, kept AS ({_kept_sql(_ROUNDS)})
+    SELECT o.gene_id, o.variant_id, cell_type FROM kept JOIN o USING (k) ORDER BY k LIMIT 25""",
+)
 def _(t):
-    x = S.tests(t).where("cell_type = 'A'")
-    return K.dedupe_tests(x, ["pvalue", "ord"])
+    out = K.dedupe_tests(S.tests(t), ["pvalue", "ord", "cell_type"], 25)
+    return out.select("gene_id", "variant_id", "cell_type")
 
 
-@query("sample_tests")
+@query(
+    "sample_tests",
+    f"""{with_ctes("tests")}, d AS (SELECT *, md5(concat_ws('|', '3', cell_type, gene_id, variant_id)) AS h FROM tests),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY h, gene_id, variant_id) AS n FROM d),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY list_position(['R', 'N', 'A'], cell_type), n,
+      gene_id, variant_id) AS k FROM n WHERE n <= 30),
+    t0 AS MATERIALIZED (SELECT gene_id, variant_id, k FROM o),
+    {_greedy_sql(_ROUNDS)}, kept AS ({_kept_sql(_ROUNDS)})
+    SELECT o.gene_id, o.variant_id, cell_type, ord FROM kept JOIN o USING (k)""",
+)
 def _(t):
-    return K.sample_tests(S.tests(t), 30, "cell_type", 3, by_order=["R", "N", "A"])
+    out = K.sample_tests(S.tests(t), 30, "cell_type", 3, by_order=["R", "N", "A"])
+    return out.select("gene_id", "variant_id", "cell_type", "ord")
 
 
 @query(
@@ -370,6 +455,26 @@ def _(t):
     return top.withColumn("weight", r("weight"))
 
 
+@query(
+    "top_tests_by_factor_effects",
+    f"""{with_ctes("tests")}, w AS (SELECT gene_id, variant_id, max(beta) AS a, sum(ord % 7) AS b
+      FROM tests GROUP BY 1, 2),
+    l AS (SELECT gene_id, variant_id, 0 AS factor, a AS weight FROM w
+      UNION ALL SELECT gene_id, variant_id, 1, CAST(b AS DOUBLE) FROM w)
+    SELECT gene_id, variant_id, factor, {rnd("weight")} AS weight, cell_type, {rnd("beta")} AS beta FROM
+    (SELECT *, rank() OVER (PARTITION BY factor ORDER BY abs(weight) DESC) AS k FROM l)
+    JOIN tests USING (gene_id, variant_id) WHERE k <= 1500""",
+)
+def _(t):
+    x = S.tests(t)
+    w = x.groupBy("gene_id", "variant_id").agg(
+        F.array(F.max("beta"), F.sum(F.col("ord") % 7).cast("double")).alias("v")
+    )
+    effects = x.select("gene_id", "variant_id", "cell_type", "beta")
+    top = K.top_tests_by_factor(w, 1500, effects=effects)
+    return top.withColumns({c: r(c) for c in ("weight", "beta")})
+
+
 @query(
     "union_all",
     """SELECT c_custkey AS id, c_nationkey AS nation FROM customer

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.q_basic import r, rnd
 from checks.q_joins import stand_pairs
-from checks.registry import query, t_two_sided
+from checks.registry import query, solved_sql, t_two_sided
 from checks.standins import with_ctes
 from varloom.operators import aggregates as A
 from varloom.operators import mixed as X
@@ -277,13 +277,33 @@ def _(t):
     return out.select("cell_id", "gene_id", r("value", 5).alias("value"))
 
 
-@query("cell_type_effects")
+def _effects_sql() -> str:
+    """Slopes within the three known types, then their smallest solution: f is a quarter of their
+    sum, since f + v[i] is the slope of type i."""
+    x = [f"(CASE WHEN l_returnflag = '{c}' THEN l_discount ELSE 0 END)" for c in "ANR"]
+    cells = [f"covar_pop({x[i]}, {x[j]}) AS c{i}{j}" for i in range(3) for j in range(i, 3)]
+    right = [f"covar_pop(l_extendedprice, {x[i]}) AS d{i}, avg({x[i]}) AS x{i}" for i in range(3)]
+    a = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    slopes = solved_sql(a, ["d0", "d1", "d2"])
+    return f"""WITH m AS (SELECT p_brand, avg(l_extendedprice) AS y, {", ".join(cells + right)}
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+      s AS (SELECT *, {slopes[0]} AS s0, {slopes[1]} AS s1, {slopes[2]} AS s2 FROM m)
+      SELECT p_brand, {rnd("(s0 + s1 + s2) / 4", 2)} AS f, {rnd("s0 - (s0 + s1 + s2) / 4", 2)} AS v_a,
+      {rnd("s1 - (s0 + s1 + s2) / 4", 2)} AS v_n, {rnd("s2 - (s0 + s1 + s2) / 4", 2)} AS v_r,
+      {rnd("y - s0 * x0 - s1 * x1 - s2 * x2", 3)} AS intercept FROM s"""
+
+
+@query("cell_type_effects", _effects_sql())
 def _(t):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     f = M.cell_type_effects(
         rows, ["p_brand"], ["A", "N", "R"], y="l_extendedprice", x="l_discount", category="l_returnflag"
     )
-    return f
+    v = F.col("v")
+    return f.select(
+        "p_brand", r("f", 2).alias("f"), r(v[0], 2).alias("v_a"), r(v[1], 2).alias("v_n"),
+        r(v[2], 2).alias("v_r"), r("intercept", 3).alias("intercept"),
+    )
 
 
 @query(
@@ -366,7 +386,9 @@ def _(t):
 
 @query("dynamic_lrt")
 def _(t):
-    return X.dynamic_lrt(gene_rows(t), ["gene_id"], covariates=["tax"], groups=["individual_id"])
+    return X.dynamic_lrt(
+        gene_rows(t), ["gene_id"], covariates=["tax"], groups=["individual_id", "plate_id"]
+    )
 
 
 @query("dynamic_quadratic_lrt")

@@ -29,8 +29,23 @@ def written_wide(t, df, samples, **names) -> str:
 @query("wide_matrix_round_trip", f"WITH {PB_MATRIX} SELECT CAST(gene_id AS VARCHAR) AS gene_id, sample_id, value FROM m")
 def _(t):
     names = dict(id_column="gene_id", sample_column="sample_id")
-    path = written_wide(t, pb_matrix(t), ["A", "N", "R"], **names)
-    return R.read_wide_matrix(t.spark, path, **names)
+    samples = [f"{flag}{line}" for flag in "ANR" for line in range(1, 8)]
+    path = written_wide(t, pb_matrix(t), samples, **names)
+    # a pair without a row is written as missing and read as NULL
+    return R.read_wide_matrix(t.spark, path, **names).where("value IS NOT NULL")
+
+
+@query(
+    "merge_part_results",
+    f"""{with_ctes("tests")} SELECT gene_id, CAST(variant_id AS VARCHAR) AS variant_id, cell_type,
+    CAST(ord AS VARCHAR) AS ord FROM tests""",
+)
+def _(t):
+    path, rows = fresh(t), S.tests(t).select("gene_id", "variant_id", "cell_type", "ord")
+    for job in range(4):
+        part = rows.where(F.col("variant_id") % 4 == job)
+        part.write.csv(f"{path}/{job}_4.txt", sep="\t", header=True)
+    return R.merge_part_results(t.spark, path, 4, ".txt")
 
 
 @query(

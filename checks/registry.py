@@ -53,3 +53,22 @@ def t_two_sided(t: str, df: str) -> str:
     return f"""(1 - CASE WHEN ({df}) % 2 = 1
       THEN 2 / pi() * ({th} + sin({th}) * {series(f"(({df}) - 1) // 2", odd)})
       ELSE sin({th}) * {series(f"({df}) // 2", even)} END)"""
+
+
+def solved_sql(a, b) -> list[str]:
+    """The solution of two or three equations by determinants; ``a`` is symmetric."""
+
+    def det(m):
+        if len(m) == 2:
+            return f"(({m[0][0]}) * ({m[1][1]}) - ({m[0][1]}) * ({m[1][0]}))"
+        parts = []
+        for j, sign in enumerate("+-+"):
+            rest = [[m[i][c] for c in range(3) if c != j] for i in (1, 2)]
+            parts.append(f"{sign} ({m[0][j]}) * {det(rest)}")
+        return "(" + " ".join(parts) + ")"
+
+    whole = det(a)
+    return [
+        f"({det([[b[i] if c == j else a[i][c] for c in range(len(a))] for i in range(len(a))])} / {whole})"
+        for j in range(len(a))
+    ]

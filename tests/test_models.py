@@ -119,6 +119,54 @@ def test_lrt_matches_dense_deviances(df, frame, groups):
         assert np.isclose(got[t]["pvalue"], special.chi2_tail(got[t]["lr"], 1))
 
 
+def dense_weighted(frame, groups, columns, theta):
+    """Cross products in the metric of the inverse covariance, by the whole covariance matrix."""
+    v = np.column_stack([np.ones(len(frame)), frame[columns]])
+    cov = np.eye(len(frame))
+    for g, t in zip(groups, theta):
+        z = pd.get_dummies(frame[g]).to_numpy(float)
+        cov += t * z @ z.T
+    return v.T @ np.linalg.solve(cov, v), np.linalg.slogdet(cov)[1]
+
+
+@pytest.mark.parametrize("groups", [["a", "b"], ["b", "a"], ["a", "b", "ab"], ["a", "b", "c"]])
+def test_crossed_elimination_equals_the_dense_solution(groups):
+    rng = np.random.default_rng(4)
+    n = 400
+    f = pd.DataFrame({"a": rng.integers(0, 60, n), "b": rng.integers(0, 7, n), "c": rng.integers(0, 25, n)})
+    f["ab"] = f.a.astype(str) + "_" + f.b.astype(str)
+    f["x"], f["y"] = rng.normal(size=n), rng.normal(size=n)
+    cells = f.assign(xx=f.x * f.x, xy=f.x * f.y, yy=f.y * f.y, n=1.0).groupby(groups, as_index=False)[
+        ["n", "x", "y", "xx", "xy", "yy"]
+    ].sum()
+    cells["s"], cells["ss"] = list(cells[["x", "y"]].to_numpy()), list(cells[["xx", "xy", "yy"]].to_numpy())
+    model = X.CrossedGroupings(cells, groups)
+    for theta in ([0.0] * len(groups), [0.3, 2.0, 0.7][: len(groups)], [5.0, 0.0, 0.01][: len(groups)]):
+        got, logdet = model.weighted(theta)
+        want, dense = dense_weighted(f, groups, ["x", "y"], theta)
+        assert np.allclose(got, want, rtol=1e-8) and np.isclose(logdet, dense, rtol=1e-8, atol=1e-8)
+
+
+def test_lrt_of_ten_thousand_donors(spark):
+    """One test with crossed donors and plates, and with donors within plates too."""
+    rng = np.random.default_rng(6)
+    n, donors = 30_000, 10_000
+    d, p = rng.integers(0, donors, n), rng.integers(0, 20, n)
+    f = pd.DataFrame({"test": "t", "individual_id": d, "plate_id": p, "x": rng.integers(0, 3, donors)[d].astype(float)})
+    f["pseudotime"], f["c"] = rng.random(n), rng.normal(size=n)
+    f["y"] = (
+        0.3 * f.x + 0.25 * f.x * f.pseudotime + rng.normal(size=donors)[d] * 0.7
+        + rng.normal(size=20)[p] * 0.5 + rng.normal(size=n)
+    )
+    rows = spark.createDataFrame(f)
+    groups = ["individual_id", "plate_id"]
+    r = X.dynamic_lrt(rows, ["test"], covariates=["c"], groups=groups).head()
+    assert abs(r["effects"][0] - 0.25) < 0.1 and r["pvalue"] < 1e-4
+    assert abs(r["re_sd"][0] - 0.7) < 0.05 and abs(r["re_sd"][1] - 0.5) < 0.3
+    m = X.modulated_lrt(rows, ["test"], covariates=["pseudotime"]).head()
+    assert abs(m["re_sd"][0] - 0.7) < 0.05 and m["re_sd"][2] < 0.2 and m["pvalue"] < 1e-4
+
+
 def test_dynamic_and_modulated(df):
     d = X.dynamic_lrt(df, ["test"], covariates=["c"], groups=["individual_id"], quadratic=True)
     assert all(len(r["effects"]) == 2 and 0 <= r["pvalue"] <= 1 for r in d.collect())

@@ -128,12 +128,53 @@ def matrix(spark, x, feature="gene_id", sample="cell_id"):
     return spark.createDataFrame(pd.DataFrame({feature: [f"g{a:02d}" for a in i], sample: j, "value": x[i, j]}))
 
 
-@pytest.mark.parametrize("limit", [100, 5])
-def test_pca_matches_svd(spark, limit):
+def test_pca_of_pearson_residuals_counts_zeros(spark):
+    from varloom.operators.normalize import pearson_residuals, pearson_zero_terms
+
+    rng = np.random.default_rng(3)
+    x = rng.poisson(rng.gamma(1.0, 1.0, size=(60, 1)) * rng.gamma(0.6, 1.0, size=(1, 35)))
+    x[:, 0] += 1
+    x[0] += 1
+    n, p = x.sum(1, keepdims=True), x.sum(0, keepdims=True) / x.sum()
+    res = (x - n * p) / np.sqrt(n * p * (1 - p))
+    res = (res - res.mean(0)) / res.std(0)
+    u, s, _ = np.linalg.svd(res, full_matrices=False)
+    i, j = np.nonzero(x)
+    counts = spark.createDataFrame(pd.DataFrame({"cell_id": i, "gene_id": j, "count": x[i, j].astype(float)}))
+    entries, table = pearson_residuals(counts)
+    scores, explained = D.pca(entries, 4, zeros=pearson_zero_terms(counts, table))
+    got = np.array([r["pcs"] for r in scores.orderBy("cell_id").collect()])
+    assert got.shape == (60, 4)
+    for k in range(4):
+        assert abs(abs(got[:, k] @ u[:, k]) - 1) < 1e-6
+    ve = [r["variance_explained"] for r in explained.orderBy("component").collect()]
+    assert np.allclose(ve, (s**2 / (s**2).sum())[:4], rtol=1e-8)
+
+
+def test_gene_set_of_many_genes(spark):
+    """A set of twenty thousand genes, whose square matrix no task could hold."""
+    rng = np.random.default_rng(12)
+    genes, cells = 20_000, 12
+    a, b = rng.normal(size=cells), rng.normal(size=genes)
+    i, j = rng.integers(0, genes, 120_000), rng.integers(0, cells, 120_000)
+    x = pd.DataFrame({"gene_id": i, "cell_id": j}).drop_duplicates()
+    x["value"] = a[x.cell_id] * b[x.gene_id] + 0.1 * rng.normal(size=len(x))
+    dense = np.zeros((cells, genes))
+    dense[x.cell_id, x.gene_id] = x.value
+    sets = spark.createDataFrame([("big", list(range(genes))), ("small", [3, 4, 5])], ["set_id", "genes"])
+    got = D.gene_set_scores(spark.createDataFrame(x), sets).where("set_id = 'big'").toPandas()
+    left = np.linalg.svd(dense, full_matrices=False)[0][:, 0]
+    own = got.sort_values("cell_id").score.to_numpy()
+    assert abs(abs(own @ left) - 1) < 1e-8
+
+
+@pytest.mark.parametrize("rows, dims", [(15, 256), (90, 1)])
+def test_pca_matches_svd(spark, rows, dims, monkeypatch):
+    monkeypatch.setattr(D, "_DIMS", dims)  # one dimension: the space starts again in every step
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(15, 3)) @ np.diag([6, 3, 1.5]) @ rng.normal(size=(3, 40)) + 0.1 * rng.normal(size=(15, 40))
+    x = rng.normal(size=(rows, 3)) @ np.diag([6, 3, 1.5]) @ rng.normal(size=(3, 40)) + 0.1 * rng.normal(size=(rows, 40))
     x[rng.random(x.shape) < 0.2] = 0.0
-    scores, explained = D.pca(matrix(spark, x), 3, gram_limit=limit)
+    scores, explained = D.pca(matrix(spark, x), 3)
     _, s, vt = np.linalg.svd(x, full_matrices=False)
     got = np.array([r["pcs"] for r in scores.orderBy("cell_id").collect()])
     for k in range(3):
@@ -298,12 +339,26 @@ def test_normalize_pseudobulk_counts_zeros_within_cell_types(spark):
             assert np.isclose(r.zero_value, zero)
 
 
-def test_quantile_normalization_refuses_incomplete_samples(spark):
+def test_quantile_normalization_counts_absent_zeros(spark):
     from varloom.operators.normalize import quantile_normalize
 
-    df = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 2.0), ("a", "t", 1.0)], "gene_id string, sample_id string, value double")
-    with pytest.raises(ValueError, match="write zeros out"):
-        quantile_normalize(df)
+    rng = np.random.default_rng(9)
+    x = rng.poisson(1.2, size=(40, 6)).astype(float)
+    x[:, 5] *= -1
+    order = np.argsort(x, axis=0, kind="stable")
+    mean = np.take_along_axis(x, order, axis=0).mean(axis=1)
+    want = np.zeros_like(x)
+    for s in range(6):
+        for v in np.unique(x[:, s]):
+            tied = np.sort(x[:, s]) == v
+            want[x[:, s] == v, s] = np.median(mean[tied])
+    i, j = np.nonzero(x)
+    df = spark.createDataFrame(pd.DataFrame({"gene_id": i, "sample_id": j, "value": x[i, j]}))
+    got = quantile_normalize(df, zero_value=True).collect()
+    assert len(got) == len(i)
+    for r in got:
+        assert np.isclose(r.value, want[r.gene_id, r.sample_id])
+        assert np.isclose(r.zero_value, want[np.flatnonzero(x[:, r.sample_id] == 0)[0], r.sample_id])
 
 
 def test_cis_rows_keep_donors_without_a_count(spark):
@@ -331,13 +386,21 @@ def test_pseudobulk_components_count_absent_rows_as_zeros(spark):
     s, g = np.nonzero(x)
     counts = pd.DataFrame({"cell_id": s, "gene_id": [f"g{i}" for i in g], "count": x[s, g].astype(float)})
     cells = pd.DataFrame({"cell_id": range(9), "individual_id": range(9), "cell_type": "A"})
-    parts = pseudobulk_components(spark.createDataFrame(counts), spark.createDataFrame(cells), ["A"], k=2)
-    z, scores, _ = parts["A"]
+    two = pd.concat([cells, cells.assign(cell_id=cells.cell_id + 100, cell_type="B").iloc[:6]])
+    more = counts[counts.cell_id < 6].assign(cell_id=counts.cell_id + 100)
+    z, scores, shares = pseudobulk_components(
+        spark.createDataFrame(pd.concat([counts, more])), spark.createDataFrame(two), ["A", "B"], k=2
+    )
+    assert shares.groupBy("cell_type").count().where("count = 2").count() == 2
+    z, scores = z.where("cell_type = 'A'"), scores.where("cell_type = 'A'")
     logged = np.log1p(1e4 * x / x.sum(axis=1, keepdims=True))
     want = (logged - logged.mean(axis=0)) / logged.std(axis=0)
     rows = z.collect()
-    assert len(rows) == x.size
+    assert len(rows) == (x > 0).sum()
     assert all(np.isclose(r.value, want[r.individual_id, int(r.gene_id[1:])]) for r in rows)
+    for r in rows:
+        zero = np.flatnonzero(x[:, int(r.gene_id[1:])] == 0)
+        assert not len(zero) or np.isclose(r.zero_value, want[zero[0], int(r.gene_id[1:])])
     left = np.linalg.svd(want)[0]
     got = np.array([r.pcs for r in sorted(scores.collect(), key=lambda r: r.individual_id)])
     assert np.allclose(abs((got * left[:, :2]).sum(axis=0)), 1)

@@ -5,11 +5,13 @@ An absent row is a missing observation, never a count of zero.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.columns import allelic_ratio, capped_depth, minor_count
-from varloom.plans.scale import hash_order
+from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order, ranked
 
 
 def site_depth(ase: DataFrame, *, site: str = "site_id", total: str = "total_count") -> DataFrame:
@@ -236,6 +238,10 @@ def batch_summary(
     return out if library is None else out.join(library, cell, "left")
 
 
+# Bytes of counts by cell that a task gathers before it passes them on.
+_HELD = 64 << 20
+
+
 def sample_match_score(
     ase: DataFrame,
     genotype: DataFrame,
@@ -250,23 +256,73 @@ def sample_match_score(
 ) -> DataFrame:
     """Per (cell, candidate donor): share of deep sites whose allelic state fits the genotype.
 
-    Genotypes are reduced to their class and the deep entries to their state, so the join
-    carries two small columns and the counts are combined map-side.
+    The donors' classes at a site are two bits each in one row, so that an entry meets one row and
+    not one for every donor. A task adds up the bits by cell and passes on counts by cell and
+    donor, which are summed. A cell and a donor that share no called deep site have no row. Of
+    several genotypes of a donor at a site, a heterozygous one counts.
     """
+    called = genotype.where(F.col(dosage).isNotNull()).groupBy(site, individual).agg(
+        F.max(F.bround(dosage) == 1).alias("_het")
+    )
+    called = cut_lineage(called.where(F.col(individual).isNotNull()))
+    donors = cut_lineage(
+        ranked(called.select(individual).distinct(), [individual], out="_d").withColumn("_d", F.col("_d") - 1)
+    )
+    n = donors.count()
+    bit = F.when(F.col("_het"), 2).otherwise(0) + 1
+    packed = called.join(broadcast_if_small(donors, width=2), individual).groupBy(site).agg(
+        F.collect_list(F.struct(F.col("_d").cast("int").alias("d"), bit.alias("b"))).alias("_donors")
+    )
     deep = ase.where(F.col(total) >= min_reads).select(
         site, sample, (minor_count(alt, total) > 0).alias("_both")
     )
-    het = genotype.where(F.col(dosage).isNotNull()).select(
-        site, individual, (F.bround(dosage) == 1).alias("_het")
+    site_type, sample_type = (ase.schema[c].dataType.simpleString() for c in (site, sample))
+
+    def pack(frames):
+        for frame in frames:
+            bits = []
+            for row in frame["_donors"]:
+                state = np.zeros(n, np.uint8)
+                state[[r["d"] for r in row]] = [r["b"] for r in row]
+                bits.append(np.packbits(np.concatenate([state & 1, state >> 1])).tobytes())
+            yield pd.DataFrame({site: frame[site], "_bits": bits})
+
+    sites = packed.mapInPandas(pack, f"`{site}` {site_type}, _bits binary")
+    joined = deep.join(broadcast_if_small(cut_lineage(sites), width=4 + n // 32), site)
+
+    def rows(cells, counts):
+        at, donor = np.nonzero(counts[:, n:])
+        for k in range(0, len(at), 1 << 16):
+            i, d = at[k : k + (1 << 16)], donor[k : k + (1 << 16)]
+            yield pd.DataFrame({sample: cells[i], "_d": d, "_m": counts[i, d], "_n": counts[i, n + d]})
+
+    def count(frames):
+        places: dict = {}
+        counts = np.zeros((1024, 2 * n), np.int64)
+        for frame in frames:
+            code, cells = pd.factorize(frame[sample], use_na_sentinel=False)
+            if len(places) and (len(places) + len(cells)) * 16 * n > _HELD:
+                yield from rows(np.array(list(places), object), counts[: len(places)])
+                places, counts = {}, np.zeros((1024, 2 * n), np.int64)
+            raw = np.frombuffer(b"".join(frame["_bits"]), np.uint8).reshape(len(frame), -1)
+            bits = np.unpackbits(raw, axis=1)[:, : 2 * n].astype(bool)
+            known = bits[:, :n]
+            same = known & (bits[:, n:] == frame["_both"].to_numpy(dtype=bool)[:, None])
+            order = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[order], np.arange(len(cells)))
+            sums = np.add.reduceat(np.hstack([same, known])[order].astype(np.int64), first)
+            at = np.array([places.setdefault(c, len(places)) for c in cells])
+            while len(counts) < len(places):
+                counts = np.vstack([counts, np.zeros_like(counts)])
+            counts[at] += sums
+        yield from rows(np.array(list(places), object), counts[: len(places)])
+
+    parts = joined.select(sample, "_both", "_bits").mapInPandas(
+        count, f"`{sample}` {sample_type}, _d bigint, _m bigint, _n bigint"
     )
-    return (
-        deep.join(het, site)
-        .groupBy(sample, individual)
-        .agg(
-            F.count_if(F.col("_both") == F.col("_het")).alias("n_match"),
-            F.count("*").alias("n_sites"),
-        )
-        .withColumn("score", F.col("n_match") / F.col("n_sites"))
+    summed = parts.groupBy(sample, "_d").agg(F.sum("_m").alias("n_match"), F.sum("_n").alias("n_sites"))
+    return summed.join(broadcast_if_small(donors, width=2), "_d").select(
+        sample, individual, "n_match", "n_sites", (F.col("n_match") / F.col("n_sites")).alias("score")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,131 +19,222 @@ from varloom.plans.scale import (
     with_group_stats,
 )
 
-GRAM_LIMIT = 2048  # features whose Gram matrix is solved at once
+# Vectors that a search space holds before it starts again from its best ones.
+_DIMS = 256
 
 
 def _array_sums(column: str, width: int):
     return F.array(*[F.sum(F.col(column)[i]) for i in range(width)])
 
 
-def _signed(vectors: np.ndarray) -> np.ndarray:
-    """Make the entry of largest size positive in every column."""
-    top = np.abs(vectors).argmax(0)
-    return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+def _rows_of(frame: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack(frame[column].to_numpy()).astype(float)
 
 
-def _packed(data: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The entries of each key as an index array and a value array of the same order."""
-    rows = data.groupBy(*keys).agg(F.collect_list(F.struct("_j", "_x")).alias("_e"))
-    return rows.select(
-        *keys,
-        F.transform("_e", lambda e: e["_j"]).alias("_js"),
-        F.transform("_e", lambda e: e["_x"]).alias("_xs"),
-    )
-
+@dataclass
+class _Matrix:
+    """A sparse matrix by group: stored entries, less what the zero terms say there, and the
+    terms themselves. An entry is x + sum over r of a[r] * b[r]."""
 
-def _dense(frame: pd.DataFrame, width: int) -> np.ndarray:
-    """Packed entries as a matrix with one line for each row."""
-    out = np.zeros((len(frame), width))
-    line = np.repeat(np.arange(len(frame)), frame["_js"].map(len).to_numpy())
-    out[line, np.concatenate(frame["_js"].to_numpy())] = np.concatenate(frame["_xs"].to_numpy())
-    return out
+    entries: DataFrame  # by, sample, feature, _x
+    samples: DataFrame  # by, sample, [_a]
+    by: list[str]
+    sample: str
+    feature: str
+    terms: int
 
+    def __post_init__(self):
+        # counted once: whether a block of vectors over the samples may be broadcast, by width
+        rows = self.samples.count()
+        self.hint = lambda df, width: F.broadcast(df) if rows * (8 * width + 64) <= 64 << 20 else df
 
-def _feature_vectors_gram(data: DataFrame, n_features: int, sample: str, k: int):
-    """Leading right singular vectors from the Gram matrix of the features.
+    def times(self, features: DataFrame, column: str, width: int) -> DataFrame:
+        """(by, sample, _b): the matrix times a block of vectors over features."""
+        keys = [*self.by, self.feature]
+        block = features.select(*keys, F.col(column).alias("_v"))
+        found = self.entries.join(block, keys)
+        found = found.groupBy(*self.by, self.sample).agg(
+            F.array(*[F.sum(F.col("_x") * F.col("_v")[i]) for i in range(width)]).alias("_b")
+        )
+        if not self.terms:
+            return found
+        shared = features.groupBy(*self.by).agg(
+            *[
+                F.array(*[F.sum(F.col("_z")[r] * F.col(column)[i]) for i in range(width)]).alias(f"_t{r}")
+                for r in range(self.terms)
+            ]
+        )
+        return self._with_terms(self.samples, "_a", found, shared, [*self.by, self.sample], "_b", width)
 
-    A sample's entries are packed in one row (at most one entry per feature), every task
-    adds up its own Gram matrix, and the matrices are summed row by row.
+    def transposed(self, features: DataFrame, samples: DataFrame, width: int) -> DataFrame:
+        """The features with ``_y``: the transposed matrix times the block ``_b`` of samples."""
+        found = self.entries.join(self.hint(samples, width + 2), [*self.by, self.sample])
+        found = found.groupBy(*self.by, self.feature).agg(
+            F.array(*[F.sum(F.col("_x") * F.col("_b")[i]) for i in range(width)]).alias("_y")
+        )
+        keys = [*self.by, self.feature]
+        if not self.terms:
+            none = F.array_repeat(F.lit(0.0), width)
+            return features.join(found, keys, "left").withColumn("_y", F.coalesce("_y", none))
+        whole = samples.join(self.samples, [*self.by, self.sample])
+        shared = whole.groupBy(*self.by).agg(
+            *[
+                F.array(*[F.sum(F.col("_a")[r] * F.col("_b")[i]) for i in range(width)]).alias(f"_t{r}")
+                for r in range(self.terms)
+            ]
+        )
+        return self._with_terms(features, "_z", found, shared, keys, "_y", width)
+
+    def _with_terms(self, rows, term, found, shared, keys, out, width) -> DataFrame:
+        joined = rows.join(found, keys, "left")
+        joined = joined.join(shared, self.by)
+        cells = []
+        for i in range(width):
+            total = F.coalesce(F.col(out)[i], F.lit(0.0))
+            for r in range(self.terms):
+                total = total + F.col(term)[r] * F.col(f"_t{r}")[i]
+            cells.append(total)
+        kept = [c for c in rows.columns if c != "_a"]
+        return joined.select(*kept, F.array(*cells).alias(out))
+
+    def square_sum(self, features: DataFrame) -> DataFrame:
+        """(by, _total): the sum of all squared entries."""
+        x = F.col("_x")
+        if not self.terms:
+            return self.entries.groupBy(*self.by).agg(F.sum(x * x).alias("_total"))
+        pairs = [(r, q) for r in range(self.terms) for q in range(self.terms)]
+
+        def squares(table: DataFrame, c: str, out: str) -> DataFrame:
+            cells = [F.sum(F.col(c)[r] * F.col(c)[q]) for r, q in pairs]
+            return table.groupBy(*self.by).agg(F.array(*cells).alias(out))
+
+        keys = [*self.by, self.feature], [*self.by, self.sample]
+        named = self.entries.join(broadcast_if_small(features.select(*keys[0], "_z")), keys[0])
+        named = named.join(broadcast_if_small(self.samples), keys[1])
+        zero = F.lit(0.0)
+        for r in range(self.terms):
+            zero = zero + F.col("_a")[r] * F.col("_z")[r]
+        stored = named.groupBy(*self.by).agg(F.sum(x * x + 2 * x * zero).alias("_s"))
+        both = squares(self.samples, "_a", "_aa").join(squares(features, "_z", "_bb"), self.by)
+        cells = F.aggregate(F.zip_with("_aa", "_bb", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        joined = both.join(stored, self.by, "left")
+        return joined.select(*self.by, (cells + F.coalesce("_s", F.lit(0.0))).alias("_total"))
+
+
+def _settled(table: DataFrame, by: list[str], dims: int, width: int, k: int) -> DataFrame:
+    """The best vectors in each group's search space.
+
+    ``table`` has, by feature, the space ``_v`` and its image ``_w``. The result has per group
+    the coefficients of the best vectors, their values, the lengths of their residuals, and
+    the longest of the first k beside the largest value.
     """
-    rows = _packed(data, [sample])
+    kinds = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in by)
 
-    def gram(frames):
-        total = np.zeros((n_features, n_features))
+    def partial(frames):
+        totals: dict = {}
         for frame in frames:
-            for at in range(0, len(frame), 1024):
-                dense = _dense(frame.iloc[at : at + 1024], n_features)
-                total += dense.T @ dense
-        yield pd.DataFrame({"_j": np.arange(n_features), "_row": list(total)})
-
-    def add(frame):
-        return pd.DataFrame(
-            {"_j": [frame["_j"].iloc[0]], "_row": [np.sum(np.stack(frame["_row"].to_numpy()), 0)]}
-        )
-
-    parts = rows.select("_js", "_xs").mapInPandas(gram, "_j int, _row array<double>")
-    summed = parts.groupBy("_j").applyInPandas(add, "_j int, _row array<double>")
-    local = summed.orderBy("_j").collect()  # at most GRAM_LIMIT rows
-    matrix = np.array([r["_row"] for r in local])
-    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
-    order = np.argsort(-values)[:k]
-    return np.maximum(values[order], 0.0), _signed(vectors[:, order])
-
-
-def _feature_vectors_power(
-    data: DataFrame, feature: str, sample: str, k: int, seed: int, tol: float, max_iter: int
-):
-    """Leading right singular vectors by block power steps; vectors stay distributed."""
-    width = k + 8
+            for key, part in frame.groupby(by, sort=False, dropna=False):
+                v, w = _rows_of(part, "_v"), _rows_of(part, "_w")
+                own = np.stack([v.T @ v, v.T @ w, w.T @ w])
+                totals[key] = totals.get(key, 0.0) + own
+        out = pd.DataFrame(list(totals), columns=by)
+        out["_flat"] = [t.ravel() for t in totals.values()]
+        yield out
+
+    def solve(frame):
+        flat = np.sum(np.stack(frame["_flat"].to_numpy()), 0)
+        vv, vw, ww = flat.reshape(3, dims, dims)
+        size = np.sqrt(np.maximum(np.diag(vv), 1e-300))
+        lam, vec = np.linalg.eigh(vv / size[:, None] / size[None, :])
+        keep = lam > 1e-10 * lam.max()
+        half = vec[:, keep] / np.sqrt(lam[keep]) / size[:, None]
+        values, turn = np.linalg.eigh(half.T @ ((vw + vw.T) / 2) @ half)
+        order = np.argsort(-values)[:width]
+        u = np.zeros((dims, width))
+        u[:, : len(order)] = half @ turn[:, order]
+        theta = np.zeros(width)
+        theta[: len(order)] = np.maximum(values[order], 0.0)
+        square = np.einsum("iw,ij,jw->w", u, ww, u) - theta**2
+        rest = np.sqrt(np.maximum(square, 0.0))
+        top = max(theta[0], 1e-300)
+        out = frame[by].iloc[:1].copy()
+        out["_u"], out["_theta"], out["_rest"] = [u.ravel()], [theta], [rest]
+        out["_left"] = float(rest[:k].max() / top) if theta[0] > 0 else 0.0
+        return out
+
+    parts = table.select(*by, "_v", "_w").mapInPandas(partial, f"{kinds}, _flat array<double>")
+    schema = f"{kinds}, _u array<double>, _theta array<double>, _rest array<double>, _left double"
+    return cut_lineage(parts.groupBy(*by).applyInPandas(solve, schema))
+
+
+def _leading(matrix: _Matrix, features: DataFrame, k: int, seed: int, tol: float, max_iter: int):
+    """The leading right singular vectors of every group: (by, feature, [_z], _best) and
+    (by, _theta).
+
+    A space of vectors grows by the residuals of its best ones, which are orthogonal to it,
+    and starts again from the best ones when it is full. Vectors stay distributed; of a group
+    only sums over all features, a few hundred numbers, meet in one row.
+    """
+    width, by = k + min(27, max(3, 6 * k)), matrix.by
     draws = [
-        F.conv(F.substring(hash_order(seed + i, feature), 1, 8), 16, 10).cast("double") / 2**32 - 0.5
+        F.conv(F.substring(hash_order(seed + i, *by, matrix.feature), 1, 8), 16, 10).cast("double") / 2**32 - 0.5
         for i in range(width)
     ]
-    q = cut_lineage(data.select(feature).distinct().select(feature, F.array(*draws).alias("_q")))
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    previous = scores = z = None
+    base = [c for c in features.columns]
+    space = features.withColumn("_new", F.array(*draws))
+    none = F.array().cast("array<double>")
+    space = cut_lineage(space.withColumns({"_v": none, "_w": none}))
+    dims = 0
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema)
     for _ in range(max_iter):
-        found = data.join(broadcast_if_small(q), feature).groupBy(sample).agg(
-            F.array(*[F.sum(F.col("_x") * F.col("_q")[i]) for i in range(width)]).alias("_b")
-        )
-        scores = cut_lineage(found, replaces=scores)
-        if z is not None:
-            discard(z)
-        z = data.join(broadcast_if_small(scores), sample).groupBy(feature).agg(
-            F.array(*[F.sum(F.col("_x") * F.col("_b")[i]) for i in range(width)]).alias("_z")
-        )
-        z = cut_lineage(z.join(q, feature), replaces=q)
-        flat = z.agg(
-            *[F.sum(F.col("_z")[i] * F.col("_z")[j]) for i, j in pairs],
-            *[F.sum(F.col("_q")[i] * F.col("_z")[j]) for i, j in pairs],
-            *[F.sum(F.col("_q")[i] * F.col("_q")[j]) for i, j in pairs],
-        ).head()
-        gram = np.zeros((3, width, width))
-        for m in range(3):
-            for (i, j), v in zip(pairs, flat[m * len(pairs) : (m + 1) * len(pairs)]):
-                gram[m, i, j] = gram[m, j, i] = v
-        zz, qz, qq = gram
-        # Rayleigh-Ritz in the span of q, then orthonormal z for the next step
-        lam, vec = np.linalg.eigh(qq)
-        keep = lam > 1e-12 * lam.max()
-        half = vec[:, keep] / np.sqrt(lam[keep])
-        ritz, turn = np.linalg.eigh(half.T @ ((qz + qz.T) / 2) @ half)
-        order = np.argsort(-ritz)[:k]
-        basis = half @ turn[:, order]
-        values = ritz[order]
-        if previous is not None and np.all(
-            np.abs(values - previous) <= tol * np.maximum(values, 1e-300)
-        ):
+        images = cut_lineage(matrix.times(space, "_new", width))
+        grown = matrix.transposed(space, images, width)
+        grown = grown.select(*base, F.concat("_v", "_new").alias("_v"), F.concat("_w", "_y").alias("_w"))
+        grown = cut_lineage(grown, replaces=space)
+        discard(images)
+        dims += width
+        turn = _settled(grown, by, dims, width, k)
+        left = turn.agg(F.max("_left")).head()[0]
+        if left is None or left <= tol:
             break
-        previous = values
-        lam, vec = np.linalg.eigh(zz)
-        lam = np.maximum(lam, 1e-300)
-        mix = vec / np.sqrt(lam)
-        q = cut_lineage(z.select(feature, _mixed("_z", mix).alias("_q")))
+        full = dims + width > max(_DIMS, 2 * width)
+
+        def move(frames, dims=dims, full=full):
+            for frame in frames:
+                v, w, u = _rows_of(frame, "_v"), _rows_of(frame, "_w"), _rows_of(frame, "_u")
+                u = u.reshape(len(frame), dims, width)
+                theta, rest = _rows_of(frame, "_theta"), _rows_of(frame, "_rest")
+                best = np.einsum("nd,ndw->nw", v, u)
+                image = np.einsum("nd,ndw->nw", w, u)
+                own = rest > tol * 1e-2 * np.maximum(theta[:, :1], 1e-300)
+                new = np.where(own, (image - theta * best) / np.where(own, rest, 1.0), 0.0)
+                out = frame[base].copy()
+                out["_new"] = list(new)
+                out["_v"], out["_w"] = (list(best), list(image)) if full else (list(v), list(w))
+                yield out
+
+        joined = grown.join(turn, by)
+        schema = f"{fields}, _new array<double>, _v array<double>, _w array<double>"
+        space = cut_lineage(joined.mapInPandas(move, schema), replaces=grown)
+        dims = width if full else dims
     else:
         raise RuntimeError(f"the components have not settled after {max_iter} steps")
-    return np.maximum(values, 0.0), z.select(feature, _mixed("_q", basis).alias("_w"))
 
+    def take(frames):
+        for frame in frames:
+            u = _rows_of(frame, "_u").reshape(len(frame), dims, width)[:, :, :k]
+            out = frame[base].copy()
+            out["_best"] = list(np.einsum("nd,ndw->nw", _rows_of(frame, "_v"), u))
+            yield out
 
-def _mixed(column: str, matrix: np.ndarray):
-    """Array column times a small matrix."""
-    out = []
-    for c in range(matrix.shape[1]):
-        total = F.lit(0.0)
-        for i in range(matrix.shape[0]):
-            total = total + F.col(column)[i] * float(matrix[i, c])
-        out.append(total)
-    return F.array(*out)
+    joined = grown.join(turn, by)
+    best = cut_lineage(joined.mapInPandas(take, f"{fields}, _best array<double>"), replaces=grown)
+    # the entry of largest size is positive in every vector
+    top = [F.max_by(F.signum(F.col("_best")[i]), F.struct(F.abs(F.col("_best")[i]), matrix.feature)) for i in range(k)]
+    signs = best.groupBy(*by).agg(F.array(*top).alias("_sign"))
+    best = best.join(broadcast_if_small(signs, width=k + 2), by)
+    best = best.withColumn("_best", F.zip_with("_best", "_sign", lambda x, t: x * t)).drop("_sign")
+    return best, turn.select(*by, F.slice("_theta", 1, k).alias("_theta"))
 
 
 def pca(
@@ -152,46 +244,63 @@ def pca(
     feature: str = "gene_id",
     sample: str = "cell_id",
     value: str = "value",
+    by: Sequence[str] = (),
+    zeros: tuple[DataFrame, DataFrame] | None = None,
     seed: int = 0,
-    tol: float = 1e-10,
-    max_iter: int = 100,
-    gram_limit: int = GRAM_LIMIT,
+    tol: float = 1e-7,
+    max_iter: int = 300,
 ) -> tuple[DataFrame, DataFrame]:
-    """Singular value decomposition without centring; absent entries are zeros.
+    """Singular value decomposition without centring, of one matrix or one for each ``by`` group.
 
     Returns unit-length sample vectors (``pcs``) and the share of the squared singular values
-    of each component. Few features are solved from their Gram matrix, many by power steps to
-    the same result; power steps that do not settle within ``max_iter`` raise.
+    of each component. Absent entries are zeros, or, with ``zeros``, what two tables say: one
+    with an array ``a`` for every sample and one with an array ``b`` for every feature (and the
+    ``by`` columns); an absent entry is the sum of a[r] * b[r]. Features with a NULL in ``b``
+    take no part. One search serves all sizes and all groups at once; it ends when the longest
+    residual is at most ``tol`` of the largest value, and raises after ``max_iter`` steps.
     """
-    spark = df.sparkSession
-    data = df.where(F.col(value).isNotNull()).select(
-        feature, sample, F.col(value).cast("double").alias("_x")
+    plain = not by
+    groups = list(by) or ["_all"]
+
+    def keyed(table: DataFrame) -> DataFrame:
+        return table.withColumn("_all", F.lit(0)) if plain else table
+
+    data = keyed(df.where(F.col(value).isNotNull())).select(
+        *groups, sample, feature, F.col(value).cast("double").alias("_x")
     )
-    data = cut_lineage(data)  # read several times below, made once
-    names = data.select(feature).distinct()
-    n_features = names.count()
-    k = min(k, n_features)
-    if n_features <= gram_limit:
-        index = cut_lineage(ranked(names, [feature], out="_j").withColumn("_j", (F.col("_j") - 1).cast("int")))
-        values, vectors = _feature_vectors_gram(
-            data.join(broadcast_if_small(index), feature), n_features, sample, k
-        )
-        table = spark.createDataFrame(
-            [(j, v.tolist()) for j, v in enumerate(vectors)], "_j int, _w array<double>"
-        )
-        loadings = index.join(table, "_j").select(feature, "_w")
+    terms = 0
+    if zeros is None:
+        data = cut_lineage(data)  # read several times below, made once
+        samples = data.select(*groups, sample).distinct()
+        features = cut_lineage(data.select(*groups, feature).distinct())
     else:
-        values, loadings = _feature_vectors_power(data, feature, sample, k, seed, tol, max_iter)
-    scale = [1.0 / np.sqrt(v) if v > 1e-12 * values[0] else 0.0 for v in values]
-    scores = data.join(broadcast_if_small(loadings), feature).groupBy(sample).agg(
-        F.array(*[F.sum(F.col("_x") * F.col("_w")[i]) * float(scale[i]) for i in range(k)]).alias("pcs")
-    )
-    total = data.agg(F.sum(F.col("_x") ** 2)).head()[0]
-    explained = spark.createDataFrame(
-        [(i, float(v / total)) for i, v in enumerate(values)],
-        "component int, variance_explained double",
-    )
-    return scores, explained
+        samples = cut_lineage(keyed(zeros[0]).select(*groups, sample, F.col("a").alias("_a")))
+        good = F.forall("b", lambda x: x.isNotNull() & ~F.isnan(x))
+        features = keyed(zeros[1]).where(good).select(*groups, feature, F.col("b").alias("_z"))
+        features = cut_lineage(features)
+        first = features.select(F.size("_z")).head()
+        terms = first[0] if first else 1
+        # entries keep only what differs from the terms
+        named = data.join(broadcast_if_small(features), [*groups, feature])
+        named = named.join(broadcast_if_small(samples), [*groups, sample])
+        zero = F.lit(0.0)
+        for r in range(terms):
+            zero = zero + F.col("_a")[r] * F.col("_z")[r]
+        data = cut_lineage(named.select(*groups, sample, feature, (F.col("_x") - zero).alias("_x")))
+    if plain:
+        k = min(k, features.count())
+    matrix = _Matrix(data, samples, groups, sample, feature, terms)
+    best, values = _leading(matrix, features, k, seed, tol, max_iter)
+    scores = matrix.times(best, "_best", k).join(broadcast_if_small(values, width=k + 2), groups)
+    theta = F.col("_theta")
+    scaled = [
+        F.when(theta[i] > 1e-12 * theta[0], F.col("_b")[i] / F.sqrt(theta[i])).otherwise(0.0) for i in range(k)
+    ]
+    scores = scores.select(*by, sample, F.array(*scaled).alias("pcs"))
+    total = matrix.square_sum(features)
+    shares = values.join(broadcast_if_small(total, width=2), groups)
+    explained = shares.select(*by, "_total", F.posexplode("_theta").alias("component", "_t"))
+    return scores, explained.select(*by, "component", (F.col("_t") / F.col("_total")).alias("variance_explained"))
 
 
 def gene_set_scores(
@@ -205,49 +314,15 @@ def gene_set_scores(
     genes: str = "genes",
 ) -> DataFrame:
     """First right singular vector over the genes of each set with at least two matched
-    genes: one score per (set, cell)."""
+    genes: one score per (set, cell). All sets are searched at once; no set's genes meet in
+    one task."""
     members = sets.select(set_id, F.explode(genes).alias(gene)).distinct()
-    known = members.join(expr.select(gene).distinct(), gene, "left_semi")
-    # the genes of one set, in order: bounded by the size of the set
-    listed = known.groupBy(set_id).agg(F.array_sort(F.collect_list(gene)).alias("_genes"))
-    listed = cut_lineage(listed.where(F.size("_genes") >= 2))
-    placed = listed.select(set_id, F.posexplode("_genes").alias("_j", gene))
-    rows = expr.select(gene, cell, F.col(value).cast("double").alias("_x")).join(
-        broadcast_if_small(placed), gene
-    )
-    packed = _packed(rows, [set_id, cell])
-    sized = packed.join(
-        broadcast_if_small(listed.select(set_id, F.size("_genes").alias("_m"))), set_id
-    )
-    set_type = sets.schema[set_id].dataType.simpleString()
-
-    def gram(frames):
-        totals: dict = {}
-        for frame in frames:
-            for name, part in frame.groupby(set_id, sort=False):
-                x = _dense(part, int(part["_m"].iloc[0]))
-                totals[name] = totals.get(name, 0.0) + x.T @ x
-        yield pd.DataFrame(
-            {set_id: list(totals), "_gram": [g.ravel() for g in totals.values()]}
-        )
-
-    def lead(frame):
-        flat = np.sum(np.stack(frame["_gram"].to_numpy()), 0)
-        m = int(round(np.sqrt(len(flat))))
-        values, vectors = np.linalg.eigh(flat.reshape(m, m))
-        w = _signed(vectors[:, [-1]])[:, 0] / np.sqrt(max(values[-1], 1e-300))
-        return pd.DataFrame({set_id: frame[set_id].iloc[0], "_j": np.arange(m), "_w": w})
-
-    # one partial matrix of each set per task
-    grams = sized.select(set_id, "_js", "_xs", "_m").mapInPandas(gram, f"`{set_id}` {set_type}, _gram array<double>")
-    weights = cut_lineage(
-        grams.groupBy(set_id).applyInPandas(lead, f"`{set_id}` {set_type}, _j int, _w double")
-    )
-    return (
-        rows.join(broadcast_if_small(weights), [set_id, "_j"])
-        .groupBy(set_id, cell)
-        .agg(F.sum(F.col("_x") * F.col("_w")).alias("score"))
-    )
+    known = cut_lineage(members.join(expr.select(gene).distinct(), gene, "left_semi"))
+    large = known.groupBy(set_id).agg(F.count("*").alias("_m")).where("_m >= 2").select(set_id)
+    placed = known.join(broadcast_if_small(large, width=2), set_id)
+    rows = expr.select(gene, cell, value).join(broadcast_if_small(placed, width=4), gene)
+    scores, _ = pca(rows, 1, feature=gene, sample=cell, value=value, by=[set_id])
+    return scores.select(set_id, cell, F.col("pcs")[0].alias("score"))
 
 
 def module_score(

@@ -1002,13 +1002,15 @@ def eqtl_als(
     genotype_intercept: bool = True,
     weight_by_usage: bool = False,
     iterations: int = 100,
+    tolerance: float | None = None,
     init_category: str | None = None,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Alternating least squares: ridge by test, lasso or simplex loadings by sample.
 
     Penalties count per observation. Returns loadings, test parameters and the mean squared
-    residual by iteration.
+    residual by iteration. With a ``tolerance`` the fit ends when an iteration lowers that mean
+    by less than this share of it; ``iterations`` entries tell that it has not settled.
     """
     if u not in ("lasso+", "lasso", "simplex"):
         raise ValueError(f"unknown loading rule {u}")
@@ -1091,9 +1093,18 @@ def eqtl_als(
         state = solved.select("sample", "u")
         row = solved.agg(F.sum("_rss"), F.sum("_n")).head()
         history.append(row[0] / row[1])
+        if _settled(history, tolerance):
+            break
     return state, tests, history
 
 
+def _settled(history: Sequence[float], tolerance: float | None) -> bool:
+    """Whether the last step changed a measure by less than a share of it."""
+    if tolerance is None or len(history) < 2:
+        return False
+    return abs(history[-1] - history[-2]) <= tolerance * abs(history[-1])
+
+
 def lasso(a, b, start, penalty, positive: bool, sweeps: int = 1000, tol: float = 1e-10):
     """Coordinate descent on u.a.u / 2 - b.u + penalty |u| for a block of samples."""
     u = start.copy()
@@ -1134,12 +1145,14 @@ def eqtl_mixture(
     k: int,
     *,
     iterations: int = 50,
+    tolerance: float | None = None,
     intercept: bool = True,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Mixture of regressions: samples belong to one of k components, each with its own
     regression of y on g in every test. Returns posteriors by sample, regressions by test and
-    the log-likelihood by iteration."""
+    the log-likelihood by iteration. With a ``tolerance`` the fit ends when an iteration changes
+    that by less than this share of it."""
     data = cut_lineage(obs.dropna(subset=["g", "y"]).select("test", "sample", "g", "y"))
     raw = F.array(
         *[
@@ -1199,4 +1212,6 @@ def eqtl_mixture(
         full = cut_lineage(full.select("sample", "p", "_ll"))
         history.append(float(full.agg(F.sum("_ll")).head()[0]))
         post = full.select("sample", "p")
+        if _settled(history, tolerance):
+            break
     return post, models, history

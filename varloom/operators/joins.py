@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,11 +103,11 @@ def expand_genotype_to_cells(
     cell: str = "cell_id",
     dosage: str = "dosage",
 ) -> DataFrame:
-    """Dosage of the donor repeated for each of the donor's cells."""
-    needed = genotype.join(pairs.select(variant).distinct(), variant, "left_semi")
-    return cells.select(cell, individual).join(
-        needed.select(variant, individual, dosage), individual
-    )
+    """Dosage of the donor repeated for each of the donor's cells. Where sums over cells are
+    needed and not the rows, use ``cell_genotype``."""
+    return cell_genotype(
+        pairs, genotype, cells, variant=variant, individual=individual, cell=cell, dosage=dosage
+    ).expand()
 
 
 def attach_genotype_bulk(
@@ -314,6 +315,78 @@ def standardized_donor_genotype(
     )
 
 
+@dataclass
+class CellGenotype:
+    """Genotypes of cells as two tables: dosages by donor, and the cells of each donor.
+
+    What a consumer needs of all cells x variants is computed from these; the product of the
+    two is made by ``expand`` alone.
+    """
+
+    donors: DataFrame  # variant, individual, dosage
+    cells: DataFrame  # cell, individual, and what else describes a cell
+    variant: str = "variant_id"
+    individual: str = "individual_id"
+    cell: str = "cell_id"
+    dosage: str = "dosage"
+
+    def summary(self, by: Sequence[str] = ()) -> DataFrame:
+        """Per variant, and per group of cells, the cells, those with a dosage, and the sum,
+        mean, sum of squares, minimum and maximum of their dosages."""
+        sizes = self.cells.groupBy(self.individual, *by).agg(F.count("*").alias("_w"))
+        rows = self.donors.join(broadcast_if_small(sizes, width=2 + len(by)), self.individual)
+        w, g = F.col("_w"), F.col(self.dosage)
+        called = F.sum(F.when(g.isNotNull(), w).otherwise(0))
+        return rows.groupBy(self.variant, *by).agg(
+            F.sum(w).alias("n_cells"),
+            called.alias("n_called"),
+            F.sum(w * g).alias("total"),
+            (F.sum(w * g) / F.when(called > 0, called)).alias("mean"),
+            F.sum(w * g * g).alias("squares"),
+            F.min(g).alias("lowest"),
+            F.max(g).alias("highest"),
+        )
+
+    def products(self, values: DataFrame, pairs: DataFrame, *, feature: str = "gene_id", value: str = "value") -> DataFrame:
+        """Per (feature, variant) pair the sum over cells of value times dosage.
+
+        Stored values of a feature are first summed by donor, so that a pair costs one row per
+        donor; absent values are zeros.
+        """
+        own = values.join(self.cells.select(self.cell, self.individual), self.cell)
+        bulk = own.groupBy(feature, self.individual).agg(F.sum(value).alias("_v"))
+        wanted = pairs.select(feature, self.variant).distinct()
+        rows = wanted.join(bulk, feature).join(self.donors, [self.variant, self.individual])
+        return rows.groupBy(feature, self.variant).agg(F.sum(F.col("_v") * F.col(self.dosage)).alias("product"))
+
+    def expand(self) -> DataFrame:
+        """One row for every cell and variant of its donor."""
+        return self.cells.select(self.cell, self.individual).join(self.donors, self.individual)
+
+
+def cell_genotype(
+    pairs: DataFrame,
+    genotype: DataFrame,
+    cells: DataFrame,
+    *,
+    standardize: bool = False,
+    variant: str = "variant_id",
+    individual: str = "individual_id",
+    cell: str = "cell_id",
+    dosage: str = "dosage",
+) -> CellGenotype:
+    """The genotypes of all cells at the variants of ``pairs``, as they are or standardised over
+    the cells, without a row for each cell and variant."""
+    if standardize:
+        donors = standardized_donor_genotype(
+            pairs, genotype, cells, variant=variant, individual=individual, dosage=dosage
+        )
+    else:
+        wanted = pairs.select(variant).distinct()
+        donors = genotype.join(wanted, variant, "left_semi").select(variant, individual, dosage)
+    return CellGenotype(donors, cells, variant, individual, cell, dosage)
+
+
 def standardized_genotype(
     pairs: DataFrame,
     genotype: DataFrame,
@@ -324,18 +397,30 @@ def standardized_genotype(
     cell: str = "cell_id",
     dosage: str = "dosage",
 ) -> DataFrame:
-    """Genotype of every cell, standardised over cells.
+    """Genotype of every cell, standardised over cells, one row for each cell and variant.
 
-    The moments come from the donor table weighted by cell counts, before expansion.
+    The moments come from the donor table weighted by cell counts. Where sums over cells are
+    needed and not the rows, use ``cell_genotype``.
     """
-    scaled = standardized_donor_genotype(
-        pairs, genotype, cells, variant=variant, individual=individual, dosage=dosage
-    )
-    return cells.select(cell, individual).join(scaled, individual)
+    return cell_genotype(
+        pairs, genotype, cells, standardize=True, variant=variant, individual=individual, cell=cell, dosage=dosage
+    ).expand()
 
 
-def index_labels(df: DataFrame, column: str, *, out: str = "label_index") -> DataFrame:
-    """Zero-based integer of each label in sorted order; a NULL label has a NULL index."""
-    labels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    table = ranked(labels, [column], out=out).withColumn(out, (F.col(out) - 1).cast("int"))
+def index_labels(
+    df: DataFrame, column: str, *, out: str = "label_index", first_seen: Sequence[str] = ()
+) -> DataFrame:
+    """Zero-based integer of each label; a NULL label has a NULL index.
+
+    Labels count in sorted order or, with ``first_seen``, in the order of their first rows by
+    these columns, such as those of ``sources.text.with_position``. Labels whose first rows are
+    equal there follow each other in sorted order.
+    """
+    known = df.where(F.col(column).isNotNull())
+    if first_seen:
+        place = F.min(F.struct(*first_seen)).alias("_first")
+        table = ranked(known.groupBy(column).agg(place), ["_first", column], out=out).drop("_first")
+    else:
+        table = ranked(known.select(column).distinct(), [column], out=out)
+    table = table.withColumn(out, (F.col(out) - 1).cast("int"))
     return df.join(table, column, "left").select(*df.columns, out)

@@ -81,38 +81,145 @@ class OneGrouping:
         )
 
 
+def _met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with a[i] == b[j], for sorted a and b."""
+    low, high = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
+    size = high - low
+    i = np.repeat(np.arange(len(a)), size)
+    return i, np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+
+def _summed(index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices, sorted, with the sums of their values."""
+    distinct, place = np.unique(index, return_inverse=True)
+    return distinct, np.bincount(place, value, len(distinct))
+
+
+class _Entries:
+    """Rows that two groupings share, as a sparse matrix (i, j, n) in the order of i."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, width: int):
+        index, self.n = _summed(i.astype(np.int64) * width + j, n)
+        self.i, self.j = np.divmod(index, width)
+        self.width = width
+
+    def onto(self, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The matrix, times weights by entry, transposed times a table by i."""
+        rows = value[self.i] * weight[:, None]
+        return np.column_stack([np.bincount(self.j, c, self.width) for c in rows.T])
+
+
+class _Through:
+    """Products of two entries that share an eliminated level, summed by (j, k) and by the size
+    of the level, on which alone the weight of an eliminated level depends."""
+
+    def __init__(self, left: _Entries, right: _Entries, size: np.ndarray, at_once: int = 1 << 20):
+        kinds, kind = np.unique(size, return_inverse=True)
+        found: list = [(np.zeros(0, np.int64), np.zeros(0))]
+        cuts = np.searchsorted(right.i, left.i, side="right") - np.searchsorted(right.i, left.i)
+        starts = np.flatnonzero(np.diff(np.cumsum(cuts) // at_once, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(left.i)]):
+            i, j = _met(left.i[a:b], right.i)
+            cell = left.j[a:b][i].astype(np.int64) * right.width + right.j[j]
+            found.append(_summed(kind[left.i[a:b][i]] * (left.width * right.width) + cell, left.n[a:b][i] * right.n[j]))
+        index, self.n = _summed(*(np.concatenate(x) for x in zip(*found)))
+        of, cell = np.divmod(index, left.width * right.width)
+        self.size = kinds[of]
+        self.cells, self.place = np.unique(cell, return_inverse=True)
+        self.j, self.k = np.divmod(self.cells, right.width)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, self.n * weight, len(self.cells))
+
+
 class CrossedGroupings:
     """Profile likelihood over the variance ratios of crossed random intercepts.
 
-    The linear algebra has the size of the number of levels, not of the rows.
+    The levels of the largest grouping meet only themselves, so they are eliminated first, one
+    by one. What is left is a dense system of the other groupings' levels; if the next one is
+    nested, as donors are over donor-and-plate, its levels still meet only themselves and go
+    the same way. Nothing has the size of the largest grouping squared.
     """
 
     def __init__(self, frame: pd.DataFrame, groups: Sequence[str]):
-        n = frame["n"].to_numpy()
+        n = frame["n"].to_numpy(dtype=float)
         s = np.stack(frame["s"].to_numpy())
         self.total = _with_intercept(n, s, np.stack(frame["ss"].to_numpy()))
         self.rows = float(n.sum())
-        codes, self.factor_of, start = [], [], 0
-        for f, g in enumerate(groups):
-            code, labels = pd.factorize(frame[g])
-            codes.append(code + start)
-            self.factor_of += [f] * len(labels)
-            start += len(labels)
-        self.factor_of = np.array(self.factor_of)
-        self.ztz = np.zeros((start, start))
-        self.ztv = np.zeros((start, s.shape[1] + 1))
         values = np.column_stack([n, s])
-        for a in codes:
-            np.add.at(self.ztv, a, values)
-            for b in codes:
-                np.add.at(self.ztz, (a, b), n)
+        codes = [pd.factorize(frame[g])[0] for g in groups]
+        levels = [int(c.max(initial=-1)) + 1 for c in codes]
+        self.order = sorted(range(len(groups)), key=lambda f: -levels[f])
+        codes, self.levels = [codes[f] for f in self.order], [levels[f] for f in self.order]
+        self.n = [np.bincount(c, n, m) for c, m in zip(codes, self.levels)]
+        self.ztv = [
+            np.column_stack([np.bincount(c, v, m) for v in values.T]) for c, m in zip(codes, self.levels)
+        ]
+        last = range(1, len(groups))
+        self.first = {g: _Entries(codes[0], codes[g], n, self.levels[g]) for g in last}
+        self.through = {
+            (g, h): _Through(self.first[g], self.first[h], self.n[0]) for g in last for h in last if h >= g
+        }
+        self.nested = len(groups) == 3 and bool((self.through[1, 1].j == self.through[1, 1].k).all())
+        if len(groups) == 3:
+            self.second = _Entries(codes[1], codes[2], n, self.levels[2])
+            if self.nested:
+                # where the products through the first grouping lie among the second's entries
+                own = self.second.i * self.levels[2] + self.second.j
+                self.place = np.searchsorted(own, self.through[1, 2].cells)
+                self.pair_i, self.pair_j = _met(self.second.i, self.second.i)
+                self.pair = self.second.j[self.pair_i] * self.levels[2] + self.second.j[self.pair_j]
 
     def weighted(self, theta: Sequence[float]) -> tuple[np.ndarray, float]:
-        root = np.sqrt(np.asarray(theta))[self.factor_of]
-        inner = np.eye(len(root)) + root[:, None] * self.ztz * root[None, :]
+        """Cross products in the metric of the inverse covariance, and its log determinant."""
+        ratio = [theta[f] for f in self.order]
+        root = np.sqrt(ratio)
+        last = range(1, len(ratio))
+        diagonal = 1.0 + ratio[0] * self.n[0]
+        logdet = float(np.log(diagonal).sum())
+        half = root[0] * self.ztv[0]
+        out = self.total - half.T @ (half / diagonal[:, None])
+        right = {
+            g: root[g] * (self.ztv[g] - self.first[g].onto(half / diagonal[:, None], root[0] * self.first[g].n))
+            for g in last
+        }
+
+        def block(g: int, h: int) -> np.ndarray:
+            """What is left of two groupings' products, by cell of ``through``."""
+            t = self.through[g, h]
+            return -root[g] * root[h] * ratio[0] * t.sums(1.0 / (1.0 + ratio[0] * t.size))
+
+        def dense(g: int, h: int) -> np.ndarray:
+            t, full = self.through[g, h], np.zeros((self.levels[g], self.levels[h]))
+            full[t.j, t.k] = block(g, h)
+            if g == h:
+                full[np.diag_indices(self.levels[g])] += 1.0 + ratio[g] * self.n[g]
+            else:
+                full[self.second.i, self.second.j] += root[g] * root[h] * self.second.n
+            return full
+
+        if self.nested:
+            diagonal = 1.0 + ratio[1] * self.n[1]
+            diagonal[self.through[1, 1].j] += block(1, 1)
+            entries = root[1] * root[2] * self.second.n
+            np.add.at(entries, self.place, block(1, 2))
+            logdet += float(np.log(diagonal).sum())
+            solved = right[1] / diagonal[:, None]
+            out = out - right[1].T @ solved
+            rest = right[2] - self.second.onto(solved, entries)
+            inner = dense(2, 2)
+            size = self.levels[2]
+            weight = entries[self.pair_i] * entries[self.pair_j] / diagonal[self.second.i[self.pair_i]]
+            inner -= np.bincount(self.pair, weight, size * size).reshape(size, size)
+        elif len(ratio) == 3:
+            cross = dense(1, 2)
+            inner = np.block([[dense(1, 1), cross], [cross.T, dense(2, 2)]])
+            rest = np.concatenate([right[1], right[2]])
+        else:
+            inner, rest = dense(1, 1), right[1]
         chol = np.linalg.cholesky(inner)
-        half = np.linalg.solve(chol, root[:, None] * self.ztv)
-        return self.total - half.T @ half, 2.0 * float(np.log(np.diag(chol)).sum())
+        half = np.linalg.solve(chol, rest)
+        return out - half.T @ half, logdet + 2.0 * float(np.log(np.diag(chol)).sum())
 
 
 def _profile(model, columns: Sequence[int], theta, reml: bool):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.plans.scale import cut_lineage, tie_ranks
+from varloom.plans.scale import broadcast_if_small, cut_lineage, tie_ranks
 
-_GRID = 16  # quantile steps of a grid dimension
-_GRID_DIMS = 3
+_GRID_DIMS = 3  # leading dimensions that a grid of blocks is laid over
 
 
 def standardize_vectors(cells: DataFrame, *, column: str = "pcs") -> DataFrame:
@@ -52,37 +53,80 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def _blocks(cells: DataFrame, cell: str, by: str, column: str, size: int) -> DataFrame:
-    """Cut each group in blocks of about ``size`` near cells and pack a block in one row."""
-    dims = cells.withColumn("_dims", F.least(F.size(column), F.lit(_GRID_DIMS)))
-    steps = [i / _GRID for i in range(1, _GRID)]
+def _edges(cells: DataFrame, by: str, column: str, size: int) -> DataFrame:
+    """For each group the borders of a grid of about ``size`` cells a spot: as many quantile
+    steps on each of the first dimensions as its number of cells asks for."""
     axes = [F.try_element_at(F.col(column), F.lit(d + 1)) for d in range(_GRID_DIMS)]
+    most = cells.groupBy(by).count().agg(F.max("count")).head()[0] or 1
+    # quantiles finer than the steps of the largest group, so that every group finds its own
+    fine = 4 * max(1, math.ceil((most / size) ** (1 / _GRID_DIMS)))
+    steps = [i / fine for i in range(1, fine)]
     # quantile sketches merge across tasks, so a hot group is summarised in parallel
-    edges = dims.groupBy(by).agg(
+    edges = cells.groupBy(by).agg(
         F.count("*").alias("_n"),
-        *[F.percentile_approx(a, steps, 1000).alias(f"_q{d}") for d, a in enumerate(axes)],
+        *[F.percentile_approx(a, steps, 10 * fine).alias(f"_q{d}") for d, a in enumerate(axes)],
     )
-    per_axis = F.pow(F.col("_n") / size, F.lit(1.0 / _GRID_DIMS))
-    # steps on an axis: the power of two below the cube root of the number of blocks
-    stride = F.greatest(
-        F.lit(1.0), F.least(F.lit(float(_GRID)), F.pow(F.lit(2.0), F.floor(F.log2(per_axis))))
+    edges = edges.withColumn(
+        "_steps", F.ceil(F.pow(F.col("_n") / size, F.lit(1.0 / _GRID_DIMS))).cast("int")
     )
-    placed = dims.join(edges, by).withColumn("_stride", stride)
-    spots = []
-    for d, a in enumerate(axes):
-        below = F.size(F.filter(F.col(f"_q{d}"), lambda q, a=a: q < a))
-        spots.append(F.coalesce(F.floor(below * F.col("_stride") / _GRID), F.lit(0)))
-    placed = placed.withColumn("_spot", F.concat_ws("-", *spots)).select(
-        by, cell, column, "_spot"
-    )
-    sizes = placed.groupBy(by, "_spot").agg(F.count("*").alias("_m"))
+
+    def own(d: int) -> Column:
+        place = F.sequence(F.lit(1), F.col("_steps") - 1)
+        borders = F.transform(
+            place, lambda i: F.col(f"_q{d}")[F.round(i * fine / F.col("_steps")).cast("int") - 1]
+        )
+        none = F.array().cast("array<double>")
+        return F.when((F.col("_steps") > 1) & F.col(f"_q{d}").isNotNull(), borders).otherwise(none)
+
+    return cut_lineage(edges.select(by, *[own(d).alias(f"_e{d}") for d in range(_GRID_DIMS)]))
+
+
+def _spot(d: int, value: Column) -> Column:
+    """The step of dimension d that holds a value; it never falls when the value rises."""
+    return F.coalesce(F.size(F.filter(F.col(f"_e{d}"), lambda e: e < value)), F.lit(0))
+
+
+def _blocks(cells: DataFrame, edges: DataFrame, cell: str, by: str, column: str, size: int) -> DataFrame:
+    """Cut each group in blocks of about ``size`` near cells and pack a block in one row."""
+    spots = [
+        _spot(d, F.try_element_at(F.col(column), F.lit(d + 1))).alias(f"_s{d}") for d in range(_GRID_DIMS)
+    ]
+    names = [f"_s{d}" for d in range(_GRID_DIMS)]
+    placed = cells.join(broadcast_if_small(edges, width=64), by).select(by, cell, column, *spots)
+    sizes = placed.groupBy(by, *names).agg(F.count("*").alias("_m"))
     chunk = F.pmod(F.xxhash64(cell), F.ceil(F.col("_m") / size))
     return (
-        placed.join(sizes, [by, "_spot"])
-        .withColumn("_block", F.concat_ws("#", "_spot", chunk))
-        .groupBy(by, "_block")
+        placed.join(sizes, [by, *names])
+        .withColumn("_chunk", chunk)
+        .groupBy(by, *names, "_chunk")
         .agg(F.collect_list(F.struct(F.col(cell).alias("id"), F.col(column).alias("v"))).alias("_rows"))
+        .withColumn("_block", F.concat_ws("-", *names, "_chunk"))
+    )
+
+
+def block_pairs(outline: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """(by, block, block2): pairs of blocks whose boxes are within the first one's reach.
+
+    A block is looked for only in the spots of the grid that its box, widened by its reach,
+    touches; they are the keys of an equi-join. ``outline`` is (by, block, low, high, reach and
+    the block's own spot).
+    """
+    names = [f"_s{d}" for d in range(_GRID_DIMS)]
+    # the small slack keeps a pair whose box distance equals the bound up to rounding
+    wide = F.col("reach") * (1 + 1e-9) + 1e-12
+    asking = outline.drop(*names).join(broadcast_if_small(edges, width=64), by)
+    for d, name in enumerate(names):
+        low, high = (F.try_element_at(F.col(c), F.lit(d + 1)) for c in ("low", "high"))
+        asking = asking.withColumn(name, F.explode(F.sequence(_spot(d, low - wide), _spot(d, high + wide))))
+    other = outline.select(
+        by, *names, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2")
     )
+    zero = F.lit(0.0)
+    left = F.zip_with("low2", "high", lambda a, b: F.greatest(a - b, zero))
+    right = F.zip_with("low", "high2", lambda a, b: F.greatest(a - b, zero))
+    gaps = F.zip_with(left, right, lambda a, b: a * a + b * b)
+    box = F.sqrt(F.aggregate(gaps, zero, lambda s, x: s + x))
+    return asking.join(other, [by, *names]).where(box <= wide).select(by, "block", "block2")
 
 
 def knn(
@@ -100,8 +144,9 @@ def knn(
 
     Blocks of near cells are compared block by block. Each block first searches itself,
     which bounds the distance of every cell's k-th neighbour; another block is visited only
-    when the boxes of the two blocks are closer than that bound. The result is exact, no
-    task holds more than two blocks, and only candidates within the bound leave a task.
+    when the boxes of the two blocks are closer than that bound. Such blocks are found by the
+    spots of a grid that the widened box touches, not by pairing all blocks. The result is
+    exact, no task holds more than two blocks, and only candidates within the bound leave a task.
     """
     ready = cells.select(cell, by, F.col(column).cast("array<double>").alias(column))
     if metric == "pearson":
@@ -110,12 +155,15 @@ def knn(
         ready = standardize_vectors(ready, column=column)
     id_type = ready.schema[cell].dataType.simpleString()
     by_type = ready.schema[by].dataType.simpleString()
-    packed = _blocks(ready, cell, by, column, block_size)
+    edges = _edges(ready, by, column, block_size)
+    packed = _blocks(ready, edges, cell, by, column, block_size)
+    names = [f"_s{d}" for d in range(_GRID_DIMS)]
 
     def bound(frames):
         for frame in frames:
             out = []
-            for group, block, rows in zip(frame[by], frame["_block"], frame["_rows"]):
+            spots = frame[names].to_numpy().tolist()
+            for group, block, rows, spot in zip(frame[by], frame["_block"], frame["_rows"], spots):
                 ids = [r["id"] for r in rows]
                 x = np.array([r["v"] for r in rows], dtype=float)
                 limit = np.full(len(x), np.inf)
@@ -124,35 +172,20 @@ def knn(
                     np.fill_diagonal(d, np.inf)
                     limit = np.partition(d, k - 1, axis=1)[:, k - 1]
                 out.append(
-                    (group, block, ids, x.ravel(), limit, x.min(0), x.max(0), limit.max())
+                    (group, block, ids, x.ravel(), limit, x.min(0), x.max(0), limit.max(), *spot)
                 )
-            yield pd.DataFrame(
-                out, columns=[by, "block", "ids", "flat", "limits", "low", "high", "reach"]
-            )
+            columns = [by, "block", "ids", "flat", "limits", "low", "high", "reach", *names]
+            yield pd.DataFrame(out, columns=columns)
 
     blocks = cut_lineage(
         packed.mapInPandas(
             bound,
             f"`{by}` {by_type}, block string, ids array<{id_type}>, flat array<double>, "
-            "limits array<double>, low array<double>, high array<double>, reach double",
+            "limits array<double>, low array<double>, high array<double>, reach double, "
+            + ", ".join(f"{c} int" for c in names),
         )
     )
-    # pairs of block outlines, a few numbers each, cut by the box distance
-    outline = blocks.select(by, "block", "low", "high", "reach")
-    other = outline.select(
-        by, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2")
-    )
-    zero = F.lit(0.0)
-    left = F.zip_with("low2", "high", lambda a, b: F.greatest(a - b, zero))
-    right = F.zip_with("low", "high2", lambda a, b: F.greatest(a - b, zero))
-    gaps = F.zip_with(left, right, lambda a, b: a * a + b * b)
-    box = F.sqrt(F.aggregate(gaps, zero, lambda s, x: s + x))
-    # the small slack keeps a pair whose box distance equals the bound up to rounding
-    pairs = (
-        outline.join(other, by)
-        .where(box <= F.col("reach") * (1 + 1e-9) + 1e-12)
-        .select(by, "block", "block2")
-    )
+    pairs = block_pairs(blocks.select(by, "block", "low", "high", "reach", *names), edges, by)
     sources = blocks.select(by, "block", "ids", "flat", "limits")
     targets = blocks.select(
         by, F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2")

@@ -137,11 +137,9 @@ def top_genes(
     return gene_level_fdr(leads, pvalue=pvalue, count=count, tie=tie).where(F.col("k") <= n)
 
 
-def _same_sizes(expr: DataFrame, group: str) -> None:
-    """Raise unless every group has the same number of rows."""
-    sizes = expr.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
-    if sizes[0] != sizes[1]:
-        raise ValueError(f"{group} has between {sizes[0]} and {sizes[1]} rows; write zeros out first")
+def _absent(expr: DataFrame, group: str, each: Column) -> DataFrame:
+    """How many of the ``each`` rows that every group has are not stored."""
+    return expr.groupBy(group).agg(F.count("*").alias("_n")).select(group, (each - F.col("_n")).alias("n"))
 
 
 def quantile_normalize(
@@ -150,21 +148,27 @@ def quantile_normalize(
     feature: str = "gene_id",
     sample: str = "sample_id",
     value: str = "value",
+    zero_value: bool = False,
 ) -> DataFrame:
     """Every sample gets the mean distribution over samples; ties get the median of theirs.
 
-    All samples must have the same number of values: a sample with absent zeros would have its
-    ranks shifted, so it raises. Write zeros out first.
+    A sample has a value of every feature of the table: those without a row are zeros, which
+    are counted in the ranks but not written out. ``zero_value`` adds a column with what a
+    zero of the sample becomes, NULL where it has none.
 
     The rank means rise with the rank, so the median over a run of ties is read off at the
     middle of the run: no tie group is ever gathered.
     """
-    ties = tie_ranks(expr, value, by=[sample])
-    _same_sizes(expr, sample)
-    n_samples = expr.agg(F.count_distinct(sample)).scalar()
-    # a long run of ties is cut in pieces that are spread over the tasks before they open
+    stored = expr.where(F.col(value).isNotNull())
+    n_features = stored.agg(F.count_distinct(feature)).scalar()
+    absent = _absent(stored, sample, n_features)
+    ties = cut_lineage(tie_ranks(stored, value, by=[sample], absent=absent))
+    n_samples = stored.agg(F.count_distinct(sample)).scalar()
+    # a long run of ties is cut in pieces that are spread over the tasks before they open;
+    # zeros add nothing to the sums, so their runs stay closed
     step = F.lit(_RUN)
-    pieces = ties.select(value, "hi", F.explode(F.sequence("lo", "hi", step)).alias("_from"))
+    runs = ties.where(F.col(value) != 0)
+    pieces = runs.select(value, "hi", F.explode(F.sequence("lo", "hi", step)).alias("_from"))
     pieces = pieces.repartition(value, "_from")
     per_rank = pieces.select(
         value,
@@ -183,17 +187,17 @@ def quantile_normalize(
     )
     first = means.select(F.col("_rank").alias("_r1"), F.col("_q").alias("_q1"))
     second = means.select(F.col("_rank").alias("_r2"), F.col("_q").alias("_q2"))
+    none = F.lit(0.0)  # a rank at which every sample has a zero
     target = (
-        middle.join(first, "_r1")
-        .join(second, "_r2")
-        .select(sample, value, ((F.col("_q1") + F.col("_q2")) / 2).alias("_new"))
-    )
-    return (
-        expr.join(target, [sample, value])
-        .drop(value)
-        .withColumnRenamed("_new", value)
-        .select(*expr.columns)
+        middle.join(first, "_r1", "left")
+        .join(second, "_r2", "left")
+        .select(sample, value, ((F.coalesce("_q1", none) + F.coalesce("_q2", none)) / 2).alias("_new"))
     )
+    out = stored.join(target, [sample, value]).drop(value).withColumnRenamed("_new", value)
+    if not zero_value:
+        return out.select(*expr.columns)
+    zeros = target.where(F.col(value) == 0).select(sample, F.col("_new").alias("zero_value"))
+    return out.join(zeros, sample, "left").select(*expr.columns, "zero_value")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -202,23 +206,62 @@ def _normal_quantile(p: pd.Series) -> pd.Series:
 
 
 def rank_fraction(
-    expr: DataFrame, *, feature: str = "gene_id", value: str = "value"
+    expr: DataFrame,
+    *,
+    feature: str = "gene_id",
+    value: str = "value",
+    n_samples: int | Column | None = None,
 ) -> DataFrame:
-    """Average-tie rank over (n + 1) within each feature."""
-    ties = tie_ranks(expr, value, by=[feature])
+    """Average-tie rank over (n + 1) within each feature.
+
+    With ``n_samples`` every feature has that many values, those without a row being zeros:
+    they are counted in the ranks, and ``zero_fraction`` is the rank fraction of a zero (NULL
+    where the feature has none).
+    """
+    if n_samples is None:
+        absent = None
+    else:
+        each = n_samples if isinstance(n_samples, Column) else F.lit(n_samples)
+        absent = _absent(expr.where(F.col(value).isNotNull()), feature, each)
+    ties = cut_lineage(tie_ranks(expr, value, by=[feature], absent=absent))
     sizes = ties.groupBy(feature).agg(F.sum("n").alias("_n"))
     table = ties.join(sizes, feature).select(
         feature, value, ((F.col("lo") + F.col("hi")) / 2 / (F.col("_n") + 1)).alias("fraction")
     )
-    return expr.join(table, [feature, value])
+    out = expr.join(table, [feature, value])
+    if n_samples is None:
+        return out
+    zeros = table.where(F.col(value) == 0).select(feature, F.col("fraction").alias("zero_fraction"))
+    return out.join(zeros, feature, "left")
 
 
 def inverse_normal(
-    expr: DataFrame, *, feature: str = "gene_id", value: str = "value"
+    expr: DataFrame,
+    *,
+    feature: str = "gene_id",
+    value: str = "value",
+    n_samples: int | Column | None = None,
 ) -> DataFrame:
-    """Normal quantile of the rank fraction of each feature."""
-    ranks = rank_fraction(expr, feature=feature, value=value)
-    return ranks.withColumn(value, _normal_quantile("fraction")).drop("fraction")
+    """Normal quantile of the rank fraction of each feature; with ``n_samples`` absent rows are
+    zeros, and ``zero_value`` is the quantile of a zero."""
+    ranks = rank_fraction(expr, feature=feature, value=value, n_samples=n_samples)
+    out = ranks.withColumn(value, _normal_quantile("fraction")).drop("fraction")
+    if n_samples is None:
+        return out
+    return out.withColumn("zero_value", _normal_quantile("zero_fraction")).drop("zero_fraction")
+
+
+def pearson_zero_terms(
+    counts: DataFrame, table: DataFrame, *, cell: str = "cell_id", gene: str = "gene_id", value: str = "count"
+) -> tuple[DataFrame, DataFrame]:
+    """The zeros of ``pearson_residuals`` as terms for ``pca``: (cell, a) and (gene, b) whose
+    products sum to the residual of a zero. Genes without spread have NULLs."""
+    cells = counts.groupBy(cell).agg(F.sum(value).alias("_N"))
+    sd = F.when(F.col("sd") > 0, F.col("sd"))
+    return (
+        cells.select(cell, F.array(F.sqrt("_N"), F.lit(1.0)).alias("a")),
+        table.select(gene, F.array(F.col("zero_slope") / sd, -F.col("mean") / sd).alias("b")),
+    )
 
 
 def log_normalize(

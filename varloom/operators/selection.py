@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.plans.scale import cut_lineage, hash_order, ranked
+from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order, ranked, tie_ranks
 
 _BATCH = 256  # candidates of a gene compared at a time
 
@@ -195,10 +195,21 @@ def top_tests_by_factor(
     column: str = "v",
 ) -> DataFrame:
     """The tests with the ``n`` largest absolute weights of each factor, ties kept, with
-    their effects by tissue."""
+    their effects by tissue.
+
+    The n-th largest weight of every factor comes from ranks over a range partition, one number
+    for each factor; whatever ``n`` is, no factor's tests are sorted in one task.
+    """
     long = weights.select(*keys, F.posexplode(column).alias("factor", "weight"))
-    largest = Window.partitionBy("factor").orderBy(F.abs("weight").desc())
-    top = long.withColumn("_k", F.rank().over(largest)).where(F.col("_k") <= n).drop("_k")
+    long = cut_lineage(long.where(F.col("weight").isNotNull()).withColumn("_size", -F.abs("weight")))
+    last = (
+        tie_ranks(long, "_size", by=["factor"])
+        .where(F.col("lo") <= n)
+        .groupBy("factor")
+        .agg(F.max("_size").alias("_last"))
+    )
+    top = long.join(broadcast_if_small(last, width=2), "factor").where(F.col("_size") <= F.col("_last"))
+    top = top.select(*keys, "factor", "weight")
     return top if effects is None else top.join(effects, list(keys))
 
 

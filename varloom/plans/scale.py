@@ -112,14 +112,21 @@ def ranked(
     return joined.withColumn(out, F.col(out) - F.col("_first") + 1).drop("_first")
 
 
-def tie_ranks(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
+def tie_ranks(
+    df: DataFrame, value: str, *, by: Sequence[str] = (), absent: DataFrame | None = None
+) -> DataFrame:
     """One row per distinct (by, value) with its count and its lowest and highest rank.
 
     Ties collapse in the partial aggregate first, so a value that holds a third of all
-    rows is a single row before anything is sorted.
+    rows is a single row before anything is sorted. ``absent`` (by, n) tells how many rows
+    of each group are not stored because they are zeros; they are ranked as if they were.
     """
     keys = [*by, value]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    if absent is not None:
+        zero = F.lit(0).cast(df.schema[value].dataType).alias(value)
+        more = absent.where("n > 0").select(*by, zero, F.col("n").cast("long"))
+        counts = counts.unionByName(more).groupBy(*keys).agg(F.sum("n").alias("n"))
     cols = [F.col(c) for c in keys]
     spread = cut_lineage(
         counts.repartitionByRange(*cols).withColumn("_pid", F.spark_partition_id())

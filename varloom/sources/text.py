@@ -7,6 +7,7 @@ ever aligned by line number further on. Malformed numbers fail the read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -358,20 +359,15 @@ def write_partitioned(df: DataFrame, by: str | Sequence[str], path: str) -> None
 
 
 def merge_part_results(spark: SparkSession, folder: str, n_jobs: int, suffix: str = "") -> DataFrame:
-    """Rows of numbered job outputs ``<job>_<n><suffix>`` with one header each; an absent part
-    is an error. Results that Spark wrote itself need no merge."""
-    paths = [f"{folder}/{job}_{n_jobs}{suffix}" for job in range(n_jobs)]
-    table = spark.read.csv(paths, sep="\t", header=True)
-    present = {
-        r[0]
-        for r in spark.read.text(paths)
-        .select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
-        .distinct()
-        .collect()
-    }  # at most one name for each job
-    lost = [p for p in paths if p.rsplit("/", 1)[1] not in present]
+    """Rows of numbered job outputs ``<job>_<n><suffix>`` (files or folders of files) with one
+    header each; an absent part is an error. Results that Spark wrote itself need no merge."""
+    paths = [f"{folder.rstrip('/')}/{job}_{n_jobs}{suffix}" for job in range(n_jobs)]
+    table = spark.read.csv(paths, sep="\t", header=True)  # fails if a part is not there
+    names = [path.rsplit("/", 1)[1] for path in paths]
+    listed = {part for file in table.inputFiles() for part in unquote(file).split("/")[-2:]}
+    lost = [path for path, name in zip(paths, names) if name not in listed]
     if lost:
-        raise ValueError(f"parts without rows: {lost}")
+        raise ValueError(f"parts without files: {lost}")
     return table
 
 
@@ -435,3 +431,18 @@ def write_neighbors(edges: DataFrame, path: str, cells: DataFrame, *, weighted:
         joined("neighbor_id").alias("neighbor_cell_ids"),
         *([joined("weight").alias("neighbor_weights")] if weighted else []),
     ).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Add where each row of a table read from files stands: ``_file``, the first byte of its
+    ``_block``, and ``_line``, which rises along the rows of a block.
+
+    Call it on the table as read, before any shuffle. Sorting by the three columns gives the order
+    of the rows in the files, files by their paths.
+    """
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
