@@ -87,3 +87,13 @@ def test_nulls_empty_texts_repeats_and_clashing_names(spark, folder):
     out = langid.identify(df, model, key="doc_id", address="host").collect()
     assert sorted((r.doc_id or 0, r.accepted) for r in out) == [(0, False), (1, False), (1, False), (2, False), (3, True)]
     assert langid.identify(df.limit(0), model, key="doc_id").count() == 0
+
+
+def test_labels_are_no_patterns(spark):
+    rows = [(1, "aber das ist ja gut", "e+n("), (2, "the and of it is", "en"), (3, "le chat et la souris", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("url", F.lit("http://h.test/E+N(/x"))
+    model = langid.train(df, label="lang")
+    out = langid.identify(df, model, key="doc_id", declared="lang", address="url").collect()
+    assert {r.doc_id: r.language for r in out}[1] == "e+n(" and len(out) == 3
+    hints = df.select(langid.hint_of(F.col("url"), ["e+n(", ""]).alias("h"), langid.hint_of(F.lit("http://h.test//x"), [""]).alias("none"))
+    assert hints.first().h == "e+n(" and hints.first().none is None

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from checks.compare import canonical, sql_tables
 from varloom.llm import mixing
 from varloom.llm.queries import ORACLES, QUERIES
@@ -91,3 +93,14 @@ def test_random_trees_nulls_and_repeats_equal_plain_python(spark):
         assert got == expected(rows, weights, share, 3, 4)
     none = mixing.mix(df.limit(0), key="k", tokens="t", path=["a"], weights=({},), budget_share=1.0)
     assert none.count() == 0
+
+
+def test_path_columns_may_have_any_names(spark):
+    names = ["parent", "cap", "w", "left", "rest", "full", "first", "granted", "available"]
+    rows = [(i, *[f"n{(i >> b) % 2}" for b in range(9)], 10 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} string" for n in names) + ", t long")
+    out = mixing.mix(df, key="k", tokens="t", path=names, weights=({},) * 9, budget_share=0.5, seed=1)
+    assert out.columns == ["k", *names, "t", "copies"] and out.count() == 40
+    plain = df.select("k", *[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], "t")
+    same = mixing.mix(plain, key="k", tokens="t", path=[f"c{i}" for i in range(9)], weights=({},) * 9, budget_share=0.5, seed=1)
+    assert {r.k: r.copies for r in out.collect()} == {r.k: r.copies for r in same.collect()}

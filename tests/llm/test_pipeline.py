@@ -77,3 +77,23 @@ def test_unlabelled_documents_are_not_lost(spark, folder):
     for address in (None, "source"):
         told = langid.identify(docs, model, key="doc_id", address=address).collect()
         assert sorted((r.doc_id, r.language, r.accepted) for r in told) == [(i, None, False) for i in (1, 2, 3)]
+
+
+def test_texts_that_share_an_id_are_rows_of_their_own(spark, folder):
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, same), (5, same), (5, other), (None, same), (7, other + " " + " ".join("abcdefgh"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "'en' AS lang", "'src1' AS source", "1L AS n_chars")
+    kept = pipeline.near_dedup(spark, docs, folder)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert got == sorted([(0, same), (1, same), (5, other), (7, rows[4][1])])
+
+
+def test_a_very_long_text_passes_every_stage(spark, folder):
+    long = "the cat and the dog sat on the mat near Mr. John Smith " * 20_000
+    docs = spark.createDataFrame([(1, long), (2, "the end of the day")], "doc_id long, text string")
+    docs = docs.selectExpr("*", "'en' AS lang", "'src1' AS source", "1L AS n_chars")
+    for _, stage in pipeline.STAGES:
+        docs = cut_lineage(stage(spark, docs, folder))
+        assert docs.where("doc_id = 1").count() >= 1

@@ -9,6 +9,7 @@ overall shares; all three are grouped counts of the language that the text alone
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -122,9 +123,11 @@ def host_of(address: Column) -> Column:
 
 
 def hint_of(address: Column, languages: Sequence[str]) -> Column:
-    """The language that an address suggests: a path segment, else the country suffix."""
-    names = "|".join(languages)
-    path = F.regexp_extract(address, rf"(?i)://[^/]*/(?:[^?#]*/)?({names})(?:[/?#]|$)", 1)
+    """The language that an address suggests: a path segment, else the country suffix. Names
+    of languages are taken as they are written; an empty one is no segment."""
+    names = "|".join(re.escape(name) for name in languages if name)
+    segment = rf"(?i)://[^/]*/(?:[^?#]*/)?({names})(?:[/?#]|$)"
+    path = F.regexp_extract(address, segment, 1) if names else F.lit("")
     suffix = F.regexp_extract(host_of(address), r"\.([a-z]{2})$", 1)
     table = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
     return F.when(path != "", F.lower(path)).otherwise(F.get(F.array(table[suffix]), F.lit(0)))

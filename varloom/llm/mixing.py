@@ -105,11 +105,11 @@ def mix(
 
     A NULL in the path is a name of its own, "(none)"; NULL or negative tokens count as 0, and
     such rows go with the prefix they fall in; repeated rows are taken one after another; a
-    NULL key is an empty one in the order. Other columns are not read. An empty table gives no
-    rows.
+    NULL key is an empty one in the order. Other columns are not read, and those of the path may
+    have any names. An empty table gives no rows.
     """
-    path = list(path)
-    named = [F.coalesce(F.col(c).cast("string"), F.lit(NO_NAME)).alias(c) for c in path]
+    given, path = list(path), [f"_path{i}" for i in range(len(path))]
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(NO_NAME)).alias(p) for c, p in zip(given, path)]
     count = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
     rows = cut_lineage(df.select(F.col(key).alias("_key"), *named, count.alias("_tokens")))
     leaves = cut_lineage(rows.groupBy(*path).agg(F.sum("_tokens").alias("available")))
@@ -130,5 +130,8 @@ def mix(
     summed = running_sum(placed, ["_place"], {"_until": "_tokens"}, path)
     copies = F.col("_epochs") + F.when(F.col("_until") <= F.col("_rest"), 1).otherwise(0)
     return summed.select(
-        F.col("_key").alias(key), *path, F.col("_tokens").alias(tokens), copies.cast("long").alias("copies")
+        F.col("_key").alias(key),
+        *[F.col(p).alias(c) for c, p in zip(given, path)],
+        F.col("_tokens").alias(tokens),
+        copies.cast("long").alias("copies"),
     )
