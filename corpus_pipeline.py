@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from varloom.llm import bpe, langid, minhash, pii
 from varloom.llm.common import fresh, prepare, table
 from varloom.llm.queries import PII_KEY, TOKENIZER, mixed_rows
-from varloom.plans.scale import broadcast_if_small, cut_lineage
+from varloom.plans.scale import broadcast_if_small, cut_lineage, ranked
 
 # the share of all words that the mix has room for
 BUDGET_SHARE = 1.0
 
 
 def row_mark() -> Column:
-    """A key of a row by its id and text, for rows whose ids are NULL or shared."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    """A key of a row by its id and text, for rows whose ids are NULL or shared: 128 bits."""
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "text")]
+    return F.md5(F.concat(named[0], F.lit("|"), named[1]).cast("binary"))
 
 
 def once(docs: DataFrame) -> DataFrame:
@@ -34,7 +35,9 @@ def once(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by their text; ``lang`` becomes that language.
 
-    Without any label no language can be told: all documents with letters stay, as ``und``.
+    Without any label no language can be told: all documents with letters stay, as ``und``. Rows
+    with a NULL or empty text go; NULL labels and sources say nothing; of equally likely languages
+    the first in order is taken; repeated rows stay.
     """
     prepare(spark)
     mark, told, hit = fresh(docs, "_mark", "_language", "_changed")
@@ -55,23 +58,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that repeat an id and a text count once. Several texts of one id are rows of their own,
+    in the order of their digests. Rows with a NULL id, and texts without words, are kept.
+    """
     prepare(spark)
-    docs = once(docs)
-    found = minhash.near_duplicates(docs, key="doc_id")
-    gone = cut_lineage(found.where(~F.col("kept")).select("doc_id").distinct())
-    gone = broadcast_if_small(gone, width=1)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    docs, columns, key = once(docs), docs.columns, "doc_id"
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not shared.isEmpty():
+        (key,) = fresh(docs, "_row")
+        docs = ranked(docs, ["doc_id", row_mark()], out=key)
+        docs = cut_lineage(docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(key))))
+    found = minhash.near_duplicates(docs, key=key)
+    gone = cut_lineage(found.where(~F.col("kept")).select(key).distinct())
+    return docs.join(broadcast_if_small(gone, width=1), key, "left_anti").select(columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private data replaced by surrogates; ``n_chars`` follows the text."""
+    """Private data replaced by surrogates; ``n_chars`` follows the text. Every row stays, repeated
+    ones with the same text; a NULL text stays NULL."""
     out = pii.replace_private(docs, secret=PII_KEY)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: one row for each copy."""
+    """Documents as often as the mix takes them: one row for each copy.
+
+    Rows that repeat an id and a text count once; a NULL lang or source is a name of its own; a
+    NULL text has no words and goes with the prefix that it falls in.
+    """
     prepare(spark)
     docs = once(docs)
     mark, times, copy = fresh(docs, "_mark", "_times", "_copy")
@@ -85,7 +101,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of the text they decode to."""
+    """Token ids of every document, and digests of them and of the text they decode to. A NULL
+    text has no tokens; repeated rows stay."""
     words = bpe.load(spark, TOKENIZER)
     return bpe.encode(docs, words, key="doc_id", back=True).select(
         "doc_id",
