@@ -137,9 +137,10 @@ def _settled(table: DataFrame, by: list[str], dims: int, width: int, k: int) ->
                 v, w = _rows_of(part, "_v"), _rows_of(part, "_w")
                 own = np.stack([v.T @ v, v.T @ w, w.T @ w])
                 totals[key] = totals.get(key, 0.0) + own
-        out = pd.DataFrame(list(totals), columns=by)
-        out["_flat"] = [t.ravel() for t in totals.values()]
-        yield out
+        if totals:
+            out = pd.DataFrame(list(totals), columns=by)
+            out["_flat"] = [t.ravel() for t in totals.values()]
+            yield out
 
     def solve(frame):
         flat = np.sum(np.stack(frame["_flat"].to_numpy()), 0)
