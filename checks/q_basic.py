@@ -529,6 +529,24 @@ def _(t):
     return top.select("cell_id", "gene_id", "count")
 
 
+@query(
+    "top_variable_genes_standardized",
+    f"""{with_ctes("counts")}, n AS (SELECT count(DISTINCT cell_id) AS n FROM counts),
+    v AS (SELECT gene_id, sum(count) / any_value(n) AS m, sum(count * count) / any_value(n)
+      - (sum(count) / any_value(n)) * (sum(count) / any_value(n)) AS v FROM counts, n GROUP BY 1),
+    top AS (SELECT * FROM (SELECT *, rank() OVER (ORDER BY v DESC) AS k FROM v) WHERE k <= 20)
+    SELECT cell_id, gene_id, {rnd("(count - m) / sqrt(v)", 4)} AS value, {rnd("-m / sqrt(v)", 4)} AS zero_value
+    FROM counts JOIN top USING (gene_id)""",
+)
+def _(t):
+    c = S.counts(t).withColumnRenamed("count", "value")
+    n = c.select("cell_id").distinct().count()
+    top = N.top_variable_genes(c, 20, n_cells=n, standardized=True)
+    return top.select(
+        "cell_id", "gene_id", r("value", 4).alias("value"), r("zero_value", 4).alias("zero_value")
+    )
+
+
 _FDR = f"""{with_ctes("tests")}, {LEADS}, b AS (SELECT *,
       least(1.0, pvalue * num_snps_in_gene) AS bf FROM leads),
     k AS (SELECT *, row_number() OVER (ORDER BY bf, gene_id) AS k, count(*) OVER () AS n FROM b),

@@ -206,6 +206,11 @@ def _(t):
     return als(t)[0]
 
 
+@query("eqtl_als_three_steps")
+def _(t):
+    return als(t, 3, 3, None)[0]
+
+
 @query("eqtl_als_simplex")
 def _(t):
     return als(t, u="simplex", weight_by_usage=True)[0]
@@ -355,6 +360,11 @@ def _(t):
     return X.loadings(vi(t, groups=["donor"]))
 
 
+@query("eqtl_vi_three_steps")
+def _(t):
+    return X.loadings(vi(t, 3, 3, None, warmup=1, groups=["donor"]))
+
+
 @query("eqtl_vi_two_groupings")
 def _(t):
     return X.factors(vi(t, groups=["donor", "segment"], n_covariates=1))

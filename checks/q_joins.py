@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import standins as S
@@ -9,6 +10,7 @@ from checks.q_basic import r, rnd
 from checks.registry import query
 from checks.standins import with_ctes
 from varloom.functions import columns as C
+from varloom.functions import special
 from varloom.operators import joins as J
 from varloom.operators import selection as K
 
@@ -569,3 +571,28 @@ def _(t):
         r(1 / (1 + F.exp(-(size - 25) / 5.0))).alias("sigmoid"),
         F.signum(size - 25).alias("sign"),
     )
+
+
+@query(
+    "special_functions",
+    """WITH x AS (SELECT p_partkey, p_size / 3.0 AS a, p_retailprice / 100 AS b FROM part)
+    SELECT p_partkey, round(lgamma(a), 6) + 0.0 AS gammaln,
+    round((8 * (lgamma(b + 0.01) - lgamma(b - 0.01)) - (lgamma(b + 0.02) - lgamma(b - 0.02))) / 0.12, 5) + 0.0 AS digamma,
+    round(lgamma(a) + lgamma(b) - lgamma(a + b), 5) + 0.0 AS betaln,
+    round(1 / (1 + exp(-a)), 6) + 0.0 AS sigmoid,
+    round(greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) + 0.0 AS logsumexp FROM x""",
+)
+def _(t):
+    def values(frames):
+        for frame in frames:
+            a, b = frame["a"].to_numpy(), frame["b"].to_numpy()
+            out = frame[["p_partkey"]].copy()
+            out["gammaln"], out["digamma"] = special.gammaln(a), special.digamma(b)
+            out["betaln"], out["sigmoid"] = special.betaln(a, b), special.sigmoid(a)
+            out["logsumexp"] = special.logsumexp(np.stack([a, b]), axis=0)
+            yield out
+
+    x = t.part.select("p_partkey", (F.col("p_size") / 3.0).alias("a"), (F.col("p_retailprice") / 100).alias("b"))
+    names = {"gammaln": 6, "digamma": 5, "betaln": 5, "sigmoid": 6, "logsumexp": 6}
+    out = x.mapInPandas(values, "p_partkey bigint, " + ", ".join(f"{c} double" for c in names))
+    return out.withColumns({c: r(c, d) for c, d in names.items()})

@@ -277,6 +277,28 @@ def _(t):
     return out.select("cell_id", "gene_id", r("value", 5).alias("value"))
 
 
+_PCS = f"""{with_ctes("counts", "cells")}, z AS (SELECT cell_id, gene_id, pseudotime / 1e5 AS c, sin(cell_id) AS d,
+      (count - avg(count) OVER w) / stddev_pop(count) OVER w AS y FROM counts JOIN cells USING (cell_id)
+      WINDOW w AS (PARTITION BY gene_id)),
+    m AS (SELECT gene_id, avg(c) AS mc, avg(d) AS md, var_pop(c) AS cc, var_pop(d) AS dd, covar_pop(c, d) AS cd,
+      covar_pop(c, y) AS cy, covar_pop(d, y) AS dy FROM z GROUP BY 1)"""
+
+
+@query(
+    "regress_out_pcs",
+    f"""{_PCS}, b AS (SELECT *, {solved_sql([["cc", "cd"], ["cd", "dd"]], ["cy", "dy"])[0]} AS b0,
+      {solved_sql([["cc", "cd"], ["cd", "dd"]], ["cy", "dy"])[1]} AS b1 FROM m)
+    SELECT cell_id, gene_id, {rnd("y - b0 * (c - mc) - b1 * (d - md)", 5)} AS value FROM z JOIN b USING (gene_id)""",
+)
+def _(t):
+    pcs = F.array((F.col("pseudotime") / 1e5).cast("double"), F.sin(F.col("cell_id").cast("double")), F.lit(7.0))
+    x = S.counts(t).join(S.cells(t), "cell_id").select(
+        "cell_id", "gene_id", F.col("count").alias("value"), pcs.alias("pcs")
+    )
+    out = M.regress_out(x, ["gene_id"], pcs="pcs", n_pcs=2, standardize_first=True)
+    return out.select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
 def _effects_sql() -> str:
     """Slopes within the three known types, then their smallest solution: f is a quarter of their
     sum, since f + v[i] is the slope of type i."""

@@ -201,3 +201,12 @@ def log_beta_binomial(y, n, a, b):
 def sigmoid(x):
     x = np.asarray(x, dtype=float)
     return 0.5 * (1.0 + np.tanh(0.5 * x))
+
+
+def logsumexp(x, axis=-1):
+    """Logarithm of the sum of exponentials along an axis, without overflow."""
+    x = np.asarray(x, dtype=float)
+    top = np.max(x, axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis=axis)

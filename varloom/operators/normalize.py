@@ -84,14 +84,20 @@ def top_variable_genes(
     n_cells: int,
     gene: str = "gene_id",
     value: str = "value",
+    standardized: bool = False,
 ) -> DataFrame:
-    """Genes whose variance is at least the n-th largest; ties are kept."""
+    """Genes whose variance is at least the n-th largest; ties are kept.
+
+    With ``standardized`` their values are standardised over all cells, absent ones being zeros
+    whose standardised value is in ``zero_value``.
+    """
     stats = feature_stats(expr, n_cells, gene=gene, value=value).select(gene, "variance")
     # the n-th largest is found among the genes at rank n of the distinct variances
     levels = tie_ranks(stats.withColumn("_neg", -F.col("variance")), "_neg")
     cut = levels.where(F.col("lo") <= n).agg(F.max("_neg")).scalar()
     kept = stats.where(-F.col("variance") <= cut)
-    return expr.join(kept.select(gene, "variance"), gene)
+    top = expr.join(kept.select(gene, "variance"), gene)
+    return standardize_sparse(top, n_cells, by=[gene], value=value) if standardized else top
 
 
 def gene_level_fdr(

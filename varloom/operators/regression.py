@@ -163,11 +163,28 @@ def regress_out(
     feature: Sequence[str],
     *,
     value: str = "value",
-    covariates: Sequence[str],
+    covariates: Sequence[str] = (),
+    pcs: str | None = None,
+    n_pcs: int = 0,
+    standardize_first: bool = False,
 ) -> DataFrame:
-    """Residual of each feature after OLS on the covariates with an intercept."""
-    p = len(covariates)
-    moments = group_moments(df, feature, [*covariates, value])
+    """Residual of each feature after OLS on the covariates with an intercept.
+
+    ``pcs`` names an array column whose first ``n_pcs`` entries are covariates too. With
+    ``standardize_first`` a feature's values are standardised (population sd) before; a feature
+    without spread has NULLs. Collinear covariates are no obstacle.
+    """
+    names = [f"_pc{i}" for i in range(n_pcs if pcs else 0)]
+    rows = df.withColumns({c: F.col(pcs)[i].cast("double") for i, c in enumerate(names)}) if names else df
+    if standardize_first:
+        moments = rows.groupBy(*feature).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+        scaled = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))
+        rows = rows.join(moments, list(feature)).withColumn(value, scaled).drop("_m", "_s")
+    columns = [*covariates, *names]
+    p = len(columns)
+    if not p:
+        return rows.select(*df.columns)
+    moments = group_moments(rows, feature, [*columns, value])
 
     def fit(frames):
         for frame in frames:
@@ -182,11 +199,10 @@ def regress_out(
     schema = f"{key_schema(df, feature)}, _a double, _b array<double>"
     fits = moments.mapInPandas(fit, schema)
     fitted: Column = F.col("_a")
-    for i, c in enumerate(covariates):
+    for i, c in enumerate(columns):
         fitted = fitted + F.col("_b")[i] * F.col(c)
-    return (
-        df.join(fits, list(feature)).withColumn(value, F.col(value) - fitted).drop("_a", "_b")
-    )
+    out = rows.join(fits, list(feature)).withColumn(value, F.col(value) - fitted)
+    return out.select(*df.columns)
 
 
 def cell_type_effects(
