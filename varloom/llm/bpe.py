@@ -31,8 +31,8 @@ WORDS = regex.compile(
 )
 _TWO_SPACES = regex.compile(r"\s ")
 _MARKS = frozenset(".,;:!?")
-# Bytes that a worker's memory of words may take, and how many pairs of tokens it remembers.
-ROOM, PAIRS = 16 << 20, 200_000
+# Bytes that half a worker's memory of words may take, and half the pairs of tokens it remembers.
+ROOM, PAIRS = 24 << 20, 200_000
 _FIRST = 1 << 62
 
 
@@ -119,6 +119,7 @@ class Encoder:
         self.special = vocabulary.special
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special))
         self.fits: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         self.words = _Memory(self.word)
         self.spaced = _Memory(self._spaced)
 
@@ -127,9 +128,13 @@ class Encoder:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
+            known = self.older.get(key)
+            if known is None:
+                known = self._compatible(left, right)
             if len(self.fits) >= PAIRS:
+                self.older = self.fits.copy()
                 self.fits.clear()
-            known = self.fits[key] = self._compatible(left, right)
+            self.fits[key] = known
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -236,16 +241,20 @@ class Encoder:
 
 
 class _Memory(dict):
-    """Results by key, forgotten when they fill the room; long keys are not kept."""
+    """Results by key. When they fill the room they become the older half, whose place the next
+    ones take; what is asked for again moves up. Long keys are not kept."""
 
     def __init__(self, make):
-        self.make, self.room = make, ROOM
+        self.make, self.room, self.older = make, ROOM, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 40:
             self.room -= 200 + 2 * len(key) + len(value)  # with the objects and their place
             if self.room < 0:
+                self.older = self.copy()
                 self.clear()
                 self.room = ROOM
             self[key] = value
