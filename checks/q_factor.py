@@ -98,9 +98,31 @@ def _(t):
     return m.withColumn("mean", r("mean"))
 
 
-@query("allelic_mean_folded")
+def _folded_sql(steps: int) -> str:
+    """Halvings of the interval that holds the fraction, by the sign of the likelihood's slope."""
+    parts = ["""ase AS (SELECT p_brand AS site_id, o_custkey AS sample_id, c_nationkey AS individual_id,
+        CAST(sum(least(CAST(l_quantity AS INTEGER), l_linenumber * 4)) AS INTEGER) AS a,
+        CAST(sum(CAST(l_quantity AS INTEGER)) AS INTEGER) AS n FROM lineitem JOIN part ON l_partkey = p_partkey
+        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+      e AS MATERIALIZED (SELECT site_id, least(a, n - a) AS y, n, count(*) AS w FROM ase WHERE n > 1 GROUP BY ALL),
+      s0 AS (SELECT DISTINCT site_id, 0.001::DOUBLE AS lo, 0.49999::DOUBLE AS hi FROM e)"""]
+    for i in range(steps):
+        parts.append(f"""g{i} AS (SELECT site_id, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS p,
+          sum(w * ((y / ((lo + hi) / 2) - (n - y) / (1 - (lo + hi) / 2))
+            + exp((n - 2 * y) * ln((lo + hi) / (2 - lo - hi))) * ((n - y) / ((lo + hi) / 2) - y / (1 - (lo + hi) / 2)))
+            / (1 + exp((n - 2 * y) * ln((lo + hi) / (2 - lo - hi))))) AS slope FROM e JOIN s{i} USING (site_id) GROUP BY 1),
+        s{i + 1} AS MATERIALIZED (SELECT site_id, CASE WHEN slope > 0 THEN p ELSE lo END AS lo,
+          CASE WHEN slope > 0 THEN hi ELSE p END AS hi FROM g{i})""")
+    return "WITH " + ", ".join(parts)
+
+
+@query(
+    "allelic_mean_folded",
+    f"""{_folded_sql(40)} SELECT site_id, {rnd("(lo + hi) / 2", 4)} AS mean, true AS converged FROM s40""",
+)
 def _(t):
-    return C.grouped_allelic_mean(brand_ase(t), ["site_id"], family="folded_binomial")
+    m = C.grouped_allelic_mean(brand_ase(t), ["site_id"], family="folded_binomial")
+    return m.select("site_id", r("mean", 4).alias("mean"), "converged")
 
 
 @query("allelic_mean_beta_binomial")
@@ -177,22 +199,69 @@ def _(t):
     return D.gene_set_scores(log_counts(t), sets)
 
 
-@query("score_cell_cycle")
+def _module_sql(name: str, numbers: range, size: int) -> str:
+    """The score of one gene set: its mean less that of controls from the bins of its genes."""
+    genes = ", ".join(f"'Brand#{i}_ECONOMY'" for i in numbers)
+    return f"""{name}_bins AS (SELECT DISTINCT bin FROM binned WHERE gene_id IN ({genes})),
+    {name}_w AS (SELECT gene_id, 1 AS side FROM binned WHERE gene_id IN ({genes}) UNION ALL
+      SELECT gene_id, 0 FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('0|' || gene_id), gene_id) AS k
+        FROM binned JOIN {name}_bins USING (bin)) WHERE k <= {size} AND gene_id NOT IN ({genes})),
+    {name} AS (SELECT cell_id, coalesce(sum(value * CASE side
+      WHEN 1 THEN 1.0::DOUBLE / (SELECT count(*) FROM {name}_w WHERE side = 1)
+      WHEN 0 THEN -1.0::DOUBLE / (SELECT count(*) FROM {name}_w WHERE side = 0) END), 0) AS score
+      FROM x LEFT JOIN {name}_w USING (gene_id) GROUP BY 1)"""
+
+
+@query(
+    "score_cell_cycle",
+    f"""{with_ctes("counts")}, x AS (SELECT cell_id, gene_id,
+      ln(1 + 10000 * count / sum(count) OVER (PARTITION BY cell_id)) AS value FROM counts),
+    m AS (SELECT gene_id, sum(value) / (SELECT count(DISTINCT cell_id) FROM x) AS mean FROM x GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY mean, gene_id) AS k FROM m),
+    binned AS (SELECT gene_id, floor(min(k) OVER (PARTITION BY mean)
+      / greatest(round_even((SELECT count(*) FROM m) / 24.0, 0), 1)) AS bin FROM o),
+    {_module_sql("s", range(1, 9), 8)}, {_module_sql("g", range(10, 20), 8)}
+    SELECT cell_id, {rnd("s.score", 5)} AS s_score, {rnd("g.score", 5)} AS g2m_score,
+      CASE WHEN s.score < 0 AND g.score < 0 THEN 'G1' WHEN g.score > s.score THEN 'G2M' ELSE 'S' END AS phase
+    FROM s JOIN g USING (cell_id)""",
+)
 def _(t):
     s = [f"Brand#{i}_ECONOMY" for i in range(1, 9)]
     g2m = [f"Brand#{i}_ECONOMY" for i in range(10, 20)]
     x = cut_lineage(log_counts(t))
-    return D.score_cell_cycle(x, s, g2m, x.select("cell_id").distinct().count())
+    out = D.score_cell_cycle(x, s, g2m, x.select("cell_id").distinct().count())
+    return out.withColumns({c: r(c, 5) for c in ("s_score", "g2m_score")})
 
 
 @query("ppca_missing")
 def _(t):
-    return D.ppca_missing(L.scale_ratios(brand_ase(t)), 2, iterations=5)[0]
+    return D.ppca_missing(L.scale_ratios(brand_ase(t)), 2, iterations=200, tolerance=1e-3)[0]
 
 
-@query("combat")
+@query(
+    "combat",
+    f"""{with_ctes("counts", "cells").replace("WITH", "WITH RECURSIVE", 1)}, x AS (SELECT cell_id, gene_id,
+      ln(1 + 10000 * count / sum(count) OVER (PARTITION BY cell_id)) AS value FROM counts),
+    nb AS (SELECT batch, count(*)::DOUBLE AS n FROM cells GROUP BY 1),
+    st AS (SELECT gene_id, batch, sum(value) AS s, sum(value * value) AS ss FROM x JOIN cells USING (cell_id) GROUP BY 1, 2),
+    by_batch AS (SELECT gene_id, batch, n, coalesce(s, 0) / n AS m, coalesce(ss, 0) / n - (coalesce(s, 0) / n) ** 2 AS v
+      FROM (SELECT DISTINCT gene_id FROM st) CROSS JOIN nb LEFT JOIN st USING (gene_id, batch)),
+    pooled AS (SELECT gene_id, sum(n * m) / sum(n) AS grand, sqrt(sum(n * v) / sum(n)) AS sd FROM by_batch GROUP BY 1),
+    sc AS (SELECT gene_id, batch, n, grand, sd, (m - grand) / sd AS gh, v * n / (n - 1) / (sd * sd) AS dh
+      FROM by_batch JOIN pooled USING (gene_id) WHERE sd > 0 AND n > 1),
+    pr AS (SELECT batch, avg(gh) AS gb, var_samp(gh) AS t2, (2 * var_samp(dh) + avg(dh) ** 2) / var_samp(dh) AS a,
+      (avg(dh) * var_samp(dh) + avg(dh) ** 3) / var_samp(dh) AS b FROM sc GROUP BY 1),
+    it AS (SELECT gene_id, batch, n, grand, sd, gh, dh, gb, t2, a, b, gh AS g, dh AS d, 0 AS i FROM sc JOIN pr USING (batch)
+      UNION ALL SELECT gene_id, batch, n, grand, sd, gh, dh, gb, t2, a, b, (t2 * n * gh + d * gb) / (t2 * n + d),
+        (0.5 * ((n - 1) * dh + n * (gh - (t2 * n * gh + d * gb) / (t2 * n + d)) ** 2) + b) / (n / 2 + a - 1), i + 1
+      FROM it WHERE i < 60)
+    SELECT gene_id, cell_id, batch, {rnd("((value - grand) / sd - g) / sqrt(d) * sd + grand", 4)} AS value,
+      {rnd("((0 - grand) / sd - g) / sqrt(d) * sd + grand", 4)} AS zero_value
+    FROM x JOIN cells USING (cell_id) JOIN (SELECT * FROM it WHERE i = 60) USING (gene_id, batch)""",
+)
 def _(t):
-    return D.combat(log_counts(t), S.cells(t).select("cell_id", "batch"), zeros=True)
+    out = D.combat(log_counts(t), S.cells(t).select("cell_id", "batch"), zeros=True)
+    return out.withColumns({c: r(c, 4) for c in ("value", "zero_value")})
 
 
 def als(t, k=3, iterations=1000, tolerance=1e-3, **choices):

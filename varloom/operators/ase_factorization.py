@@ -22,7 +22,7 @@ from varloom.operators.count_models import (
 )
 from varloom.operators.factorization import _normal_draw
 from varloom.plans.newton import newton_by_key
-from varloom.plans.scale import broadcast_if_small, cut_lineage
+from varloom.plans.scale import broadcast_if_small, cut_lineage, settled
 
 # fixed values: pseudo-count of the phase weights, base shape of the skewed components
 PSEUDO_COUNT, SKEW_BASE = 5.0, 7.0
@@ -145,6 +145,7 @@ def ase_als(
     family: str = "beta_binomial",
     concentration: float | None = None,
     iterations: int = 20,
+    tolerance: float | None = None,
     newton_steps: int = 8,
     seed: int = 0,
     site: str = "site_id",
@@ -156,7 +157,9 @@ def ase_als(
     loadings) and the concentration, per cell the loadings.
 
     ``concentration`` fixes it for all sites; ``family`` may be "folded_binomial" for counts
-    of the rarer allele. Returns loadings, site parameters and the log-likelihood history.
+    of the rarer allele. Returns loadings, site parameters and the log-likelihood history. With a
+    ``tolerance`` the fit ends when an iteration changes that by less than this share of it;
+    ``iterations`` entries tell that it has not settled.
     """
     if family not in ("beta_binomial", "folded_binomial"):
         raise ValueError(f"unknown family {family}")
@@ -172,6 +175,8 @@ def ase_als(
         sites, _ll = _site_step(data, state, sites, family, fixed, False, width, newton_steps)
         state, ll = _cell_step(data, state, sites, family, False, n_cov, k, newton_steps)
         history.append(ll)
+        if settled(history, tolerance):
+            break
     cov_part, v_part = _split("beta", n_cov, k)
     out = sites.select(
         F.col("site").alias(site), cov_part.alias("c"), v_part.alias("v"), F.col("_conc").alias("concentration")
@@ -259,6 +264,7 @@ def ase_em(
     cells: DataFrame | None = None,
     cov: Sequence[str] = (),
     iterations: int = 20,
+    tolerance: float | None = None,
     newton_steps: int = 6,
     cauchy_scale: float = 2.0,
     seed: int = 0,
@@ -357,6 +363,8 @@ def ase_em(
         state, _ = _cell_step(
             seen, state, sites.select("site", "beta", "_conc"), "beta_binomial", True, n_cov, k, newton_steps
         )
+        if settled(history, tolerance):
+            break
     cov_part, v_part = _split("beta", n_cov, k)
     out = sites.select(
         F.col("site").alias(site), cov_part.alias("c"), v_part.alias("v"),

@@ -204,7 +204,8 @@ def grouped_allelic_mean(
 
     Families: binomial, folded_binomial, beta_binomial, folded_beta_binomial. Entries of one
     read are dropped. Equal (count, depth) entries are merged first. A folded likelihood is
-    symmetric around one half, and the smaller fraction is given.
+    symmetric around one half, and the smaller fraction is given. ``converged`` tells whether the
+    steps of an iterative family have settled.
     """
     minor = F.least(F.col(alt), F.col(total) - F.col(alt))
     entries = (
@@ -232,8 +233,9 @@ def grouped_allelic_mean(
         2 if conc else 1,
         _allelic_terms(family),
         prior=conc_prior(1, CONC_SHAPE, CONC_RATE) if conc else None,
+        tol=1e-13,
     )
     p = 1 / (1 + F.exp(-F.col("theta")[0]))
     mean = F.least(p, 1 - p) if family.startswith("folded") else p
-    out = fit.select(*by, mean.alias("mean"), "ll", *([F.exp(F.col("theta")[1]).alias("concentration")] if conc else []))
+    out = fit.select(*by, mean.alias("mean"), "ll", "converged", *([F.exp(F.col("theta")[1]).alias("concentration")] if conc else []))
     return out

@@ -16,6 +16,7 @@ from varloom.plans.scale import (
     discard,
     hash_order,
     ranked,
+    settled,
     with_group_stats,
 )
 
@@ -408,6 +409,7 @@ def ppca_missing(
     k: int,
     *,
     iterations: int = 20,
+    tolerance: float | None = None,
     seed: int = 0,
     site: str = "site_id",
     sample: str = "sample_id",
@@ -416,7 +418,9 @@ def ppca_missing(
     """Probabilistic PCA by EM over the observed entries only.
 
     Each half-step adds up k x k normal equations by sample or by site. Returns sample
-    scores ``z``, site weights ``w`` and the noise variance by iteration.
+    scores ``z``, site weights ``w`` and the noise variance by iteration. With a ``tolerance`` it
+    ends when an iteration changes that by less than this share of it; ``iterations`` entries tell
+    that it has not settled.
     """
     data = cut_lineage(
         ratios.where(F.col(value).isNotNull()).select(site, sample, F.col(value).alias("_x"))
@@ -485,6 +489,8 @@ def ppca_missing(
         w = solved.select(site, "w")
         noise = max(solved.agg(F.sum("_rest")).head()[0] / n_total, 1e-12)
         history.append(noise)
+        if settled(history, tolerance):
+            break
     return z.select(sample, "z"), w, history
 
 

@@ -31,7 +31,7 @@ from varloom.functions import special
 from varloom.operators.joins import index_labels
 from varloom.operators.mixed import OneGrouping, _best_ratio, _profile
 from varloom.operators.regression import replicate_samples
-from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order
+from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order, settled
 
 _CHUNK = 256  # tests updated together inside a task
 
@@ -1093,18 +1093,11 @@ def eqtl_als(
         state = solved.select("sample", "u")
         row = solved.agg(F.sum("_rss"), F.sum("_n")).head()
         history.append(row[0] / row[1])
-        if _settled(history, tolerance):
+        if settled(history, tolerance):
             break
     return state, tests, history
 
 
-def _settled(history: Sequence[float], tolerance: float | None) -> bool:
-    """Whether the last step changed a measure by less than a share of it."""
-    if tolerance is None or len(history) < 2:
-        return False
-    return abs(history[-1] - history[-2]) <= tolerance * abs(history[-1])
-
-
 def lasso(a, b, start, penalty, positive: bool, sweeps: int = 1000, tol: float = 1e-10):
     """Coordinate descent on u.a.u / 2 - b.u + penalty |u| for a block of samples."""
     u = start.copy()
@@ -1212,6 +1205,6 @@ def eqtl_mixture(
         full = cut_lineage(full.select("sample", "p", "_ll"))
         history.append(float(full.agg(F.sum("_ll")).head()[0]))
         post = full.select("sample", "p")
-        if _settled(history, tolerance):
+        if settled(history, tolerance):
             break
     return post, models, history

@@ -170,3 +170,10 @@ def broadcast_if_small(
     """Hint a broadcast when rows of ``width`` numbers stay within the byte bound; else the
     join is a shuffle that AQE may still turn around once it knows the sizes."""
     return F.broadcast(df) if fits_broadcast(df, max_bytes // (8 * width + 64)) else df
+
+
+def settled(history: Sequence[float], tolerance: float | None) -> bool:
+    """Whether the last step of a fit changed its measure by less than a share of it."""
+    if tolerance is None or len(history) < 2:
+        return False
+    return abs(history[-1] - history[-2]) <= tolerance * abs(history[-1])
