@@ -394,6 +394,92 @@ def _(t):
     return M.permute_by_group(S.genotype(t), 4)
 
 
+def _det(m) -> str:
+    if len(m) == 1:
+        return f"({m[0][0]})"
+    parts = []
+    for j in range(len(m)):
+        rest = [row[:j] + row[j + 1 :] for row in m[1:]]
+        parts.append(f"{'-' if j % 2 else '+'} {m[0][j]} * {_det(rest)}")
+    return "(" + " ".join(parts) + ")"
+
+
+_MIXED = """d AS (SELECT p_brand AS gene_id, l_suppkey AS z, l_discount AS x, l_tax AS c, l_extendedprice / 10000 AS y
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
+    lv AS MATERIALIZED (SELECT gene_id, z, count(*)::DOUBLE AS a, sum(x) AS x, sum(c) AS c, sum(y) AS y FROM d GROUP BY 1, 2),
+    tot AS MATERIALIZED (SELECT gene_id, count(*)::DOUBLE AS aa, sum(x) AS ax, sum(c) AS ac, sum(y) AS ay, sum(x * x) AS xx,
+      sum(x * c) AS xc, sum(x * y) AS xy, sum(c * c) AS cc, sum(c * y) AS cy, sum(y * y) AS yy FROM d GROUP BY 1)"""
+
+
+def mixed_sql(name: str, fixed: str, reml: bool, steps: int = 60) -> str:
+    """The variance ratio of least deviance by thirds of an interval, and what follows from it.
+
+    ``fixed`` names columns: a for the intercept, x, c; y is the outcome. The result ``name`` has
+    theta, dev, sigma2 and, with x among the columns, beta and its variance factor inv.
+    """
+    order = "axcy"
+    pairs = [a + b for i, a in enumerate(order) for b in order[i:]]
+
+    def entry(a, b):
+        return "w" + "".join(sorted(a + b, key=order.index))
+
+    def square(columns):
+        return [[entry(a, b) for b in columns] for a in columns]
+
+    left = f"(waa0 - {len(fixed)})" if reml else "waa0"
+    rss = f"({_det(square(fixed + 'y'))} / {_det(square(fixed))})"
+    dev = f"{left} * (ln(2 * pi() * {rss} / {left}) + 1) + ld"
+    dev += f" + ln({_det(square(fixed))})" if reml else ""
+    sums = ", ".join(f"any_value(tot.{q}) - sum(th / (1 + lv.a * th) * lv.{q[0]} * lv.{q[1]}) AS w{q}" for q in pairs)
+
+    def values(points: str, out: str, extra: str = "") -> str:
+        return f"""{out}w AS (SELECT gene_id, th, {sums}, any_value(tot.aa) AS waa0, sum(ln(1 + lv.a * th)) AS ld
+          FROM lv JOIN tot USING (gene_id) JOIN {points} USING (gene_id) GROUP BY gene_id, th),
+        {out} AS MATERIALIZED (SELECT gene_id, th, {dev} AS dev{extra} FROM {out}w)"""
+
+    parts = [f"{name}t0 AS (SELECT gene_id, 0.0::DOUBLE AS lo, 0.999::DOUBLE AS hi FROM tot)"]
+    for k in range(steps):
+        p, q = "(lo + (hi - lo) / 3)", "(hi - (hi - lo) / 3)"
+        parts.append(f"""{name}p{k} AS (SELECT gene_id, unnest([{p} / (1 - {p}), {q} / (1 - {q})]) AS th FROM {name}t{k}),
+        {values(f"{name}p{k}", f"{name}v{k}")},
+        {name}t{k + 1} AS MATERIALIZED (SELECT gene_id, CASE WHEN arg_min(th, dev) = max(th) THEN any_value({p}) ELSE any_value(lo) END AS lo,
+          CASE WHEN arg_min(th, dev) = max(th) THEN any_value(hi) ELSE any_value({q}) END AS hi
+          FROM {name}v{k} JOIN {name}t{k} USING (gene_id) GROUP BY gene_id)""")
+    extra = f", {rss} / {left} AS sigma2"
+    if "x" in fixed:
+        at = fixed.index("x")
+        swapped = [[entry(r, "y") if j == at else entry(r, f) for j, f in enumerate(fixed)] for r in fixed]
+        minor = [[entry(a, b) for b in fixed if b != "x"] for a in fixed if a != "x"]
+        extra += f", {_det(swapped)} / {_det(square(fixed))} AS beta, {_det(minor)} / {_det(square(fixed))} AS inv"
+    mid = "((lo + hi) / 2)"
+    parts.append(f"{name}pe AS (SELECT gene_id, unnest([0.0, {mid} / (1 - {mid})]) AS th FROM {name}t{steps})")
+    parts.append(values(f"{name}pe", f"{name}ve", extra))
+    parts.append(f"{name} AS (SELECT * FROM {name}ve QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY dev, th) = 1)")
+    return ", ".join(parts)
+
+
+@query(
+    "grouped_lmm_estimates",
+    f"""WITH {_MIXED}, {mixed_sql("r", "axc", True)}
+    SELECT gene_id, {rnd("beta", 4)} AS beta, {rnd("sqrt(sigma2 * inv)", 4)} AS standard_error,
+    {rnd("sqrt(th * sigma2)", 3)} AS re_sd, {rnd("sqrt(sigma2)", 4)} AS residual_sd FROM r""",
+)
+def _(t):
+    f = X.grouped_lmm(gene_rows(t), ["gene_id"], covariates=["tax"])
+    digits = {"beta": 4, "standard_error": 4, "re_sd": 3, "residual_sd": 4}
+    return f.select("gene_id", *[r(c, d).alias(c) for c, d in digits.items()])
+
+
+@query(
+    "eqtl_lrt_one_grouping",
+    f"""WITH {_MIXED}, {mixed_sql("f", "acx", False)}, {mixed_sql("n", "ac", False)}
+    SELECT gene_id, {rnd("greatest(n.dev - f.dev, 0)", 4)} AS lr, {rnd("f.beta", 4)} AS effect FROM f JOIN n USING (gene_id)""",
+)
+def _(t):
+    f = X.eqtl_lrt(gene_rows(t), ["gene_id"], covariates=["tax"], groups=["individual_id"])
+    return f.select("gene_id", r("lr", 4).alias("lr"), r(F.col("effects")[0], 4).alias("effect"))
+
+
 @query("grouped_lmm")
 def _(t):
     return X.grouped_lmm(gene_rows(t), ["gene_id"], covariates=["tax"])
