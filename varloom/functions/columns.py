@@ -57,3 +57,11 @@ def sample_label(*parts: str) -> Column:
 def neg_log10(p: str) -> Column:
     """-log10 of a p-value, kept finite at zero and never negative."""
     return F.greatest(-F.log10(F.col(p) + 1e-15), F.lit(0.0))
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson correlation over the rows that have both values. NaN where one of them
+    has no spread, which ``corr`` divides by; NULL for less than two rows."""
+    square = F.regr_sxx(y, x) * F.regr_syy(y, x)
+    r = F.regr_sxy(y, x) / F.sqrt(F.when(square > 0, square))
+    return F.when(F.regr_count(y, x) > 1, F.coalesce(r, F.lit(float("nan"))))

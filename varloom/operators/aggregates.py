@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.columns import sample_label
+from varloom.functions.columns import correlation, sample_label
 
 
 def pseudobulk(
@@ -220,7 +220,7 @@ def loading_correlation(
     return (
         left.join(right, sample)
         .groupBy("factor_a", "factor_b")
-        .agg(F.abs(F.corr("x", "y")).alias("abs_r"))
+        .agg(F.abs(correlation("x", "y")).alias("abs_r"))
     )
 
 
@@ -357,6 +357,6 @@ def egenes_by_group(
 def egene_cell_correlation(table: DataFrame) -> DataFrame:
     """Correlation of gene number with cell number over the groups."""
     return table.agg(
-        F.corr(F.col("n_cells").cast("double"), F.col("n_egenes").cast("double")).alias("r"),
+        correlation(F.col("n_cells").cast("double"), F.col("n_egenes").cast("double")).alias("r"),
         F.count("*").alias("n_groups"),
     )
