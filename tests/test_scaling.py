@@ -6,6 +6,11 @@ import numpy as np
 
 from varloom.functions.columns import correlation
 from varloom.operators import aggregates as A
+from varloom.operators import joins as J
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_correlation_without_spread(spark):
@@ -18,3 +23,23 @@ def test_correlation_without_spread(spark):
     r = df.agg(correlation("x", "y")).head()[0]
     assert np.isclose(r, np.corrcoef([1, 2, 5], [2, 1, 7])[0, 1])
     assert df.limit(1).agg(correlation("x", "y")).head()[0] is None
+
+
+def genotypes(spark, rng, donors=4, variants=6):
+    rows = [(v, d, None if rng.random() < 0.1 else float(rng.integers(0, 3))) for v in range(variants) for d in range(donors)]
+    return rows, spark.createDataFrame(rows, "variant_id int, individual_id int, dosage double")
+
+
+def test_expanded_cells_carry_columns(spark):
+    rng = np.random.default_rng(1)
+    rows, genotype = genotypes(spark, rng)
+    # a cell that comes twice, one without a known donor
+    cells = [(c, int(rng.integers(0, 4)), "ab"[c % 2]) for c in range(30)] + [(3, 1, "a"), (99, 77, "b")]
+    table = spark.createDataFrame(cells, "cell_id int, individual_id int, cell_type string")
+    pairs = spark.createDataFrame([(v,) for v in range(0, 6, 2)], "variant_id int")
+    out = J.expand_genotype_to_cells(pairs, genotype, table, also=["cell_type"])
+    assert "Exchange hashpartitioning(cell_id" not in plan(out.groupBy("variant_id", "cell_type").count())
+    key = lambda r: (r[0], r[1], r[2], r[3], -1.0 if r[4] is None else r[4])
+    want = [(c, t, d, v, x) for c, d, t in cells for v, i, x in rows if i == d and v % 2 == 0]
+    got = [tuple(r) for r in out.select("cell_id", "cell_type", "individual_id", "variant_id", "dosage").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
