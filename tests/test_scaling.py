@@ -1,12 +1,15 @@
 """Rows that must not move or be made: plans and results of the wide operators."""
 
 import math
+import re
 
 import numpy as np
+import pandas as pd
 
 from varloom.functions.columns import correlation
 from varloom.operators import aggregates as A
 from varloom.operators import joins as J
+from varloom.plans.factor_input import factor_observations
 
 
 def plan(df):
@@ -43,3 +46,34 @@ def test_expanded_cells_carry_columns(spark):
     want = [(c, t, d, v, x) for c, d, t in cells for v, i, x in rows if i == d and v % 2 == 0]
     got = [tuple(r) for r in out.select("cell_id", "cell_type", "individual_id", "variant_id", "dosage").collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_factor_observations_stay_with_the_cells(spark):
+    rng = np.random.default_rng(2)
+    rows, genotype = genotypes(spark, rng)
+    cells = pd.DataFrame({"cell_id": np.arange(40), "individual_id": rng.integers(0, 4, 40)})
+    e = [(f"g{g}", int(c), float(rng.integers(1, 9))) for c in range(40) for g in range(5) if rng.random() < 0.4]
+    expression = spark.createDataFrame(e, "gene_id string, cell_id int, value double")
+    pairs = [("g0", 1), ("g0", 2), ("g3", 1), ("g4", 5), ("none", 1)]
+    out = factor_observations(
+        spark.createDataFrame(pairs, "gene_id string, variant_id int"),
+        expression,
+        genotype,
+        spark.createDataFrame(cells),
+    )
+    assert not re.search(r"hashpartitioning\(gene_id#\d+, cell_id#", plan(out))
+    assert not re.search(r"hashpartitioning\(cell_id#\d+\S*, gene_id#", plan(out))
+    donor = dict(zip(cells.cell_id.tolist(), cells.individual_id.tolist()))
+    value = {(g, c): x for g, c, x in e}
+    known = {(v, d): x for v, d, x in rows if x is not None}
+    want = []
+    for g, v in pairs[:4]:
+        mean = sum(x for (h, _), x in value.items() if h == g) / 40
+        dose = np.array([known[v, donor[c]] for c in range(40) if (v, donor[c]) in known])
+        for c in range(40):
+            if (v, donor[c]) in known:
+                want.append((f"{g}:{v}", c, (known[v, donor[c]] - dose.mean()) / dose.std(), value.get((g, c), 0.0) - mean))
+    got = sorted(tuple(r) for r in out.select("test", "sample", "g", "y").collect())
+    want.sort()
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want])
