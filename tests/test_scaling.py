@@ -5,10 +5,12 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from varloom.functions.columns import correlation
 from varloom.operators import aggregates as A
 from varloom.operators import joins as J
+from varloom.operators import neighbors as K
 from varloom.plans.factor_input import factor_observations
 
 
@@ -77,3 +79,33 @@ def test_factor_observations_stay_with_the_cells(spark):
     want.sort()
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want])
+
+
+def test_neighbours_in_many_tiles(spark, monkeypatch):
+    """Blocks travel in a bounded number of tiles, and the neighbours stay exact."""
+    rng = np.random.default_rng(3)
+    n, k = 900, 4
+    x = np.round(rng.normal(size=(n, 5)), 2)  # rounded, so that distances tie
+    group = np.where(rng.random(n) < 0.8, 0, rng.integers(1, 4, n))
+    rows = [(i, int(group[i]), x[i].tolist()) for i in range(n)]
+    cells = spark.createDataFrame(rows, "cell_id int, individual_id int, pcs array<double>")
+    tiles = []
+    placed = K._tiles
+
+    def kept(*args):
+        out = placed(*args)
+        tiles.extend(tuple(r) for r in out.groupBy("individual_id").agg(F.count_distinct("tile")).collect())
+        return out
+
+    monkeypatch.setattr(K, "_tiles", kept)
+    found = K.knn(cells, k, standardize=False, block_size=16).collect()
+    got = {(r["cell_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in found}
+    want = {}
+    for i in range(n):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        near = sorted((d[j], j) for j in range(n) if j != i and group[j] == group[i])[:k]
+        want |= {(i, rank): (j, dist) for rank, (dist, j) in enumerate(near, 1)}
+    assert got.keys() == want.keys()
+    assert np.allclose([got[a][1] for a in want], [want[a][1] for a in want])
+    assert sum(got[a][0] == want[a][0] for a in want) >= 0.99 * len(want)  # last digits may turn ties
+    assert dict(tiles)[0] > 1 and max(m for _, m in tiles) <= K._SIDE

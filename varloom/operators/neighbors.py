@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.plans.scale import broadcast_if_small, cut_lineage, tie_ranks
+from varloom.plans.scale import broadcast_if_small, cut_lineage, ranked, tie_ranks
 
 _GRID_DIMS = 3  # leading dimensions that a grid of blocks is laid over
+_TILE, _SIDE = 4 << 20, 8  # most bytes of the vectors of a tile, and tiles of a group up to that size
 
 
 def standardize_vectors(cells: DataFrame, *, column: str = "pcs") -> DataFrame:
@@ -104,8 +105,24 @@ def _blocks(cells: DataFrame, edges: DataFrame, cell: str, by: str, column: str,
     )
 
 
-def block_pairs(outline: DataFrame, edges: DataFrame, by: str) -> DataFrame:
-    """(by, block, block2): pairs of blocks whose boxes are within the first one's reach.
+def _tiles(blocks: DataFrame, by: str, names: list[str], block_size: int) -> DataFrame:
+    """Neighbouring blocks side by side in one row: an eighth of the group, or 4 MB if that is less.
+
+    A tile meets every tile of its group at most once, so up to that size each cell moves a
+    fixed number of times, whatever the number of cells.
+    """
+    first = blocks.select(F.size("low").alias("d")).head()
+    most = max(1, _TILE // (8 * max(1, first[0] if first else 1)) // block_size)
+    order = ranked(blocks.select(by, "block", *names), [*names, "block"], by=[by], out="_rank")
+    sizes = blocks.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / _SIDE).alias("_each"))
+    placed = order.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    tile = F.floor((F.col("_rank") - 1) / F.least(F.col("_each"), F.lit(most))).alias("tile")
+    return blocks.join(placed.select(by, "block", tile), [by, "block"])
+
+
+def block_pairs(outline: DataFrame, edges: DataFrame, by: str, others: DataFrame | None = None) -> DataFrame:
+    """(by, block, block2): pairs of blocks whose boxes are within the first one's reach. With
+    ``others`` the second ones are the blocks of that outline, which may share a name.
 
     A block is looked for only in the spots of the grid that its box, widened by its reach,
     touches; they are the keys of an equi-join. ``outline`` is (by, block, low, high, reach and
@@ -118,7 +135,7 @@ def block_pairs(outline: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     for d, name in enumerate(names):
         low, high = (F.try_element_at(F.col(c), F.lit(d + 1)) for c in ("low", "high"))
         asking = asking.withColumn(name, F.explode(F.sequence(_spot(d, low - wide), _spot(d, high + wide))))
-    other = outline.select(
+    other = (outline if others is None else others).select(
         by, *names, F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2")
     )
     zero = F.lit(0.0)
@@ -146,7 +163,8 @@ def knn(
     which bounds the distance of every cell's k-th neighbour; another block is visited only
     when the boxes of the two blocks are closer than that bound. Such blocks are found by the
     spots of a grid that the widened box touches, not by pairing all blocks. The result is
-    exact, no task holds more than two blocks, and only candidates within the bound leave a task.
+    exact, and only candidates within the bound leave a task. Blocks travel in tiles of bounded
+    size, and a task holds two tiles at a time.
     """
     ready = cells.select(cell, by, F.col(column).cast("array<double>").alias(column))
     if metric == "pearson":
@@ -185,11 +203,33 @@ def knn(
             + ", ".join(f"{c} int" for c in names),
         )
     )
-    pairs = block_pairs(blocks.select(by, "block", "low", "high", "reach", *names), edges, by)
-    sources = blocks.select(by, "block", "ids", "flat", "limits")
-    targets = blocks.select(
-        by, F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2")
+    placed = cut_lineage(_tiles(blocks, by, names, block_size), replaces=blocks)
+    parts = ("ids", "flat", "limits", "low", "high")
+    listed = F.collect_list(F.struct(*parts, "reach", F.size("ids").alias("n")))
+    tiles = placed.groupBy(by, "tile").agg(listed.alias("_b"))
+    tiles = cut_lineage(
+        tiles.select(
+            by,
+            F.col("tile").cast("string").alias("block"),
+            *[F.flatten(F.col(f"_b.{c}")).alias(c) for c in parts],
+            F.col("_b.reach").alias("reaches"),
+            F.col("_b.n").alias("sizes"),
+        )
     )
+    spots = placed.withColumn("block", F.col("tile").cast("string"))
+
+    def ends(f, c):
+        return F.array(*[f(F.col(c)[d]) for d in range(width)])
+
+    first = placed.select(F.size("low")).head()
+    width = first[0] if first else 0
+    outline = spots.groupBy(by, "block").agg(
+        ends(F.min, "low").alias("low"), ends(F.max, "high").alias("high"), F.max("reach").alias("reach")
+    )
+    others = spots.select(by, "block", "low", "high", *names)
+    pairs = block_pairs(outline, edges, by, others).distinct()
+    sources = tiles.select(by, "block", "ids", "flat", "limits", "low", "high", "reaches", "sizes")
+    targets = tiles.select(by, *[F.col(c).alias(f"{c}2") for c in ("block", "ids", "flat", "low", "high", "sizes")])
     work = pairs.join(sources, [by, "block"]).join(targets, [by, "block2"])
 
     def search(frames):
@@ -198,21 +238,34 @@ def knn(
             for row in frame.itertuples(index=False):
                 record = dict(zip(frame.columns, row))
                 ids, ids2 = np.asarray(record["ids"]), np.asarray(record["ids2"])
-                a = np.reshape(record["flat"], (len(ids), -1))
-                b = np.reshape(record["flat2"], (len(ids2), -1))
-                d = _distances(a, b)
-                if record["block"] == record["block2"]:
-                    np.fill_diagonal(d, np.inf)
-                keep = np.minimum(k, len(ids2))
-                kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                limit = np.minimum(kth, np.asarray(record["limits"]) * (1 + 1e-9) + 1e-12)
-                i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                parts.append(
-                    pd.DataFrame(
-                        {by: record[by], cell: ids[i], "neighbor_id": ids2[j], "distance": d[i, j]}
-                    )
+                limits = np.asarray(record["limits"]) * (1 + 1e-9) + 1e-12
+                x, y = np.reshape(record["flat"], (len(ids), -1)), np.reshape(record["flat2"], (len(ids2), -1))
+                low, high, low2, high2 = (
+                    np.reshape(record[c], (-1, x.shape[1])) for c in ("low", "high", "low2", "high2")
                 )
-            yield pd.concat(parts, ignore_index=True)
+                owner2 = np.repeat(np.arange(len(low2)), record["sizes2"])
+                ends = np.cumsum(record["sizes"])
+                for n, (end, size) in enumerate(zip(ends, record["sizes"])):
+                    gap = np.maximum(low2 - high[n], 0) ** 2 + np.maximum(low[n] - high2, 0) ** 2
+                    near = ~(np.sqrt(gap.sum(1)) > record["reaches"][n] * (1 + 1e-9) + 1e-12)
+                    at = np.flatnonzero(near[owner2])
+                    if not len(at):
+                        continue
+                    own = np.arange(end - size, end)
+                    d = _distances(x[own], y[at])
+                    if record["block"] == record["block2"]:
+                        d[own[:, None] == at[None, :]] = np.inf
+                    keep = np.minimum(k, len(at))
+                    kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+                    limit = np.minimum(kth, limits[own])
+                    i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                    parts.append(
+                        pd.DataFrame(
+                            {by: record[by], cell: ids[own[i]], "neighbor_id": ids2[at[j]], "distance": d[i, j]}
+                        )
+                    )
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     found = work.mapInPandas(
         search,
