@@ -22,7 +22,7 @@ from varloom.operators import decomposition as D
 from varloom.operators import factorization as X
 from varloom.operators import normalize as N
 from varloom.operators import regression as M
-from varloom.plans.scale import cut_lineage
+from varloom.plans.scale import bucketed, buckets_for, cut_lineage
 
 
 def factor_obs(t):
@@ -186,7 +186,8 @@ def _(t):
 
 @query("pca_pearson_residuals")
 def _(t):
-    counts = S.counts(t)
+    counts = cut_lineage(S.counts(t))  # the sums, the entries and the zeros read it, by cell
+    counts = bucketed(counts, "cell_id", buckets_for(counts.count(), t.spark), replaces=counts)
     entries, table = N.pearson_residuals(counts)
     return D.pca(entries, 3, zeros=N.pearson_zero_terms(counts, table))[0]
 

@@ -195,6 +195,34 @@ def test_gene_sets(spark):
         assert abs(abs(mine @ v) - 1) < 1e-8
 
 
+def test_steps_of_sparse_samples_leave_the_entries_alone(spark, monkeypatch):
+    """With few entries by sample only the scores at the end read the entries again, and the
+    results are those of steps over the entries."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(8, 200)) + 1.0
+    x[rng.random(x.shape) < 0.5] = 0.0
+    sets = spark.createDataFrame([("a", ["g01", "g03", "g07"]), ("b", ["g00", "g03", "g05", "g06"])], ["set_id", "genes"])
+    zeros = (
+        spark.createDataFrame([(j, [1.0 + j % 3]) for j in range(200)], ["cell_id", "a"]),
+        spark.createDataFrame([(f"g{i:02d}", [0.1 * i]) for i in range(8)], ["gene_id", "b"]),
+    )
+    read, times = [], D._Matrix.times
+    monkeypatch.setattr(D._Matrix, "times", lambda self, *a: read.append(1) or times(self, *a))
+
+    def results():
+        out = []
+        for found in (D.pca(matrix(spark, x), 2)[0], D.pca(matrix(spark, x), 2, zeros=zeros)[0]):
+            out.append(np.array([r["pcs"] for r in found.orderBy("cell_id").collect()]))
+        got = D.gene_set_scores(matrix(spark, x), sets).orderBy("set_id", "cell_id").collect()
+        return [*out, np.array([r["score"] for r in got])]
+
+    mine = results()
+    assert len(read) == 3
+    monkeypatch.setattr(D, "_PAIRS", -1)
+    for a, b in zip(mine, results()):
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-8)
+
+
 def test_cell_cycle(spark):
     rng = np.random.default_rng(6)
     x = np.abs(rng.normal(size=(40, 25))) + np.linspace(0.1, 2, 40)[:, None]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from varloom.plans.scale import (
     broadcast_if_small,
+    bucketed,
+    buckets_for,
     cut_lineage,
     discard,
     hash_order,
@@ -23,6 +25,10 @@ from varloom.plans.scale import (
 # Vectors that a search space holds before it starts again from its best ones.
 _DIMS = 256
 
+# Products of two entries of a sample, by entry, up to which the products of all pairs of features
+# are added up once instead of reading the entries in every step.
+_PAIRS = 64
+
 
 def _array_sums(column: str, width: int):
     return F.array(*[F.sum(F.col(column)[i]) for i in range(width)])
@@ -35,25 +41,44 @@ def _rows_of(frame: pd.DataFrame, column: str) -> np.ndarray:
 @dataclass
 class _Matrix:
     """A sparse matrix by group: stored entries, less what the zero terms say there, and the
-    terms themselves. An entry is x + sum over r of a[r] * b[r]."""
+    terms themselves. An entry is x + sum over r of a[r] * b[r]. Entries without the columns of
+    the group belong to all groups that have their feature."""
 
-    entries: DataFrame  # by, sample, feature, _x
+    entries: DataFrame  # [by], sample, feature, _x
     samples: DataFrame  # by, sample, [_a]
     by: list[str]
     sample: str
     feature: str
     terms: int
+    gram: DataFrame | None = None  # by, feature, _other, _p: products of pairs of features
 
     def __post_init__(self):
+        if self.gram is not None:
+            return
         # counted once: whether a block of vectors over the samples may be broadcast, by width
         rows = self.samples.count()
         self.hint = lambda df, width: F.broadcast(df) if rows * (8 * width + 64) <= 64 << 20 else df
 
+    def images(self, space: DataFrame, column: str, width: int) -> DataFrame:
+        """The features with ``_y``: the transposed matrix times the matrix times a block."""
+        if self.gram is None:
+            between = cut_lineage(self.times(space, column, width))
+            return self.transposed(space, between, width)
+        other = [F.col(c) for c in self.by] + [F.col(self.feature).alias("_other")]
+        block = space.select(*other, F.col(column).alias("_b"))
+        found = self.gram.join(broadcast_if_small(block, width=width + 2), [*self.by, "_other"])
+        found = found.groupBy(*self.by, self.feature).agg(
+            F.array(*[F.sum(F.col("_p") * F.col("_b")[i]) for i in range(width)]).alias("_y")
+        )
+        none = F.array_repeat(F.lit(0.0), width)
+        joined = space.join(found, [*self.by, self.feature], "left")
+        return joined.withColumn("_y", F.coalesce("_y", none))
+
     def times(self, features: DataFrame, column: str, width: int) -> DataFrame:
         """(by, sample, _b): the matrix times a block of vectors over features."""
-        keys = [*self.by, self.feature]
-        block = features.select(*keys, F.col(column).alias("_v"))
-        found = self.entries.join(block, keys)
+        keys = [c for c in [*self.by, self.feature] if c in self.entries.columns]
+        block = features.select(*self.by, self.feature, F.col(column).alias("_v"))
+        found = self.entries.join(broadcast_if_small(block, width=width + 2), keys)
         found = found.groupBy(*self.by, self.sample).agg(
             F.array(*[F.sum(F.col("_x") * F.col("_v")[i]) for i in range(width)]).alias("_b")
         )
@@ -122,6 +147,43 @@ class _Matrix:
         return joined.select(*self.by, (cells + F.coalesce("_s", F.lit(0.0))).alias("_total"))
 
 
+def _few_pairs(entries: DataFrame, keys: list[str], rows: int) -> bool:
+    """Whether the pairs of entries with equal keys are few beside a number of rows."""
+    n = F.col("_n").cast("double")
+    sizes = entries.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return (sizes.agg(F.sum(n * n)).head()[0] or 0.0) <= _PAIRS * rows
+
+
+def _products(entries: DataFrame, by: list[str], sample: str, feature: str) -> DataFrame:
+    """(by, feature, _other, _p): the entries' products, summed over the samples."""
+    other = entries.select(*by, sample, F.col(feature).alias("_other"), F.col("_x").alias("_z"))
+    pairs = entries.join(other, [*by, sample])
+    return pairs.groupBy(*by, feature, "_other").agg(F.sum(F.col("_x") * F.col("_z")).alias("_p"))
+
+
+def _dense_products(
+    stored: DataFrame, entries: DataFrame, samples: DataFrame, features: DataFrame, by, sample, feature, terms
+) -> DataFrame:
+    """The products of the stored entries and those with the zero terms, for all pairs of features."""
+    with_a = entries.join(samples, [*by, sample]).groupBy(*by, feature).agg(
+        F.array(*[F.sum(F.col("_x") * F.col("_a")[r]) for r in range(terms)]).alias("_c")
+    )
+    none = F.array_repeat(F.lit(0.0), terms)
+    own = features.join(with_a, [*by, feature], "left").withColumn("_c", F.coalesce("_c", none))
+    own = cut_lineage(own)
+    pairs = [(r, q) for r in range(terms) for q in range(terms)]
+    both = samples.groupBy(*by).agg(F.array(*[F.sum(F.col("_a")[r] * F.col("_a")[q]) for r, q in pairs]).alias("_aa"))
+    other = own.select(*by, F.col(feature).alias("_other"), F.col("_z").alias("_z2"), F.col("_c").alias("_c2"))
+    cells = own.join(broadcast_if_small(other, width=2 * terms + 2), by).join(F.broadcast(both), by)
+    cells = cells.join(stored, [*by, feature, "_other"], "left")
+    total = F.coalesce("_p", F.lit(0.0))
+    for r in range(terms):
+        total = total + F.col("_c")[r] * F.col("_z2")[r] + F.col("_z")[r] * F.col("_c2")[r]
+    for i, (r, q) in enumerate(pairs):
+        total = total + F.col("_z")[r] * F.col("_aa")[i] * F.col("_z2")[q]
+    return cells.select(*by, feature, "_other", total.alias("_p"))
+
+
 def _settled(table: DataFrame, by: list[str], dims: int, width: int, k: int) -> DataFrame:
     """The best vectors in each group's search space.
 
@@ -189,11 +251,9 @@ def _leading(matrix: _Matrix, features: DataFrame, k: int, seed: int, tol: float
     dims = 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema)
     for _ in range(max_iter):
-        images = cut_lineage(matrix.times(space, "_new", width))
-        grown = matrix.transposed(space, images, width)
+        grown = matrix.images(space, "_new", width)
         grown = grown.select(*base, F.concat("_v", "_new").alias("_v"), F.concat("_w", "_y").alias("_w"))
         grown = cut_lineage(grown, replaces=space)
-        discard(images)
         dims += width
         turn = _settled(grown, by, dims, width, k)
         left = turn.agg(F.max("_left")).head()[0]
@@ -239,6 +299,16 @@ def _leading(matrix: _Matrix, features: DataFrame, k: int, seed: int, tol: float
     return best, turn.select(*by, F.slice("_theta", 1, k).alias("_theta"))
 
 
+def _scores(matrix: _Matrix, best: DataFrame, values: DataFrame, k: int) -> DataFrame:
+    """(by, sample, pcs): the matrix times its leading vectors, over their singular values."""
+    scores = matrix.times(best, "_best", k).join(broadcast_if_small(values, width=k + 2), matrix.by)
+    theta = F.col("_theta")
+    scaled = [
+        F.when(theta[i] > 1e-12 * theta[0], F.col("_b")[i] / F.sqrt(theta[i])).otherwise(0.0) for i in range(k)
+    ]
+    return scores.select(*matrix.by, matrix.sample, F.array(*scaled).alias("pcs"))
+
+
 def pca(
     df: DataFrame,
     k: int,
@@ -267,14 +337,11 @@ def pca(
     def keyed(table: DataFrame) -> DataFrame:
         return table.withColumn("_all", F.lit(0)) if plain else table
 
-    data = keyed(df.where(F.col(value).isNotNull())).select(
-        *groups, sample, feature, F.col(value).cast("double").alias("_x")
-    )
+    data = df.where(F.col(value).isNotNull()).select(*by, sample, feature, F.col(value).cast("double").alias("_x"))
     terms = 0
     if zeros is None:
         data = cut_lineage(data)  # read several times below, made once
-        samples = data.select(*groups, sample).distinct()
-        features = cut_lineage(data.select(*groups, feature).distinct())
+        features = cut_lineage(keyed(data).select(*groups, feature).distinct())
     else:
         samples = cut_lineage(keyed(zeros[0]).select(*groups, sample, F.col("a").alias("_a")))
         good = F.forall("b", lambda x: x.isNotNull() & ~F.isnan(x))
@@ -283,22 +350,29 @@ def pca(
         first = features.select(F.size("_z")).head()
         terms = first[0] if first else 1
         # entries keep only what differs from the terms
-        named = data.join(broadcast_if_small(features), [*groups, feature])
+        named = keyed(data).join(broadcast_if_small(features), [*groups, feature])
         named = named.join(broadcast_if_small(samples), [*groups, sample])
         zero = F.lit(0.0)
         for r in range(terms):
             zero = zero + F.col("_a")[r] * F.col("_z")[r]
-        data = cut_lineage(named.select(*groups, sample, feature, (F.col("_x") - zero).alias("_x")))
+        data = cut_lineage(named.select(*by, sample, feature, (F.col("_x") - zero).alias("_x")))
     if plain:
         k = min(k, features.count())
-    matrix = _Matrix(data, samples, groups, sample, feature, terms)
+    gram, rows = None, data.count()
+    sparse = _few_pairs(data, [*by, sample], rows) and (not terms or _few_pairs(features, groups, rows))
+    if sparse:
+        data = bucketed(data, sample, buckets_for(rows, data.sparkSession), replaces=data)
+    data = keyed(data)
+    if sparse:
+        gram = _products(data, groups, sample, feature)
+        if terms:
+            gram = _dense_products(cut_lineage(gram), data, samples, features, groups, sample, feature, terms)
+        gram = cut_lineage(gram)
+    if zeros is None:
+        samples = data.select(*groups, sample).distinct()
+    matrix = _Matrix(data, samples, groups, sample, feature, terms, gram)
     best, values = _leading(matrix, features, k, seed, tol, max_iter)
-    scores = matrix.times(best, "_best", k).join(broadcast_if_small(values, width=k + 2), groups)
-    theta = F.col("_theta")
-    scaled = [
-        F.when(theta[i] > 1e-12 * theta[0], F.col("_b")[i] / F.sqrt(theta[i])).otherwise(0.0) for i in range(k)
-    ]
-    scores = scores.select(*by, sample, F.array(*scaled).alias("pcs"))
+    scores = _scores(matrix, best, values, k).select(*by, sample, "pcs")
     total = matrix.square_sum(features)
     shares = values.join(broadcast_if_small(total, width=2), groups)
     explained = shares.select(*by, "_total", F.posexplode("_theta").alias("component", "_t"))
@@ -322,8 +396,22 @@ def gene_set_scores(
     known = cut_lineage(members.join(expr.select(gene).distinct(), gene, "left_semi"))
     large = known.groupBy(set_id).agg(F.count("*").alias("_m")).where("_m >= 2").select(set_id)
     placed = known.join(broadcast_if_small(large, width=2), set_id)
-    rows = expr.select(gene, cell, value).join(broadcast_if_small(placed, width=4), gene)
-    scores, _ = pca(rows, 1, feature=gene, sample=cell, value=value, by=[set_id])
+    used = broadcast_if_small(placed.select(gene).distinct(), width=4)
+    data = expr.where(F.col(value).isNotNull()).join(used, gene, "left_semi")
+    data = cut_lineage(data.select(cell, gene, F.col(value).cast("double").alias("_x")))
+    n = data.count()
+    if _few_pairs(data, [cell], n):
+        # the products of genes are added up once for all sets, and a set takes those of its genes
+        data = bucketed(data, cell, buckets_for(n, data.sparkSession), replaces=data)
+        features = cut_lineage(placed.join(data.select(gene).distinct(), gene, "left_semi").select(set_id, gene))
+        gram = _products(data, [], cell, gene).join(broadcast_if_small(features, width=4), gene)
+        other = features.select(set_id, F.col(gene).alias("_other"))
+        gram = cut_lineage(gram.join(broadcast_if_small(other, width=4), [set_id, "_other"]))
+        matrix = _Matrix(data, data, [set_id], cell, gene, 0, gram)
+        scores = _scores(matrix, *_leading(matrix, features, 1, 0, 1e-7, 300), 1)
+    else:
+        rows = data.withColumnRenamed("_x", value).join(broadcast_if_small(placed, width=4), gene)
+        scores, _ = pca(rows, 1, feature=gene, sample=cell, value=value, by=[set_id])
     return scores.select(set_id, cell, F.col("pcs")[0].alias("score"))
 
 
