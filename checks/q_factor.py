@@ -33,7 +33,7 @@ def factor_obs(t):
         .groupBy(F.col("p_brand").alias("test"), F.col("o_custkey").alias("sample"))
         .agg(F.avg("l_extendedprice").alias("y"), F.avg("l_discount").alias("g"))
     )
-    z = N.standardize(rows, by=["test"], value="y")
+    z = N.standardize(cut_lineage(rows), by=["test"], value="y")
     return cut_lineage(N.standardize(z, by=["test"], value="g"))
 
 

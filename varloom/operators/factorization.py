@@ -7,8 +7,10 @@ The model of an observation is
 Every update of the parameters of a test needs only cross products of its observations with
 the (expected) loadings, and every update of a sample only cross products with the
 parameters of the tests. One iteration is therefore two grouped sums in the JVM, each
-followed by closed-form updates on one row per sample or per test. A test or a sample that
-holds a third of all observations is combined map-side like any other.
+followed by closed-form updates on one row per sample or per test. Observations and samples lie
+in buckets by sample, so that no iteration shuffles them. A test that holds a third of all
+observations is combined map-side like any other; where a sample holds more than a bucket should,
+nothing is bucketed and its observations are combined map-side, too.
 
 Random intercepts are rows of their own, by test, grouping and level. They are updated between
 two halves of the tests' step: sums by level meet the tests' coefficients by an equi-join,
@@ -31,7 +33,15 @@ from varloom.functions import special
 from varloom.operators.joins import index_labels
 from varloom.operators.mixed import OneGrouping, _best_ratio, _profile
 from varloom.operators.regression import replicate_samples
-from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order, settled
+from varloom.plans.scale import (
+    broadcast_if_small,
+    bucketed,
+    buckets_for,
+    cut_lineage,
+    discard,
+    hash_order,
+    settled,
+)
 
 _CHUNK = 256  # tests updated together inside a task
 
@@ -115,6 +125,23 @@ def _normal_draw(seed: int, key: str, k: int) -> list[Column]:
     return out
 
 
+def _by_sample(data: DataFrame) -> tuple[DataFrame, int | None]:
+    """The observations in buckets by sample and their number, if no sample has too many."""
+    rows = data.count()
+    n = buckets_for(rows, data.sparkSession)
+    most = data.groupBy("sample").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    if most > max(rows // n, 10_000):
+        return data, None
+    return bucketed(data, "sample", n, replaces=data), n
+
+
+def _kept(df: DataFrame, n: int | None, *, replaces: DataFrame | None = None, dealt: bool = True) -> DataFrame:
+    """A table by sample, written with the buckets of the observations if they have any."""
+    if n is None:
+        return cut_lineage(df, replaces=replaces)
+    return bucketed(df, "sample", n, in_place=dealt, replaces=replaces)
+
+
 def _triangle(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -573,6 +600,10 @@ class _SampleStep:
         o = self.o
         p = o.k + o.learn_covariates
         for frame in frames:
+            seen = frame["_a"].notna()
+            if not seen.all():  # samples without observations stay as they are
+                yield frame[~seen].drop(columns=["_a", "_b"])
+                frame = frame[seen].reset_index(drop=True)
             if not len(frame):
                 continue
             a, b = _full(_stack(frame["_a"]), p), _stack(frame["_b"])
@@ -718,7 +749,7 @@ def _start_tests(obs: DataFrame, o: Options, sizes: Sequence[int]) -> DataFrame:
     )
 
 
-def _structural_zeros(obs, fit: Fit, tau) -> DataFrame:
+def _structural_zeros(obs, fit: Fit, tau, buckets: int | None) -> DataFrame:
     """Probability that an entry follows the model; only exact zeros can be structural."""
     o, tests = fit.options, fit.tests
     joined = _all_joined(obs, fit, fit.samples, tau)
@@ -749,9 +780,8 @@ def _structural_zeros(obs, fit: Fit, tau) -> DataFrame:
 
     t = tests.schema["test"].dataType.simpleString()
     table = tests.select("test", "ls_a", "ls_b").mapInPandas(odds_of, f"test {t}, _odds double")
-    return cut_lineage(
-        joined.join(broadcast_if_small(table), "test").select("test", "sample", "g", "y", weight.alias("w"))
-    )
+    weighed = joined.join(broadcast_if_small(table), "test")
+    return _kept(weighed.select("test", "sample", "g", "y", weight.alias("w")), buckets, replaces=obs)
 
 
 def _sample_bound(samples: DataFrame, fit: Fit) -> float:
@@ -848,7 +878,9 @@ def eqtl_vi(
     data = obs.dropna(subset=["g", "y"]).select(*columns)
     if o.zero_inflated:
         data = data.withColumn("w", F.lit(1.0))
-    data = cut_lineage(data)
+    data, buckets = _by_sample(cut_lineage(data))
+    if buckets is not None:
+        state = _kept(state, buckets, replaces=state, dealt=False)
     tests = _start_tests(data, o, sizes)
     t_type = data.schema["test"].dataType.simpleString()
     fit = Fit(
@@ -873,21 +905,24 @@ def eqtl_vi(
             ).select("sample")
             size = pool.groupBy(by).agg(F.count("*").alias("_n"))
             scale = F.col("_n") / F.ceil(F.col("_n") * F.lit(o.svi_fraction))
-            active = cut_lineage(
-                pool.join(drawn, "sample", "left_semi").join(size.select(by, scale.alias("_scale")), by)
-            )
+            drawn = pool.join(drawn, "sample", "left_semi")
+            scales = broadcast_if_small(size.select(by, scale.alias("_scale")), width=2)
+            active = _kept(drawn.join(scales, by), buckets, dealt=False)
             part = data.join(broadcast_if_small(active.select("sample")), "sample", "left_semi")
         tau_value = None if tau is None else tau[0] / tau[1]
         # loadings
         base = active.drop("_scale", "_all")
         sums = _sample_sums(part, fit, base, tau_value)
-        moved = base.join(sums, "sample").select(*base.columns, "_a", "_b")
+        moved = base.join(sums, "sample", "inner" if o.svi_fraction else "left").select(*base.columns, "_a", "_b")
         schema = base.schema
-        updated = cut_lineage(
-            moved.mapInPandas(_SampleStep(o, fit.theta_a, fit.theta_b, fit.gamma_u), schema)
+        updated = _kept(
+            moved.mapInPandas(_SampleStep(o, fit.theta_a, fit.theta_b, fit.gamma_u), schema), buckets
         )
-        others = fit.samples.select(*base.columns).join(updated.select("sample"), "sample", "left_anti")
-        fit.samples = cut_lineage(updated.unionByName(others))
+        last, fit.samples = fit.samples, updated
+        if o.svi_fraction:
+            others = last.select(*base.columns).join(updated.select("sample"), "sample", "left_anti")
+            fit.samples = _kept(updated.unionByName(others), buckets)
+        discard(last)
         # parameters of the tests
         seen = updated
         if o.svi_fraction:
@@ -922,7 +957,7 @@ def eqtl_vi(
             tau = tuple((1 - rho) * a + rho * b for a, b in zip(tau, new))
             fit.tests = fit.tests.withColumns({"tau_a": F.lit(tau[0]), "tau_b": F.lit(tau[1])})
         if o.zero_inflated:
-            data = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1])
+            data = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1], buckets)
         if track_elbo or tolerance is not None:
             fit.elbo.append(elbo(fit, tau))
         if tolerance is not None and it > o.warmup:
@@ -1015,7 +1050,7 @@ def eqtl_als(
     if u not in ("lasso+", "lasso", "simplex"):
         raise ValueError(f"unknown loading rule {u}")
     o = Options(k=k, genotype_intercept=genotype_intercept, seed=seed)
-    data = cut_lineage(obs.dropna(subset=["g", "y"]).select("test", "sample", "g", "y"))
+    data, buckets = _by_sample(cut_lineage(obs.dropna(subset=["g", "y"]).select("test", "sample", "g", "y")))
     if init_category:
         coded = index_labels(samples.select("sample", init_category), init_category, out="_cat")
         start = F.array(*[(F.col("_cat") == i).cast("double") for i in range(k)])
@@ -1029,7 +1064,7 @@ def eqtl_als(
         if u == "simplex":
             total = F.aggregate(start, F.lit(0.0), lambda s, x: s + x)
             start = F.transform(start, lambda x: x / total)
-    state = cut_lineage(coded.select("sample", start.alias("u")))
+    solved = state = _kept(coded.select("sample", start.alias("u")), buckets, dealt=False)
     use = [0, *([1] if genotype_intercept else []), *range(2, 2 + k)]
     types = {c: data.schema[c].dataType.simpleString() for c in ("test", "sample")}
     history = []
@@ -1085,10 +1120,12 @@ def eqtl_als(
                 out["_rss"], out["_n"] = frame["_yy"].to_numpy() + fit, n
                 yield out
 
-        solved = cut_lineage(
+        solved = _kept(
             state.join(sums, "sample").mapInPandas(
                 load, f"sample {types['sample']}, u array<double>, _rss double, _n double"
-            )
+            ),
+            buckets,
+            replaces=solved,
         )
         state = solved.select("sample", "u")
         row = solved.agg(F.sum("_rss"), F.sum("_n")).head()
