@@ -291,3 +291,19 @@ def test_permutation_moves_whole_donors(spark):
     after = {i: sorted((r["variant_id"], r["dosage"]) for r in p.where(F.col("individual_id") == i).collect()) for i in range(9)}
     assert sorted(map(str, before.values())) == sorted(map(str, after.values()))
     assert before != after
+
+
+def test_crossed_levels_reach_the_worker_as_plain_numbers(spark, monkeypatch):
+    """No array for every level; the fit is that of the arrays."""
+    rng = np.random.default_rng(21)
+    n = 200
+    f = pd.DataFrame({"test": "t", "a": rng.integers(0, 20, n), "b": rng.integers(0, 4, n), "x": rng.normal(size=n)})
+    f["y"] = f.x + rng.normal(size=20)[f.a] + rng.normal(size=n)
+    seen = []
+    class Grouped(type(spark.range(1).groupBy("id"))):
+        pass
+    apply = Grouped.__mro__[1].applyInPandas
+    monkeypatch.setattr(Grouped.__mro__[1], "applyInPandas", lambda self, fn, schema: seen.append(self._df) or apply(self, fn, schema))
+    got = X.eqtl_lrt(spark.createDataFrame(f), ["test"], groups=["a", "b"]).head()
+    assert got.n == n and np.isfinite(got.lr)
+    assert not any(t.startswith("array") for _, t in seen[0].dtypes)

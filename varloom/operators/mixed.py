@@ -43,6 +43,16 @@ def _size_classes(df: DataFrame, test: Sequence[str], group: str, columns: Seque
     )
 
 
+def _numbers(frame: pd.DataFrame, name: str) -> np.ndarray:
+    """A column of arrays, or the columns of plain numbers that stand for it, as a table."""
+    if name in frame:
+        return np.stack(frame[name].to_numpy())
+    width = 0
+    while f"_{name}{width}" in frame:
+        width += 1
+    return np.column_stack([frame[f"_{name}{i}"].to_numpy(dtype=float) for i in range(width)])
+
+
 def _with_intercept(n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> np.ndarray:
     """Cross products of (1, columns), summed over the rows of the frame."""
     q = s.shape[1]
@@ -143,8 +153,8 @@ class CrossedGroupings:
 
     def __init__(self, frame: pd.DataFrame, groups: Sequence[str]):
         n = frame["n"].to_numpy(dtype=float)
-        s = np.stack(frame["s"].to_numpy())
-        self.total = _with_intercept(n, s, np.stack(frame["ss"].to_numpy()))
+        s = _numbers(frame, "s")
+        self.total = _with_intercept(n, s, _numbers(frame, "ss"))
         self.rows = float(n.sum())
         values = np.column_stack([n, s])
         codes = [pd.factorize(frame[g])[0] for g in groups]
@@ -394,6 +404,13 @@ def lmm_lrt(
         stats = _size_classes(df, test, groups[0], columns)
     else:
         stats = _level_sums(df, [*test, *groups], columns)
+        # plain numbers: an array for every level would fill a worker's memory
+        pairs = len(columns) * (len(columns) + 1) // 2
+        stats = stats.select(
+            *test, *groups, "n",
+            *[F.col("s")[i].alias(f"_s{i}") for i in range(len(columns))],
+            *[F.col("ss")[i].alias(f"_ss{i}") for i in range(pairs)],
+        )
     n_groups, names = len(groups), list(groups)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
