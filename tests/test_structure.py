@@ -223,6 +223,41 @@ def test_steps_of_sparse_samples_leave_the_entries_alone(spark, monkeypatch):
         assert a.shape == b.shape and np.allclose(a, b, atol=1e-8)
 
 
+def test_match_scores_are_summed_once_by_cell(spark):
+    """A cell over many partitions and batches has one row by donor, without a second sum."""
+    from varloom.operators.allelic import sample_match_score
+
+    ase = [(s, f"c{s % 3}", s % 2 * 5, 20) for s in range(300)] + [(7, None, 5, 20)]
+    types = "site_id long, sample_id string, allele_count long, total_count long"
+    table = spark.createDataFrame(ase, types).repartition(5)
+    genotype = [(s, d, float((s + d) % 2)) for s in range(300) for d in range(3)]
+    known = spark.createDataFrame(genotype, "site_id long, individual_id long, dosage double")
+    want: dict = {}
+    for s, c, a, n in ase:
+        for d in range(3):
+            m = want.setdefault((c, d), [0, 0])
+            m[0] += (min(a, n - a) > 0) == ((s + d) % 2 == 1)
+            m[1] += 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = sample_match_score(table, known)
+        got = {(r.sample_id, r.individual_id): [r.n_match, r.n_sites] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert "HashAggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_send_the_starts_of_groups_to_the_rows(spark):
+    """A group that holds most rows is not dealt to one task for its first rank."""
+    f = spark.createDataFrame([("a" if i % 9 else "b", i) for i in range(900)], "k string, v long")
+    out = ranked(f, ["v"], by=["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
+    assert {r.rank for r in out.where("k = 'b'").collect()} == set(range(1, 101))
+
+
 def test_cell_cycle(spark):
     rng = np.random.default_rng(6)
     x = np.abs(rng.normal(size=(40, 25))) + np.linspace(0.1, 2, 40)[:, None]

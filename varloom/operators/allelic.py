@@ -238,7 +238,7 @@ def batch_summary(
     return out if library is None else out.join(library, cell, "left")
 
 
-# Bytes of counts by cell that a task gathers before it passes them on.
+# Bytes of counts by cell that a task makes at once.
 _HELD = 64 << 20
 
 
@@ -257,8 +257,8 @@ def sample_match_score(
     """Per (cell, candidate donor): share of deep sites whose allelic state fits the genotype.
 
     The donors' classes at a site are two bits each in one row, so that an entry meets one row and
-    not one for every donor. A task adds up the bits by cell and passes on counts by cell and
-    donor, which are summed. A cell and a donor that share no called deep site have no row. Of
+    not one for every donor. Entries are dealt and sorted by cell; a task adds up the bits of one
+    cell after another and passes on its counts by donor. A cell and a donor that share no called deep site have no row. Of
     several genotypes of a donor at a site, a heterozygous one counts.
     """
     called = genotype.where(F.col(dosage).isNotNull()).groupBy(site, individual).agg(
@@ -294,33 +294,36 @@ def sample_match_score(
         at, donor = np.nonzero(counts[:, n:])
         for k in range(0, len(at), 1 << 16):
             i, d = at[k : k + (1 << 16)], donor[k : k + (1 << 16)]
-            yield pd.DataFrame({sample: cells[i], "_d": d, "_m": counts[i, d], "_n": counts[i, n + d]})
+            yield pd.DataFrame({sample: cells[i], "_d": d, "n_match": counts[i, d], "n_sites": counts[i, n + d]})
 
     def count(frames):
-        places: dict = {}
-        counts = np.zeros((1024, 2 * n), np.int64)
-        for frame in frames:
-            code, cells = pd.factorize(frame[sample], use_na_sentinel=False)
-            if len(places) and (len(places) + len(cells)) * 16 * n > _HELD:
-                yield from rows(np.array(list(places), object), counts[: len(places)])
-                places, counts = {}, np.zeros((1024, 2 * n), np.int64)
-            raw = np.frombuffer(b"".join(frame["_bits"]), np.uint8).reshape(len(frame), -1)
-            bits = np.unpackbits(raw, axis=1)[:, : 2 * n].astype(bool)
-            known = bits[:, :n]
-            same = known & (bits[:, n:] == frame["_both"].to_numpy(dtype=bool)[:, None])
-            order = np.argsort(code, kind="stable")
-            first = np.searchsorted(code[order], np.arange(len(cells)))
-            sums = np.add.reduceat(np.hstack([same, known])[order].astype(np.int64), first)
-            at = np.array([places.setdefault(c, len(places)) for c in cells])
-            while len(counts) < len(places):
-                counts = np.vstack([counts, np.zeros_like(counts)])
-            counts[at] += sums
-        yield from rows(np.array(list(places), object), counts[: len(places)])
-
-    parts = joined.select(sample, "_both", "_bits").mapInPandas(
-        count, f"`{sample}` {sample_type}, _d bigint, _m bigint, _n bigint"
+        last = None  # the cell that the next rows may go on with, and its counts
+        step = max(1, _HELD // (16 * n))
+        for whole in frames:
+            for at in range(0, len(whole), step):
+                frame = whole.iloc[at : at + step]
+                code, cells = pd.factorize(frame[sample], use_na_sentinel=False)
+                raw = np.frombuffer(b"".join(frame["_bits"]), np.uint8).reshape(len(frame), -1)
+                bits = np.unpackbits(raw, axis=1)[:, : 2 * n].astype(bool)
+                known = bits[:, :n]
+                same = known & (bits[:, n:] == frame["_both"].to_numpy(dtype=bool)[:, None])
+                first = np.searchsorted(code, np.arange(len(cells)))
+                sums = np.add.reduceat(np.hstack([same, known]).astype(np.int64), first)
+                cells = np.array(cells, object)
+                if last is not None:
+                    if cells[0] == last[0][0] or (pd.isna(cells[0]) and pd.isna(last[0][0])):
+                        sums[0] += last[1][0]
+                    else:
+                        yield from rows(*last)
+                yield from rows(cells[:-1], sums[:-1])
+                last = cells[-1:], sums[-1:]
+        if last is not None:
+            yield from rows(*last)
+
+    dealt = joined.select(sample, "_both", "_bits").repartition(sample).sortWithinPartitions(sample)
+    summed = dealt.mapInPandas(
+        count, f"`{sample}` {sample_type}, _d bigint, n_match bigint, n_sites bigint"
     )
-    summed = parts.groupBy(sample, "_d").agg(F.sum("_m").alias("n_match"), F.sum("_n").alias("n_sites"))
     return summed.join(broadcast_if_small(donors, width=2), "_d").select(
         sample, individual, "n_match", "n_sites", (F.col("n_match") / F.col("n_sites")).alias("score")
     )
