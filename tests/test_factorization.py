@@ -193,3 +193,17 @@ def test_mixture_separates_components(spark):
     agree = (p.argmax(1) == z).mean()
     assert max(agree, 1 - agree) > 0.97
     assert rises(history)
+
+
+def test_steps_do_not_shuffle_the_observations_by_sample(spark):
+    """Sums by sample and joins with the samples stay in the buckets; a large sample is not bucketed."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select((F.col("id") % 4000).alias("sample"), (F.col("id") % 15).alias("test"), F.rand(1).alias("y"))
+    data, n = X._by_sample(X.cut_lineage(rows))
+    state = X._kept(rows.select("sample").distinct().withColumn("u", F.lit(1.0)), n, dealt=False)
+    joined = data.join(state.hint("merge"), "sample").groupBy("sample").agg(F.sum(F.col("y") * F.col("u")).alias("s"))
+    assert n > 1 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 4000
+    hot, none = X._by_sample(X.cut_lineage(rows.withColumn("sample", F.lit(1))))
+    assert none is None and hot.count() == 60_000
