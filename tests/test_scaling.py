@@ -50,6 +50,19 @@ def test_expanded_cells_carry_columns(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_standardized_rows_are_rounded_by_donor(spark):
+    """A value is rounded once for each donor and variant; cells times variants are only joined."""
+    _, genotype = genotypes(spark, np.random.default_rng(7))
+    cells = spark.createDataFrame([(c, c % 4) for c in range(30)], "cell_id int, individual_id int")
+    pairs = spark.createDataFrame([(v,) for v in range(6)], "variant_id int")
+    out = J.standardized_genotype(pairs, genotype, cells, digits=2)
+    assert "round(" not in plan(out)
+    plain = J.standardized_genotype(pairs, genotype, cells).withColumn("dosage", F.round("dosage", 2))
+    names = ["cell_id", "individual_id", "variant_id", "dosage"]
+    got, want = (sorted(tuple(r) for r in t.select(*names).collect()) for t in (out, plain))
+    assert got == want and len(got) > 100
+
+
 def test_factor_observations_stay_with_the_cells(spark):
     rng = np.random.default_rng(2)
     rows, genotype = genotypes(spark, rng)
