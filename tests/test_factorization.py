@@ -156,6 +156,20 @@ def test_vi_stochastic_and_zero_inflated(spark, data):
     assert by[False] == 1.0 and by[True] < 0.9
 
 
+def test_weights_of_zeros_are_not_written(spark, monkeypatch):
+    """The observations are written once, however many iterations weigh them."""
+    obs, samples, _ = simulate(3, zero=True)
+    table, n = spark.createDataFrame(obs), []
+    kept, written = X._kept, X.cut_lineage
+    count = lambda df: n.append("y" in df.columns)
+    monkeypatch.setattr(X, "_kept", lambda df, *a, **k: count(df) or kept(df, *a, **k))
+    monkeypatch.setattr(X, "cut_lineage", lambda df, **k: count(df) or written(df, **k))
+    fit = X.eqtl_vi(table, spark.createDataFrame(samples), K, iterations=3, zero_inflated=True)
+    assert sum(n) == 1
+    assert fit.obs.columns == ["test", "sample", "g", "y", "w"]
+    assert fit.obs.count() == len(obs)
+
+
 @pytest.mark.parametrize("rule", ["lasso+", "lasso", "simplex"])
 def test_als_lowers_the_error(data, rule):
     obs, samples, _ = data

@@ -749,8 +749,11 @@ def _start_tests(obs: DataFrame, o: Options, sizes: Sequence[int]) -> DataFrame:
     )
 
 
-def _structural_zeros(obs, fit: Fit, tau, buckets: int | None) -> DataFrame:
-    """Probability that an entry follows the model; only exact zeros can be structural."""
+def _structural_zeros(obs, fit: Fit, tau) -> DataFrame:
+    """Probability that an entry follows the model; only exact zeros can be structural.
+
+    The weights follow from the state of the fit and are made when they are read, not written.
+    """
     o, tests = fit.options, fit.tests
     joined = _all_joined(obs, fit, fit.samples, tau)
     mean = _mean_of(o, True)
@@ -781,7 +784,7 @@ def _structural_zeros(obs, fit: Fit, tau, buckets: int | None) -> DataFrame:
     t = tests.schema["test"].dataType.simpleString()
     table = tests.select("test", "ls_a", "ls_b").mapInPandas(odds_of, f"test {t}, _odds double")
     weighed = joined.join(broadcast_if_small(table), "test")
-    return _kept(weighed.select("test", "sample", "g", "y", weight.alias("w")), buckets, replaces=obs)
+    return weighed.select("test", "sample", "g", "y", weight.alias("w"))
 
 
 def _sample_bound(samples: DataFrame, fit: Fit) -> float:
@@ -875,10 +878,7 @@ def eqtl_vi(
     needed = ["sample", *o.groups, *extra, *(["c"] if o.n_covariates else [])]
     state, sizes = _start_samples(samples.select(*dict.fromkeys(needed)), o)
     columns = ["test", "sample", F.col("g").cast("double").alias("g"), F.col("y").cast("double").alias("y")]
-    data = obs.dropna(subset=["g", "y"]).select(*columns)
-    if o.zero_inflated:
-        data = data.withColumn("w", F.lit(1.0))
-    data, buckets = _by_sample(cut_lineage(data))
+    data, buckets = _by_sample(cut_lineage(obs.dropna(subset=["g", "y"]).select(*columns)))
     if buckets is not None:
         state = _kept(state, buckets, replaces=state, dealt=False)
     tests = _start_tests(data, o, sizes)
@@ -894,8 +894,9 @@ def eqtl_vi(
         fit.theta_va, fit.theta_vb = np.full(k, 10.0 * o.a), np.full(k, o.b)
     n_samples, n_tests = state.count(), tests.count()
     tau = (o.shape, o.rate) if o.tied_residual else None
+    rows = data.withColumn("w", F.lit(1.0)) if o.zero_inflated else data
     for it in range(iterations):
-        rho, part, active = 1.0, data, fit.samples
+        rho, part, active = 1.0, rows, fit.samples
         if o.svi_fraction:
             rho = o.learning_rate / (1.0 + o.forgetting_rate * it) ** 0.75
             by = o.groups[0] if o.groups else "_all"
@@ -908,7 +909,7 @@ def eqtl_vi(
             drawn = pool.join(drawn, "sample", "left_semi")
             scales = broadcast_if_small(size.select(by, scale.alias("_scale")), width=2)
             active = _kept(drawn.join(scales, by), buckets, dealt=False)
-            part = data.join(broadcast_if_small(active.select("sample")), "sample", "left_semi")
+            part = rows.join(broadcast_if_small(active.select("sample")), "sample", "left_semi")
         tau_value = None if tau is None else tau[0] / tau[1]
         # loadings
         base = active.drop("_scale", "_all")
@@ -922,7 +923,6 @@ def eqtl_vi(
         if o.svi_fraction:
             others = last.select(*base.columns).join(updated.select("sample"), "sample", "left_anti")
             fit.samples = _kept(updated.unionByName(others), buckets)
-        discard(last)
         # parameters of the tests
         seen = updated
         if o.svi_fraction:
@@ -930,6 +930,7 @@ def eqtl_vi(
         theta_v = (fit.theta_va, fit.theta_vb) if o.factor_spike else None
         step = _TestStep(o, sizes, fit.gamma_v, theta_v, tau_value, rho, n_samples, it == 0)
         _tests_moved(part, seen, fit, step, t_type)
+        discard(last)  # the weights of structural zeros came from it until now
         # global numbers, from column sums
         share = fit.samples if not o.svi_fraction else updated
         up = 1.0 / o.svi_fraction if o.svi_fraction else 1.0
@@ -957,7 +958,7 @@ def eqtl_vi(
             tau = tuple((1 - rho) * a + rho * b for a, b in zip(tau, new))
             fit.tests = fit.tests.withColumns({"tau_a": F.lit(tau[0]), "tau_b": F.lit(tau[1])})
         if o.zero_inflated:
-            data = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1], buckets)
+            rows = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1])
         if track_elbo or tolerance is not None:
             fit.elbo.append(elbo(fit, tau))
         if tolerance is not None and it > o.warmup:
@@ -965,7 +966,7 @@ def eqtl_vi(
             if abs(now - last) <= tolerance * abs(now):
                 fit.converged = True
                 break
-    fit.obs = data
+    fit.obs = rows
     return fit
 
 
