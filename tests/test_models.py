@@ -1,6 +1,8 @@
 """Per-test models against dense numpy computations."""
 
+import hashlib
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -284,6 +286,23 @@ def test_bootstrap_takes_ceil_of_each_donor(spark, df, frame):
     assert resid.dropna().count() == 6
 
 
+def test_drawn_cells_have_the_smallest_hashes(spark, monkeypatch):
+    """The draw is that of a sort by hash, and it sorts no more than the cells at its edge."""
+    rows = [(c, None if c % 11 == 0 else c % 3) for c in range(400)] + [(7, 1)] * 3 + [(500, 9)]
+    cells = spark.createDataFrame(rows, "cell_id int, individual_id int")
+    monkeypatch.setattr(M, "ranked", None)
+    monkeypatch.setattr(M, "_DIGITS", 1)  # many cells at the edge
+    for fraction in (0.0, 0.3, 1.0, 1.5):
+        got = sorted(tuple(r) for r in M.replicate_samples(cells, 2, fraction, 5).collect())
+        want = []
+        for r in range(2):
+            key = lambda c: (hashlib.md5(f"5|{r}|{c}".encode()).hexdigest(), c)
+            for donor in (0, 1, 2, 9):
+                own = sorted((c for c, i in rows if i == donor), key=key)
+                want += [(r, c, donor) for c in own[: math.ceil(len(own) * fraction)]]
+        assert got == sorted(want)
+
+
 def test_permutation_moves_whole_donors(spark):
     g = spark.createDataFrame([(v, i, float((v * 7 + i * 3) % 5)) for v in range(4) for i in range(9)], ["variant_id", "individual_id", "dosage"])
     before = {i: sorted((r["variant_id"], r["dosage"]) for r in g.where(F.col("individual_id") == i).collect()) for i in range(9)}

@@ -959,6 +959,9 @@ def eqtl_vi(
             fit.tests = fit.tests.withColumns({"tau_a": F.lit(tau[0]), "tau_b": F.lit(tau[1])})
         if o.zero_inflated:
             rows = _structural_zeros(data, fit, None if tau is None else tau[0] / tau[1])
+        if o.svi_fraction:  # both are parts of the samples, written above
+            discard(active)
+            discard(updated)
         if track_elbo or tolerance is not None:
             fit.elbo.append(elbo(fit, tau))
         if tolerance is not None and it > o.warmup:

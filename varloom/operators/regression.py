@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import special
-from varloom.plans.scale import cut_lineage, hash_order, ranked
+from varloom.plans.scale import broadcast_if_small, cut_lineage, hash_order, ranked
+
+_DIGITS = 3  # hexadecimal digits of a hash by which the cells of a donor are counted
 
 
 def group_moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -254,20 +256,28 @@ def replicate_samples(
 ) -> DataFrame:
     """For each replicate, ``ceil(n_i * fraction)`` cells of every donor, without replacement.
 
-    The ranks are taken on the cell table (not on cells x tests), and a donor's cells are
-    ranked across partitions.
+    The cells with the smallest hashes are taken. They are counted by donor and by the first
+    digits of the hash; all below the digits where a donor's number is reached are taken where
+    they lie, and only those with these digits are put in order.
     """
     copies = cells.select(cell, individual).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
     keyed = copies.withColumn("_h", hash_order(seed, "replicate", cell))
-    order = ranked(keyed, ["_h", cell], by=[individual, "replicate"], out="_rank")
-    sizes = cells.groupBy(individual).agg(F.count("*").alias("_n"))
-    return (
-        order.join(sizes, individual)
-        .where(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction)))
-        .select("replicate", cell, individual)
-    )
+    keyed = keyed.withColumn("_bin", F.substring("_h", 1, _DIGITS))
+    by = [individual, "replicate"]
+    counts = keyed.groupBy(*by, "_bin").agg(F.count("*").alias("_m"))
+    below = Window.partitionBy(*by).orderBy("_bin")
+    counts = counts.withColumn("_upto", F.sum("_m").over(below))
+    counts = counts.withColumn("_n", F.sum("_m").over(Window.partitionBy(*by)))
+    need = F.least(F.ceil(F.col("_n") * F.lit(fraction)), F.col("_n"))
+    edge = counts.withColumn("_left", need - F.col("_upto") + F.col("_m")).where((F.col("_left") > 0) & (F.col("_left") <= F.col("_m")))
+    edge = edge.select(*by, F.col("_bin").alias("_edge"), "_left")
+    placed = keyed.join(broadcast_if_small(cut_lineage(edge), width=4), by)
+    last = Window.partitionBy(*by).orderBy("_h", cell)
+    some = placed.where("_bin = _edge").withColumn("_rank", F.row_number().over(last)).where("_rank <= _left")
+    names = ["replicate", cell, individual]
+    return placed.where("_bin < _edge").select(*names).unionByName(some.select(*names))
 
 
 def bootstrap_stability(
