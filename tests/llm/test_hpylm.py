@@ -3,6 +3,8 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from varloom.llm import hpylm
 from varloom.llm.queries import QUERIES
+from varloom.plans.scale import checkpoint_folder
 
 
 @pytest.mark.parametrize("scale", ["sf0.001"])
@@ -128,3 +131,22 @@ def test_words_before_count_and_blocks_do_not(spark):
     # a tenth of the words can follow a word, so that half the digits of 1 in 40 are gained
     assert sum(one[i].score - one[i].base_score for i in range(60)) > 60 * 30 * 0.5
     assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-4) for i in one)
+
+
+def test_packed_numbers_and_places_come_back():
+    r = np.random.default_rng(3)
+    for kind, most in (("<i4", 1 << 31), ("<i8", 1 << 62), ("<u8", 1 << 63)):
+        for n in (0, 1, 500):
+            x = r.integers(0, most, n).astype(kind)
+            assert (hpylm.unplanes(hpylm.planes(x, kind), kind) == x).all()
+    for at in ([], [-1, -1], [0, 1, 5], [-1, 3, -1, 4, 900_000, -1]):
+        assert hpylm.linked(hpylm.links(np.array(at, np.int64))).tolist() == at
+
+
+def test_only_the_scores_stay_on_disk(spark):
+    folder = Path(urlparse(checkpoint_folder(spark)).path)
+    before = set(folder.rglob("*.parquet"))
+    df = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(50)], "doc_id long, text string")
+    hpylm.score(df, key="doc_id", trained=F.col("doc_id") > 5, block_bytes=200)
+    left = set(folder.rglob("*.parquet")) - before
+    assert len({p.parent for p in left}) == 1

@@ -2,6 +2,8 @@
 
 import math
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from varloom.functions.columns import correlation
 from varloom.operators import aggregates as A
 from varloom.operators import joins as J
 from varloom.operators import neighbors as K
+from varloom.plans import scale
 from varloom.plans.factor_input import factor_observations
 
 
@@ -122,3 +125,21 @@ def test_neighbours_in_many_tiles(spark, monkeypatch):
     assert np.allclose([got[a][1] for a in want], [want[a][1] for a in want])
     assert sum(got[a][0] == want[a][0] for a in want) >= 0.99 * len(want)  # last digits may turn ties
     assert dict(tiles)[0] > 1 and max(m for _, m in tiles) <= K._SIDE
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {Path(x).name for x in disk.getAllFiles().mkString(",").split(",") if "shuffle_" in x}
+
+    before = shuffles()
+    rows = spark.range(1000).repartition(7, "id")
+    scale.cut_lineage(rows)
+    one, two = scale.cut_in_parts(rows.selectExpr("id", "id % 2 AS part"), "part", [1, 5])
+    for _ in range(100):  # they are deleted in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert (one.count(), one.columns, two.count()) == (500, ["id"], 0)

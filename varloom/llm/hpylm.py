@@ -19,6 +19,7 @@ in the order of the keys.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import text_buffers
 from varloom.llm.shingles import LOWER, SPACE, mix, runs
-from varloom.plans.scale import cut_lineage
+from varloom.plans.scale import cut_in_parts, cut_lineage, discard
 
 BLOCK_BYTES = 8 << 20
 PIECE = 2 << 20
+PARTS = 4  # tables of what blocks send to shards of pairs, each deleted once it is read
 ORDER, ROOT = 6, 3
 END, GAP = 10, 32
 END_TOKEN = np.uint64(0x9E3779B97F4A7C15)
@@ -335,7 +337,11 @@ def packed(rows: list[dict], schema: str) -> pa.Table:
 
 def dealt(keys: np.ndarray, kind: str, shards: int) -> list[tuple[int, np.ndarray]]:
     """The places of sorted keys by shard, in the order of the keys."""
-    shard = shard_of(keys, kind, shards)
+    return by_shard(shard_of(keys, kind, shards), shards)
+
+
+def by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """The places of each shard's number, rising."""
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     return [(int(s), order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts))]
@@ -349,8 +355,34 @@ def places(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def planes(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers byte by byte, the lowest byte of all first: high bytes, mostly zeros, then lie side
+    by side and take next to nothing in compressed files."""
+    whole = np.ascontiguousarray(values.astype(kind))
+    return whole.view(np.uint8).reshape(-1, whole.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: str = "<i4") -> np.ndarray:
+    """The numbers that ``planes`` wrote."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def links(at: np.ndarray) -> bytes:
+    """Rising places in a list, -1 where there is none, as steps from one to the next."""
+    step, own = np.zeros(len(at), np.int64), np.flatnonzero(at >= 0)
+    step[own] = np.diff(at[own], prepend=-1)
+    return planes(step)
+
+
+def linked(raw: bytes) -> np.ndarray:
+    """The places that ``links`` wrote."""
+    step = unplanes(raw).astype(np.int64)
+    return np.where(step > 0, np.cumsum(step) - 1, -1)
+
+
 SEATS = (
-    "kind string, shard int, peer int, contexts binary, sizes binary, words binary, place binary, "
+    "kind string, shard int, peer int, contexts binary, sizes binary, hosts binary, words binary, place binary, "
     "counts binary, tables binary, total binary, facts array<double>"
 )
 VOCAB = (
@@ -359,51 +391,64 @@ VOCAB = (
 )
 
 
-def _asks(state: dict, tables: np.ndarray, shards: int) -> list[dict]:
-    """The tables of a shard's words, for the shards of words."""
-    words = np.frombuffer(state["words"], np.uint64)
-    customers = np.bincount(np.frombuffer(state["place"], "<i4"), tables, len(words))
+def _asks(state: dict, tables: np.ndarray, shards: int, words: np.ndarray | None = None) -> list[dict]:
+    """The tables of a shard's words, for the shards of words; the first ask names the words, later
+    ones keep its order."""
+    hosts = unplanes(state["hosts"])
+    customers = np.bincount(unplanes(state["place"]), tables, len(hosts))
     return [
         {
             "kind": "ask",
             "shard": s,
             "peer": state["shard"],
-            "words": words[i].tobytes(),
-            "counts": customers[i].astype("<i4").tobytes(),
+            "words": None if words is None else planes(words[i], "<u8"),
+            "counts": planes(customers[i]),
         }
-        for s, i in dealt(words, "word", shards)
+        for s, i in by_shard(hosts, shards)
     ]
 
 
 def first_seats(table: pa.Table, shards: int) -> pa.Table:
-    """A shard's restaurants by the word before, with one table a dish."""
-    before, word, count = [], [], []
-    for row in table.select(["keys", "sizes", "words", "counts"]).to_pylist():
-        n = np.frombuffer(row["counts"], "<i4").astype(np.int64)
-        own = np.repeat(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["sizes"], "<i4"))
-        before.append(own[n > 0])
-        word.append(np.frombuffer(row["words"], np.uint64)[n > 0])
-        count.append(n[n > 0])
-    contexts, of_context = np.unique(np.concatenate(before), return_inverse=True)
-    words, of_word = np.unique(np.concatenate(word), return_inverse=True)
+    """A shard's restaurants by the word before, with one table a dish, and for each block the
+    places of its contexts and pairs in them."""
+    told = [
+        {
+            "peer": row["block"],
+            "keys": unplanes(row["keys"], "<u8"),
+            "sizes": unplanes(row["sizes"]),
+            "words": unplanes(row["words"], "<u8"),
+            "counts": unplanes(row["counts"]).astype(np.int64),
+        }
+        for row in table.select(["block", "keys", "sizes", "words", "counts"]).to_pylist()
+    ]
+    before = np.concatenate([np.repeat(r["keys"], r["sizes"])[r["counts"] > 0] for r in told])
+    word = np.concatenate([r["words"][r["counts"] > 0] for r in told])
+    count = np.concatenate([r["counts"][r["counts"] > 0] for r in told])
+    contexts, of_context = np.unique(before, return_inverse=True)
+    words, of_word = np.unique(word, return_inverse=True)
+    code, count = counted(of_context * len(words) + of_word, count)
+    shard, rows = table.column("shard")[0].as_py(), []
+    for r in told:
+        at = places(r["keys"], contexts)
+        own, to = np.repeat(at, r["sizes"]), places(r["words"], words)
+        pair = places(np.where((own < 0) | (to < 0), -1, own * len(words) + to), code)
+        rows.append({"kind": "link", "shard": shard, "peer": r["peer"], "contexts": links(at), "place": links(pair)})
     if not len(words):
-        return packed([], SEATS)
-    code, count = counted(of_context * len(words) + of_word, np.concatenate(count))
+        return packed(rows, SEATS)
     own, place = np.divmod(code, len(words))
     tables = np.ones(len(code), np.int64)
     state = {
         "kind": "state",
-        "shard": table.column("shard")[0].as_py(),
-        "contexts": contexts.tobytes(),
-        "sizes": np.bincount(own, minlength=len(contexts)).astype("<i4").tobytes(),
-        "words": words.tobytes(),
-        "place": place.astype("<i4").tobytes(),
-        "counts": count.astype("<i4").tobytes(),
-        "tables": tables.astype("<i4").tobytes(),
-        "total": np.zeros(len(code), "<i4").tobytes(),
+        "shard": shard,
+        "sizes": planes(np.bincount(own, minlength=len(contexts))),
+        "hosts": planes(shard_of(words, "word", shards)),
+        "place": planes(place),
+        "counts": planes(count),
+        "tables": planes(tables),
+        "total": planes(np.zeros(len(code))),
         "facts": [float(tables.sum()), float((count == 1).sum()), float((count == 2).sum())],
     }
-    return packed([state, *_asks(state, tables, shards)], SEATS)
+    return packed([state, *_asks(state, tables, shards, words), *rows], SEATS)
 
 
 def next_seats(
@@ -411,69 +456,75 @@ def next_seats(
 ) -> pa.Table:
     """The tables of a shard's restaurants drawn anew; ``parent`` makes the probabilities of
     words of the masses and spellings in the replies of the shards of words."""
-    words = np.frombuffer(state["words"], np.uint64)
-    chance, of = np.zeros(len(words)), {r["peer"]: r for r in replies}
-    for s, i in dealt(words, "word", shards):
+    hosts = unplanes(state["hosts"])
+    chance, of = np.zeros(len(hosts)), {r["peer"]: r for r in replies}
+    for s, i in by_shard(hosts, shards):
         chance[i] = parent(np.frombuffer(of[s]["mass"], "<f4"), np.frombuffer(of[s]["chance"], "<f4"))
     sizes, place, count, tables, total = (
-        np.frombuffer(state[x], "<i4").astype(np.int64) for x in ("sizes", "place", "counts", "tables", "total")
+        unplanes(state[x]).astype(np.int64) for x in ("sizes", "place", "counts", "tables", "total")
     )
     room = np.repeat(np.arange(len(sizes)), sizes)
     others = np.bincount(room, tables)[room].astype(np.int64) - tables
     random = np.random.default_rng([*seed, state["shard"]])
     tables = draw_tables(count, others, chance[place], discount, strength, random)
     out = state | {
-        "tables": tables.astype("<i4").tobytes(),
-        "total": (total + tables * sample).astype("<i4").tobytes(),
+        "tables": planes(tables),
+        "total": planes(total + tables * sample),
         "facts": [float(tables.sum()), *state["facts"][1:]],
     }
     return packed([out, *_asks(out, tables, shards)], SEATS)
 
 
 def first_vocabulary(table: pa.Table) -> pa.Table:
-    """A shard's words: training counts, spellings, and the one block that spells each."""
+    """A shard's words: training counts, spellings, and the one block that spells each; and the
+    places of each block's words among them."""
     rows = table.select(["block", "keys", "counts", "chance"]).to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    words, count = counted(np.concatenate(keys), np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows]).astype(np.int64))
+    keys = [unplanes(r["keys"], "<u8") for r in rows]
+    words, count = counted(np.concatenate(keys), np.concatenate([unplanes(r["counts"]) for r in rows]).astype(np.int64))
     chance, owner = np.zeros(len(words)), np.full(len(words), np.iinfo(np.int32).max)
+    shard, places_of = table.column("shard")[0].as_py(), []
     for r, own in zip(rows, keys):
         at = np.searchsorted(words, own)
+        places_of.append({"kind": "link", "shard": shard, "peer": r["block"], "keys": links(at)})
         chance[at] = np.frombuffer(r["chance"], "<f4")
         owner[at] = np.minimum(owner[at], r["block"])
     state = {
         "kind": "state",
-        "shard": table.column("shard")[0].as_py(),
-        "keys": words.tobytes(),
-        "counts": count.astype("<i8").tobytes(),
-        "owner": owner.astype("<i4").tobytes(),
+        "shard": shard,
+        "keys": planes(words, "<u8"),
+        "counts": planes(count, "<i8"),
+        "owner": planes(owner),
         "chance": chance.astype("<f4").tobytes(),
         "tables": b"",
         "total": np.zeros(len(words)).tobytes(),
         "facts": [float(count.sum()), float((count > 0).sum())],
     }
-    return packed([state], VOCAB)
+    return packed([state, *places_of], VOCAB)
 
 
-def customers_of(state: dict, asks: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The customers of a shard's words, and the places of the words of each that asks."""
-    words = np.frombuffer(state["keys"], np.uint64)
-    customers, at = np.zeros(len(words), np.int64), []
+def customers_of(rows: list[dict], asks: list[dict]) -> tuple[dict, np.ndarray, dict[int, np.ndarray]]:
+    """A shard's state, the customers of its words, and the places of the words of each that asks."""
+    state = next(r for r in rows if r["kind"] == "state")
+    words = unplanes(state["keys"] or b"", "<u8")
+    at = {r["peer"]: linked(r["keys"]) for r in rows if r["kind"] == "seat"}
+    customers = np.zeros(len(state["chance"]) // 4, np.int64)
     for ask in asks:
-        at.append(np.searchsorted(words, np.frombuffer(ask["words"], np.uint64)))
-        customers[at[-1]] += np.frombuffer(ask["counts"], "<i4")
-    return customers, at
+        if ask["words"] is not None:
+            at[ask["peer"]] = np.searchsorted(words, unplanes(ask["words"], "<u8"))
+        customers[at[ask["peer"]]] += unplanes(ask["counts"])
+    return state, customers, at
 
 
 def next_vocabulary(
-    state: dict, asks: list[dict], opened: float, whole: float, discount: float, settings: Settings, seed: list[int], sample: bool
+    rows: list[dict], asks: list[dict], opened: float, whole: float, discount: float, settings: Settings, seed: list[int], sample: bool
 ) -> pa.Table:
     """The tables of a shard's words drawn anew, with replies to the shards of pairs.
 
     ``opened`` counts the tables of all words, ``whole`` is the strength and all customers.
     """
-    customers, at = customers_of(state, asks)
+    state, customers, at = customers_of(rows, asks)
     chance = np.frombuffer(state["chance"], "<f4")
-    before = np.frombuffer(state["tables"], "<i4") if state["tables"] else np.minimum(customers, 1)
+    before = unplanes(state["tables"]) if state["tables"] else np.minimum(customers, 1)
     random = np.random.default_rng([*seed, state["shard"]])
     tables = draw_tables(
         customers,
@@ -485,7 +536,8 @@ def next_vocabulary(
     )
     mass = customers - discount * tables
     out = state | {
-        "tables": tables.astype("<i4").tobytes(),
+        "keys": None,  # the places of all that ask are known now
+        "tables": planes(tables),
         "total": (np.frombuffer(state["total"]) + sample * mass / whole).tobytes(),
         "facts": [float(tables.sum())],
     }
@@ -494,12 +546,13 @@ def next_vocabulary(
             "kind": "reply",
             "shard": ask["peer"],
             "peer": state["shard"],
-            "mass": mass[i].astype("<f4").tobytes(),
-            "chance": chance[i].tobytes(),
+            "mass": mass[at[ask["peer"]]].astype("<f4").tobytes(),
+            "chance": chance[at[ask["peer"]]].tobytes(),
         }
-        for ask, i in zip(asks, at)
+        for ask in asks
     ]
-    return packed([out, *replies], VOCAB)
+    asking = [{"kind": "seat", "shard": state["shard"], "peer": p, "keys": links(i)} for p, i in at.items()]
+    return packed([out, *asking, *replies], VOCAB)
 
 
 def byte_pairs(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -583,7 +636,7 @@ def score(
             out.append((s, i, np.arange(size.sum()) + np.repeat(pairs.first[i] - start, size)))
         return out
 
-    told_schema = "kind string, shard int, block int, keys binary, counts binary, chance binary, sizes binary, words binary"
+    told_schema = "part int, shard int, block int, keys binary, counts binary, chance binary, sizes binary, words binary"
 
     def tell(table: pa.Table) -> pa.Table:
         block, (words, trained) = table.column("block")[0].as_py(), words_of(table)
@@ -592,48 +645,54 @@ def score(
         chance = words.sums(np.log(sent.value[before, words.symbols])).astype("<f4")
         rows = [
             {
-                "kind": "word",
+                "part": PARTS,
                 "shard": s,
                 "block": block,
-                "keys": words.keys[i].tobytes(),
-                "counts": words.count[i].astype("<i4").tobytes(),
+                "keys": planes(words.keys[i], "<u8"),
+                "counts": planes(words.count[i]),
                 "chance": chance[i].tobytes(),
             }
             for s, i in dealt(words.keys, "word", shards)
         ] + [
             {
-                "kind": "pair",
+                "part": s % PARTS,
                 "shard": s,
                 "block": block,
-                "keys": words.keys[pairs.contexts[i]].tobytes(),
-                "sizes": pairs.sizes[i].astype("<i4").tobytes(),
-                "words": words.keys[pairs.word[j]].tobytes(),
-                "counts": pairs.count[j].astype("<i4").tobytes(),
+                "keys": planes(words.keys[pairs.contexts[i]], "<u8"),
+                "sizes": planes(pairs.sizes[i]),
+                "words": planes(words.keys[pairs.word[j]], "<u8"),
+                "counts": planes(pairs.count[j]),
             }
             for s, i, j in pairs_by_shard(words, pairs)
         ]
         return packed(rows, told_schema)
 
-    told = cut_lineage(docs.groupBy("block").applyInArrow(tell, told_schema))
-    of_pairs, of_words = (told.where(F.col("kind") == k) for k in ("pair", "word"))
+    told = docs.groupBy("block").applyInArrow(tell, told_schema)
+    *of_pairs, of_words = cut_in_parts(told, "part", range(PARTS + 1))
 
     def facts(table: DataFrame, size: int) -> list[float]:
         row = table.where("kind = 'state'").agg(*[F.sum(F.col("facts")[i]) for i in range(size)]).first()
         return [x or 0.0 for x in row]
 
-    # restaurants by the word before, and the one of words, in turn
-    seats = cut_lineage(of_pairs.groupBy("shard").applyInArrow(lambda t: first_seats(t, shards), SEATS))
-    vocab = cut_lineage(of_words.groupBy("shard").applyInArrow(first_vocabulary, VOCAB))
+    # restaurants by the word before, and the one of words, in turn; from here on blocks know
+    # their words and pairs by places in the shards
+    vocab = cut_lineage(of_words.groupBy("shard").applyInArrow(first_vocabulary, VOCAB), replaces=of_words)
+    word_links = cut_lineage(vocab.where("kind = 'link'").select("shard", "peer", "keys"))
+    seated_parts = [
+        cut_lineage(part.groupBy("shard").applyInArrow(lambda t: first_seats(t, shards), SEATS), replaces=part)
+        for part in of_pairs
+    ]
+    seats = functools.reduce(DataFrame.union, seated_parts)
     n, v = map(int, facts(vocab, 2))
     seated, once, twice = facts(seats, 3)
     pair_discount, opened = discount_of(once, twice), float(v)
 
     def common(left: pa.Table, right: pa.Table) -> pa.Table:
-        customers, _ = customers_of(left.to_pylist()[0], right.to_pylist())
+        _, customers, _ = customers_of(left.to_pylist(), right.to_pylist())
         return pa.table({"once": [int((customers == 1).sum())], "twice": [int((customers == 2).sum())]})
 
-    def split(table: DataFrame, kind: str):
-        return table.where(F.col("kind") == kind).groupBy("shard")
+    def split(table: DataFrame, *kinds: str):
+        return table.where(F.col("kind").isin(*kinds)).groupBy("shard")
 
     few = split(vocab, "state").cogroup(split(seats, "ask")).applyInArrow(common, "once bigint, twice bigint")
     discount = discount_of(*(x or 0 for x in few.agg(F.sum("once"), F.sum("twice")).first()))
@@ -643,10 +702,11 @@ def score(
         whole, sample = strength + seated, k >= settings.burn_in
 
         def host(left: pa.Table, right: pa.Table) -> pa.Table:
-            state, asks = left.to_pylist()[0], right.to_pylist()
-            return next_vocabulary(state, asks, opened, whole, discount, settings, [settings.seed, 0, k], sample)
+            rows, asks = left.to_pylist(), right.to_pylist()
+            return next_vocabulary(rows, asks, opened, whole, discount, settings, [settings.seed, 0, k], sample)
 
-        vocab = cut_lineage(split(vocab, "state").cogroup(split(seats, "ask")).applyInArrow(host, VOCAB), replaces=vocab)
+        hosts = split(vocab, "state", "seat").cogroup(split(seats, "ask")).applyInArrow(host, VOCAB)
+        vocab = cut_lineage(hosts, replaces=vocab)
         (now,) = facts(vocab, 1)
         share = strength + discount * now
 
@@ -659,11 +719,19 @@ def score(
                 state, replies, shards, parent, pair_discount, settings.pair_strength, [settings.seed, 1, k], sample
             )
 
-        seats = cut_lineage(split(seats, "state").cogroup(split(vocab, "reply")).applyInArrow(seat, SEATS), replaces=seats)
+        seats = cut_lineage(split(seats, "state").cogroup(split(vocab, "reply")).applyInArrow(seat, SEATS))
         return seats, vocab, now, share / whole
 
+    first = seats
     for k in range(settings.burn_in + settings.samples):
+        before = seats
         seats, vocab, opened, share = sweep(seats, vocab, k, opened, seated)
+        if before is not first:
+            discard(before)
+        else:
+            pair_links = cut_lineage(first.where("kind = 'link'").select("shard", "peer", "contexts", "place"))
+            for part in seated_parts:
+                discard(part)
         (seated,) = facts(seats, 1)
         if k >= settings.burn_in:
             backing += share / settings.samples
@@ -672,44 +740,43 @@ def score(
 
     def answer_words(left: pa.Table, right: pa.Table) -> pa.Table:
         state = right.to_pylist()[0]
-        words = np.frombuffer(state["keys"], np.uint64)
-        count, owner, tables = (np.frombuffer(state[c], k) for c, k in (("counts", "<i8"), ("owner", "<i4"), ("tables", "<i4")))
+        count, owner, tables = (unplanes(state[c], k) for c, k in (("counts", "<i8"), ("owner", "<i4"), ("tables", "<i4")))
         mass = np.frombuffer(state["total"]) / settings.samples
         rows = []
-        for row in left.select(["kind", "shard", "block", "keys"]).to_pylist():
-            at = np.searchsorted(words, np.frombuffer(row.pop("keys"), np.uint64))
-            mine = np.where(owner[at] == row["block"], tables[at], -1)
-            made = count[at].tobytes() + mass[at].tobytes() + mine.astype("<i4").tobytes()
-            rows.append(row | {"made": made})
+        for row in left.to_pylist():
+            at = linked(row["keys"])
+            mine = np.where(owner[at] == row["peer"], tables[at], -1)
+            made = planes(count[at], "<i8") + mass[at].tobytes() + planes(mine)
+            rows.append({"kind": "word", "shard": row["shard"], "block": row["peer"], "made": made})
         return packed(rows, made_schema)
 
     def answer_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         """By pair, what the restaurant of the word before gives the word itself; by context,
         the share that goes to the parent."""
-        state = (right.to_pylist() or [dict.fromkeys(("contexts", "sizes", "words", "place", "counts", "total"), b"")])[0]
-        contexts, words = (np.frombuffer(state[c], np.uint64) for c in ("contexts", "words"))
-        sizes, place, count, total = (
-            np.frombuffer(state[c], "<i4").astype(np.int64) for c in ("sizes", "place", "counts", "total")
-        )
+        state = (right.to_pylist() or [dict.fromkeys(("sizes", "counts", "total"), b"")])[0]
+        sizes, count, total = (unplanes(state[c]).astype(np.int64) for c in ("sizes", "counts", "total"))
         room = np.repeat(np.arange(len(sizes)), sizes)
         tables = total / settings.samples
         whole = settings.pair_strength + np.bincount(room, count, len(sizes))
-        code = room * len(words) + place
         own = (count - pair_discount * tables) / whole[room]
         rest = (settings.pair_strength + pair_discount * np.bincount(room, tables, len(sizes))) / whole
         rows = []
-        for row in left.select(["kind", "shard", "block", "keys", "sizes", "words"]).to_pylist():
-            at = places(np.frombuffer(row.pop("keys"), np.uint64), contexts)
-            to = np.append(rest, 1.0)[at]  # a context of no training text leaves all to the parent
-            at = np.repeat(at, np.frombuffer(row.pop("sizes"), "<i4"))
-            word = places(np.frombuffer(row.pop("words"), np.uint64), words)
-            pair = places(np.where((at < 0) | (word < 0), -1, at * len(words) + word), code)
-            mass = np.append(own, 0.0)[pair]
-            rows.append(row | {"made": to.astype("<f4").tobytes() + mass.astype("<f4").tobytes()})
+        for row in left.to_pylist():
+            # a context of no training text leaves all to the parent
+            to = np.append(rest, 1.0)[linked(row["contexts"])]
+            mass = np.append(own, 0.0)[linked(row["place"])]
+            made = to.astype("<f4").tobytes() + mass.astype("<f4").tobytes()
+            rows.append({"kind": "pair", "shard": row["shard"], "block": row["peer"], "made": made})
         return packed(rows, made_schema)
 
-    word_answers = cut_lineage(of_words.groupBy("shard").cogroup(split(vocab, "state")).applyInArrow(answer_words, made_schema))
-    pair_answers = of_pairs.groupBy("shard").cogroup(split(seats, "state")).applyInArrow(answer_pairs, made_schema)
+    word_answers = cut_lineage(
+        word_links.groupBy("shard").cogroup(split(vocab, "state")).applyInArrow(answer_words, made_schema), replaces=vocab
+    )
+    pair_answers = cut_lineage(
+        pair_links.groupBy("shard").cogroup(split(seats, "state")).applyInArrow(answer_pairs, made_schema), replaces=seats
+    )
+    discard(word_links)
+    discard(pair_links)
 
     def answered(right: pa.Table) -> dict:
         return {(k, s): m for k, s, m in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "made")))}
@@ -719,9 +786,9 @@ def score(
         count, mass, tables = (np.zeros(len(words.keys)) for _ in range(3))
         for s, i in dealt(words.keys, "word", shards):
             raw = made["word", s]
-            count[i] = np.frombuffer(raw[: 8 * len(i)], "<i8")
+            count[i] = unplanes(raw[: 8 * len(i)], "<i8")
             mass[i] = np.frombuffer(raw[8 * len(i) : 16 * len(i)], "<f8")
-            tables[i] = np.frombuffer(raw[16 * len(i) :], "<i4")
+            tables[i] = unplanes(raw[16 * len(i) :])
         return count, mass, tables
 
     gram_schema = "shard int, block int, keys binary, counts binary"
@@ -734,15 +801,15 @@ def score(
         block = left.column("block")[0].as_py()
         return packed(
             [
-                {"shard": s, "block": block, "keys": runs_of[i].tobytes(), "counts": customers[i].astype("<i4").tobytes()}
+                {"shard": s, "block": block, "keys": planes(runs_of[i], "<u8"), "counts": planes(customers[i])}
                 for s, i in dealt(runs_of, "gram", shards)
             ],
             gram_schema,
         )
 
     def answer_grams(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()]
+        keys = [unplanes(x, "<u8") for x in table.column("keys").to_pylist()]
+        counts = [unplanes(x) for x in table.column("counts").to_pylist()]
         distinct, count = counted(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
         value = np.log10(np.maximum(Restaurants(distinct, count, sent.value, settings).run(), 1e-300))
         rows = [
@@ -752,7 +819,7 @@ def score(
         return packed(rows, made_schema)
 
     grams_told = docs.groupBy("block").cogroup(word_answers.groupBy("block")).applyInArrow(spell, gram_schema)
-    gram_answers = grams_told.groupBy("shard").applyInArrow(answer_grams, made_schema)
+    gram_answers = cut_lineage(grams_told.groupBy("shard").applyInArrow(answer_grams, made_schema))
     answers = word_answers.union(pair_answers).union(gram_answers)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -802,6 +869,8 @@ def score(
         )
     )
     out = cut_lineage(out)
+    for table in (word_answers, pair_answers, gram_answers):
+        discard(table)
     rest = max(1.0 - (out.agg(F.sum("spelt")).first()[0] or 0.0), 1e-12)
     unknown = math.log10(backing * rest)
     return out.select(
