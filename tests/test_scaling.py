@@ -85,6 +85,36 @@ def test_cells_of_a_donor_are_written_in_runs(spark):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
+def test_factor_observations_look_genes_up_by_block(spark):
+    """Which cells lack a gene is told once by block and gene, not by test and cell; repeated rows of
+    cells, values and genotypes, and NULLs, count as in a plain join."""
+    rng = np.random.default_rng(5)
+    _, genotype = genotypes(spark, rng)
+    genotype = genotype.union(genotype.where("variant_id = 2 AND individual_id = 1"))
+    own = [(int(c), int(rng.integers(0, 4))) for c in range(40)] + [(3, 1), (None, 2), (41, None), (42, 9)]
+    cells = spark.createDataFrame(own, "cell_id int, individual_id int")
+    e = [(f"g{g}", int(c), float(rng.integers(1, 9))) for c in range(44) for g in range(4) if rng.random() < 0.3]
+    e += [e[0], (e[1][0], e[1][1], None), (None, 5, 1.0), ("g1", None, 2.0), ("g9", 6, None)]
+    expression = spark.createDataFrame(e, "gene_id string, cell_id int, value double")
+    pairs = [("g0", 1), ("g0", 2), ("g3", 1), ("g2", 2), ("g9", 1), (None, 1), ("g0", 1)]
+    pairs = spark.createDataFrame(pairs, "gene_id string, variant_id int")
+    out = factor_observations(pairs, expression, genotype, cells)
+    text = plan(out)
+    assert "posexplode" in text and "array_contains" not in text
+    known = expression.join(cells.select("cell_id"), "cell_id", "left_semi")
+    means = known.groupBy("gene_id").agg((F.sum("value") / len(own)).alias("m"))
+    g = J.standardized_donor_genotype(pairs, genotype, cells).where("dosage IS NOT NULL")
+    grid = pairs.distinct().join(means, "gene_id").join(g, "variant_id").join(cells, "individual_id")
+    rows = grid.join(known.withColumn("there", F.lit(1)), ["gene_id", "cell_id"], "left")
+    want = rows.select(F.concat_ws(":", "gene_id", "variant_id"), "cell_id", "dosage", F.coalesce("value", F.lit(0.0)) - F.col("m"))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got, want = (sorted((tuple(r) for r in t.collect()), key=key) for t in (out, want))
+    assert len(got) == len(want) > 100
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    numbers = lambda rows: np.array([[np.nan if x is None else x for x in r[2:]] for r in rows])
+    assert np.allclose(numbers(got), numbers(want), equal_nan=True)
+
+
 def test_factor_observations_stay_with_the_cells(spark):
     rng = np.random.default_rng(2)
     rows, genotype = genotypes(spark, rng)
