@@ -117,3 +117,41 @@ def test_list_search_equals_set_counts():
             if least[i] and (n := len(np.intersect1d(own, s))) >= least[i]
         }
         assert dict(zip(rows.tolist(), shared.tolist())) == want
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 50, 300, 900, 5000)]
+    sets += [np.unique(np.concatenate([x[: len(x) - len(x) // 20], r.integers(0, 1 << 63, 7, dtype=np.uint64)])) for x in sets]
+    size = np.array([len(x) for x in sets])
+    rows = overlap._sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    words = [np.frombuffer(x.as_py(), np.uint64) for x in rows]
+    assert [len(x) for x in words] == (overlap._buckets(size) // 64).tolist()
+    for a, x in zip(sets, words):
+        for b, y in zip(sets, words):
+            m = min(len(x), len(y))
+            folded = [np.bitwise_xor.reduce(z.reshape(-1, m), axis=0) for z in (x, y)]
+            apart = np.bitwise_count(folded[0] ^ folded[1]).sum()
+            assert apart <= len(np.setxor1d(a, b))
+    # a set and an edited copy are near, others are told apart
+    most = int((size[4] + size[10]) * 15 / 185)  # of two sets that are alike
+    assert np.bitwise_count(words[4] ^ words[10]).sum() <= most < np.bitwise_count(words[4] ^ words[4][::-1]).sum()
+
+
+def test_sets_that_only_share_lists_move_no_text(spark, monkeypatch):
+    """Texts of common sentences in other orders share many lists, and none is like another."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    sentences = [" ".join(r.choice(vocabulary) for _ in range(12)) for _ in range(60)]
+    rows = [(i, " ".join(r.sample(sentences, 25))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " one more") for i in range(4)]
+    searched, search = [], overlap._search
+
+    def seen(units, *args):
+        searched.append({x.cid for x in units.select("cid").collect()})
+        return search(units, *args)
+
+    monkeypatch.setattr(overlap, "_search", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_found(overlap.jaccard_classes(df, key="doc_id")) == classes(rows)
+    assert len(searched) == 2 and max(map(len, searched)) <= 12

@@ -14,6 +14,11 @@ as those of a passage that a million texts repeat, are given up by nearly all th
 
 What is left decides who meets whom; every set then lies in one block of records with its own
 inverted lists, and asks the blocks that hold a member of one of its lists.
+
+In a large table most tokens stand in several sets by chance, so that sets meet many that are not
+like them. Before any text moves, a set meets the others as a sketch: the parities of its tokens'
+counts in m buckets, m being about half its size. Two sketches differ in at most as many places as
+the sets do, and two like sets differ in few, so that only sets with a chance are searched.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varloom.llm import shingles
-from varloom.llm.common import small_batches
+from varloom.llm.common import binary_rows, small_batches
 from varloom.llm.components import components
 from varloom.plans.scale import broadcast_if_small, cut_lineage
 
@@ -104,11 +109,11 @@ def _read(
     text: str,
     width: int,
     out: str,
-    last: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array],
+    last: Callable[[pa.Array, np.ndarray, np.ndarray], list[pa.Array]],
 ) -> DataFrame:
-    """(key, n_shingles, d1, d2) of whole texts and one column more, ``out``. d1 and d2 are sums
+    """(key, n_shingles, d1, d2) of whole texts and more columns, ``out``. d1 and d2 are sums
     over the set: equal sets have equal ones."""
-    name = out.split()[0]
+    names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text", 2 << 20):
@@ -121,31 +126,48 @@ def _read(
                 sums[0, some] = np.add.reduceat(value, starts)
                 sums[1, some] = np.add.reduceat(shingles.mix(value + np.uint64(7)), starts)
             columns = [batch.column(0), pa.array(size), *map(pa.array, sums.view(np.int64))]
-            columns.append(last(batch.column(1), value, bounds))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "d1", "d2", name])
+            columns += last(batch.column(1), value, bounds)
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "d1", "d2", *names])
 
     source = df.selectExpr(f"`{key}` AS key", f"`{text}` AS _text")
     own = source.schema["key"].dataType.simpleString()
     return source.mapInArrow(run, f"key {own}, n_shingles bigint, d1 bigint, d2 bigint, {out}")
 
 
-def _posted(up: int, down: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array]:
-    """The tokens of each set that are posted: those with the smallest hashes."""
+def _buckets(size: np.ndarray) -> np.ndarray:
+    """Bits in the sketch of a set of each size: the power of two from half the size, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(size, 128) / 2)).astype(np.int64)
+
+
+def _sketches(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The parities of each set's tokens by bucket, packed in bytes."""
+    size = np.diff(bounds)
+    bits = _buckets(size)
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(ends[:-1], size) + (value.view(np.int64) & (np.repeat(bits, size) - 1))
+    odd = np.bincount(at, minlength=ends[-1]) & 1
+    return binary_rows(np.packbits(odd.astype(np.uint8)), ends // 8)
+
+
+def _posted(up: int, down: int) -> Callable[[pa.Array, np.ndarray, np.ndarray], list[pa.Array]]:
+    """The tokens of each set that are posted, those with the smallest hashes, and its sketch."""
 
-    def tokens(text: pa.Array, value: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    def columns(text: pa.Array, value: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
         size = np.diff(bounds)
         least = -(-size * up // down)
         count = size - least + np.minimum(EXTRA, least)
         ends = np.concatenate([[0], np.cumsum(count)])
         at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], count)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[at].view(np.int64)))
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[at].view(np.int64)))
+        return [tokens, _sketches(value, bounds)]
 
-    return tokens
+    return columns
 
 
 def _kept(posted: DataFrame, least: Column) -> DataFrame:
     """(token, cid, n_shingles) of lists that a set does not give up; no list of one member."""
-    counts = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that its shuffle is gone before the next one
+    counts = cut_lineage(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     own = W.partitionBy("cid")
     held = posted.join(counts, "token").withColumn("k", F.count("*").over(own))
     held = held.withColumn("place", F.row_number().over(own.orderBy("df", "token")))
@@ -154,19 +176,66 @@ def _kept(posted: DataFrame, least: Column) -> DataFrame:
     )
 
 
-def _search(rows: DataFrame, texts: DataFrame, width: int, up: int, down: int) -> DataFrame:
+def _sharded(rows: DataFrame, size: Column) -> DataFrame:
+    """The rows with the ``shard`` of their unit, of about SHARD bytes."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    shards = max(1, math.ceil(total / SHARD))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards)))
+
+
+def _screened(rows: DataFrame, sketches: DataFrame, up: int, down: int) -> DataFrame:
+    """The rows for ``_search`` that have a partner in their unit with a sketch that can be like
+    theirs; ``sketches`` is (cid, sketch). Two sets that reach the threshold differ in at most
+    (down - up) / (down + up) of the sum of their sizes."""
+    rows = cut_lineage(rows)
+    names = ["unit", "asks", "cid", "n_shingles", "component"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    dealt = _sharded(rows, F.col("n_shingles") / 8 + 64)
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, part, size = (table.column(c).to_numpy() for c in ("cid", "component", "n_shingles"))
+        asks = table.column("asks").to_numpy().astype(bool)
+        unit = table.column("unit").combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("sketch")]
+        words = _buckets(size) // 64
+        good = np.zeros(len(cid), bool)
+        order = np.argsort(unit, kind="stable")
+        heads = np.flatnonzero(np.diff(unit[order], prepend=-1))
+        for one in np.split(order, heads[1:]):
+            records, queries = one[~asks[one]], one[asks[one]]
+            for m in np.unique(words[queries]):
+                asking = queries[words[queries] == m]
+                near = records[(words[records] >= m) & (size[records] * up <= size[asking].max() * down)]
+                if not len(near):
+                    continue
+                # the halves of a sketch add up to one of half the buckets
+                own = np.stack([np.bitwise_xor.reduce(sketch[i].reshape(-1, m), axis=0) for i in near])
+                n, who, where = size[near], cid[near], part[near]
+                for q in asking:
+                    fit = (n > size[q]) | ((n == size[q]) & (who > cid[q]))
+                    fit &= (size[q] * down >= n * up) & (where != part[q])
+                    at = np.flatnonzero(fit)
+                    apart = np.bitwise_count(own[at] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                    at = at[apart * (down + up) <= (down - up) * (n[at] + size[q])]
+                    good[near[at]] = True
+                    good[q] |= len(at) > 0
+        return table.select(names).filter(pa.array(good))
+
+    joined = broadcast_if_small(dealt, width=12).join(sketches, "cid")
+    return cut_lineage(joined.groupBy("shard").applyInArrow(run, kinds), replaces=rows)
+
+
+def _search(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, up: int, down: int) -> DataFrame:
     """(a, b): links between the queries and the records of each unit, as a forest.
 
-    ``rows`` is (unit, asks, cid, n_shingles, component), ``texts`` (cid, text): texts take less
-    room on the way than their sets. A query looks for records that are larger, or as large with
+    ``rows`` is (unit, asks, cid, n_shingles, component), ``texts`` gives (cid, text) for a table of
+    cid: texts take less room on the way than their sets. A query looks for records that are larger, or as large with
     a larger number, and lie in another component; a link between two that earlier links of the
     unit have joined already is left out.
     """
-    rows = cut_lineage(rows)
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(1, math.ceil(8 * total / SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards)))
-    rows = broadcast_if_small(rows, width=12).join(texts, "cid")
+    found = texts(rows.select("cid").distinct())
+    rows = _sharded(rows, F.col("n_shingles") * 8)
+    rows = broadcast_if_small(rows, width=12).join(found, "cid")
 
     def run(table: pa.Table) -> pa.Table:
         cid, part = (table.column(c).to_numpy() for c in ("cid", "component"))
@@ -301,7 +370,7 @@ def jaccard_classes(
     rows.
     """
     up, down = threshold
-    posted = _read(df, key, text, width, "tokens array<bigint>", _posted(up, down))
+    posted = _read(df, key, text, width, "tokens array<bigint>, sketch binary", _posted(up, down))
     prints = cut_lineage(posted.withColumn("row", F.monotonically_increasing_id()))
     named = prints.where("key IS NOT NULL AND n_shingles > 0")
     by = ["d1", "d2", "n_shingles"]
@@ -315,22 +384,31 @@ def jaccard_classes(
     lists = one.select(F.col("row").alias("cid"), "n_shingles", F.explode("tokens").alias("token"))
     kept = cut_lineage(_kept(lists, _least(up, down)))
     shared = kept.groupBy("token").count().where("count > 1").select("token")
-    kept = cut_lineage(kept.join(shared, "token", "left_semi"))
-
-    # the text of one row for each class that meets another one
-    needed = cut_lineage(kept.select("cid").distinct().join(classes, "cid"))
-    firsts = broadcast_if_small(needed.select(F.col("first").alias(key)).distinct(), width=1)
-    rows = df.select(key, text).join(firsts, key, "left_semi")
-    read = _read(rows, key, text, width, "text string", lambda own, value, bounds: own.cast(pa.string()))
-    match = broadcast_if_small(needed.withColumnRenamed("first", "key"), width=5)
-    texts = read.join(match, ["key", *by]).select("cid", "text")
-    once = named.join(needed.select(F.col("first").alias("key"), *by), ["key", *by], "left_semi")
-    if once.count() > needed.count():  # rows that repeat a key and a text
-        texts = texts.dropDuplicates(["cid"])
-    texts = cut_lineage(texts)
-
-    links = cut_lineage(_search(_stars(kept, up, down), texts, width, up, down))
-    more = cut_lineage(_search(_blocks(kept, components(links), up, down), texts, width, up, down))
+    kept = cut_lineage(kept.join(shared, "token", "left_semi"), replaces=kept)
+
+    # nothing reads the posted tokens any more
+    prints = cut_lineage(prints.drop("tokens"), replaces=prints)
+    named = prints.where("key IS NOT NULL AND n_shingles > 0")
+    met = broadcast_if_small(cut_lineage(kept.select("cid").distinct()), width=1)
+    sketches = cut_lineage(named.join(met, F.col("row") == F.col("cid")).select("cid", "sketch"))
+
+    def texts(cids: DataFrame) -> DataFrame:
+        """The text of one row for each of the classes."""
+        needed = cut_lineage(cids.join(classes, "cid"))
+        firsts = broadcast_if_small(needed.select(F.col("first").alias(key)).distinct(), width=1)
+        rows = df.select(key, text).join(firsts, key, "left_semi")
+        read = _read(rows, key, text, width, "text string", lambda own, value, bounds: [own.cast(pa.string())])
+        match = broadcast_if_small(needed.withColumnRenamed("first", "key"), width=5)
+        found = read.join(match, ["key", *by]).select("cid", "text")
+        once = named.join(needed.select(F.col("first").alias("key"), *by), ["key", *by], "left_semi")
+        if once.count() > needed.count():  # rows that repeat a key and a text
+            found = found.dropDuplicates(["cid"])
+        return cut_lineage(found)
+
+    stars = _screened(_stars(kept, up, down), sketches, up, down)
+    links = cut_lineage(_search(stars, texts, width, up, down))
+    blocks = _screened(_blocks(kept, components(links), up, down), sketches, up, down)
+    more = cut_lineage(_search(blocks, texts, width, up, down))
     found = components(links.union(more)).withColumnRenamed("id", "cid")
     whole_of = classes.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = whole_of.groupBy("component").agg(F.min("first").alias("component_id"))
