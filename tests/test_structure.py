@@ -195,6 +195,27 @@ def test_gene_sets(spark):
         assert abs(abs(mine @ v) - 1) < 1e-8
 
 
+def test_scores_of_many_sets_are_summed_side_by_side(spark):
+    """An entry is not read once for each set of its gene; a cell without a gene of a set has no score."""
+    rng = np.random.default_rng(21)
+    x = rng.random(size=(9, 60)) + 0.5
+    x[rng.random(x.shape) < 0.6] = 0.0
+    sets = {f"s{i:02d}": sorted(rng.choice(9, 2 + i % 3, replace=False).tolist()) for i in range(40)}
+    rows = [(k, [f"g{i:02d}" for i in v]) for k, v in sets.items()] + [("one", ["g01"]), (None, ["g01", "g02"])]
+    entries = matrix(spark, x)
+    out = D.gene_set_scores(entries, spark.createDataFrame(rows, "set_id string, genes array<string>"))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["set_id", "cell_id", "score"]
+    assert "HashAggregate(keys=[_chunk" in text and "HashAggregate(keys=[set_id" not in text
+    got = {(r["set_id"], r["cell_id"]): r["score"] for r in out.collect()}
+    stored = {(r["gene_id"], r["cell_id"]) for r in entries.collect()}
+    assert got.keys() == {(k, j) for k, v in sets.items() for j in range(60) if any((f"g{i:02d}", j) in stored for i in v)}
+    for k, v in sets.items():
+        first = np.linalg.svd(x[v], full_matrices=False)[2][0]
+        mine = np.array([got.get((k, j), 0.0) for j in range(60)])
+        assert abs(abs(mine @ first) - 1) < 1e-8
+
+
 def test_steps_of_sparse_samples_leave_the_entries_alone(spark, monkeypatch):
     """With few entries by sample only the scores at the end read the entries again, and the
     results are those of steps over the entries."""

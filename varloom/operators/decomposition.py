@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,9 @@ _DIMS = 256
 # are added up once instead of reading the entries in every step.
 _PAIRS = 64
 
+# Gene sets whose scores of a cell are summed side by side.
+_SETS = 16
+
 
 def _array_sums(column: str, width: int):
     return F.array(*[F.sum(F.col(column)[i]) for i in range(width)])
@@ -379,6 +382,23 @@ def pca(
     return scores, explained.select(*by, "component", (F.col("_t") / F.col("_total")).alias("variance_explained"))
 
 
+def _set_scores(matrix: _Matrix, best: DataFrame, values: DataFrame) -> DataFrame:
+    """(by, sample, score): the first of ``_scores`` where entries belong to all groups. Sums are made
+    by sample for _SETS groups side by side, NULL for a group that has no feature of the sample."""
+    table = cut_lineage(ranked(values, matrix.by, out="_no"))
+    named = best.join(broadcast_if_small(table.select(*matrix.by, "_no"), width=4), matrix.by)
+    chunk = F.expr(f"_no DIV {_SETS}").alias("_chunk")
+    own = [F.max(F.when(F.col("_no") % _SETS == i, F.col("_best")[0])) for i in range(_SETS)]
+    packed = cut_lineage(named.groupBy(matrix.feature, chunk).agg(F.array(*own).alias("_own")))
+    sums = replace(matrix, by=["_chunk"]).times(packed, "_own", _SETS)
+    each = sums.select(matrix.sample, "_chunk", F.posexplode("_b").alias("_i", "_one")).where("_one IS NOT NULL")
+    each = each.withColumn("_no", F.col("_chunk") * _SETS + F.col("_i"))
+    each = each.join(broadcast_if_small(table, width=6), "_no")
+    theta = F.col("_theta")[0]
+    score = F.when(theta > 1e-12 * theta, F.col("_one") / F.sqrt(theta)).otherwise(0.0)
+    return each.select(*matrix.by, matrix.sample, score.alias("score"))
+
+
 def gene_set_scores(
     expr: DataFrame,
     sets: DataFrame,
@@ -408,7 +428,7 @@ def gene_set_scores(
         other = features.select(set_id, F.col(gene).alias("_other"))
         gram = cut_lineage(gram.join(broadcast_if_small(other, width=4), [set_id, "_other"]))
         matrix = _Matrix(data, data, [set_id], cell, gene, 0, gram)
-        scores = _scores(matrix, *_leading(matrix, features, 1, 0, 1e-7, 300), 1)
+        return _set_scores(matrix, *_leading(matrix, features, 1, 0, 1e-7, 300))
     else:
         rows = data.withColumnRenamed("_x", value).join(broadcast_if_small(placed, width=4), gene)
         scores, _ = pca(rows, 1, feature=gene, sample=cell, value=value, by=[set_id])
